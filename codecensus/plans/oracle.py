@@ -114,3 +114,227 @@ select f.repo, f.n as total_files_found, coalesce(r.n, 0) as files_analyzed,
   false as quick_analysis, true as include_file_contents, true as llm_analysis_enabled
 from (select repo, count(*) as n from files group by repo) f
 left join (select repo, count(*) as n from rel group by repo) r on f.repo = r.repo""", (REL,))
+
+# ---------------------------------------------------------------- §2.5
+RELC = f"relc as (select repo, path, file_seq, content from (select *, 'file' as type from corpus) x where {P.filter_keep('path')})"
+
+
+def _comment_sql(lang: str, line: str) -> str:
+    from codecensus.operators.metrics import comment_regex
+    groups: dict[tuple, list[str]] = {}
+    for lg, prefixes in rules.COMMENT_PREFIXES.items():
+        groups.setdefault(tuple(prefixes), []).append(lg)
+    whens = " ".join(f"when {lang} in {P.in_list(langs)} then regexp_matches({line}, {P.q(comment_regex(list(pre)))})"
+                     for pre, langs in groups.items())
+    return f"(case {whens} else regexp_matches({line}, {P.q(comment_regex(rules.DEFAULT_COMMENT_PREFIXES))}) end)"
+
+
+BLANK = f"regexp_matches(l, {P.q('^' + P.WS_SQL + '*$')})"
+FM = (
+    f"fm0 as (select repo, path, file_seq, {LANG} as language, string_split(content, chr(10)) as ls from relc "
+    f"where {LANG} is not null and length(content) > 0)",
+    f"fm1 as (select *, list_filter(ls, lambda l: not {BLANK}) as nb from fm0)",
+    f"fm2 as (select *, list_filter(nb, lambda l: {_comment_sql('language', 'l')}) as cm from fm1)",
+    "fm as (select repo, path, file_seq, language, cast(len(ls) as bigint) as lines, "
+    "cast(len(ls) - len(nb) as bigint) as blank_lines, cast(len(cm) as bigint) as comment_lines, "
+    "cast(len(nb) - len(cm) as bigint) as code_lines, "
+    f"cast(coalesce(floor(list_max(list_transform(nb, lambda l: length(regexp_extract(l, {P.q('^' + P.WS_SQL + '*')}, 0)))) "
+    "/ (case when language = 'Python' then 4 else 2 end)), 0) as integer) as max_indentation from fm2)",
+)
+oracle("file_metrics", "select * from fm", (RELC,) + FM)
+oracle("max_indentation", "select repo, path, file_seq, language, max_indentation from fm", (RELC,) + FM)
+
+
+def _pct(part: str, total: str) -> str:
+    return f"(case when {total} > 0 then cast({part} as double) / {total} * 100 else 0.0 end)"
+
+
+oracle("code_metrics_totals", f"""
+select *, {_pct('code_lines', 'total_lines')} as code_pct, {_pct('comment_lines', 'total_lines')} as comment_pct,
+  {_pct('blank_lines', 'total_lines')} as blank_pct
+from (select repo, cast(sum(lines) as bigint) as total_lines, cast(sum(code_lines) as bigint) as code_lines,
+        cast(sum(comment_lines) as bigint) as comment_lines, cast(sum(blank_lines) as bigint) as blank_lines,
+        count(*) as files_analyzed from fm group by repo) t""", (RELC,) + FM)
+
+oracle("code_metrics_by_language", """
+select repo, language, count(*) as files, cast(sum(lines) as bigint) as lines,
+  cast(sum(code_lines) as bigint) as code_lines, cast(sum(comment_lines) as bigint) as comment_lines
+from fm group by 1, 2""", (RELC,) + FM)
+
+oracle("large_files", f"select repo, path, file_seq, lines from fm where lines > {rules.LARGE_FILE_LINES}", (RELC,) + FM)
+oracle("deeply_nested_files",
+       f"select repo, path, file_seq, max_indentation from fm where max_indentation > {rules.DEEP_NESTING_LEVEL}",
+       (RELC,) + FM)
+
+COLLECTED = (f"collected as (select * from contents where {CODE_LANG} is not null "
+             f"or lower({P.name('path')}) in {P.in_list(rules.COLLECT_EXTRA_NAMES)})")
+SPLITLINES_SQL = ("(case when ls[-1] = '' then ls[1:len(ls) - 1] else ls end)")
+BASIC = (
+    COLLECTED,
+    f"b0 as (select repo, coalesce({CODE_LANG}, 'Unknown') as language, "
+    f"regexp_split_to_array(content, {P.q(__import__('codecensus.operators.metrics', fromlist=['x']).SPLITLINES)}) as ls from collected)",
+    f"b1 as (select repo, language, {SPLITLINES_SQL} as ls from b0)",
+    f"b2 as (select *, list_filter(ls, lambda l: not {BLANK}) as nb from b1)",
+    f"b3 as (select *, list_filter(nb, lambda l: regexp_matches(l, {P.q('^' + P.WS_SQL + '*(?:#|//)')})) as cm from b2)",
+)
+oracle("code_metrics_basic", """
+select repo, language, count(*) as files, cast(sum(len(ls)) as bigint) as lines,
+  cast(sum(len(nb) - len(cm)) as bigint) as code_lines, cast(sum(len(cm)) as bigint) as comment_lines
+from b3 group by 1, 2""", BASIC)
+
+RESPONSES = r"""responses as (
+select repo, path, file_seq, case when file_seq % 11 = 0 then 'No JSON here' || chr(10) || path else
+ 'Here: {"summary":"S' || cast(file_seq as varchar(20)) || '","complexity_assessment":"'
+ || case file_seq % 3 when 0 then 'Simple. ok' when 1 then 'Moderate - x' else 'Complex' end
+ || '","dependencies":["dep' || cast(file_seq % 9 as varchar(10)) || '","json"],"code_patterns":["P'
+ || cast(file_seq % 4 as varchar(10)) || '"],"improvement_suggestions":["'
+ || case file_seq % 4 when 0 then 'Add unit tests' when 1 then 'Improve error handling'
+    when 2 then 'Optimize performance' else 'Refactor names' end || '"]} done' end as response
+from corpus
+where path like '%.py' or path like '%.js' or path like '%.go' or path like '%.rs' or path like '%.java'
+)"""
+
+oracle("content_volume", f"""
+select r.repo, r.files_retrieved, coalesce(a.n, 0) as files_analyzed, r.total_chars,
+  {_pct('coalesce(a.n, 0)', 'r.files_retrieved')} as coverage_pct,
+  case when coalesce(a.n, 0) > 0 then r.total_chars / coalesce(a.n, 0) end as avg_chars_per_file
+from (select repo, count(*) as files_retrieved, cast(sum(length(content)) as bigint) as total_chars
+      from collected group by repo) r
+left join (select repo, count(*) as n from responses group by repo) a on r.repo = a.repo""",
+       (COLLECTED, RESPONSES))
+
+# ---------------------------------------------------------------- §2.1
+oracle("read_listing", "select repo, file_seq, path, name, type, size from files")
+
+oracle("normalize_ado_listing", "select repo, cast(floor(file_seq / 50) as bigint) as page, path, size from corpus")
+
+oracle("listing_counts", f"""
+select f.repo, f.n as file_count, coalesce(d.n, 0) as folder_count
+from (select repo, count(*) as n from corpus group by repo) f
+left join (select repo, count(*) filter (where regexp_extract(dir, '([^/]*)$', 1) <> 'assets') as n
+           from (select distinct repo, {P.directory('path')} as dir from corpus where contains(path, '/')) x
+           group by repo) d on f.repo = d.repo""")
+
+oracle("decode_contents", """
+select repo, file_seq, 'drop' as mode, cast(length(content) as bigint) as chars from contents where file_seq % 13 <> 0
+union all select repo, file_seq, 'ignore', cast(length(content) as bigint) from contents
+union all select repo, file_seq, 'latin1', cast(case when file_seq % 13 = 0 then strlen(content) + 1
+  else length(content) end as bigint) from contents""")
+
+oracle("collect_code_files", """
+select repo, count(*) as collected_files, cast(sum(length(content)) as bigint) as total_size
+from collected group by repo""", (COLLECTED,))
+
+_cap = f"{CODE_LANG} is not null and coalesce(size, 0) < {rules.MAX_CODE_LENGTH}"
+oracle("retrieve_capped", f"""
+select repo, file_seq, rank, walk from (
+  select repo, file_seq, cast(row_number() over (partition by repo order by file_seq) as integer) as rank, 'github' as walk
+  from corpus where {_cap} and len(string_split(path, '/')) <= 3) a where rank <= 50
+union all
+select repo, file_seq, rank, walk from (
+  select repo, file_seq, cast(row_number() over (partition by repo order by file_seq) as integer) as rank, 'azure_devops' as walk
+  from corpus where {_cap}) b where rank <= 50""")
+
+oracle("files_by_extension", f"""
+select repo, extension, files, total_chars, coalesce({P.case_map('extension', rules.CODE_EXTENSIONS)}, 'Unknown') as language
+from (select repo, {P.suffix('path')} as extension, count(*) as files, cast(sum(length(content)) as bigint) as total_chars
+      from collected group by 1, 2) x""", (COLLECTED,))
+
+PR = "pr as (select distinct lang as project, source as repo from documents)"
+URLS = """urls as (
+select 'https://github.com/' || project || '/' || repo as url from pr
+union all select 'https://github.com/' || project || '/widget' || repo || '.git/' from pr
+union all select project || '/' || repo from pr
+union all select project || '/' || repo || '/x' from pr
+union all select 'https://dev.azure.com/org/' || project || '/_git/' || repo from pr
+union all select 'https://org' || project || '.visualstudio.com/' || project || '/_git/' || repo || '/' from pr
+union all select url from pages)"""
+GH_RE, ADO_RE, ADO_OLD_RE = (r"^https://github\.com/([^/]+)/([^/]+)", r"^https://dev\.azure\.com/([^/]+)/([^/]+)/_git/([^/]+)",
+                             r"^https://([^.]+)\.visualstudio\.com/([^/]+)/_git/([^/]+)")
+oracle("parse_repo_url", f"""
+select url, platform,
+  case when ado then regexp_extract(url, {P.q(ADO_RE)}, 1) when ado_old then regexp_extract(url, {P.q(ADO_OLD_RE)}, 1)
+       when platform = 'github' then split_part(repo_path, '/', 1) end as owner,
+  case when ado then regexp_extract(url, {P.q(ADO_RE)}, 2) when ado_old then regexp_extract(url, {P.q(ADO_OLD_RE)}, 2) end as project,
+  case when ado then regexp_extract(url, {P.q(ADO_RE)}, 3) when ado_old then regexp_extract(url, {P.q(ADO_OLD_RE)}, 3)
+       when platform = 'github' then (case when starts_with(url, 'https://github.com/') and gh_raw <> ''
+            then regexp_replace(gh_raw, '\\.git$', '') else split_part(repo_path, '/', 2) end) end as repo_name,
+  case when platform = 'github' then repo_path end as repo_path,
+  case when platform is not null then null when repo_path is null then 'Invalid repository URL format: ' || url
+       else 'Invalid repository path format: ' || repo_path end as error
+from (select *, case when ado then 'azure_devops' when ado_old then 'azure_devops'
+                     when repo_path is not null and length(repo_path) - length(replace(repo_path, '/', '')) = 1 then 'github' end as platform
+      from (select url,
+              case when starts_with(url, 'https://github.com/') then regexp_replace(replace(url, 'https://github.com/', ''), '/+$', '')
+                   when contains(url, '/') and not starts_with(url, 'http') then url end as repo_path,
+              regexp_extract(url, {P.q(ADO_RE)}, 1) <> '' as ado,
+              regexp_extract(url, {P.q(ADO_OLD_RE)}, 1) <> '' as ado_old,
+              regexp_extract(url, {P.q(GH_RE)}, 2) as gh_raw
+            from urls) a) b""", (PR, URLS))
+
+PER_LANG = (f"per_lang as (select repo, {LANG} as language, cast(sum(size) as bigint) as bytes from corpus "
+            f"where {LANG} is not null group by 1, 2)")
+REPOS = """repos as (
+select b.repo, 'Corpus repository ' || b.repo as description, 'https://github.com/org/' || b.repo as url,
+  l.language, cast(b.seq_sum % 5000 as bigint) as stars, cast(b.n % 300 as bigint) as forks,
+  cast(floor(b.bytes / 1024) as bigint) as size,
+  strftime(timestamp '2020-01-01 00:00:00' + to_days(cast(b.r as integer)), '%Y-%m-%d') as created,
+  strftime(timestamp '2020-01-01 00:00:00' + to_days(cast(b.r * 30 as integer)), '%Y-%m-%d') as updated,
+  'analytics, group' || cast(b.r % 3 as varchar) as topics,
+  case when b.r % 4 = 0 then null else 'MIT License' end as license,
+  b.r % 2 = 0 as has_issues, b.r % 3 = 0 as has_projects, b.r % 5 <> 0 as has_wiki
+from (select repo, min(r) as r, sum(file_seq) as seq_sum, count(*) as n, sum(size) as bytes from corpus group by repo) b
+left join (select repo, first(language order by bytes desc, language desc) as language from per_lang group by repo) l
+  on b.repo = l.repo)"""
+oracle("repo_overview", """
+select repo, repo as name, description, url, coalesce(language, 'Not specified') as language, stars, forks,
+  size as size_kb, created, updated, topics, license, has_issues, has_projects, has_wiki from repos""",
+       (PER_LANG, REPOS))
+
+oracle("language_bytes_share", f"""
+select repo, rank, language, bytes, pct from (
+  select repo, language, bytes, bytes / sum(bytes) over (partition by repo) * 100 as pct,
+    cast(row_number() over (partition by repo order by bytes desc, language) as integer) as rank
+  from per_lang) x where rank <= {rules.TOP_LANGUAGE_BYTES}""", (PER_LANG,))
+
+COMMITS = """commits as (
+select 'src' || cast(o_custkey % 20 as varchar) as repo, md5(cast(o_orderkey as varchar)) as sha,
+  o_orderpriority || chr(10) || 'body' as message, cast(o_custkey as varchar) as author, o_orderdate as date,
+  'https://github.com/org/src' || cast(o_custkey % 20 as varchar) || '/commit/' || md5(cast(o_orderkey as varchar)) as url,
+  o_orderpriority as branch
+from orders)"""
+oracle("recent_commits", f"""
+select repo, rank, substr(sha, 1, 8) as sha, split_part(message, chr(10), 1) as message, author,
+  strftime(date, '%Y-%m-%d %H:%M:%S') as date, url
+from (select *, cast(row_number() over (partition by repo order by date desc, sha) as integer) as rank from commits) x
+where rank <= {rules.RECENT_COMMITS}""", (COMMITS,))
+
+oracle("commits_on_branch", """
+select repo, '1-URGENT' as branch, rank, sha, split_part(message, chr(10), 1) as message,
+  count(*) over (partition by repo) as count
+from (select *, cast(row_number() over (partition by repo order by date desc, sha) as integer) as rank
+      from commits where branch = '1-URGENT') x where rank between 26 and 50""", (COMMITS,))
+
+PRS = """prs as (
+select 'src' || cast(o_custkey % 20 as varchar) as repo, o_orderkey as pr_id, 'Order ' || cast(o_orderkey as varchar) as title,
+  case o_orderstatus when 'O' then 'active' when 'F' then 'completed' else 'abandoned' end as status
+from orders)"""
+oracle("pull_requests_by_status", """
+select repo, rank, pr_id, title, status, count(*) over (partition by repo) as count, 'active' as scope
+from (select *, cast(row_number() over (partition by repo order by pr_id desc) as integer) as rank
+      from prs where status = 'active') a where rank <= 10
+union all
+select repo, rank, pr_id, title, status, count(*) over (partition by repo) as count, 'all' as scope
+from (select *, cast(row_number() over (partition by repo order by pr_id desc) as integer) as rank from prs) b
+where rank <= 100""", (PRS,))
+
+oracle("branches_per_repo", """
+select repo, rank, branch, count(*) over (partition by repo) as count
+from (select repo, branch, cast(row_number() over (partition by repo order by branch) as integer) as rank
+      from (select distinct repo, branch from commits) d) x where rank <= 3""", (COMMITS,))
+
+oracle("list_org_repositories", "select project, repo from pr", (PR,))
+
+oracle("search_code", """
+select repo, path, file_seq from contents where contains(lower(content), 'kafka')
+order by repo, file_seq limit 100""")

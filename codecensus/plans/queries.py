@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from codecensus.functions.paths import directory_of
 from codecensus.operators import classify as C
+from codecensus.operators import metrics as M
 from codecensus.operators import structure as S
+from codecensus.sources import activity as A
+from codecensus.sources import readers as R
 from codecensus.sources import corpus as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,4 +146,149 @@ def analysis_metadata(spark, sf_dir):
     return S.analysis_metadata(listing, C.filter_files(listing))
 
 
+
+# ---------------------------------------------------------------- §2.5
+def _relevant_contents(spark, sf_dir) -> DataFrame:
+    """Text of the relevant files (filter on the listing columns, same scan)."""
+    return C.filter_files(src.listing_with_text(spark, sf_dir)).select("repo", "path", "file_seq", "content")
+
+
+def _fm(spark, sf_dir) -> DataFrame:
+    return M.file_metrics(_relevant_contents(spark, sf_dir))
+
+
+@query
+def file_metrics(spark, sf_dir):
+    return _fm(spark, sf_dir)
+
+
+@query
+def max_indentation(spark, sf_dir):
+    return M.max_indentation(_relevant_contents(spark, sf_dir))
+
+
+@query
+def code_metrics_totals(spark, sf_dir):
+    return M.code_metrics_totals(_fm(spark, sf_dir))
+
+
+@query
+def code_metrics_by_language(spark, sf_dir):
+    return M.code_metrics_by_language(_fm(spark, sf_dir))
+
+
+@query
+def large_files(spark, sf_dir):
+    return M.large_files(_fm(spark, sf_dir))
+
+
+@query
+def deeply_nested_files(spark, sf_dir):
+    return M.deeply_nested_files(_fm(spark, sf_dir))
+
+
+@query
+def code_metrics_basic(spark, sf_dir):
+    return M.code_metrics_basic(R.collect_code_files(src.contents(spark, sf_dir)))
+
+
+@query
+def content_volume(spark, sf_dir):
+    collected = R.collect_code_files(src.contents(spark, sf_dir))
+    return M.content_volume(collected, src.responses(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- §2.1
+@query
+def read_listing(spark, sf_dir):
+    """The listing read back from the corpus tables (the parquet form)."""
+    return src.files(spark, sf_dir).select("repo", "file_seq", "path", "name", "type", "size")
+
+
+@query
+def normalize_ado_listing(spark, sf_dir):
+    return R.normalize_ado_listing(src.ado_listing_pages(spark, sf_dir)).select("repo", "page", "path", "size")
+
+
+@query
+def listing_counts(spark, sf_dir):
+    return R.listing_counts(src.ado_listing_pages(spark, sf_dir))
+
+
+@query
+def decode_contents(spark, sf_dir):
+    raw = src.raw_contents(spark, sf_dir)
+    parts = [R.decode_contents(raw, m).select("repo", "file_seq", F.lit(m).alias("mode"),
+                                              F.length("content").cast("bigint").alias("chars"))
+             for m in ("drop", "ignore", "latin1")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def collect_code_files(spark, sf_dir):
+    return R.collected_size(src.contents(spark, sf_dir))
+
+
+@query
+def retrieve_capped(spark, sf_dir):
+    lt = src.listing_with_text(spark, sf_dir)
+    tool = R.retrieve_capped(lt, max_files=50).select("repo", "file_seq", "rank", F.lit("github").alias("walk"))
+    full = R.retrieve_capped(lt, max_files=50, max_dir_depth=None).select(
+        "repo", "file_seq", "rank", F.lit("azure_devops").alias("walk"))
+    return tool.unionByName(full)
+
+
+@query
+def files_by_extension(spark, sf_dir):
+    return R.files_by_extension(R.collect_code_files(src.contents(spark, sf_dir)))
+
+
+@query
+def parse_repo_url(spark, sf_dir):
+    return R.parse_repo_url(src.url_inputs(spark, sf_dir))
+
+
+@query
+def repo_overview(spark, sf_dir):
+    return R.repo_overview(src.repos(spark, sf_dir))
+
+
+@query
+def language_bytes_share(spark, sf_dir):
+    return R.language_bytes_share(src.repos(spark, sf_dir))
+
+
+@query
+def recent_commits(spark, sf_dir):
+    return A.recent_commits(src.commits(spark, sf_dir))
+
+
+@query
+def commits_on_branch(spark, sf_dir):
+    return A.commits_on_branch(src.commits(spark, sf_dir), "1-URGENT", page=2, per_page=25)
+
+
+@query
+def pull_requests_by_status(spark, sf_dir):
+    prs = src.pull_requests(spark, sf_dir)
+    active = A.pull_requests_by_status(prs, "active", per_page=10)
+    every = A.pull_requests_by_status(prs, "all", per_page=500)
+    return active.withColumn("scope", F.lit("active")).unionByName(every.withColumn("scope", F.lit("all")))
+
+
+@query
+def branches_per_repo(spark, sf_dir):
+    return A.branches_per_repo(src.branches(spark, sf_dir), per_page=3)
+
+
+@query
+def list_org_repositories(spark, sf_dir):
+    return A.list_org_repositories(src.projects(spark, sf_dir), src.project_repos(spark, sf_dir))
+
+
+@query
+def search_code(spark, sf_dir):
+    return A.search_code(src.contents(spark, sf_dir), "KAFKA", per_page=100)
+
+
 FLAGSHIP = "language_distribution"

@@ -100,6 +100,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("file").alias("type"), "size")
 
 
+def listing_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing columns plus ``content`` in one row (one scan, no join): the
+    corpus stores both, so listing filters apply to the text directly."""
+    c = corpus(spark, sf_dir)
+    return c.select("repo", "file_seq", "path", name_of("path").alias("name"),
+                    F.lit("file").alias("type"), "size", "content")
+
+
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, file_seq, content)."""
     return corpus(spark, sf_dir).select("repo", "path", "file_seq", "content")
@@ -253,3 +261,35 @@ def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.when(rest == "", F.lit("index")).otherwise(rest), F.lit(".html"))
     return p.select(host.alias("repo"), path.alias("path"), F.col("page_id").alias("file_seq"),
                     F.col("html").alias("content"))
+
+
+def raw_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undecoded text: (repo, path, file_seq, raw, encoding). Every file is
+    base64 of its UTF-8 bytes; every 13th also gets a stray 0xFF byte, so
+    its bytes are not valid UTF-8. Odd files are given as raw bytes."""
+    c = contents(spark, sf_dir)
+    data = F.when(F.col("file_seq") % 13 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("FF")))) \
+            .otherwise(F.encode("content", "UTF-8"))
+    b64 = F.col("file_seq") % 2 == 0
+    return c.select("repo", "path", "file_seq",
+                    F.when(b64, F.base64(data).cast("binary")).otherwise(data).alias("raw"),
+                    F.when(b64, F.lit("base64")).otherwise(F.lit("none")).alias("encoding"))
+
+
+def url_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository references in every accepted and rejected form: GitHub
+    URLs (with '.git' and trailing '/'), 'owner/repo', both Azure DevOps
+    forms, deep 'a/b/c' paths and the web-page URLs of ``pages``."""
+    pr = project_repos(spark, sf_dir)
+    gh = pr.select(F.concat(F.lit("https://github.com/"), F.col("project"), F.lit("/"), F.col("repo")).alias("url"))
+    gh_git = pr.select(F.concat(F.lit("https://github.com/"), F.col("project"), F.lit("/widget"),
+                                F.col("repo"), F.lit(".git/")).alias("url"))
+    short = pr.select(F.concat(F.col("project"), F.lit("/"), F.col("repo")).alias("url"))
+    deep = pr.select(F.concat(F.col("project"), F.lit("/"), F.col("repo"), F.lit("/x")).alias("url"))
+    ado = pr.select(F.concat(F.lit("https://dev.azure.com/org/"), F.col("project"), F.lit("/_git/"),
+                             F.col("repo")).alias("url"))
+    ado_old = pr.select(F.concat(F.lit("https://org"), F.col("project"), F.lit(".visualstudio.com/"),
+                                 F.col("project"), F.lit("/_git/"), F.col("repo"), F.lit("/")).alias("url"))
+    web = _table(spark, sf_dir, "pages").select("url")
+    return gh.unionByName(gh_git).unionByName(short).unionByName(deep).unionByName(ado) \
+             .unionByName(ado_old).unionByName(web)
