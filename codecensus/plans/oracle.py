@@ -338,3 +338,194 @@ oracle("list_org_repositories", "select project, repo from pr", (PR,))
 oracle("search_code", """
 select repo, path, file_seq from contents where contains(lower(content), 'kafka')
 order by repo, file_seq limit 100""")
+
+# ---------------------------------------------------------------- §2.6
+from codecensus.operators.patterns import TERMS, FLAG_OF  # noqa: E402
+
+
+def _flag_aggs() -> str:
+    lc = "lower(coalesce(content, ''))"
+    n = P.name("path")
+    par = P.parent("path")
+    raw_suffix = f"regexp_extract({n}, '^.+(\\.[^.]+)$', 1)"
+    items = [f"bool_or(contains({lc}, {P.q(t)})) as {FLAG_OF[t]}" for t in TERMS]
+    items += [
+        f"bool_or({n} = 'package.json') as has_package_json",
+        f"bool_or(path = 'package.json' and {P.contains_any(lc, rules.FRONTEND_MARKERS)}) as pkg_frontend",
+        f"bool_or(path = 'package.json' and {P.contains_any(lc, rules.BACKEND_MARKERS)}) as pkg_backend",
+        f"bool_or({n} in {P.in_list(rules.PYTHON_MANIFESTS)}) as has_python_manifest",
+        f"bool_or({n} in {P.in_list(rules.MOBILE_MANIFESTS)}) as has_mobile_manifest",
+        f"bool_or({n} in {P.in_list(rules.JAVA_MANIFESTS)}) as has_java_manifest",
+        *[f"bool_or({n} = {P.q(f)}) as has_{i}" for i, (f, _) in enumerate(rules.SINGLE_MANIFEST_TYPES)],
+        f"bool_or({n} in {P.in_list(rules.CONTAINER_FILES)}) as has_container",
+        f"bool_or({raw_suffix} in {P.in_list(rules.DOC_SITE_SUFFIXES)}) as has_doc_suffix",
+        f"count(*) filter (where {raw_suffix} in {P.in_list(rules.DOC_SITE_CODE_SUFFIXES)}) as n_code_suffix",
+        *[f"bool_or({par} in {P.in_list(d)}) as arch_dir_{i}" for i, (_, d) in enumerate(rules.ARCHITECTURE_DIR_RULES)],
+        f"bool_or({n} = {P.q(rules.MICROSERVICES_FILE)}) as has_compose",
+        f"bool_or({n} in {P.in_list(rules.API_FIRST_FILES)}) as has_api_spec",
+    ]
+    return ", ".join(items)
+
+
+FLAGS_CTE = f"flags as (select repo, {_flag_aggs()} from relc group by repo)"
+
+
+def _any_sql(terms) -> str:
+    return "(" + " or ".join(FLAG_OF[t] for t in terms) + ")"
+
+
+def _project_type_sql() -> str:
+    py = " ".join(f"when {FLAG_OF[t]} then {P.q(lb)}" for t, lb in rules.PYTHON_WEB_RULES)
+    singles = " ".join(f"when has_{i} then {P.q(lb)}" for i, (_, lb) in enumerate(rules.SINGLE_MANIFEST_TYPES))
+    return ("(case when has_package_json then (case when pkg_frontend then 'Frontend Web Application' "
+            "when pkg_backend then 'Backend Web Application' else 'Node.js Application' end) "
+            f"when has_python_manifest then (case {py} else 'Python Application' end) "
+            "when has_mobile_manifest then 'Mobile Application' when has_java_manifest then 'Java Application' "
+            f"{singles} when has_container then 'Containerized Application' "
+            f"when has_doc_suffix and n_code_suffix < {rules.DOC_SITE_MAX_CODE_FILES} then 'Documentation/Static Site' "
+            "else 'Unknown' end)")
+
+
+def _api_sql() -> str:
+    return "(case " + " ".join(f"when {_any_sql(ts)} then {P.q(lb)}" for lb, ts in rules.API_TYPE_RULES) + " end)"
+
+
+def _arch_items() -> list[tuple[str, str]]:
+    out = []
+    for i, (lb, _) in enumerate(rules.ARCHITECTURE_DIR_RULES):
+        cond = f"arch_dir_{i}" + (" or has_compose" if i == 1 else "")
+        out.append((f"({cond})", lb))
+    out += [("has_api_spec", "API-First Design"), (_any_sql(rules.EVENT_WORDS), "Event-Driven Architecture")]
+    return out
+
+
+def _ordered_union(items: list[tuple[str, str]], extra_cols: str = "") -> str:
+    """Rows (repo, pos, value) for the true conditions, numbered in order."""
+    parts = " union all ".join(f"select repo, {i} as k, {P.q(lb)} as v{extra_cols} from flags where {cond}"
+                               for i, (cond, lb) in enumerate(items))
+    return parts
+
+
+oracle("detect_project_type", f"select repo, {_project_type_sql()} as project_type from flags", (RELC, FLAGS_CTE))
+oracle("detect_api_type", f"select repo, {_api_sql()} as api_type from flags", (RELC, FLAGS_CTE))
+oracle("detect_architecture", f"""
+select repo, cast(row_number() over (partition by repo order by k) - 1 as integer) as pos, v as pattern
+from ({_ordered_union(_arch_items())}) x""", (RELC, FLAGS_CTE))
+
+_tech_parts = []
+for _cat, _group in rules.TECHNOLOGY_GROUPS:
+    for _i, (_tech, _pats) in enumerate(_group.items()):
+        _tech_parts.append(f"select repo, {P.q(_cat)} as category, {_i} as k, {P.q(_tech)} as technology "
+                           f"from flags where {_any_sql(_pats)}")
+oracle("detect_technologies", f"""
+select repo, category, cast(row_number() over (partition by repo, category order by k) - 1 as integer) as pos, technology
+from ({' union all '.join(_tech_parts)}) x""", (RELC, FLAGS_CTE))
+
+
+def _joined(items: list[tuple[str, str]]) -> str:
+    return "concat_ws('|', " + ", ".join(f"case when {c} then {P.q(lb)} end" for c, lb in items) + ")"
+
+
+oracle("project_patterns", "select repo, " + _project_type_sql() + " as project_type, " + _api_sql() + " as api_type, "
+       + _joined(_arch_items()) + " as architecture_patterns, "
+       + ", ".join(_joined([(_any_sql(p), t) for t, p in g.items()]) + f" as {cat}" for cat, g in rules.TECHNOLOGY_GROUPS)
+       + " from flags", (RELC, FLAGS_CTE))
+
+# ---------------------------------------------------------------- §2.4
+from codecensus.operators.dependencies import MANIFESTS  # noqa: E402
+
+WSQ = P.WS_SQL
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {P.q('^' + WSQ + '+|' + WSQ + '+$')}, '', 'g')"
+
+
+def _slines(x: str) -> str:
+    return f"list_transform(string_split({x}, chr(10)), lambda l: {_strip('l')})"
+
+
+def _rows(manager: str, scope: str, lst: str, where: str) -> str:
+    return (f"select repo, path, file_seq, {P.q(manager)} as manager, {P.q(scope)} as scope, "
+            f"cast(s.pos as integer) as pos, s.package as package from (select repo, path, file_seq, "
+            f"unnest(list_transform({lst}, lambda x, i: {{'pos': i - 1, 'package': x}})) as s from man "
+            f"where {where}) u")
+
+
+MAN = f"man as (select *, {P.name('path')} as name from relc where {P.name('path')} in {P.in_list(MANIFESTS)})"
+_dep_parts = [
+    _rows("npm", "prod", "json_keys(content, '$.dependencies')", "name = 'package.json' and json_valid(content)"),
+    _rows("npm", "dev", "json_keys(content, '$.devDependencies')", "name = 'package.json' and json_valid(content)"),
+    _rows("composer", "prod", "json_keys(content, '$.require')", "name = 'composer.json' and json_valid(content)"),
+    _rows("composer", "dev", "json_keys(content, '$.require-dev')", "name = 'composer.json' and json_valid(content)"),
+    _rows("pip", "prod",
+          "list_filter(list_transform(list_filter(list_transform(string_split(" + _strip("content")
+          + ", chr(10)), lambda l: " + _strip("l") + "), lambda l: l <> '' and not starts_with(l, '#')), "
+          "lambda l: " + _strip("regexp_extract(l, '^[^><=!]*', 0)") + "), lambda p: p <> '')",
+          "name = 'requirements.txt'"),
+    _rows("poetry", "prod", "regexp_extract_all(content, '(\\w+)\\s*=', 1)", "name = 'pyproject.toml'"),
+    _rows("go", "prod", "list_filter(list_transform(list_filter(" + _slines("content")
+          + ", lambda l: starts_with(l, 'require ')), lambda l: regexp_split_to_array(l, "
+          + P.q(WSQ + "+") + ")[2]), lambda m: m is not null)", "name = 'go.mod'"),
+    _rows("maven", "prod", "regexp_extract_all(content, '<artifactId>([^<]+)</artifactId>', 1)", "name = 'pom.xml'"),
+    _rows("bundler", "prod", "list_filter(list_transform(list_filter(" + _slines("content")
+          + ", lambda l: starts_with(l, 'gem ')), lambda l: regexp_extract(l, "
+          + P.q("gem" + WSQ + "+['\"]([^'\"]+)['\"]") + ", 1)), lambda n: n <> '')", "name = 'Gemfile'"),
+]
+PIPENV = f"""select repo, path, file_seq, 'pipenv' as manager, scope,
+  cast(row_number() over (partition by repo, path, scope order by idx) - 1 as integer) as pos,
+  regexp_replace({_strip("split_part(line, '=', 1)")}, '^"+|"+$', '', 'g') as package
+from (select *, case sec when 'packages' then 'prod' when 'dev-packages' then 'dev' end as scope
+      from (select *, last_value(hdr ignore nulls) over (partition by repo, path order by idx
+                 rows between unbounded preceding and current row) as sec
+            from (select repo, path, file_seq, idx, line,
+                    case when starts_with(line, '[packages]') then 'packages'
+                         when starts_with(line, '[dev-packages]') then 'dev-packages'
+                         when starts_with(line, '[') then 'none' end as hdr
+                  from (select repo, path, file_seq, unnest(ls) as line, unnest(range(len(ls))) as idx
+                        from (select *, {_slines('content')} as ls from man where name = 'Pipfile') a) b) c) d) e
+where scope is not null and not starts_with(line, '[') and contains(line, '=')"""
+DEPS = "deps as (" + " union all ".join(_dep_parts + [PIPENV]) + ")"
+DEP_CTES = (RELC, MAN, DEPS)
+
+oracle("extract_dependencies", "select * from deps", DEP_CTES)
+
+_mgr_case = "(case " + " ".join(f"when name = {P.q(n)} then {P.q(m)}" for n, (m, _) in MANIFESTS.items()) + " end)"
+oracle("package_managers", f"""
+select repo, path, file_seq, {_mgr_case} as manager from man
+where name not in ('package.json', 'composer.json') or json_valid(content)""", (RELC, MAN))
+
+oracle("package_managers_basic", " union all ".join(
+    f"select repo, cast(row_number() over (partition by repo order by k) - 1 as integer) as pos, manager from ("
+    + " union all ".join(f"select repo, {i} as k, {P.q(m)} as manager from collected group by repo "
+                         f"having bool_or(ends_with(lower(path), {P.q(sfx)}))"
+                         for i, (m, sfx) in enumerate(rules.BASIC_MANAGERS)) + ") x"
+    for _ in [0]), (COLLECTED,))
+
+oracle("dependency_totals", """
+select repo, scope, manager, count(*) as dependencies from deps
+group by rollup (repo, scope, manager) having repo is not null""", DEP_CTES)
+
+oracle("top_dependencies", f"""
+select t.repo, t.scope, t.manager, t.rank, t.package, c.total,
+  greatest(c.total - (case when t.scope = 'prod' then {rules.PROD_DEPS_SHOWN} else {rules.DEV_DEPS_SHOWN} end), 0) as more
+from (select *, cast(row_number() over (partition by repo, scope, manager order by file_seq, pos) as integer) as rank
+      from deps) t
+join (select repo, scope, manager, count(*) as total from deps group by 1, 2, 3) c
+  on t.repo = c.repo and t.scope = c.scope and t.manager = c.manager
+where t.rank <= (case when t.scope = 'prod' then {rules.PROD_DEPS_SHOWN} else {rules.DEV_DEPS_SHOWN} end)""",
+       DEP_CTES)
+
+_tool_rows = []
+for _grp, _table in rules.TOOLING_GROUPS:
+    for _ti, (_tool, _pats) in enumerate(_table.items()):
+        _cond = " or ".join(f"contains(lower(package), {P.q(p.lower())})" for p in _pats)
+        _tool_rows.append(f"select repo, file_seq, case when scope = 'prod' then 0 else 1 end as sr, pos, "
+                          f"{_ti} as ti, {P.q(_grp)} as category, {P.q(_tool)} as tool from deps "
+                          f"where manager = 'npm' and ({_cond})")
+oracle("identify_tooling", f"""
+select repo, category,
+  cast(row_number() over (partition by repo, category order by f, s, p, t) as integer) as rank, tool
+from (select repo, category, tool, arg_min(file_seq, (file_seq, sr, pos, ti)) as f, arg_min(sr, (file_seq, sr, pos, ti)) as s,
+        arg_min(pos, (file_seq, sr, pos, ti)) as p, arg_min(ti, (file_seq, sr, pos, ti)) as t
+      from ({' union all '.join(_tool_rows)}) h group by 1, 2, 3) x""", DEP_CTES)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from codecensus.functions.paths import directory_of
 from codecensus.operators import classify as C
+from codecensus.operators import dependencies as D
 from codecensus.operators import metrics as M
+from codecensus.operators import patterns as PT
 from codecensus.operators import structure as S
 from codecensus.sources import activity as A
 from codecensus.sources import readers as R
@@ -291,4 +293,71 @@ def search_code(spark, sf_dir):
     return A.search_code(src.contents(spark, sf_dir), "KAFKA", per_page=100)
 
 
+# ---------------------------------------------------------------- §2.6
+def _flags(spark, sf_dir) -> DataFrame:
+    return PT.pattern_flags(_relevant_contents(spark, sf_dir))
+
+
+@query
+def detect_technologies(spark, sf_dir):
+    return PT.detect_technologies(_flags(spark, sf_dir))
+
+
+@query
+def detect_api_type(spark, sf_dir):
+    return PT.detect_api_type(_flags(spark, sf_dir))
+
+
+@query
+def detect_project_type(spark, sf_dir):
+    return PT.detect_project_type(_flags(spark, sf_dir))
+
+
+@query
+def detect_architecture(spark, sf_dir):
+    return PT.detect_architecture(_flags(spark, sf_dir))
+
+
+@query
+def project_patterns(spark, sf_dir):
+    p = PT.project_patterns(_flags(spark, sf_dir))
+    arrays = [c for c in p.columns if c not in ("repo", "project_type", "api_type")]
+    return p.select("repo", "project_type", "api_type", *[F.array_join(c, "|").alias(c) for c in arrays])
+
+
+# ---------------------------------------------------------------- §2.4
+def _deps(spark, sf_dir) -> DataFrame:
+    return D.extract_dependencies(_relevant_contents(spark, sf_dir))
+
+
+@query
+def extract_dependencies(spark, sf_dir):
+    return _deps(spark, sf_dir)
+
+
+@query
+def package_managers(spark, sf_dir):
+    return D.package_managers(_relevant_contents(spark, sf_dir))
+
+
+@query
+def package_managers_basic(spark, sf_dir):
+    return D.package_managers_basic(R.collect_code_files(src.contents(spark, sf_dir)))
+
+
+@query
+def dependency_totals(spark, sf_dir):
+    return D.dependency_totals(_deps(spark, sf_dir))
+
+
+@query
+def top_dependencies(spark, sf_dir):
+    return D.top_dependencies(_deps(spark, sf_dir))
+
+
+@query
+def identify_tooling(spark, sf_dir):
+    return D.identify_tooling(_deps(spark, sf_dir))
+
+
 FLAGSHIP = "language_distribution"
