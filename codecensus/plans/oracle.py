@@ -189,7 +189,8 @@ select repo, path, file_seq, case when file_seq % 11 = 0 then 'No JSON here' ||
  || '","dependencies":["dep' || cast(file_seq % 9 as varchar(10)) || '","json"],"code_patterns":["P'
  || cast(file_seq % 4 as varchar(10)) || '"],"improvement_suggestions":["'
  || case file_seq % 4 when 0 then 'Add unit tests' when 1 then 'Improve error handling'
-    when 2 then 'Optimize performance' else 'Refactor names' end || '"]} done' end as response
+    when 2 then 'Optimize performance' else 'Refactor names' end || '"]} done' end as response,
+ case when file_seq % 17 = 0 then 'LLM API error: timeout' end as error
 from corpus
 where path like '%.py' or path like '%.js' or path like '%.go' or path like '%.rs' or path like '%.java'
 )"""
@@ -529,3 +530,297 @@ select repo, category,
 from (select repo, category, tool, arg_min(file_seq, (file_seq, sr, pos, ti)) as f, arg_min(sr, (file_seq, sr, pos, ti)) as s,
         arg_min(pos, (file_seq, sr, pos, ti)) as p, arg_min(ti, (file_seq, sr, pos, ti)) as t
       from ({' union all '.join(_tool_rows)}) h group by 1, 2, 3) x""", DEP_CTES)
+
+# ---------------------------------------------------------------- §2.7
+NLINES = "len(string_split(content, chr(10)))"
+_kclass = (f"(case when lower({P.name('path')}) in {P.in_list(rules.KEY_MAIN_NAMES)} then 'main' "
+           f"when lower({P.name('path')}) in {P.in_list(rules.KEY_CONFIG_NAMES)} then 'config' "
+           f"when {P.contains_any('lower(' + P.name('path') + ')', rules.KEY_CORE_WORDS)} then 'core' "
+           f"when {P.contains_any('lower(' + P.name('path') + ')', rules.KEY_API_WORDS)} then 'api' end)")
+_kidx = "(case kind " + " ".join(f"when {P.q(c)} then {i}" for i, (c, _) in enumerate(rules.KEY_QUOTAS)) + " end)"
+_kquota = "(case kind " + " ".join(f"when {P.q(c)} then {q}" for c, q in rules.KEY_QUOTAS) + " end)"
+KF = (
+    f"kn as (select repo, path, file_seq as seq, {_kclass} as kind, "
+    f"{P.suffix('path')} in {P.in_list(rules.KEY_EXTRA_SUFFIXES)} as extra_ok, "
+    f"coalesce({NLINES}, 1) as lines, content is not null as has_text from relc)",
+    f"chosen as (select repo, path, seq, kind, rk, has_text, {_kidx} as k from "
+    f"(select *, row_number() over (partition by repo, kind order by seq) as rk from kn where kind is not null) a "
+    f"where rk <= {_kquota})",
+    f"extra as (select repo, path, seq, 'extra' as kind, rk, has_text, {len(rules.KEY_QUOTAS)} as k from "
+    f"(select *, row_number() over (partition by repo order by abs(lines - {rules.KEY_EXTRA_TARGET_LINES}), seq) as rk "
+    f"from kn where extra_ok and not exists (select 1 from chosen c where c.repo = kn.repo and c.path = kn.path)) b "
+    f"where rk <= {rules.KEY_EXTRA_COUNT})",
+)
+oracle("key_files", """
+select repo, cast(row_number() over (partition by repo order by k, rk) as integer) as pos, path, kind
+from (select * from chosen union all select * from extra) u where has_text""", (RELC,) + KF)
+
+
+def _sel_score() -> str:
+    ln = f"lower({P.name('path')})"
+    lc = "lower(content)"
+    parts = [
+        (f"coalesce(is_focus, false)", rules.SEL_FOCUS),
+        (f"{ln} in {P.in_list(rules.SEL_MAIN_NAMES)}", rules.SEL_MAIN),
+        (P.contains_any(ln, rules.SEL_CORE_WORDS), rules.SEL_CORE),
+        (f"{ln} in {P.in_list(rules.SEL_CONFIG_NAMES)}", rules.SEL_CONFIG),
+        (P.contains_any(ln, rules.SEL_UTIL_WORDS), rules.SEL_UTIL),
+        (P.contains_any(ln, rules.SEL_API_WORDS), rules.SEL_API),
+        (P.contains_any(ln, rules.SEL_MODEL_WORDS), rules.SEL_MODEL),
+        (P.contains_any(ln, rules.SEL_TEST_WORDS), rules.SEL_TEST),
+        (f"{CODE_LANG} is not null", rules.SEL_CODE_EXT),
+        (P.contains_any(lc, rules.SEL_KEYWORDS), rules.SEL_KEYWORD),
+        ("not contains(path, '/')", rules.SEL_ROOT),
+    ]
+    s = " + ".join(f"(case when {c} then {p} else 0 end)" for c, p in parts)
+    (lo1, hi1, p1), (lo2, hi2, p2) = rules.SEL_SIZE_BANDS
+    n = NLINES
+    s += (f" + (case when {n} between {lo1} and {hi1} then {p1} when {n} between {lo2} and {hi2} then {p2} "
+          f"when {n} > {hi2} then {rules.SEL_SIZE_LARGE} else 0 end)")
+    return "(" + s + ")"
+
+
+def _reduced_score() -> str:
+    ln = f"lower({P.name('path')})"
+    parts = [
+        ("coalesce(is_focus, false)", rules.SEL_FOCUS),
+        (f"{ln} in {P.in_list(rules.SEL_MAIN_NAMES)}", rules.SEL_MAIN),
+        (P.contains_any(ln, rules.SEL_CORE_WORDS), rules.SEL_CORE),
+        (P.contains_any(ln, rules.SEL_API_WORDS), rules.SEL_API),
+        (f"{CODE_LANG} is not null", rules.SEL_CODE_EXT),
+        ("not contains(path, '/')", rules.SEL_ROOT),
+    ]
+    return "(" + " + ".join(f"(case when {c} then {p} else 0 end)" for c, p in parts) + ")"
+
+
+FOCUS = "focus as (select distinct repo, path, true as is_focus from corpus where kind = 5)"
+FJ = ("fj as (select r.repo, r.path, r.file_seq, r.content, f.is_focus from relc r left join focus f "
+      "on r.repo = f.repo and r.path = f.path)")
+SEL = (FOCUS, FJ,
+       f"selected as (select * from (select repo, path, file_seq, score, "
+       f"cast(row_number() over (partition by repo order by score desc, file_seq) as integer) as rank from "
+       f"(select repo, path, file_seq, {_sel_score()} as score from fj where {CODE_LANG} is not null "
+       f"and length(content) <= {rules.MAX_CODE_LENGTH}) s) t where rank <= {rules.MAX_FILES_FOR_ANALYSIS})")
+oracle("select_for_analysis", "select repo, rank, path, file_seq, score from selected", (RELC,) + SEL)
+
+oracle("selection_scores", f"""
+select t.repo, t.rank, t.path, t.score, coalesce(s.sel, false) as selected, n.total_files,
+  coalesce(m.selected_files, 0) as selected_files
+from (select * from (select repo, path, file_seq, score,
+        cast(row_number() over (partition by repo order by score desc, file_seq) as integer) as rank
+      from (select repo, path, file_seq, {_reduced_score()} as score from fj) a) b
+      where rank <= {rules.SELECTION_SHOWN}) t
+left join (select repo, path, true as sel from selected) s on t.repo = s.repo and t.path = s.path
+join (select repo, count(*) as total_files from relc group by repo) n on t.repo = n.repo
+left join (select repo, count(*) as selected_files from selected group by repo) m on t.repo = m.repo""",
+       (RELC,) + SEL)
+
+_imp = (f"(case when lower({P.name('path')}) in {P.in_list(rules.ORDER_MAIN_NAMES)} then 1 "
+        f"when lower({P.name('path')}) in {P.in_list(rules.ORDER_CONFIG_NAMES)} then 2 "
+        f"when {P.contains_any('lower(' + P.name('path') + ')', rules.ORDER_CORE_WORDS)} then 3 "
+        f"when {P.contains_any('lower(' + P.name('path') + ')', rules.ORDER_API_WORDS)} then 4 else 5 end)")
+oracle("report_file_order", f"select repo, path, {_imp} as importance, file_seq as order_key from responses",
+       (RESPONSES,))
+
+# ---------------------------------------------------------------- §2.8
+_tpl = rules.PROMPT_TEMPLATE
+_a, _rest = _tpl.split("{language}", 1)
+_b, _rest = _rest.split("{file_path}", 1)
+_c, _rest = _rest.split("{language_lower}", 1)
+_d, _e = _rest.split("{content}", 1)
+
+
+def _sqltext(t: str) -> str:
+    """A SQL string expression for text with newlines."""
+    return " || chr(10) || ".join(P.q(x) for x in t.split("\n"))
+
+
+CL = f"coalesce({CODE_LANG}, 'Unknown')"
+PROMPTS = (f"prompts as (select repo, path, file_seq, {CL} as language, length(content) as content_length, "
+           f"{_sqltext(_a)} || {CL} || {_sqltext(_b)} || path || {_sqltext(_c)} || lower({CL}) || {_sqltext(_d)} "
+           f"|| content || {_sqltext(_e)} as prompt from relc r where exists "
+           f"(select 1 from selected s where s.repo = r.repo and s.path = r.path))")
+oracle("build_prompts", """select repo, path, file_seq, language, cast(length(prompt) as integer) as prompt_length,
+  md5(prompt) as prompt_md5 from prompts""", (RELC,) + SEL + (PROMPTS,))
+oracle("prompt_stats", """
+select repo, path, file_seq, cast(content_length as integer) as content_length, cast(length(prompt) as integer) as prompt_length,
+  cast(len(string_split(prompt, chr(10))) as integer) as prompt_lines,
+  avg(length(prompt)) over (partition by repo) as avg_prompt_length from prompts""", (RELC,) + SEL + (PROMPTS,))
+
+
+def _cut(x: str, keep: int, limit: int | None = None) -> str:
+    limit = keep if limit is None else limit
+    return f"(case when length({x}) > {limit} then substr({x}, 1, {keep}) || '...' else {x} end)"
+
+
+_STRIPL = P.WS_SQL
+EXP = (
+    RESPONSES,
+    "exp0 as (select *, regexp_extract(coalesce(response, ''), '(?s)(\\{.*\\})', 1) as blk from responses)",
+    "exp1 as (select *, case when error is not null then 'failed' when blk <> '' and json_valid(blk) then 'parsed' "
+    "else 'fallback' end as status from exp0)",
+    "exp as (select repo, path, file_seq, " + CL + " as language, status, blk, "
+    "case status when 'failed' then " + P.q(rules.FAILED_EXPLANATION["summary"])
+    + " when 'parsed' then coalesce(json_extract_string(blk, '$.summary'), " + P.q(rules.EXPLANATION_DEFAULTS["summary"])
+    + ") else " + _cut("coalesce(" + _strip("list_filter(string_split(coalesce(response, ''), chr(10)), lambda l: "
+                       + _strip("l") + " <> '' and not starts_with(l, '{'))[1]") + ", 'Analysis provided')", 200)
+    + " end as summary, "
+    "case status when 'failed' then " + P.q(rules.FAILED_EXPLANATION["main_functionality"])
+    + " when 'parsed' then coalesce(json_extract_string(blk, '$.main_functionality'), "
+    + P.q(rules.EXPLANATION_DEFAULTS["main_functionality"]) + ") else " + _cut("coalesce(response, '')", 500)
+    + " end as main_functionality, "
+    "case status when 'parsed' then coalesce(json_extract_string(blk, '$.complexity_assessment'), 'Unknown') "
+    "else 'Unknown' end as complexity_assessment from exp1)",
+    "items as (select repo, path, file_seq, language, field, cast(s.i - 1 as integer) as pos, "
+    "case when json_type(s.x) = 'VARCHAR' then json_extract_string(s.x, '$') else cast(s.x as varchar) end as value, "
+    "json_type(s.x) = 'VARCHAR' as is_string from (select repo, path, file_seq, language, f.field, "
+    "unnest(list_transform(cast(json_extract(blk, '$.' || f.field) as json[]), lambda x, i: {'x': x, 'i': i})) as s "
+    "from exp, (values ('key_components'), ('dependencies'), ('improvement_suggestions'), ('code_patterns')) f(field) "
+    "where status = 'parsed' and json_type(blk, '$.' || f.field) = 'ARRAY') u)",
+)
+oracle("parse_responses", "select repo, path, file_seq, language, status, summary, main_functionality, complexity_assessment, "
+       + ", ".join(f"cast(case when status = 'parsed' then coalesce(json_array_length(blk, '$.{f}'), 0) else 0 end as integer) as n_{f}"
+                   for f in rules.LIST_FIELDS) + " from exp", EXP)
+oracle("explanation_items", "select repo, path, file_seq, language, field, pos, value, is_string from items", EXP)
+
+CPX = ("cpx as (select repo, split_part(complexity_assessment, ' ', 1) as complexity, count(*) as files, "
+       "min(file_seq) as first_seq from exp where complexity_assessment is not null and complexity_assessment <> '' group by 1, 2)")
+oracle("complexity_distribution", "select repo, complexity, files from cpx", EXP + (CPX,))
+
+
+def _ranked(field: str, label: str, n: int, alias: str = "occurrences") -> str:
+    return (f"select repo, rank, {label}, occurrences as {alias} from (select repo, value as {label}, occurrences, "
+            f"cast(row_number() over (partition by repo order by occurrences desc, f1, f2) as integer) as rank from "
+            f"(select repo, value, count(*) as occurrences, arg_min(file_seq, (file_seq, pos)) as f1, "
+            f"arg_min(pos, (file_seq, pos)) as f2 from items where field = '{field}' and is_string group by 1, 2) a) b "
+            f"where rank <= {n}")
+
+
+CP = f"cp as ({_ranked('code_patterns', 'pattern', rules.COMMON_PATTERNS_N)})"
+KT = f"kt as ({_ranked('dependencies', 'technology', rules.KEY_TECHNOLOGIES_N)})"
+_th_union = " union all ".join(
+    f"select repo, file_seq, pos, {i} as idx, {P.q(t)} as theme from items where field = 'improvement_suggestions' "
+    f"and is_string and {P.contains_any('lower(value)', ws)}" for i, (t, ws) in enumerate(rules.IMPROVEMENT_THEMES))
+TH = (f"th as (select repo, cast(row_number() over (partition by repo order by f1, f2, f3) as integer) as rank, theme, suggestions "
+      f"from (select repo, theme, count(*) as suggestions, arg_min(file_seq, (file_seq, pos, idx)) as f1, "
+      f"arg_min(pos, (file_seq, pos, idx)) as f2, arg_min(idx, (file_seq, pos, idx)) as f3 from ({_th_union}) h group by 1, 2) x)")
+oracle("common_patterns", "select * from cp", EXP + (CP,))
+oracle("key_technologies", "select * from kt", EXP + (KT,))
+oracle("improvement_themes", "select * from th", EXP + (TH,))
+
+INS = ("ins as (select t.repo, t.total_files_analyzed, coalesce(c.s, '') as complexity_distribution, "
+       "coalesce(p.s, '') as common_patterns, coalesce(k.s, '') as key_technologies, coalesce(h.s, '') as improvement_themes "
+       "from (select repo, count(*) as total_files_analyzed from exp group by repo) t "
+       "left join (select repo, string_agg(complexity || ':' || cast(files as varchar), '|' order by first_seq) as s from cpx group by repo) c on t.repo = c.repo "
+       "left join (select repo, string_agg(pattern, '|' order by rank) as s from cp group by repo) p on t.repo = p.repo "
+       "left join (select repo, string_agg(technology, '|' order by rank) as s from kt group by repo) k on t.repo = k.repo "
+       "left join (select repo, string_agg(theme, '|' order by rank) as s from th group by repo) h on t.repo = h.repo)")
+oracle("insights_summary", "select * from ins", EXP + (CPX, CP, KT, TH, INS))
+
+_cat_case = "(case " + " ".join(f"when {P.contains_any('lower(value)', ws)} then {P.q(c)}"
+                                for c, ws in rules.IMPROVEMENT_CATEGORIES) + f" else {P.q(rules.IMPROVEMENT_OTHER)} end)"
+oracle("improvement_categories", f"""
+select repo, {_cat_case} as category, count(*) as suggestions from items
+where field = 'improvement_suggestions' and is_string group by 1, 2""", EXP)
+
+oracle("complexity_groups", f"select repo, complexity_assessment as complexity, file_seq, path, language, "
+       f"{_cut('summary', 100)} as summary from exp", EXP)
+
+oracle("size_by_complexity", f"""
+select e.repo, case when e.complexity_assessment is not null and e.complexity_assessment <> ''
+  then split_part(e.complexity_assessment, ' ', 1) else 'Unknown' end as complexity,
+  avg(coalesce(l.lines, 1)) as avg_lines, count(*) as files
+from exp e left join (select repo, path, len(string_split(content, chr(10))) as lines from collected) l
+  on e.repo = l.repo and e.path = l.path group by 1, 2""", EXP + (COLLECTED,))
+
+
+def _first_files(field: str, label: str, expr: str, top: str) -> str:
+    return (f"select repo, value as {label}, string_agg(lbl, '|' order by r) as first_files from "
+            f"(select repo, value, {expr} as lbl, row_number() over (partition by repo, value order by file_seq, pos) as r "
+            f"from items i where field = '{field}' and is_string and exists (select 1 from {top} t where t.repo = i.repo "
+            f"and t.{label} = i.value)) a where r <= {rules.USAGE_FILES_SHOWN} group by 1, 2")
+
+
+DU = f"du as ({_ranked('dependencies', 'dependency', rules.DEPENDENCY_USAGE_N, 'files')})"
+oracle("dependency_usage", f"""
+select d.repo, d.rank, d.dependency, d.files, f.first_files from du d
+join ({_first_files('dependencies', 'dependency', 'path', 'du')}) f on d.repo = f.repo and d.dependency = f.dependency""",
+       EXP + (DU,))
+
+PU = f"pu as ({_ranked('code_patterns', 'pattern', rules.PATTERN_USAGE_N, 'files')})"
+oracle("pattern_usage", f"""
+select p.repo, p.rank, p.pattern, p.files, l.languages, l.language_list, f.first_files from pu p
+join (select repo, value as pattern, count(distinct language) as languages,
+        string_agg(distinct language, ', ' order by language) as language_list
+      from items i where field = 'code_patterns' and is_string
+        and exists (select 1 from pu t where t.repo = i.repo and t.pattern = i.value) group by 1, 2) l
+  on p.repo = l.repo and p.pattern = l.pattern
+join ({_first_files('code_patterns', 'pattern', "path || ' (' || language || ')'", 'pu')}) f
+  on p.repo = f.repo and p.pattern = f.pattern""", EXP + (PU,))
+
+CP5 = f"cp5 as ({_ranked('code_patterns', 'pattern', 5)})"
+KT5 = f"kt5 as ({_ranked('dependencies', 'technology', 5)})"
+OV = ("ov as (select b.repo, b.files, b.n_languages, b.languages, coalesce(d.up, 0) as unique_patterns, "
+      "coalesce(d.ud, 0) as unique_dependencies, coalesce(p.s, '') as top_patterns, coalesce(k.s, '') as top_dependencies "
+      "from (select repo, count(*) as files, count(distinct language) as n_languages, "
+      "string_agg(distinct language, ', ' order by language) as languages from exp group by repo) b "
+      "left join (select repo, count(distinct case when field = 'code_patterns' then value end) as up, "
+      "count(distinct case when field = 'dependencies' then value end) as ud from items where is_string group by repo) d on b.repo = d.repo "
+      "left join (select repo, string_agg(pattern, '|' order by rank) as s from cp5 group by repo) p on b.repo = p.repo "
+      "left join (select repo, string_agg(technology, '|' order by rank) as s from kt5 group by repo) k on b.repo = k.repo)")
+oracle("explanation_overview", "select * from ov", EXP + (CP5, KT5, OV))
+
+
+def _head_sql(field: str, k: int) -> str:
+    return (f"coalesce((select string_agg(value, '|' order by pos) from items i where i.repo = e.repo and i.path = e.path "
+            f"and i.field = '{field}' and i.pos < {k}), '') as {field}_shown, "
+            f"cast(greatest(coalesce((select count(*) from items i where i.repo = e.repo and i.path = e.path "
+            f"and i.field = '{field}'), 0) - {k}, 0) as integer) as {field}_more")
+
+
+oracle("explanation_details", "select repo, path, file_seq, language, summary, complexity_assessment, "
+       + _cut("main_functionality", 197, 200) + " as functionality, "
+       + ", ".join(_head_sql(f, k) for f, k in [("key_components", 5), ("dependencies", 5), ("code_patterns", 3),
+                                                 ("improvement_suggestions", 3)]) + " from exp e", EXP)
+
+oracle("code_analysis_overview", """
+select repo, total_files_analyzed, complexity_distribution,
+  array_to_string(string_split(common_patterns, '|')[1:5], '|') as common_patterns,
+  array_to_string(string_split(key_technologies, '|')[1:8], '|') as key_technologies, improvement_themes from ins""",
+       EXP + (CPX, CP, KT, TH, INS))
+
+oracle("run_summary", """
+select r.repo, r.files_retrieved, coalesce(s.n, 0) as files_selected, coalesce(o.files, 0) as files_analyzed,
+  coalesce(o.n_languages, 0) as languages_used, coalesce(o.unique_patterns, 0) as unique_patterns,
+  coalesce(o.unique_dependencies, 0) as unique_dependencies, p.a as avg_prompt_length, coalesce(g.n, 0) as suggestions
+from (select repo, count(*) as files_retrieved from collected group by repo) r
+left join (select repo, count(*) as n from selected group by repo) s on r.repo = s.repo
+left join ov o on r.repo = o.repo
+left join (select repo, avg(length(prompt)) as a from prompts group by repo) p on r.repo = p.repo
+left join (select repo, count(*) as n from items where field = 'improvement_suggestions' group by repo) g on r.repo = g.repo""",
+       EXP + (COLLECTED, CP5, KT5, OV, RELC) + SEL + (PROMPTS,))
+
+oracle("analysis_success", "select e.repo, e.path, e.file_seq, e.status <> 'failed' as success, "
+       + ", ".join(f"cast(case when status = 'parsed' then coalesce(json_array_length(blk, '$.{f}'), 0) else 0 end as integer) as {f}_count"
+                   for f in rules.LIST_FIELDS)
+       + ", e.complexity_assessment, r.pct as success_pct from exp e join (select repo, "
+       "count(*) filter (where status <> 'failed') / count(*) * 100 as pct from exp group by repo) r on e.repo = r.repo", EXP)
+
+OPEN = ("open_issues as (select distinct d.source as repo, t.title from documents d, "
+        "(values ('Add unit tests'), ('investigate: testing')) t(title))")
+_txt = ("case when is_string then " + _strip("value") + " else coalesce(nullif(json_extract_string(value, '$.text'), ''), "
+        "nullif(json_extract_string(value, '$.description'), ''), value) end")
+oracle("issue_candidates", f"""
+select repo, src, o1, o2, title, {P.q(rules.ISSUE_BODY_HEAD)} || text || {_sqltext(rules.ISSUE_BODY_TAIL)} || repo || '/'
+  || {P.q(rules.ISSUE_REPORT_NAME)} || chr(10) as body, {P.q('|'.join(rules.ISSUE_LABELS))} as labels
+from (select *, case when length(text) <= {rules.ISSUE_TITLE_MAX} then text
+        else substr(text, 1, {rules.ISSUE_TITLE_CUT}) || '...' end as title
+      from (select repo, arg_min(src, (src, o1, o2)) as src, arg_min(o1, (src, o1, o2)) as o1,
+              arg_min(o2, (src, o1, o2)) as o2, arg_min(text, (src, o1, o2)) as text
+            from (select *, substr(lower(text), 1, {rules.ISSUE_KEY_CHARS}) as k from (
+                    select repo, 0 as src, cast(rank as bigint) as o1, 0 as o2, {_strip("'Investigate: ' || theme")} as text from th
+                    union all
+                    select repo, 1, file_seq, pos, {_strip(_txt)} from items where field = 'improvement_suggestions') c) d
+            where k <> '' group by repo, k) e) f
+where not exists (select 1 from open_issues o where o.repo = f.repo and lower(o.title) = lower(f.title))""",
+       EXP + (TH, OPEN))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from codecensus.functions.paths import directory_of
 from codecensus.operators import classify as C
 from codecensus.operators import dependencies as D
+from codecensus.operators import explanations as X
+from codecensus.operators import ranking as K
 from codecensus.operators import metrics as M
 from codecensus.operators import patterns as PT
 from codecensus.operators import structure as S
@@ -360,4 +362,158 @@ def identify_tooling(spark, sf_dir):
     return D.identify_tooling(_deps(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- §2.7
+def _relevant_listing_text(spark, sf_dir) -> DataFrame:
+    return C.filter_files(src.listing_with_text(spark, sf_dir))
+
+
+@query
+def key_files(spark, sf_dir):
+    return K.key_files(_relevant_listing_text(spark, sf_dir))
+
+
+def _selected(spark, sf_dir) -> DataFrame:
+    return K.select_for_analysis(_relevant_contents(spark, sf_dir), src.focus_files(spark, sf_dir))
+
+
+@query
+def select_for_analysis(spark, sf_dir):
+    return _selected(spark, sf_dir)
+
+
+@query
+def selection_scores(spark, sf_dir):
+    return K.selection_scores(_relevant_contents(spark, sf_dir), src.focus_files(spark, sf_dir))
+
+
+def _explanations(spark, sf_dir) -> DataFrame:
+    return X.parse_responses(src.responses(spark, sf_dir))
+
+
+@query
+def report_file_order(spark, sf_dir):
+    return K.report_file_order(_explanations(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- §2.8
+def _prompts(spark, sf_dir) -> DataFrame:
+    sel = _selected(spark, sf_dir).select("repo", "path")
+    texts = _relevant_contents(spark, sf_dir).join(sel, ["repo", "path"], "left_semi")
+    return X.build_prompts(texts)
+
+
+@query
+def build_prompts(spark, sf_dir):
+    return _prompts(spark, sf_dir).select("repo", "path", "file_seq", "language",
+                                          F.length("prompt").alias("prompt_length"),
+                                          F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def prompt_stats(spark, sf_dir):
+    return X.prompt_stats(_prompts(spark, sf_dir))
+
+
+@query
+def parse_responses(spark, sf_dir):
+    e = _explanations(spark, sf_dir)
+    return e.select("repo", "path", "file_seq", "language", "status", "summary", "main_functionality",
+                    "complexity_assessment", *[F.size(f).alias(f"n_{f}") for f in X.rules.LIST_FIELDS])
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    return X.explanation_items(_explanations(spark, sf_dir))
+
+
+@query
+def explanation_items(spark, sf_dir):
+    return _items(spark, sf_dir)
+
+
+@query
+def complexity_distribution(spark, sf_dir):
+    return X.complexity_distribution(_explanations(spark, sf_dir)).select("repo", "complexity", "files")
+
+
+@query
+def common_patterns(spark, sf_dir):
+    return X.common_patterns(_items(spark, sf_dir))
+
+
+@query
+def key_technologies(spark, sf_dir):
+    return X.key_technologies(_items(spark, sf_dir))
+
+
+@query
+def improvement_themes(spark, sf_dir):
+    return X.improvement_themes(_items(spark, sf_dir))
+
+
+@query
+def insights_summary(spark, sf_dir):
+    e = _explanations(spark, sf_dir)
+    return X.insights_summary(e, X.explanation_items(e))
+
+
+@query
+def improvement_categories(spark, sf_dir):
+    return X.improvement_categories(_items(spark, sf_dir))
+
+
+@query
+def complexity_groups(spark, sf_dir):
+    return X.complexity_groups(_explanations(spark, sf_dir))
+
+
+@query
+def size_by_complexity(spark, sf_dir):
+    return X.size_by_complexity(_explanations(spark, sf_dir), R.collect_code_files(src.contents(spark, sf_dir)))
+
+
+@query
+def dependency_usage(spark, sf_dir):
+    return X.dependency_usage(_items(spark, sf_dir))
+
+
+@query
+def pattern_usage(spark, sf_dir):
+    return X.pattern_usage(_items(spark, sf_dir))
+
+
+@query
+def explanation_overview(spark, sf_dir):
+    e = _explanations(spark, sf_dir)
+    return X.explanation_overview(e, X.explanation_items(e))
+
+
+@query
+def explanation_details(spark, sf_dir):
+    return X.explanation_details(_explanations(spark, sf_dir))
+
+
+@query
+def code_analysis_overview(spark, sf_dir):
+    e = _explanations(spark, sf_dir)
+    return X.code_analysis_overview(X.insights_summary(e, X.explanation_items(e)))
+
+
+@query
+def run_summary(spark, sf_dir):
+    e = _explanations(spark, sf_dir)
+    return X.run_summary(R.collect_code_files(src.contents(spark, sf_dir)), _selected(spark, sf_dir), e,
+                         _prompts(spark, sf_dir), X.explanation_items(e))
+
+
+@query
+def analysis_success(spark, sf_dir):
+    return X.analysis_success(_explanations(spark, sf_dir))
+
+
+@query
+def issue_candidates(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return X.issue_candidates(X.improvement_themes(items), items, src.open_issues(spark, sf_dir))
+
+
 FLAGSHIP = "language_distribution"

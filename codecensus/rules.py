@@ -519,3 +519,45 @@ SHA_CHARS = 8
 MAX_PER_PAGE = 100
 DEFAULT_PER_PAGE = 10
 PR_STATUSES = ["open", "closed", "active", "completed", "abandoned"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: explanation prompt text; {language}, {file_path},
+# {language_lower} and {content} are filled per file.
+# ---------------------------------------------------------------------------
+PROMPT_TEMPLATE = """
+As an expert software engineer, analyze the following {language} code from the file `{file_path}` and provide a comprehensive explanation that would help a developer understand this code for the first time.
+
+```{language_lower}
+{content}
+```
+
+Please provide your analysis in the following JSON format:
+
+{
+    "summary": "Brief 2-3 sentence overview of what this file does",
+    "main_functionality": "Detailed explanation of the primary purpose and functionality",
+    "key_components": [
+        "List of main classes, functions, or components and their purposes"
+    ],
+    "dependencies": [
+        "External libraries, modules, or services this code depends on"
+    ],
+    "complexity_assessment": "Assessment of code complexity (Simple/Moderate/Complex/Very Complex) with brief reasoning",
+    "improvement_suggestions": [
+        "Specific suggestions for code improvement, best practices, or potential issues"
+    ],
+    "code_patterns": [
+        "Design patterns, architectural patterns, or coding patterns used"
+    ]
+}
+
+Focus on:
+1. What the code actually DOES (not just what it is)
+2. How it fits into a larger application
+3. Key algorithms or business logic
+4. Important implementation details
+5. Potential issues or areas for improvement
+6. Architecture and design decisions
+
+Be specific and technical, but explain in a way that helps understanding rather than just describing syntax.
+"""

@@ -26,56 +26,54 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+# FIXED VALUES (layer-B fixture): file kinds 0..19 and manifest names by r % 9
+KIND_PATHS = ["src/main.py", "src/utils.js", "tests/test_core.py", "README.md",
+              "models/user.java", "services/api.go", "components/widget.tsx",
+              "config/settings.yaml", "node_modules/lib/index.js", "build/out.class",
+              ".hidden", ".gitignore", "Dockerfile", "core/engine.rs", "domain/handler.kt",
+              None, "assets/logo.png", "Makefile", None, "webpack.config.js"]
+MANIFEST_NAMES = ["package.json", "composer.json", "go.mod", "pom.xml", "Gemfile", "Pipfile",
+                  "pyproject.toml", "Cargo.toml", "build.gradle"]
+PREAMBLES = ["# note", "// note", "    import kafka", "class A uses postgres and boto3",
+             "                def f(): graphql"]
+
+
+def _lit_array(values) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
 def _base_path(kind: Column, r: Column) -> Column:
-    manifest = (F.when(r % 9 == 0, "package.json").when(r % 9 == 1, "composer.json")
-                .when(r % 9 == 2, "go.mod").when(r % 9 == 3, "pom.xml")
-                .when(r % 9 == 4, "Gemfile").when(r % 9 == 5, "Pipfile")
-                .when(r % 9 == 6, "pyproject.toml").when(r % 9 == 7, "Cargo.toml")
-                .otherwise("build.gradle"))
-    names = ["src/main.py", "src/utils.js", "tests/test_core.py", "README.md",
-             "models/user.java", "services/api.go", "components/widget.tsx",
-             "config/settings.yaml", "node_modules/lib/index.js", "build/out.class",
-             ".hidden", ".gitignore", "Dockerfile", "core/engine.rs", "domain/handler.kt"]
-    e = None
-    for i, n in enumerate(names):
-        e = F.when(kind == i, n) if e is None else e.when(kind == i, n)
-    return (e.when(kind == 15, manifest)
-             .when(kind == 16, "assets/logo.png")
-             .when(kind == 17, "Makefile")
-             .when(kind == 18, F.when(r % 2 == 1, "requirements.txt").otherwise("docker-compose.yml"))
-             .otherwise("webpack.config.js"))
+    """Compact on purpose: Catalyst may inline this expression into every
+    pushed-down predicate on ``path``, so it is a few array lookups rather
+    than a 20-branch CASE."""
+    fixed = F.element_at(_lit_array(KIND_PATHS), (kind + 1).cast("int"))
+    manifest = F.element_at(_lit_array(MANIFEST_NAMES), (r % 9 + 1).cast("int"))
+    k18 = F.element_at(_lit_array(["docker-compose.yml", "requirements.txt"]), (r % 2 + 1).cast("int"))
+    return F.coalesce(fixed, F.when(kind == 15, manifest).otherwise(k18))
 
 
 def _content(kind: Column, r: Column, seq: Column, text: Column) -> Column:
     s7 = _s(seq % 7)
-    preamble = (F.when(seq % 5 == 0, "# note").when(seq % 5 == 1, "// note")
-                .when(seq % 5 == 2, "    import kafka")
-                .when(seq % 5 == 3, "class A uses postgres and boto3")
-                .otherwise("                def f(): graphql"))
+    preamble = F.element_at(_lit_array(PREAMBLES), (seq % 5 + 1).cast("int"))
     m = kind == 15
-    return (
-        F.when(m & (r % 9 == 0), F.concat(
-            F.lit('{"dependencies":{"react":"18","lib'), s7,
-            F.lit('":"1"},"devDependencies":{"jest":"29","webpack":"5"}}')))
-        .when(m & (r % 9 == 1), F.concat(
-            F.lit('{"require":{"laravel/framework":"10"},"require-dev":{"p'), s7, F.lit('":"1"}}')))
-        .when(m & (r % 9 == 2), F.lit(
-            "module x" + NL + "require m.example/a v1" + NL + "require (" + NL + "  m.example/b v2" + NL + ")"))
-        .when(m & (r % 9 == 3), F.concat(
-            F.lit("<project><artifactId>app</artifactId><dependency><artifactId>lib"), s7,
-            F.lit("</artifactId></dependency></project>")))
-        .when(m & (r % 9 == 4), F.concat(
-            F.lit("gem 'rails'" + NL + 'gem "g'), s7, F.lit('"' + NL + "# gem 'no'")))
-        .when(m & (r % 9 == 5), F.lit(
-            "[packages]" + NL + 'requests = "*"' + NL + "[dev-packages]" + NL + 'pytest = "*"'
-            + NL + "[requires]" + NL + 'python_version = "3"'))
-        .when(m & (r % 9 == 6), F.concat(
-            F.lit("[tool.poetry.dependencies]" + NL + 'flask = "2"' + NL + "q"), s7, F.lit(' = "1"')))
-        .when((kind == 18) & (r % 2 == 1), F.concat(
-            F.lit("# pins" + NL + "django==4.2" + NL + "pkg"), _s(seq % 5),
-            F.lit(">=1.0" + NL + "tilde~=1.0" + NL)))
-        .otherwise(F.concat(preamble, F.lit(NL + NL), text))
-    )
+    manifest_text = F.element_at(F.array(
+        F.concat(F.lit('{"dependencies":{"react":"18","lib'), s7,
+                 F.lit('":"1"},"devDependencies":{"jest":"29","webpack":"5"}}')),
+        F.concat(F.lit('{"require":{"laravel/framework":"10"},"require-dev":{"p'), s7, F.lit('":"1"}}')),
+        F.lit("module x" + NL + "require m.example/a v1" + NL + "require (" + NL + "  m.example/b v2" + NL + ")"),
+        F.concat(F.lit("<project><artifactId>app</artifactId><dependency><artifactId>lib"), s7,
+                 F.lit("</artifactId></dependency></project>")),
+        F.concat(F.lit("gem 'rails'" + NL + 'gem "g'), s7, F.lit('"' + NL + "# gem 'no'")),
+        F.lit("[packages]" + NL + 'requests = "*"' + NL + "[dev-packages]" + NL + 'pytest = "*"'
+              + NL + "[requires]" + NL + 'python_version = "3"'),
+        F.concat(F.lit("[tool.poetry.dependencies]" + NL + 'flask = "2"' + NL + "q"), s7, F.lit(' = "1"')),
+    ), (r % 9 + 1).cast("int"))
+    pins = F.concat(F.lit("# pins" + NL + "django==4.2" + NL + "pkg"), _s(seq % 5),
+                    F.lit(">=1.0" + NL + "tilde~=1.0" + NL))
+    prose = F.concat(preamble, F.lit(NL + NL), text)
+    return (F.when(m & (r % 9 < 7), manifest_text)
+             .when((kind == 18) & (r % 2 == 1), pins)
+             .otherwise(prose))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +112,8 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies for the code files of the corpus; 1 in 11 is not JSON."""
+    """Model replies for the code files of the corpus; 1 in 11 is not JSON and
+    1 in 17 calls failed (``error`` set)."""
     c = corpus(spark, sf_dir)
     seq = F.col("file_seq")
     cx = (F.when(seq % 3 == 0, "Simple. ok").when(seq % 3 == 1, "Moderate - x").otherwise("Complex"))
@@ -126,7 +125,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         _s(seq % 4), F.lit('"],"improvement_suggestions":["'), sug, F.lit('"]} done')))
     code = (F.col("path").like("%.py") | F.col("path").like("%.js") | F.col("path").like("%.go")
             | F.col("path").like("%.rs") | F.col("path").like("%.java"))
-    return c.where(code).select("repo", "path", "file_seq", reply.alias("response"))
+    err = F.when(seq % 17 == 0, F.lit("LLM API error: timeout"))
+    return c.where(code).select("repo", "path", "file_seq", reply.alias("response"), err.alias("error"))
 
 
 def focus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
