@@ -15,6 +15,8 @@ from codecensus.operators import classify as C
 from codecensus.operators import dependencies as D
 from codecensus.operators import explanations as X
 from codecensus.operators import ranking as K
+from codecensus.operators import reports as RP
+from codecensus.plans import modes as MD
 from codecensus.operators import metrics as M
 from codecensus.operators import patterns as PT
 from codecensus.operators import structure as S
@@ -516,4 +518,99 @@ def issue_candidates(spark, sf_dir):
     return X.issue_candidates(X.improvement_themes(items), items, src.open_issues(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- §2.9
+@query
+def format_size(spark, sf_dir):
+    return RP.format_size_table(S.structure_totals(_relevant(spark, sf_dir)))
+
+
+@query
+def safe_percentage(spark, sf_dir):
+    return RP.safe_percentages(_relevant(spark, sf_dir))
+
+
+@query
+def documentation_quality(spark, sf_dir):
+    return RP.documentation_quality(_relevant(spark, sf_dir))
+
+
+@query
+def documentation_groups(spark, sf_dir):
+    return RP.documentation_groups(_relevant(spark, sf_dir))
+
+
+@query
+def development_workflow(spark, sf_dir):
+    return RP.development_workflow(_relevant(spark, sf_dir), src.repos(spark, sf_dir))
+
+
+@query
+def recommendations(spark, sf_dir):
+    rel = _relevant(spark, sf_dir)
+    flags = _flags(spark, sf_dir)
+    arch_n = flags.select("repo", F.size(PT.architecture_expr()).alias("n_arch"))
+    inputs = RP.recommendation_inputs(rel, _fm(spark, sf_dir), arch_n, _items(spark, sf_dir))
+    return RP.recommendations(inputs)
+
+
+@query
+def technology_stack(spark, sf_dir):
+    texts = _relevant_contents(spark, sf_dir)
+    deps = D.extract_dependencies(texts)
+    return RP.technology_stack(_flags(spark, sf_dir), D.package_managers(texts), D.identify_tooling(deps))
+
+
+@query
+def quick_summary(spark, sf_dir):
+    return RP.quick_summary(src.repos(spark, sf_dir), _relevant(spark, sf_dir))
+
+
+@query
+def build_run_guide(spark, sf_dir):
+    return RP.build_run_guide(R.collect_code_files(src.contents(spark, sf_dir)))
+
+
+@query
+def render_report(spark, sf_dir):
+    """Full report without explanations (the report of a run with model
+    analysis disabled)."""
+    return MD.analyze_full(src.listing_with_text(spark, sf_dir), src.repos(spark, sf_dir), None,
+                           analysis_date="2026-01-01 00:00:00", materialize=False)
+
+
+# ---------------------------------------------------------------- §2.11
+@query
+def analyze_quick(spark, sf_dir):
+    return MD.analyze_quick(src.files(spark, sf_dir), src.repos(spark, sf_dir)).select("repo", "document")
+
+
+@query
+def analyze_full(spark, sf_dir):
+    _ensure_checkpoint_dir(spark)
+    return MD.analyze_full(src.listing_with_text(spark, sf_dir), src.repos(spark, sf_dir),
+                           src.responses(spark, sf_dir), src.focus_files(spark, sf_dir),
+                           analysis_date="2026-01-01 00:00:00")
+
+
+@query
+def analyze_clone(spark, sf_dir):
+    out = MD.analyze_clone(src.contents(spark, sf_dir), src.responses(spark, sf_dir), src.repos(spark, sf_dir),
+                           src.open_issues(spark, sf_dir))
+    functional = out["functional"].select("repo", F.lit("functional").alias("doc"), F.col("document").alias("text"))
+    guide = out["build_and_run"].select("repo", F.lit("build_and_run").alias("doc"), F.col("guide").alias("text"))
+    return functional.unionByName(guide)
+
+
+def _ensure_checkpoint_dir(spark) -> None:
+    """Use the session's shared checkpoint folder; only a local session
+    without one (tests, the smoke driver) gets a fresh scratch folder."""
+    import tempfile
+
+    from codecensus.session import checkpoint_dir
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local"):
+        checkpoint_dir(spark)
+    else:
+        checkpoint_dir(spark, tempfile.mkdtemp(prefix="codecensus-ckpt-"))
+
+
 FLAGSHIP = "language_distribution"
