@@ -824,3 +824,181 @@ from (select *, case when length(text) <= {rules.ISSUE_TITLE_MAX} then text
             where k <> '' group by repo, k) e) f
 where not exists (select 1 from open_issues o where o.repo = f.repo and lower(o.title) = lower(f.title))""",
        EXP + (TH, OPEN))
+
+# ---------------------------------------------------------------- §2.9
+from codecensus import report_text as T  # noqa: E402
+
+
+def _fmt1(x: str) -> str:
+    return f"printf('%.1f', cast({x} as double))"
+
+
+def _size_sql(b: str) -> str:
+    d = f"cast({b} as double)"
+    return (f"(case when {b} = 0 then '0 B' when {d} < 1024 then {_fmt1(d)} || ' B' "
+            f"when {d} < 1048576 then {_fmt1(d + ' / 1024')} || ' KB' "
+            f"when {d} < 1073741824 then {_fmt1(d + ' / 1048576')} || ' MB' "
+            f"else {_fmt1(d + ' / 1073741824')} || ' GB' end)")
+
+
+TOT = "tot as (select repo, count(*) as total_files, cast(sum(coalesce(size, 0)) as bigint) as total_size from rel group by repo)"
+oracle("format_size", f"select repo, total_size, {_size_sql('total_size')} as size_text from tot", (REL, TOT))
+
+oracle("safe_percentage", f"""
+select repo, test_files, total_files, {_pct('test_files', 'total_files')} as test_pct
+from (select repo, count(*) filter (where {FLAGS['test']}) as test_files, count(*) as total_files from rel group by repo) t""",
+       (REL,))
+
+DQ = ("dq as (select repo, documentation_files, total_files, " + _pct('documentation_files', 'total_files') + " as ratio, "
+      "case when documentation_files = 0 then 'Poor' when documentation_files < 3 then 'Basic' "
+      "when documentation_files < 8 then 'Good' else 'Excellent' end as tier from "
+      f"(select repo, count(*) filter (where {FLAGS['documentation']}) as documentation_files, count(*) as total_files "
+      "from rel group by repo) t)")
+oracle("documentation_quality", "select * from dq", (REL, DQ))
+
+_dg = " union all ".join(
+    f"select repo, {P.q(g)} as doc_group, file_seq, path from rel where {FLAGS['documentation']} and "
+    f"{P.contains_any('lower(path)', ws)}" for g, ws in rules.DOC_GROUPS)
+_none = " and ".join(f"not {P.contains_any('lower(path)', ws)}" for _, ws in rules.DOC_GROUPS)
+DG = f"dg as ({_dg} union all select repo, 'Other', file_seq, path from rel where {FLAGS['documentation']} and {_none})"
+oracle("documentation_groups", "select * from dg", (REL, DG))
+
+_ci = f"({FLAGS['config']} and {P.contains_any('lower(path)', rules.CI_MARKERS)})"
+WF = (f"wf0 as (select repo, file_seq, path, {_ci} as ci, {FLAGS['test']} as test, {FLAGS['build']} as build from rel)",
+      "wf as (select c.repo, c.ci_files, coalesce(ci.s, '') as ci_shown, c.test_files, "
+      + _pct('c.test_files', 'c.total_files') + " as test_pct, c.build_files, coalesce(b.s, '') as build_shown, "
+      f"greatest(c.build_files - {rules.BUILD_FILES_SHOWN}, 0) as build_more, "
+      "coalesce(r.has_issues, false) as has_issues, coalesce(r.has_projects, false) as has_projects, "
+      "coalesce(r.has_wiki, false) as has_wiki from "
+      "(select repo, count(*) as total_files, count(*) filter (where ci) as ci_files, count(*) filter (where test) as test_files, "
+      "count(*) filter (where build) as build_files from wf0 group by repo) c "
+      f"left join (select repo, string_agg(path, '|' order by file_seq) as s from (select *, row_number() over "
+      f"(partition by repo order by file_seq) as k from wf0 where ci) x where k <= {rules.BUILD_FILES_SHOWN} group by repo) ci "
+      "on c.repo = ci.repo "
+      f"left join (select repo, string_agg(path, '|' order by file_seq) as s from (select *, row_number() over "
+      f"(partition by repo order by file_seq) as k from wf0 where build) x where k <= {rules.BUILD_FILES_SHOWN} group by repo) b "
+      "on c.repo = b.repo left join repos r on c.repo = r.repo)")
+oracle("development_workflow", "select * from wf", (REL, PER_LANG, REPOS) + WF)
+
+_R = rules.RECOMMENDATIONS
+_ci2 = f"({FLAGS['config']} and (contains(path, '.github/workflows') or contains(lower(path), 'travis')))"
+_dep2 = f"({FLAGS['config']} and {P.contains_any('lower(path)', rules.DEP_MANIFEST_MARKERS)})"
+_sugg = ("case when is_string then value else coalesce(json_extract_string(value, '$.text'), "
+         "json_extract_string(value, '$.description'), value) end")
+_arch_n = " + ".join(f"(case when {c} then 1 else 0 end)" for c, _ in _arch_items())
+RI = ("ri as (select s.repo, s.total_files, s.docs, s.tests, s.ci, s.dep_files, coalesce(m.large, 0) as large, "
+      "coalesce(m.nested, 0) as nested, coalesce(a.n_arch, 0) as n_arch, ai.ai_test, ai.ai_error, ai.ai_perf from "
+      f"(select repo, count(*) as total_files, count(*) filter (where {FLAGS['documentation']}) as docs, "
+      f"count(*) filter (where {FLAGS['test']}) as tests, count(*) filter (where {_ci2}) as ci, "
+      f"count(*) filter (where {_dep2}) as dep_files from rel group by repo) s "
+      f"left join (select repo, count(*) filter (where lines > {rules.LARGE_FILE_LINES}) as large, "
+      f"count(*) filter (where max_indentation > {rules.DEEP_NESTING_LEVEL}) as nested from fm group by repo) m on s.repo = m.repo "
+      f"left join (select repo, {_arch_n} as n_arch from flags) a on s.repo = a.repo "
+      "left join (select repo, "
+      "arg_min(t, (file_seq, pos)) filter (where contains(lower(t), 'test')) as ai_test, "
+      f"arg_min(t, (file_seq, pos)) filter (where {P.contains_any('lower(t)', rules.AI_ERROR_WORDS)}) as ai_error, "
+      "arg_min(t, (file_seq, pos)) filter (where contains(lower(t), 'performance')) as ai_perf "
+      f"from (select repo, file_seq, pos, {_sugg} as t from items where field = 'improvement_suggestions') x group by repo) ai "
+      "on s.repo = ai.repo)")
+_recs = ("list_filter([" + ", ".join([
+    f"case when docs < 3 then {P.q(_R['docs'])} end",
+    f"case when coalesce(cast(tests as double) / nullif(total_files, 0), 0) < {rules.TEST_RATIO_MIN} then {P.q(_R['tests'])} end",
+    f"case when large > 0 then {P.q(_R['large'].split('{n}')[0])} || cast(large as varchar) || {P.q(_R['large'].split('{n}')[1])} end",
+    f"case when nested > 0 then {P.q(_R['nesting'].split('{n}')[0])} || cast(nested as varchar) || {P.q(_R['nesting'].split('{n}')[1])} end",
+    f"case when n_arch = 0 then {P.q(_R['architecture'])} end",
+    f"case when ci = 0 then {P.q(_R['ci'])} end",
+    f"case when dep_files = 0 then {P.q(_R['deps'])} end",
+    f"case when ai_test is not null then {P.q(_R['ai_testing'])} || ai_test end",
+    f"case when ai_error is not null then {P.q(_R['ai_error'])} || ai_error end",
+    f"case when ai_perf is not null then {P.q(_R['ai_performance'])} || ai_perf end",
+]) + "], lambda x: x is not null)")
+REC = (f"rec as (select repo, cast(s.i as integer) as pos, s.x as text from (select repo, unnest(list_transform("
+       f"case when len({_recs}) > 0 then {_recs} else [{P.q(_R['none'])}] end, lambda x, i: {{'x': x, 'i': i}})) as s "
+       "from ri) u)")
+oracle("recommendations", "select * from rec", (REL, RELC) + FM + (FLAGS_CTE,) + EXP + (RI, REC))
+
+_tech_rows = []
+for _cat, _group in rules.TECHNOLOGY_GROUPS:
+    for _i, (_tech, _pats) in enumerate(_group.items()):
+        _tech_rows.append(f"select repo, {P.q(_cat)} as section, {_i} as k, {P.q(_tech)} as item "
+                          f"from flags where {_any_sql(_pats)}")
+TOOLING = (f"tooling as (select repo, category, cast(row_number() over (partition by repo, category order by f, s, p, t) as integer) as rank, tool "
+           f"from (select repo, category, tool, arg_min(file_seq, (file_seq, sr, pos, ti)) as f, arg_min(sr, (file_seq, sr, pos, ti)) as s, "
+           f"arg_min(pos, (file_seq, sr, pos, ti)) as p, arg_min(ti, (file_seq, sr, pos, ti)) as t "
+           f"from ({' union all '.join(_tool_rows)}) h group by 1, 2, 3) x)")
+oracle("technology_stack", f"""
+select repo, 'project_type' as section, cast(0 as bigint) as pos, {_project_type_sql()} as item from flags
+union all
+select repo, section, cast(row_number() over (partition by repo, section order by k) - 1 as bigint) as pos, item
+from ({' union all '.join(_tech_rows)}) t
+union all
+select repo, 'package_managers', file_seq, {_mgr_case} from man where name not in ('package.json', 'composer.json') or json_valid(content)
+union all
+select repo, category, cast(rank as bigint), tool from tooling""", (RELC, FLAGS_CTE, MAN, DEPS, TOOLING))
+
+
+def _thousands(x: str) -> str:
+    return f"format('{{:,}}', cast({x} as bigint))"
+
+
+def _quick_doc(a, b):
+    return a + b
+
+
+def _tmpl_sql(template: str, **vals) -> str:
+    import re as _re
+    out, pos = [], 0
+    for m in _re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            out.append(_sqltext(template[pos:m.start()]))
+        out.append(f"coalesce(cast({vals[m.group(1)]} as varchar), 'None')")
+        pos = m.end()
+    if pos < len(template):
+        out.append(_sqltext(template[pos:]))
+    return "(" + " || ".join(out) + ")"
+
+
+def _quick_sql(src: str, repos_cte: str) -> str:
+    ll = _tmpl_sql(T.QUICK_LANGUAGE_LINE, language="language", files="files")
+    return f"""
+select t.repo, coalesce(r.repo, {P.q(T.QUICK_DEFAULT_NAME)}) as name,
+  coalesce(r.description, {P.q(T.QUICK_DEFAULT_DESCRIPTION)}) as description,
+  coalesce(r.language, {P.q(T.QUICK_DEFAULT_LANGUAGE)}) as language, t.total_files,
+  coalesce(l.top_languages, '') as top_languages, {_size_sql('t.total_size')} as size_text,
+  t.documentation_files, t.test_files, t.config_files,
+  {_tmpl_sql(T.QUICK, name=f"coalesce(r.repo, {P.q(T.QUICK_DEFAULT_NAME)})",
+             description=f"coalesce(r.description, {P.q(T.QUICK_DEFAULT_DESCRIPTION)})",
+             language=f"coalesce(r.language, {P.q(T.QUICK_DEFAULT_LANGUAGE)})", total_files=_thousands('t.total_files'))}
+  || coalesce(l.lines, '') ||
+  {_tmpl_sql(T.QUICK_STATS, size=_size_sql('t.total_size'), docs='t.documentation_files', tests='t.test_files',
+             configs='t.config_files')} as document
+from (select repo, count(*) as total_files, cast(sum(coalesce(size, 0)) as bigint) as total_size,
+        count(*) filter (where {FLAGS['documentation']}) as documentation_files,
+        count(*) filter (where {FLAGS['test']}) as test_files, count(*) filter (where {FLAGS['config']}) as config_files
+      from {src} group by repo) t
+left join {repos_cte} r on t.repo = r.repo
+left join (select repo, string_agg(language || ':' || cast(files as varchar), '|' order by k) as top_languages,
+             string_agg({ll}, '' order by k) as lines
+           from (select *, row_number() over (partition by repo order by files desc, first_seq) as k
+                 from (select repo, {LANG} as language, count(*) as files, min(file_seq) as first_seq from {src}
+                       where {LANG} is not null group by 1, 2) a) b
+           where k <= {rules.TOP_QUICK_LANGUAGES} group by repo) l on t.repo = l.repo"""
+
+
+oracle("quick_summary", _quick_sql("rel", "repos"), (REL, PER_LANG, REPOS))
+oracle("analyze_quick", f"select repo, document from ({_quick_sql('rel', 'repos')}) q", (REL, PER_LANG, REPOS))
+
+_guide_flags = ("select repo, bool_or(contains(lower(path), 'dockerfile')) as docker, "
+                "bool_or(ends_with(lower(path), 'package.json')) as npm, "
+                "bool_or(ends_with(lower(path), 'requirements.txt')) as python, "
+                "bool_or(ends_with(lower(path), 'makefile') or path = 'Makefile') as make from collected group by repo")
+_guide_names = "concat_ws('|', " + ", ".join(f"case when {k} then {P.q(k)} end" for k, _, _ in T.GUIDE_SECTIONS) + ")"
+_guide_text = ("concat_ws(chr(10), " + _tmpl_sql(T.GUIDE_HEADER, repo="repo") + ", "
+               + ", ".join(f"case when {k} then {_sqltext(h + chr(10) + b)} end" for k, h, b in T.GUIDE_SECTIONS) + ")")
+GUIDE = f"guide as (select repo, {_guide_names} as sections, {_guide_text} as guide from ({_guide_flags}) g)"
+oracle("build_run_guide", "select * from guide", (COLLECTED, GUIDE))
+
+CLONE_LIST = "clist as (select repo, file_seq, path, 'file' as type, cast(length(content) as bigint) as size from collected)"
+oracle("analyze_clone", f"""
+select repo, 'functional' as doc, document as text from ({_quick_sql('clist', 'repos')}) q
+union all select repo, 'build_and_run', guide from guide""", (COLLECTED, GUIDE, CLONE_LIST, PER_LANG, REPOS))
