@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
+from codecensus.functions import sql as S
 from codecensus.functions.paths import (
     directory_of, lower_name_of, name_of, parent_name_of, parts_of, suffix_of,
 )
@@ -22,10 +23,21 @@ def lit_map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def lookup(d: dict, key: Column) -> Column:
+def lookup(d: dict, key: Column | str) -> Column:
+    """Dictionary lookup; ``key`` may be SQL text (one cached expression)."""
+    if isinstance(key, str):
+        return S.expr(S.map_lookup(d, key))
     return F.try_element_at(lit_map(d), key)
 
 
+def language_of(path: str = "path", vocabulary: dict | None = None) -> Column:
+    return lookup(rules.LANGUAGE_EXTENSIONS if vocabulary is None else vocabulary, S.suffix(path))
+
+
+def code_language_of(path: str = "path") -> Column:
+    return lookup(rules.CODE_EXTENSIONS, S.suffix(path))
+
+
 def in_list(col: Column, values) -> Column:
     return col.isin(list(values))
 
@@ -42,19 +54,35 @@ def with_path_parts(files: DataFrame) -> DataFrame:
 
 def detect_language(files: DataFrame, vocabulary: dict | None = None) -> DataFrame:
     """suffix -> language (42-entry map by default); NULL when unknown."""
-    voc = rules.LANGUAGE_EXTENSIONS if vocabulary is None else vocabulary
-    return files.withColumn("language", lookup(voc, suffix_of("path")))
+    return files.withColumn("language", language_of("path", vocabulary))
 
 
 def config_purpose(files: DataFrame) -> DataFrame:
     """Exact file name -> purpose; only configuration files are kept."""
-    return (files.withColumn("purpose", lookup(rules.CONFIG_FILES, name_of("path")))
+    return (files.withColumn("purpose", lookup(rules.CONFIG_FILES, S.name("path")))
                  .where(F.col("purpose").isNotNull()))
 
 
+def category_flag_sql(path: str = "path") -> dict[str, str]:
+    """SQL text of the five independent category tests."""
+    n = S.name(path)
+    ln = f"lower({n})"
+    lp = f"lower({path})"
+    return {
+        "source": f"({S.ends_with_any(n, rules.LANGUAGE_EXTENSIONS.keys())} AND NOT contains({lp}, 'test') "
+                  f"AND NOT contains({ln}, 'config') AND NOT startswith({n}, '.'))",
+        "test": f"({S.contains_any(lp, rules.TEST_PATH_WORDS)} OR {S.contains_any(ln, rules.TEST_NAME_WORDS)})",
+        "config": f"({S.in_list(n, rules.CONFIG_FILES.keys())} OR {S.contains_any(ln, rules.CONFIG_NAME_WORDS)})",
+        "documentation": f"({S.contains_any(ln, rules.DOC_NAME_WORDS)} OR {S.ends_with_any(n, rules.DOC_ENDINGS)})",
+        "build": f"({S.contains_any(ln, rules.BUILD_NAME_WORDS)} OR {S.ends_with_any(n, rules.BUILD_ENDINGS)})",
+    }
+
+
 def category_flags(path: Column | str = "path") -> dict[str, Column]:
     """The five independent category tests of the structure analysis."""
-    p = F.col(path) if isinstance(path, str) else path
+    if isinstance(path, str):
+        return {k: S.expr(v) for k, v in category_flag_sql(path).items()}
+    p = path
     name = name_of(p)
     lname = F.lower(name)
     lpath = F.lower(p)
@@ -74,17 +102,16 @@ def classify_files(files: DataFrame) -> DataFrame:
     return files.select("*", *[flags[c].alias(f"is_{c}") for c in rules.CATEGORIES])
 
 
-def basic_category_flags(path: Column | str = "path") -> dict[str, Column]:
+def basic_category_flags(path: str = "path") -> dict[str, Column]:
     """The clone flow's simpler rules."""
-    p = F.col(path) if isinstance(path, str) else path
-    lp = F.lower(p)
-    return {
-        "source": lookup(rules.CODE_EXTENSIONS, suffix_of(p)).isNotNull(),
-        "test": lp.contains("test") | lp.startswith("tests") | lp.contains("/tests/"),
-        "config": contains_any(lp, rules.BASIC_CONFIG_MARKERS),
-        "documentation": contains_any(lp, rules.BASIC_DOC_MARKERS),
-        "build": contains_any(p, rules.BASIC_BUILD_MARKERS),
-    }
+    lp = f"lower({path})"
+    return {k: S.expr(v) for k, v in {
+        "source": f"({S.map_lookup(rules.CODE_EXTENSIONS, S.suffix(path))} IS NOT NULL)",
+        "test": f"(contains({lp}, 'test') OR startswith({lp}, 'tests') OR contains({lp}, '/tests/'))",
+        "config": S.contains_any(lp, rules.BASIC_CONFIG_MARKERS),
+        "documentation": S.contains_any(lp, rules.BASIC_DOC_MARKERS),
+        "build": S.contains_any(path, rules.BASIC_BUILD_MARKERS),
+    }.items()}
 
 
 def classify_files_basic(contents: DataFrame) -> DataFrame:
@@ -92,43 +119,43 @@ def classify_files_basic(contents: DataFrame) -> DataFrame:
     return contents.select("*", *[flags[c].alias(f"is_{c}") for c in rules.CATEGORIES])
 
 
+def filter_keep_sql(dirs, exts, max_size: int, hidden, path: str = "path") -> str:
+    n = S.name(path)
+    return (f"(type = 'file' AND NOT arrays_overlap(split({path}, '/'), array("
+            + ", ".join(S.q(d) for d in dirs) + f")) AND NOT {S.in_list(S.suffix(path), exts)} "
+            f"AND coalesce(size, 0) <= {int(max_size)} "
+            f"AND NOT (startswith({n}, '.') AND NOT {S.in_list(n, hidden)}))")
+
+
 def filter_files(files: DataFrame,
                  excluded_dirs=None, excluded_exts=None,
                  max_size: int = rules.MAX_FILE_SIZE,
                  hidden_allowed=None) -> DataFrame:
     """Keep relevant files: type 'file', no excluded part, extension or size,
     no hidden name except the allowed ones. Pure filter, pushed below joins."""
-    dirs = list(rules.EXCLUDED_DIRS if excluded_dirs is None else excluded_dirs)
-    exts = list(rules.EXCLUDED_EXTENSIONS if excluded_exts is None else excluded_exts)
-    hidden = list(rules.HIDDEN_ALLOWED if hidden_allowed is None else hidden_allowed)
-    name = name_of("path")
-    size = F.coalesce(F.col("size"), F.lit(0))
-    keep = ((F.col("type") == "file")
-            & ~F.arrays_overlap(parts_of("path"), F.array(*[F.lit(d) for d in dirs]))
-            & ~suffix_of("path").isin(exts)
-            & (size <= max_size)
-            & ~(name.startswith(".") & ~name.isin(hidden)))
-    return files.where(keep)
-
-
-def priority_score(path: Column | str = "path") -> Column:
-    """Additive importance used when a listing must be cut."""
-    p = F.col(path) if isinstance(path, str) else path
-    lname, ext = F.lower(name_of(p)), suffix_of(p)
+    dirs = tuple(rules.EXCLUDED_DIRS if excluded_dirs is None else excluded_dirs)
+    exts = tuple(rules.EXCLUDED_EXTENSIONS if excluded_exts is None else excluded_exts)
+    hidden = tuple(rules.HIDDEN_ALLOWED if hidden_allowed is None else hidden_allowed)
+    return files.where(S.expr(filter_keep_sql(dirs, exts, max_size, hidden)))
+
+
+def priority_sql(path: str = "path") -> str:
+    ln = f"lower({S.name(path)})"
+    ext = S.suffix(path)
     w = rules.PRIORITY_WEIGHTS
-    terms = [
-        (lname.isin(rules.PRIORITY_KEY_NAMES), w["key"]),
-        (contains_any(lname, rules.PRIORITY_CONFIG_WORDS), w["config"]),
-        (ext.isin(rules.PRIORITY_SOURCE_EXTS), w["source"]),
-        (contains_any(lname, rules.PRIORITY_TEST_WORDS), w["test"]),
-        (ext.isin(rules.PRIORITY_DOC_EXTS), w["doc"]),
-        (~p.contains("/"), w["root"]),
-    ]
-    total = None
-    for cond, pts in terms:
-        t = F.when(cond, F.lit(pts)).otherwise(F.lit(0))
-        total = t if total is None else total + t
-    return total
+    return S.points([
+        (S.in_list(ln, rules.PRIORITY_KEY_NAMES), w["key"]),
+        (S.contains_any(ln, rules.PRIORITY_CONFIG_WORDS), w["config"]),
+        (S.in_list(ext, rules.PRIORITY_SOURCE_EXTS), w["source"]),
+        (S.contains_any(ln, rules.PRIORITY_TEST_WORDS), w["test"]),
+        (S.in_list(ext, rules.PRIORITY_DOC_EXTS), w["doc"]),
+        (f"NOT contains({path}, '/')", w["root"]),
+    ])
+
+
+def priority_score(path: str = "path") -> Column:
+    """Additive importance used when a listing must be cut."""
+    return S.expr(priority_sql(path))
 
 
 def with_priority_score(files: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
+from codecensus.functions import sql as S
 from codecensus.functions.paths import name_of
 from codecensus.functions.text import WS, lines_of, strip_py
 
@@ -190,17 +191,14 @@ def top_dependencies(deps: DataFrame, prod_n: int = rules.PROD_DEPS_SHOWN,
                        F.greatest(F.col("total") - cap, F.lit(0)).alias("more")))
 
 
-def _tool_hits(pkg_lower: Column) -> Column:
+def _tool_hits(pkg_lower: str = "lower(package)") -> Column:
     hits = []
-    for g_i, (group, table) in enumerate(rules.TOOLING_GROUPS):
+    for group, table in rules.TOOLING_GROUPS:
         for t_i, (tool, pats) in enumerate(table.items()):
-            cond = None
-            for p in pats:
-                c = pkg_lower.contains(p.lower())
-                cond = c if cond is None else (cond | c)
-            hits.append(F.when(cond, F.struct(F.lit(group).alias("grp"), F.lit(tool).alias("tool"),
-                                              F.lit(t_i).alias("tool_idx"))))
-    return F.array_compact(F.array(*hits))
+            cond = S.contains_any(pkg_lower, [p.lower() for p in pats])
+            hits.append(f"CASE WHEN {cond} THEN named_struct('grp', {S.q(group)}, 'tool', {S.q(tool)}, "
+                        f"'tool_idx', {t_i}) END")
+    return S.expr("array_compact(array(" + ", ".join(hits) + "))")
 
 
 def identify_tooling(deps: DataFrame) -> DataFrame:
@@ -209,7 +207,7 @@ def identify_tooling(deps: DataFrame) -> DataFrame:
     npm = deps.where(F.col("manager") == "npm")
     scope_rank = F.when(F.col("scope") == "prod", F.lit(0)).otherwise(F.lit(1))
     hits = npm.select("repo", "file_seq", scope_rank.alias("scope_rank"), "pos",
-                      F.explode(_tool_hits(F.lower("package"))).alias("h"))
+                      F.explode(_tool_hits()).alias("h"))
     first = hits.groupBy("repo", F.col("h.grp").alias("category"), F.col("h.tool").alias("tool")).agg(
         F.min(F.struct("file_seq", "scope_rank", "pos", F.col("h.tool_idx").alias("tool_idx"))).alias("first"))
     w = Window.partitionBy("repo", "category").orderBy("first")

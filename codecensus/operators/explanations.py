@@ -14,16 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
-from codecensus.functions.paths import suffix_of
 from codecensus.functions.text import contains_any, cut_with_ellipsis, lines_of, strip_py
-from codecensus.operators.classify import lookup
+from codecensus.functions import sql as S
 
 ITEM = "struct<value:string,is_string:boolean>"
 JSON_BLOCK = r"(?s)(\{.*\})"
 
 
-def code_language(path: Column) -> Column:
-    return F.coalesce(lookup(rules.CODE_EXTENSIONS, suffix_of(path)), F.lit("Unknown"))
+def code_language(path: str = "path") -> Column:
+    return S.expr(f"coalesce({S.map_lookup(rules.CODE_EXTENSIONS, S.suffix(path))}, 'Unknown')")
 
 
 # ---------------------------------------------------------------- prompts
@@ -34,7 +33,7 @@ def build_prompts(selected: DataFrame) -> DataFrame:
     b, rest = rest.split("{file_path}", 1)
     c, rest = rest.split("{language_lower}", 1)
     d, e = rest.split("{content}", 1)
-    lang = code_language(F.col("path"))
+    lang = code_language("path")
     prompt = F.concat(F.lit(a), lang, F.lit(b), F.col("path"), F.lit(c), F.lower(lang), F.lit(d),
                       F.col("content"), F.lit(e))
     return selected.select("repo", "path", "file_seq", lang.alias("language"), prompt.alias("prompt"),
@@ -92,7 +91,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         return F.when(failed, failed_value).when(ok, parsed).otherwise(fallback)
 
     out = responses.select(
-        "repo", "path", "file_seq", code_language(F.col("path")).alias("language"), status.alias("status"),
+        "repo", "path", "file_seq", code_language("path").alias("language"), status.alias("status"),
         pick(field("summary"), cut_with_ellipsis(fb_summary, rules.FALLBACK_SUMMARY_CUT),
              F.lit(fail["summary"])).alias("summary"),
         pick(field("main_functionality"), cut_with_ellipsis(resp, rules.FALLBACK_FUNCTIONALITY_CUT),
@@ -148,18 +147,18 @@ def key_technologies(items: DataFrame, n: int = rules.KEY_TECHNOLOGIES_N) -> Dat
     return _ranked_counts(items, "dependencies", n, "technology")
 
 
-def _theme_hits(text: Column) -> Column:
-    lt = F.lower(text)
-    return F.array_compact(F.array(*[
-        F.when(contains_any(lt, words), F.struct(F.lit(i).alias("idx"), F.lit(theme).alias("theme")))
-        for i, (theme, words) in enumerate(rules.IMPROVEMENT_THEMES)]))
+def _theme_hits(text: str = "value") -> Column:
+    lt = f"lower({text})"
+    return S.expr("array_compact(array(" + ", ".join(
+        f"CASE WHEN {S.contains_any(lt, words)} THEN named_struct('idx', {i}, 'theme', {S.q(theme)}) END"
+        for i, (theme, words) in enumerate(rules.IMPROVEMENT_THEMES)) + "))")
 
 
 def improvement_themes(items: DataFrame) -> DataFrame:
     """(repo, rank, theme, suggestions): multi-label themes of string
     suggestions, ranked by first appearance."""
     hits = (items.where((F.col("field") == "improvement_suggestions") & F.col("is_string"))
-                 .select("repo", "file_seq", "pos", F.explode(_theme_hits(F.col("value"))).alias("h")))
+                 .select("repo", "file_seq", "pos", F.explode(_theme_hits("value")).alias("h")))
     agg = hits.groupBy("repo", F.col("h.theme").alias("theme")).agg(
         F.count(F.lit(1)).alias("suggestions"), F.min(F.struct("file_seq", "pos", F.col("h.idx").alias("idx"))).alias("first"))
     w = Window.partitionBy("repo").orderBy("first")
@@ -191,12 +190,8 @@ def insights_summary(explanations: DataFrame, items: DataFrame | None = None) ->
 
 def improvement_categories(items: DataFrame) -> DataFrame:
     """(repo, category, suggestions): first matching of seven categories, else Other."""
-    lt = F.lower(F.col("value"))
-    cat = None
-    for name, words in rules.IMPROVEMENT_CATEGORIES:
-        cond = contains_any(lt, words)
-        cat = F.when(cond, F.lit(name)) if cat is None else cat.when(cond, F.lit(name))
-    cat = cat.otherwise(F.lit(rules.IMPROVEMENT_OTHER))
+    cat = S.expr(S.case_first([(S.contains_any("lower(value)", words), S.q(name))
+                               for name, words in rules.IMPROVEMENT_CATEGORIES], S.q(rules.IMPROVEMENT_OTHER)))
     return (items.where((F.col("field") == "improvement_suggestions") & F.col("is_string"))
                  .groupBy("repo", cat.alias("category")).agg(F.count(F.lit(1)).alias("suggestions")))
 

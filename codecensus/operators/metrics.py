@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecensus import rules
-from codecensus.functions.paths import suffix_of
+from codecensus.functions import sql as S
 from codecensus.functions.text import WS, is_blank, lines_of, safe_percentage
 from codecensus.operators.classify import lookup
 
@@ -40,7 +40,7 @@ def _comment_test(language: Column, line: Column) -> Column:
 def file_metrics(contents: DataFrame) -> DataFrame:
     """(repo, path, file_seq, language, lines, blank_lines, comment_lines,
     code_lines, max_indentation) for non-empty files with a known language."""
-    lang = lookup(rules.LANGUAGE_EXTENSIONS, suffix_of("path"))
+    lang = lookup(rules.LANGUAGE_EXTENSIONS, S.suffix("path"))
     base = (contents.select("repo", "path", "file_seq", "content", lang.alias("language"))
                     .where(F.col("language").isNotNull() & (F.length("content") > 0))
                     .select("repo", "path", "file_seq", "language", lines_of("content").alias("_lines")))
@@ -101,7 +101,7 @@ def splitlines(col: Column) -> Column:
 
 def basic_line_metrics(contents: DataFrame) -> DataFrame:
     """Clone-flow per-file lines: comment = stripped line starts with '#' or '//'."""
-    lang = F.coalesce(lookup(rules.CODE_EXTENSIONS, suffix_of("path")), F.lit("Unknown"))
+    lang = S.expr(f"coalesce({S.map_lookup(rules.CODE_EXTENSIONS, S.suffix('path'))}, 'Unknown')")
     base = contents.select("repo", "path", "file_seq", lang.alias("language"),
                            splitlines(F.col("content")).alias("_lines"))
     nonblank = F.filter("_lines", lambda l: ~is_blank(l))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecensus import rules
-from codecensus.functions.paths import name_of, parent_name_of
+from codecensus.functions import sql as S
 
 
 def _terms() -> list[str]:
@@ -39,35 +39,39 @@ TERMS = _terms()
 FLAG_OF = {t: f"t{i}" for i, t in enumerate(TERMS)}
 
 
+def pattern_flag_sql() -> list[str]:
+    """Aggregate expressions (SQL text) over rows with ``lc`` = lower(text)."""
+    n = S.name("path")
+    aggs = [f"bool_or(contains(lc, {S.q(t)})) AS {FLAG_OF[t]}" for t in TERMS]
+    aggs += [
+        f"bool_or({n} = 'package.json') AS has_package_json",
+        f"bool_or(path = 'package.json' AND {S.contains_any('lc', rules.FRONTEND_MARKERS)}) AS pkg_frontend",
+        f"bool_or(path = 'package.json' AND {S.contains_any('lc', rules.BACKEND_MARKERS)}) AS pkg_backend",
+        f"bool_or({S.in_list(n, rules.PYTHON_MANIFESTS)}) AS has_python_manifest",
+        f"bool_or({S.in_list(n, rules.MOBILE_MANIFESTS)}) AS has_mobile_manifest",
+        f"bool_or({S.in_list(n, rules.JAVA_MANIFESTS)}) AS has_java_manifest",
+        *[f"bool_or({n} = {S.q(f)}) AS has_{i}" for i, (f, _) in enumerate(rules.SINGLE_MANIFEST_TYPES)],
+        f"bool_or({S.in_list(n, rules.CONTAINER_FILES)}) AS has_container",
+        f"bool_or({S.in_list(S.raw_suffix('path'), rules.DOC_SITE_SUFFIXES)}) AS has_doc_suffix",
+        f"count_if({S.in_list(S.raw_suffix('path'), rules.DOC_SITE_CODE_SUFFIXES)}) AS n_code_suffix",
+        *[f"bool_or({S.in_list(S.parent('path'), dirs)}) AS arch_dir_{i}"
+          for i, (_, dirs) in enumerate(rules.ARCHITECTURE_DIR_RULES)],
+        f"bool_or({n} = {S.q(rules.MICROSERVICES_FILE)}) AS has_compose",
+        f"bool_or({S.in_list(n, rules.API_FIRST_FILES)}) AS has_api_spec",
+    ]
+    return aggs
+
+
 def pattern_flags(listing_text: DataFrame) -> DataFrame:
     """One row per repository with every flag the four detectors need.
 
     Input: the relevant files with (repo, path, content) — content may be
-    NULL for files whose text was not fetched.
+    NULL for files whose text was not fetched. The text is lower-cased once
+    per file; each term is one ``contains`` in a single partial aggregation.
     """
-    lc = F.lower(F.coalesce(F.col("content"), F.lit("")))
-    name = name_of("path")
-    parent = parent_name_of("path")
-    raw_suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
-    pkg_root = F.col("path") == "package.json"
-    aggs = [F.bool_or(lc.contains(t)).alias(FLAG_OF[t]) for t in TERMS]
-    aggs += [
-        F.bool_or(name == "package.json").alias("has_package_json"),
-        F.bool_or(pkg_root & (lc.contains("react") | lc.contains("vue") | lc.contains("angular"))).alias("pkg_frontend"),
-        F.bool_or(pkg_root & (lc.contains("express") | lc.contains("koa") | lc.contains("fastify"))).alias("pkg_backend"),
-        F.bool_or(name.isin(rules.PYTHON_MANIFESTS)).alias("has_python_manifest"),
-        F.bool_or(name.isin(rules.MOBILE_MANIFESTS)).alias("has_mobile_manifest"),
-        F.bool_or(name.isin(rules.JAVA_MANIFESTS)).alias("has_java_manifest"),
-        *[F.bool_or(name == f).alias(f"has_{i}") for i, (f, _) in enumerate(rules.SINGLE_MANIFEST_TYPES)],
-        F.bool_or(name.isin(rules.CONTAINER_FILES)).alias("has_container"),
-        F.bool_or(raw_suffix.isin(rules.DOC_SITE_SUFFIXES)).alias("has_doc_suffix"),
-        F.count_if(raw_suffix.isin(rules.DOC_SITE_CODE_SUFFIXES)).alias("n_code_suffix"),
-        *[F.bool_or(parent.isin(dirs)).alias(f"arch_dir_{i}")
-          for i, (_, dirs) in enumerate(rules.ARCHITECTURE_DIR_RULES)],
-        F.bool_or(name == rules.MICROSERVICES_FILE).alias("has_compose"),
-        F.bool_or(name.isin(rules.API_FIRST_FILES)).alias("has_api_spec"),
-    ]
-    return listing_text.groupBy("repo").agg(*aggs)
+    lc = F.lower(F.coalesce(F.col("content"), F.lit(""))).alias("lc")
+    return (listing_text.select("repo", "path", lc)
+                        .groupBy("repo").agg(*[S.expr(a) for a in pattern_flag_sql()]))
 
 
 def _any(terms) -> Column:

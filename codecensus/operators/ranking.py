@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from codecensus import rules
 from codecensus.functions.paths import name_of, suffix_of
 from codecensus.functions.text import contains_any, lines_of
+from codecensus.functions import sql as S
 from codecensus.operators.classify import lookup
 
 KEY_CLASSES = [c for c, _ in rules.KEY_QUOTAS]
@@ -24,12 +25,14 @@ def _line_count(content: Column) -> Column:
     return F.coalesce(F.size(lines_of(content)), F.lit(1))
 
 
-def key_file_class(path: Column) -> Column:
-    lname = F.lower(name_of(path))
-    return (F.when(lname.isin(rules.KEY_MAIN_NAMES), F.lit("main"))
-             .when(lname.isin(rules.KEY_CONFIG_NAMES), F.lit("config"))
-             .when(contains_any(lname, rules.KEY_CORE_WORDS), F.lit("core"))
-             .when(contains_any(lname, rules.KEY_API_WORDS), F.lit("api")))
+def key_file_class_sql(path: str = "path") -> str:
+    ln = f"lower({S.name(path)})"
+    return S.case_first([
+        (S.in_list(ln, rules.KEY_MAIN_NAMES), "'main'"),
+        (S.in_list(ln, rules.KEY_CONFIG_NAMES), "'config'"),
+        (S.contains_any(ln, rules.KEY_CORE_WORDS), "'core'"),
+        (S.contains_any(ln, rules.KEY_API_WORDS), "'api'"),
+    ])
 
 
 def key_files(listing_text: DataFrame, order_col: str = "file_seq") -> DataFrame:
@@ -44,8 +47,8 @@ def key_files(listing_text: DataFrame, order_col: str = "file_seq") -> DataFrame
     quota = F.create_map(*[x for c, q in rules.KEY_QUOTAS for x in (F.lit(c), F.lit(q))])
     class_idx = F.create_map(*[x for i, c in enumerate(KEY_CLASSES) for x in (F.lit(c), F.lit(i))])
     narrow = listing_text.select(
-        "repo", "path", F.col(order_col).alias("seq"), key_file_class(F.col("path")).alias("kind"),
-        suffix_of("path").isin(rules.KEY_EXTRA_SUFFIXES).alias("extra_ok"),
+        "repo", "path", F.col(order_col).alias("seq"), S.expr(key_file_class_sql("path")).alias("kind"),
+        S.expr(S.in_list(S.suffix("path"), rules.KEY_EXTRA_SUFFIXES)).alias("extra_ok"),
         _line_count(F.col("content")).alias("lines"), F.col("content").isNotNull().alias("has_text"))
     max_q = max(q for _, q in rules.KEY_QUOTAS)
     wc = Window.partitionBy("repo", "kind").orderBy("seq")
@@ -72,33 +75,27 @@ def key_files(listing_text: DataFrame, order_col: str = "file_seq") -> DataFrame
     return picked.select("repo", F.row_number().over(wp).alias("pos"), "path", "kind")
 
 
-def selection_score(path: Column, content: Column, focus: Column) -> Column:
-    """Additive score used to pick files for explanation."""
-    lname = F.lower(name_of(path))
-    lines = F.size(lines_of(content))
-    lc = F.lower(content)
-    terms = [
-        (F.coalesce(focus, F.lit(False)), rules.SEL_FOCUS),
-        (lname.isin(rules.SEL_MAIN_NAMES), rules.SEL_MAIN),
-        (contains_any(lname, rules.SEL_CORE_WORDS), rules.SEL_CORE),
-        (lname.isin(rules.SEL_CONFIG_NAMES), rules.SEL_CONFIG),
-        (contains_any(lname, rules.SEL_UTIL_WORDS), rules.SEL_UTIL),
-        (contains_any(lname, rules.SEL_API_WORDS), rules.SEL_API),
-        (contains_any(lname, rules.SEL_MODEL_WORDS), rules.SEL_MODEL),
-        (contains_any(lname, rules.SEL_TEST_WORDS), rules.SEL_TEST),
-        (lookup(rules.CODE_EXTENSIONS, suffix_of(path)).isNotNull(), rules.SEL_CODE_EXT),
-        (contains_any(lc, rules.SEL_KEYWORDS), rules.SEL_KEYWORD),
-        (~path.contains("/"), rules.SEL_ROOT),
-    ]
-    total = None
-    for cond, pts in terms:
-        t = F.when(cond, F.lit(pts)).otherwise(F.lit(0))
-        total = t if total is None else total + t
+def selection_score_sql(path: str = "path", content: str = "content", focus: str = "is_focus") -> str:
+    """Additive score used to pick files for explanation (SQL text)."""
+    ln = f"lower({S.name(path)})"
+    lines = f"size(split({content}, '\\n', -1))"
     (lo1, hi1, p1), (lo2, hi2, p2) = rules.SEL_SIZE_BANDS
-    size_pts = (F.when((lines >= lo1) & (lines <= hi1), F.lit(p1))
-                 .when((lines >= lo2) & (lines <= hi2), F.lit(p2))
-                 .when(lines > hi2, F.lit(rules.SEL_SIZE_LARGE)).otherwise(F.lit(0)))
-    return total + size_pts
+    base = S.points([
+        (f"coalesce({focus}, false)", rules.SEL_FOCUS),
+        (S.in_list(ln, rules.SEL_MAIN_NAMES), rules.SEL_MAIN),
+        (S.contains_any(ln, rules.SEL_CORE_WORDS), rules.SEL_CORE),
+        (S.in_list(ln, rules.SEL_CONFIG_NAMES), rules.SEL_CONFIG),
+        (S.contains_any(ln, rules.SEL_UTIL_WORDS), rules.SEL_UTIL),
+        (S.contains_any(ln, rules.SEL_API_WORDS), rules.SEL_API),
+        (S.contains_any(ln, rules.SEL_MODEL_WORDS), rules.SEL_MODEL),
+        (S.contains_any(ln, rules.SEL_TEST_WORDS), rules.SEL_TEST),
+        (f"{S.map_lookup(rules.CODE_EXTENSIONS, S.suffix(path))} IS NOT NULL", rules.SEL_CODE_EXT),
+        (S.contains_any(f"lower({content})", rules.SEL_KEYWORDS), rules.SEL_KEYWORD),
+        (f"NOT contains({path}, '/')", rules.SEL_ROOT),
+    ])
+    size_pts = (f"(CASE WHEN {lines} BETWEEN {lo1} AND {hi1} THEN {p1} WHEN {lines} BETWEEN {lo2} AND {hi2} "
+                f"THEN {p2} WHEN {lines} > {hi2} THEN {rules.SEL_SIZE_LARGE} ELSE 0 END)")
+    return f"({base} + {size_pts})"
 
 
 def _with_focus(contents: DataFrame, focus: DataFrame | None) -> DataFrame:
@@ -113,31 +110,26 @@ def select_for_analysis(contents: DataFrame, focus: DataFrame | None = None,
                         max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
     """(repo, rank, path, file_seq, score): top N code files of at most
     ``max_chars`` characters by score, ties in file order."""
-    eligible = contents.where(lookup(rules.CODE_EXTENSIONS, suffix_of("path")).isNotNull()
+    eligible = contents.where(lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull()
                               & (F.length("content") <= max_chars))
     scored = _with_focus(eligible, focus).select(
         "repo", "path", "file_seq",
-        selection_score(F.col("path"), F.col("content"), F.col("is_focus")).alias("score"))
+        S.expr(selection_score_sql()).alias("score"))
     w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("file_seq"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
                   .select("repo", "rank", "path", "file_seq", "score"))
 
 
-def reduced_selection_score(path: Column, focus: Column) -> Column:
-    lname = F.lower(name_of(path))
-    terms = [
-        (F.coalesce(focus, F.lit(False)), rules.SEL_FOCUS),
-        (lname.isin(rules.SEL_MAIN_NAMES), rules.SEL_MAIN),
-        (contains_any(lname, rules.SEL_CORE_WORDS), rules.SEL_CORE),
-        (contains_any(lname, rules.SEL_API_WORDS), rules.SEL_API),
-        (lookup(rules.CODE_EXTENSIONS, suffix_of(path)).isNotNull(), rules.SEL_CODE_EXT),
-        (~path.contains("/"), rules.SEL_ROOT),
-    ]
-    total = None
-    for cond, pts in terms:
-        t = F.when(cond, F.lit(pts)).otherwise(F.lit(0))
-        total = t if total is None else total + t
-    return total
+def reduced_selection_score_sql(path: str = "path", focus: str = "is_focus") -> str:
+    ln = f"lower({S.name(path)})"
+    return S.points([
+        (f"coalesce({focus}, false)", rules.SEL_FOCUS),
+        (S.in_list(ln, rules.SEL_MAIN_NAMES), rules.SEL_MAIN),
+        (S.contains_any(ln, rules.SEL_CORE_WORDS), rules.SEL_CORE),
+        (S.contains_any(ln, rules.SEL_API_WORDS), rules.SEL_API),
+        (f"{S.map_lookup(rules.CODE_EXTENSIONS, S.suffix(path))} IS NOT NULL", rules.SEL_CODE_EXT),
+        (f"NOT contains({path}, '/')", rules.SEL_ROOT),
+    ])
 
 
 def selection_scores(contents: DataFrame, focus: DataFrame | None = None,
@@ -146,7 +138,7 @@ def selection_scores(contents: DataFrame, focus: DataFrame | None = None,
     reduced score's top N with the real selection marked."""
     selected = select_for_analysis(contents, focus).select("repo", "path", F.lit(True).alias("selected"))
     scored = _with_focus(contents, focus).select(
-        "repo", "path", "file_seq", reduced_selection_score(F.col("path"), F.col("is_focus")).alias("score"))
+        "repo", "path", "file_seq", S.expr(reduced_selection_score_sql()).alias("score"))
     w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("file_seq"))
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     totals = contents.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"))
@@ -156,18 +148,19 @@ def selection_scores(contents: DataFrame, focus: DataFrame | None = None,
                        "total_files", F.coalesce("selected_files", F.lit(0)).alias("selected_files")))
 
 
-def report_importance(path: Column) -> Column:
-    lname = F.lower(name_of(path))
-    return (F.when(lname.isin(rules.ORDER_MAIN_NAMES), F.lit(1))
-             .when(lname.isin(rules.ORDER_CONFIG_NAMES), F.lit(2))
-             .when(contains_any(lname, rules.ORDER_CORE_WORDS), F.lit(3))
-             .when(contains_any(lname, rules.ORDER_API_WORDS), F.lit(4))
-             .otherwise(F.lit(5)))
+def report_importance_sql(path: str = "path") -> str:
+    ln = f"lower({S.name(path)})"
+    return S.case_first([
+        (S.in_list(ln, rules.ORDER_MAIN_NAMES), "1"),
+        (S.in_list(ln, rules.ORDER_CONFIG_NAMES), "2"),
+        (S.contains_any(ln, rules.ORDER_CORE_WORDS), "3"),
+        (S.contains_any(ln, rules.ORDER_API_WORDS), "4"),
+    ], "5")
 
 
 def report_file_order(explanations: DataFrame, order_col: str = "file_seq") -> DataFrame:
     """(repo, path, importance, order_key): sort key for the report's file
     sections (importance 1..5, then explanation order). A per-repo position
     is ``row_number`` over this key where a bounded section is rendered."""
-    return explanations.select("repo", "path", report_importance(F.col("path")).alias("importance"),
+    return explanations.select("repo", "path", S.expr(report_importance_sql()).alias("importance"),
                                F.col(order_col).alias("order_key"))

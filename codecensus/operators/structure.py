@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
+from codecensus.functions import sql as SQ
 from codecensus.functions.paths import directory_of, name_of, suffix_of
 from codecensus.operators.classify import category_flags, basic_category_flags, lookup
 
@@ -26,7 +27,7 @@ def structure_totals(files: DataFrame) -> DataFrame:
 def language_counts(files: DataFrame, vocabulary: dict | None = None) -> DataFrame:
     """(repo, language, files, first_seq) for recognised files."""
     voc = rules.LANGUAGE_EXTENSIONS if vocabulary is None else vocabulary
-    return (files.select("repo", "file_seq", lookup(voc, suffix_of("path")).alias("language"))
+    return (files.select("repo", "file_seq", lookup(voc, SQ.suffix("path")).alias("language"))
                  .where(F.col("language").isNotNull())
                  .groupBy("repo", "language")
                  .agg(F.count(F.lit(1)).alias("files"), F.min("file_seq").alias("first_seq")))
@@ -121,7 +122,7 @@ def structure_basic(contents: DataFrame) -> DataFrame:
 
 def languages_basic(contents: DataFrame) -> DataFrame:
     """(repo, language, files) with the 20-extension code vocabulary."""
-    return (contents.select("repo", lookup(rules.CODE_EXTENSIONS, suffix_of("path")).alias("language"))
+    return (contents.select("repo", lookup(rules.CODE_EXTENSIONS, SQ.suffix("path")).alias("language"))
                     .where(F.col("language").isNotNull())
                     .groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files")))
 

@@ -607,10 +607,10 @@ def _ensure_checkpoint_dir(spark) -> None:
     import tempfile
 
     from codecensus.session import checkpoint_dir
-    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local"):
-        checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="codecensus-ckpt-"))
     else:
-        checkpoint_dir(spark, tempfile.mkdtemp(prefix="codecensus-ckpt-"))
+        checkpoint_dir(spark)
 
 
 FLAGSHIP = "language_distribution"

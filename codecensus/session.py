@@ -35,17 +35,23 @@ def get_session(master: str | None = None, app: str = "codecensus",
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only local runs (tests, bench)
-    may pass ``fallback``, which is used when the setting is absent.
+    On a cluster the submit configuration names a shared folder there and it
+    is used as is. Only local runs (tests, bench) may pass ``fallback``; it is
+    used when the setting is absent.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
+            raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder there")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a scratch checkpoint folder is only allowed in local mode")
         d = fallback
         os.makedirs(d, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codecensus import rules
 from codecensus.functions.paths import name_of, suffix_of
+from codecensus.functions import sql as S
 from codecensus.operators.classify import lookup
 
 ADO_ITEMS = "struct<value: array<struct<path: string, isFolder: boolean, size: bigint>>>"
@@ -81,16 +82,16 @@ def decode_contents(raw: DataFrame, on_error: str = "drop") -> DataFrame:
     raise ValueError(f"unknown on_error mode: {on_error}")
 
 
-def _collectable(path: Column) -> Column:
-    return (lookup(rules.CODE_EXTENSIONS, suffix_of(path)).isNotNull()
-            | F.lower(name_of(path)).isin(rules.COLLECT_EXTRA_NAMES))
+def _collectable(path: str) -> Column:
+    return S.expr(f"({S.map_lookup(rules.CODE_EXTENSIONS, S.suffix(path))} IS NOT NULL "
+                  f"OR {S.in_list('lower(' + S.name(path) + ')', rules.COLLECT_EXTRA_NAMES)})")
 
 
 def collect_code_files(contents: DataFrame) -> DataFrame:
     """Files a local walk keeps: the 20 code extensions plus four manifest
     names (compared lower-cased, so 'Dockerfile', 'Makefile', 'README.md'
     in the list never match)."""
-    return contents.where(_collectable(F.col("path")))
+    return contents.where(_collectable("path"))
 
 
 def collected_size(contents: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def retrieve_capped(listing_text: DataFrame, max_files: int = 50, max_chars: int
     top-N per repository before the shuffle, so text moves only for the
     survivors.
     """
-    keep = lookup(rules.CODE_EXTENSIONS, suffix_of("path")).isNotNull() & (F.coalesce("size", F.lit(0)) < max_chars)
+    keep = lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull() & (F.coalesce("size", F.lit(0)) < max_chars)
     if max_dir_depth is not None:
         keep = keep & (F.size(F.split("path", "/")) <= max_dir_depth + 1)
     w = Window.partitionBy("repo").orderBy("file_seq")
