@@ -52,10 +52,9 @@ def _base_path(kind: Column, r: Column) -> Column:
     return F.coalesce(fixed, F.when(kind == 15, manifest).otherwise(k18))
 
 
-def _content(kind: Column, r: Column, seq: Column, text: Column) -> Column:
+def _manifest_text(kind: Column, r: Column, seq: Column) -> Column:
+    """Text of the synthesised manifest files (NULL for prose files)."""
     s7 = _s(seq % 7)
-    preamble = F.element_at(_lit_array(PREAMBLES), (seq % 5 + 1).cast("int"))
-    m = kind == 15
     manifest_text = F.element_at(F.array(
         F.concat(F.lit('{"dependencies":{"react":"18","lib'), s7,
                  F.lit('":"1"},"devDependencies":{"jest":"29","webpack":"5"}}')),
@@ -70,30 +69,60 @@ def _content(kind: Column, r: Column, seq: Column, text: Column) -> Column:
     ), (r % 9 + 1).cast("int"))
     pins = F.concat(F.lit("# pins" + NL + "django==4.2" + NL + "pkg"), _s(seq % 5),
                     F.lit(">=1.0" + NL + "tilde~=1.0" + NL))
-    prose = F.concat(preamble, F.lit(NL + NL), text)
-    return (F.when(m & (r % 9 < 7), manifest_text)
-             .when((kind == 18) & (r % 2 == 1), pins)
-             .otherwise(prose))
+    return (F.when((kind == 15) & (r % 9 < 7), manifest_text)
+             .when((kind == 18) & (r % 2 == 1), pins))
+
+
+def _preamble(seq: Column) -> Column:
+    return F.element_at(_lit_array(PREAMBLES), (seq % 5 + 1).cast("int"))
+
+
+def _content(kind: Column, r: Column, seq: Column, text: Column) -> Column:
+    return F.coalesce(_manifest_text(kind, r, seq), F.concat(_preamble(seq), F.lit(NL + NL), text))
+
+
+def _size(kind: Column, r: Column, seq: Column, n_chars: Column) -> Column:
+    """length(content) without reading the text: the prose text's length is
+    ``documents.n_chars``."""
+    return F.coalesce(F.length(_manifest_text(kind, r, seq)),
+                      F.length(_preamble(seq)) + 2 + n_chars).cast("bigint")
+
+
+def _keys(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    cols = ["doc_id", "source", "n_chars"] + (["text"] if with_text else [])
+    d = _table(spark, sf_dir, "documents").select(*cols)
+    k = F.floor(F.col("doc_id") / 20).cast("bigint")
+    return d.select(F.col("source").alias("repo"), F.col("doc_id").alias("file_seq"), "n_chars",
+                    *(["text"] if with_text else []),
+                    (F.col("doc_id") % 20).alias("r"), k.alias("k"),
+                    ((k + F.col("doc_id")) % 20).alias("kind"))
+
+
+def _path(kind: Column, r: Column, k: Column, seq: Column) -> Column:
+    base = _base_path(kind, r)
+    return F.when(k < 20, base).otherwise(F.concat(F.lit("m"), _s(seq), F.lit("/"), base))
+
+
+def listing_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, file_seq, kind, r, path, size) without reading any text."""
+    a = _keys(spark, sf_dir, with_text=False)
+    kind, r, seq = F.col("kind"), F.col("r"), F.col("file_seq")
+    return a.select("repo", "file_seq", "kind", "r", _path(kind, r, F.col("k"), seq).alias("path"),
+                    _size(kind, r, seq, F.col("n_chars")).alias("size"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, file_seq, kind, r, path, content, size) — one row per document."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    k = F.floor(F.col("doc_id") / 20).cast("bigint")
-    a = d.select(F.col("source").alias("repo"), F.col("doc_id").alias("file_seq"), "text",
-                 (F.col("doc_id") % 20).alias("r"), k.alias("k"),
-                 ((k + F.col("doc_id")) % 20).alias("kind"))
-    base = _base_path(F.col("kind"), F.col("r"))
-    path = F.when(F.col("k") < 20, base).otherwise(
-        F.concat(F.lit("m"), _s(F.col("file_seq")), F.lit("/"), base))
-    content = _content(F.col("kind"), F.col("r"), F.col("file_seq"), F.col("text"))
-    return (a.select("repo", "file_seq", "kind", "r", path.alias("path"), content.alias("content"))
-             .withColumn("size", F.length("content").cast("bigint")))
+    a = _keys(spark, sf_dir, with_text=True)
+    kind, r, seq = F.col("kind"), F.col("r"), F.col("file_seq")
+    return a.select("repo", "file_seq", "kind", "r", _path(kind, r, F.col("k"), seq).alias("path"),
+                    _content(kind, r, seq, F.col("text")).alias("content"),
+                    _size(kind, r, seq, F.col("n_chars")).alias("size"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing: (repo, file_seq, path, name, type, size). No text column."""
-    c = corpus(spark, sf_dir)
+    """The listing: (repo, file_seq, path, name, type, size). Reads no text."""
+    c = listing_meta(spark, sf_dir)
     return c.select("repo", "file_seq", "path", name_of("path").alias("name"),
                     F.lit("file").alias("type"), "size")
 
@@ -114,7 +143,7 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies for the code files of the corpus; 1 in 11 is not JSON and
     1 in 17 calls failed (``error`` set)."""
-    c = corpus(spark, sf_dir)
+    c = listing_meta(spark, sf_dir)
     seq = F.col("file_seq")
     cx = (F.when(seq % 3 == 0, "Simple. ok").when(seq % 3 == 1, "Moderate - x").otherwise("Complex"))
     sug = (F.when(seq % 4 == 0, "Add unit tests").when(seq % 4 == 1, "Improve error handling")
@@ -130,7 +159,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def focus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).where(F.col("kind") == 5).select("repo", "path")
+    return listing_meta(spark, sf_dir).where(F.col("kind") == 5).select("repo", "path")
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +216,7 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two bounded aggregations: per (repo, language) then per repo (at most 42
     map entries per repository).
     """
-    c = corpus(spark, sf_dir).select("repo", "file_seq", "r", "path", "size")
+    c = listing_meta(spark, sf_dir).select("repo", "file_seq", "r", "path", "size")
     lang_map = F.create_map(*[x for kv in LANGUAGE_EXTENSIONS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     per_lang = (c.withColumn("language", F.element_at(lang_map, suffix_of("path")))
                  .where(F.col("language").isNotNull())
@@ -230,7 +259,7 @@ def ado_listing_pages(spark: SparkSession, sf_dir: str, page_size: int = 50) ->
     ``assets`` omit ``isFolder``. Each page holds at most ``2 * page_size``
     items, so no group grows with the data.
     """
-    c = corpus(spark, sf_dir).select("repo", "file_seq", "path", "size")
+    c = listing_meta(spark, sf_dir).select("repo", "file_seq", "path", "size")
     file_items = c.select(
         "repo", "file_seq", F.lit(1).alias("ord"),
         F.to_json(F.struct(F.concat(F.lit("/"), F.col("path")).alias("path"),
