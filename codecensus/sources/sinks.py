@@ -10,12 +10,12 @@ def write_reports(reports: DataFrame, path: str, doc_col: str = "report", doc_na
                   mode: str = "overwrite") -> None:
     """One Markdown document per repository: ``path/repo=<r>/doc=<name>/part-*.txt``.
 
-    Each row is one whole document; ``lineSep`` is empty so the text is
-    written exactly as rendered.
+    Each row is one whole document, written as rendered plus the text
+    writer's line separator ('\n') at the end.
     """
     out = reports.select("repo", F.lit(doc_name).alias("doc"), F.col(doc_col).alias("value"))
     (out.repartition("repo").write.mode(mode).partitionBy("repo", "doc")
-        .option("lineSep", "").text(path))
+        .text(path))
 
 
 def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
