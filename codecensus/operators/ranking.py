@@ -75,10 +75,11 @@ def key_files(listing_text: DataFrame, order_col: str = "file_seq") -> DataFrame
     return picked.select("repo", F.row_number().over(wp).alias("pos"), "path", "kind")
 
 
-def selection_score_sql(path: str = "path", content: str = "content", focus: str = "is_focus") -> str:
-    """Additive score used to pick files for explanation (SQL text)."""
+def selection_score_sql(path: str = "path", lines: str = "lines", keyword: str = "has_keyword",
+                        focus: str = "is_focus") -> str:
+    """Additive score used to pick files for explanation (SQL text) over the
+    per-file features ``lines`` and ``has_keyword``."""
     ln = f"lower({S.name(path)})"
-    lines = f"size(split({content}, '\\n', -1))"
     (lo1, hi1, p1), (lo2, hi2, p2) = rules.SEL_SIZE_BANDS
     base = S.points([
         (f"coalesce({focus}, false)", rules.SEL_FOCUS),
@@ -90,7 +91,7 @@ def selection_score_sql(path: str = "path", content: str = "content", focus: str
         (S.contains_any(ln, rules.SEL_MODEL_WORDS), rules.SEL_MODEL),
         (S.contains_any(ln, rules.SEL_TEST_WORDS), rules.SEL_TEST),
         (f"{S.map_lookup(rules.CODE_EXTENSIONS, S.suffix(path))} IS NOT NULL", rules.SEL_CODE_EXT),
-        (S.contains_any(f"lower({content})", rules.SEL_KEYWORDS), rules.SEL_KEYWORD),
+        (keyword, rules.SEL_KEYWORD),
         (f"NOT contains({path}, '/')", rules.SEL_ROOT),
     ])
     size_pts = (f"(CASE WHEN {lines} BETWEEN {lo1} AND {hi1} THEN {p1} WHEN {lines} BETWEEN {lo2} AND {hi2} "
@@ -98,6 +99,16 @@ def selection_score_sql(path: str = "path", content: str = "content", focus: str
     return f"({base} + {size_pts})"
 
 
+def selection_features(contents: DataFrame, max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
+    """Eligible code files reduced to (repo, path, file_seq, lines, has_keyword):
+    the text is read here, inside its own row, and dropped."""
+    eligible = contents.where(lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull()
+                              & (F.length("content") <= max_chars))
+    return eligible.select("repo", "path", "file_seq",
+                           S.expr("size(split(content, '\\n', -1))").alias("lines"),
+                           S.expr(S.contains_any("lower(content)", rules.SEL_KEYWORDS)).alias("has_keyword"))
+
+
 def _with_focus(contents: DataFrame, focus: DataFrame | None) -> DataFrame:
     if focus is None:
         return contents.withColumn("is_focus", F.lit(False))
@@ -109,12 +120,10 @@ def select_for_analysis(contents: DataFrame, focus: DataFrame | None = None,
                         n: int = rules.MAX_FILES_FOR_ANALYSIS,
                         max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
     """(repo, rank, path, file_seq, score): top N code files of at most
-    ``max_chars`` characters by score, ties in file order."""
-    eligible = contents.where(lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull()
-                              & (F.length("content") <= max_chars))
-    scored = _with_focus(eligible, focus).select(
-        "repo", "path", "file_seq",
-        S.expr(selection_score_sql()).alias("score"))
+    ``max_chars`` characters by score, ties in file order. The focus join and
+    the ranking see only narrow per-file features, never the text."""
+    scored = _with_focus(selection_features(contents, max_chars), focus).select(
+        "repo", "path", "file_seq", S.expr(selection_score_sql()).alias("score"))
     w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("file_seq"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
                   .select("repo", "rank", "path", "file_seq", "score"))
@@ -137,11 +146,12 @@ def selection_scores(contents: DataFrame, focus: DataFrame | None = None,
     """(repo, rank, path, score, selected, total_files, selected_files): the
     reduced score's top N with the real selection marked."""
     selected = select_for_analysis(contents, focus).select("repo", "path", F.lit(True).alias("selected"))
-    scored = _with_focus(contents, focus).select(
+    narrow = contents.select("repo", "path", "file_seq")
+    scored = _with_focus(narrow, focus).select(
         "repo", "path", "file_seq", S.expr(reduced_selection_score_sql()).alias("score"))
     w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("file_seq"))
     top = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    totals = contents.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"))
+    totals = narrow.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"))
     sel_n = selected.groupBy("repo").agg(F.count(F.lit(1)).alias("selected_files"))
     return (top.join(selected, ["repo", "path"], "left").join(totals, "repo").join(sel_n, "repo", "left")
                .select("repo", "rank", "path", "score", F.coalesce("selected", F.lit(False)).alias("selected"),
