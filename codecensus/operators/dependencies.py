@@ -212,3 +212,54 @@ def identify_tooling(deps: DataFrame) -> DataFrame:
         F.min(F.struct("file_seq", "scope_rank", "pos", F.col("h.tool_idx").alias("tool_idx"))).alias("first"))
     w = Window.partitionBy("repo", "category").orderBy("first")
     return first.select("repo", "category", F.row_number().over(w).alias("rank"), "tool")
+
+
+def _single(contents: DataFrame, manifest: str) -> DataFrame:
+    """One parser: the manifest's rows of ``extract_dependencies``."""
+    only = contents.where(S.expr(f"{S.name('path')} = {S.q(manifest)}"))
+    return extract_dependencies(only)
+
+
+def deps_npm(contents: DataFrame) -> DataFrame:
+    """package.json: keys of dependencies (prod) and devDependencies (dev)."""
+    return _single(contents, "package.json")
+
+
+def deps_pip(contents: DataFrame) -> DataFrame:
+    """requirements.txt: text before the first of > < = ! on kept lines."""
+    return _single(contents, "requirements.txt")
+
+
+def deps_pipenv(contents: DataFrame) -> DataFrame:
+    """Pipfile: names under [packages] (prod) and [dev-packages] (dev)."""
+    return _single(contents, "Pipfile")
+
+
+def deps_poetry(contents: DataFrame) -> DataFrame:
+    """pyproject.toml: every word followed by '='."""
+    return _single(contents, "pyproject.toml")
+
+
+def deps_cargo(contents: DataFrame) -> DataFrame:
+    """Cargo.toml: the package-manager entry only (no packages are read)."""
+    return package_managers(contents.where(S.expr(f"{S.name('path')} = 'Cargo.toml'")))
+
+
+def deps_go(contents: DataFrame) -> DataFrame:
+    """go.mod: second token of 'require ' lines."""
+    return _single(contents, "go.mod")
+
+
+def deps_maven(contents: DataFrame) -> DataFrame:
+    """pom.xml: every artifactId value."""
+    return _single(contents, "pom.xml")
+
+
+def deps_bundler(contents: DataFrame) -> DataFrame:
+    """Gemfile: quoted name on 'gem ' lines."""
+    return _single(contents, "Gemfile")
+
+
+def deps_composer(contents: DataFrame) -> DataFrame:
+    """composer.json: keys of require (prod) and require-dev (dev)."""
+    return _single(contents, "composer.json")

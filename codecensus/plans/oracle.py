@@ -1002,3 +1002,21 @@ CLONE_LIST = "clist as (select repo, file_seq, path, 'file' as type, cast(length
 oracle("analyze_clone", f"""
 select repo, 'functional' as doc, document as text from ({_quick_sql('clist', 'repos')}) q
 union all select repo, 'build_and_run', guide from guide""", (COLLECTED, GUIDE, CLONE_LIST, PER_LANG, REPOS))
+
+# ---------------------------------------------------------------- §2.4 single parsers, ADO issues, HTML
+for _fn, _mgr in [("deps_npm", "npm"), ("deps_pip", "pip"), ("deps_pipenv", "pipenv"), ("deps_poetry", "poetry"),
+                  ("deps_go", "go"), ("deps_maven", "maven"), ("deps_bundler", "bundler"),
+                  ("deps_composer", "composer")]:
+    oracle(_fn, f"select * from deps where manager = '{_mgr}'", DEP_CTES)
+oracle("deps_cargo", f"select repo, path, file_seq, {_mgr_case} as manager from man where name = 'Cargo.toml'",
+       (RELC, MAN))
+
+SQL["issue_candidates_ado"] = SQL["issue_candidates"].replace(
+    "where not exists (select 1 from open_issues o where o.repo = f.repo and lower(o.title) = lower(f.title))", "")
+
+PAGES = ("pages_files as (select regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as repo, "
+         "(case when regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) = '' then 'index' "
+         "else regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) end) || '.html' as path, "
+         "page_id as file_seq, html as content from pages)")
+_fm_html = tuple(x.replace("from relc", "from pages_files") for x in FM)
+oracle("file_metrics_html", "select * from fm", (PAGES,) + _fm_html)

@@ -613,4 +613,30 @@ def _ensure_checkpoint_dir(spark) -> None:
         checkpoint_dir(spark)
 
 
+# ---------------------------------------------------------------- §2.4 single parsers
+def _parser_query(fn_name: str):
+    def run(spark, sf_dir):
+        return getattr(D, fn_name)(_relevant_contents(spark, sf_dir))
+    run.__name__ = fn_name
+    return run
+
+
+for _fn in ("deps_npm", "deps_pip", "deps_pipenv", "deps_poetry", "deps_cargo", "deps_go", "deps_maven",
+            "deps_bundler", "deps_composer"):
+    query(_parser_query(_fn))
+
+
+@query
+def issue_candidates_ado(spark, sf_dir):
+    """The work-item variant: no check against open issue titles."""
+    items = _items(spark, sf_dir)
+    return X.issue_candidates(X.improvement_themes(items), items, None)
+
+
+@query
+def file_metrics_html(spark, sf_dir):
+    """Line metrics of the web pages as .html files (the '<!--' comment rule)."""
+    return M.file_metrics(src.pages_files(spark, sf_dir))
+
+
 FLAGSHIP = "language_distribution"
