@@ -11,6 +11,7 @@ on ``repo`` and concatenated; nothing passes through the driver.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,19 +24,25 @@ from codecensus.operators.classify import category_flags
 _PH = re.compile(r"\{(\w+)\}")
 
 
+@lru_cache(maxsize=None)
+def _lit(text: str) -> Column:
+    return F.lit(text)
+
+
 def fill(template: str, **values) -> Column:
-    """Template with {name} placeholders -> concat of literals and columns."""
+    """Template with {name} placeholders -> concat of literals and columns
+    (a NULL value prints as 'None', like an f-string)."""
     parts: list[Column] = []
     pos = 0
     for m in _PH.finditer(template):
         if m.start() > pos:
-            parts.append(F.lit(template[pos:m.start()]))
+            parts.append(_lit(template[pos:m.start()]))
         v = values[m.group(1)]
-        parts.append(v if isinstance(v, Column) else F.lit(str(v)))
+        parts.append(F.coalesce(v.cast("string"), _lit("None")) if isinstance(v, Column) else _lit(str(v)))
         pos = m.end()
     if pos < len(template):
-        parts.append(F.lit(template[pos:]))
-    return F.concat(*[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]) if parts else F.lit("")
+        parts.append(_lit(template[pos:]))
+    return F.concat(*parts) if parts else _lit("")
 
 
 def thousands(c: Column) -> Column:
@@ -72,11 +79,50 @@ def safe_percentages(files: DataFrame) -> DataFrame:
     return t.select("*", safe_percentage("test_files", "total_files").alias("test_pct"))
 
 
-def documentation_quality(files: DataFrame) -> DataFrame:
-    """(repo, documentation_files, total_files, ratio, tier)."""
+def repo_file_stats(files: DataFrame) -> DataFrame:
+    """Every per-repository counter the report reads from the listing, in ONE
+    partial aggregation: totals, the five categories, CI files (two marker
+    sets) and dependency manifests among configuration files."""
     fl = category_flags("path")
-    t = files.groupBy("repo").agg(F.count_if(fl["documentation"]).alias("documentation_files"),
-                                  F.count(F.lit(1)).alias("total_files"))
+    lp = F.lower(F.col("path"))
+    ci = fl["config"] & contains_any(lp, rules.CI_MARKERS)
+    ci_narrow = fl["config"] & (F.col("path").contains(".github/workflows") | lp.contains("travis"))
+    dep = fl["config"] & contains_any(lp, rules.DEP_MANIFEST_MARKERS)
+    return files.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("total_files"),
+        F.sum(F.coalesce(F.col("size"), F.lit(0))).cast("bigint").alias("total_size"),
+        *[F.count_if(fl[c]).alias(f"n_{c}") for c in rules.CATEGORIES],
+        F.count_if(ci).alias("n_ci"), F.count_if(ci_narrow).alias("n_ci_narrow"), F.count_if(dep).alias("n_dep"))
+
+
+def fm_stats(fm: DataFrame) -> DataFrame:
+    """Per-repo line totals, shares and complexity-indicator counts in one aggregation."""
+    t = fm.groupBy("repo").agg(
+        F.sum("lines").alias("total_lines"), F.sum("code_lines").alias("code_lines"),
+        F.sum("comment_lines").alias("comment_lines"), F.sum("blank_lines").alias("blank_lines"),
+        F.count(F.lit(1)).alias("files_analyzed"),
+        F.count_if(F.col("lines") > rules.LARGE_FILE_LINES).alias("n_big"),
+        F.count_if(F.col("max_indentation") > rules.DEEP_NESTING_LEVEL).alias("n_deep"))
+    return t.select("*", safe_percentage("code_lines", "total_lines").alias("code_pct"),
+                    safe_percentage("comment_lines", "total_lines").alias("comment_pct"),
+                    safe_percentage("blank_lines", "total_lines").alias("blank_pct"))
+
+
+def category_counts_from(stats: DataFrame) -> DataFrame:
+    """(repo, category, files) from ``repo_file_stats`` (non-zero only)."""
+    arr = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"n_{c}").alias("files")) for c in rules.CATEGORIES])
+    return (stats.select("repo", F.explode(arr).alias("s"))
+                 .select("repo", "s.category", "s.files").where(F.col("files") > 0))
+
+
+def documentation_quality(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(repo, documentation_files, total_files, ratio, tier)."""
+    if stats is None:
+        fl = category_flags("path")
+        t = files.groupBy("repo").agg(F.count_if(fl["documentation"]).alias("documentation_files"),
+                                      F.count(F.lit(1)).alias("total_files"))
+    else:
+        t = stats.select("repo", F.col("n_documentation").alias("documentation_files"), "total_files")
     n = F.col("documentation_files")
     tier = None
     for bound, label in rules.DOC_TIERS:
@@ -108,15 +154,16 @@ def _first_n(df: DataFrame, n: int, alias: str, keys=("repo",)) -> DataFrame:
          .alias(alias))
 
 
-def development_workflow(files: DataFrame, repos: DataFrame) -> DataFrame:
+def development_workflow(files: DataFrame, repos: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Per repo: CI files among configuration files (count and first 5), test
     files and share, build files (count and first 5), repository features."""
     fl = category_flags("path")
     lp = F.lower(F.col("path"))
     f = files.select("repo", "file_seq", "path", (fl["config"] & contains_any(lp, rules.CI_MARKERS)).alias("ci"),
                      fl["test"].alias("test"), fl["build"].alias("build"))
-    counts = f.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"), F.count_if("ci").alias("ci_files"),
-                                   F.count_if("test").alias("test_files"), F.count_if("build").alias("build_files"))
+    st = repo_file_stats(files) if stats is None else stats
+    counts = st.select("repo", "total_files", F.col("n_ci").alias("ci_files"), F.col("n_test").alias("test_files"),
+                       F.col("n_build").alias("build_files"))
     ci = _first_n(f.where("ci"), rules.BUILD_FILES_SHOWN, "ci_shown")
     build = _first_n(f.where("build"), rules.BUILD_FILES_SHOWN, "build_shown")
     feats = repos.select("repo", F.coalesce("has_issues", F.lit(False)).alias("has_issues"),
@@ -138,18 +185,14 @@ def suggestion_text(value: Column, is_string: Column) -> Column:
 
 
 def recommendation_inputs(files: DataFrame, fm: DataFrame, flags_arch: DataFrame,
-                          items: DataFrame | None) -> DataFrame:
+                          items: DataFrame | None, stats: DataFrame | None = None,
+                          fmstats: DataFrame | None = None) -> DataFrame:
     """One row per repo with every count the recommendation rules read."""
-    fl = category_flags("path")
-    lp = F.lower(F.col("path"))
-    ci = fl["config"] & (F.col("path").contains(".github/workflows") | lp.contains("travis"))
-    dep = fl["config"] & contains_any(lp, rules.DEP_MANIFEST_MARKERS)
-    s = files.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files"),
-                                  F.count_if(fl["documentation"]).alias("docs"),
-                                  F.count_if(fl["test"]).alias("tests"),
-                                  F.count_if(ci).alias("ci"), F.count_if(dep).alias("dep_files"))
-    m = fm.groupBy("repo").agg(F.count_if(F.col("lines") > rules.LARGE_FILE_LINES).alias("large"),
-                               F.count_if(F.col("max_indentation") > rules.DEEP_NESTING_LEVEL).alias("nested"))
+    st = repo_file_stats(files) if stats is None else stats
+    fs = fm_stats(fm) if fmstats is None else fmstats
+    s = st.select("repo", "total_files", F.col("n_documentation").alias("docs"), F.col("n_test").alias("tests"),
+                  F.col("n_ci_narrow").alias("ci"), F.col("n_dep").alias("dep_files"))
+    m = fs.select("repo", F.col("n_big").alias("large"), F.col("n_deep").alias("nested"))
     out = s.join(m, "repo", "left").join(flags_arch, "repo", "left")
     if items is not None:
         sug = items.where(F.col("field") == "improvement_suggestions").select(
@@ -353,9 +396,10 @@ def dependencies_section(deps: DataFrame, top: DataFrame, base: DataFrame) -> Da
 
 def metrics_section(totals: DataFrame, by_lang: DataFrame, lang_first: DataFrame, fm: DataFrame,
                     base: DataFrame) -> DataFrame:
-    """``base``: one row per repository (the section is rendered for all)."""
+    """``totals``: ``fm_stats`` rows; ``base``: one row per repository (the
+    section is rendered for all)."""
     totals = base.select("repo").join(totals, "repo", "left").fillna(
-        0, ["total_lines", "code_lines", "comment_lines", "blank_lines", "files_analyzed"]).fillna(
+        0, ["total_lines", "code_lines", "comment_lines", "blank_lines", "files_analyzed", "n_big", "n_deep"]).fillna(
         0.0, ["code_pct", "comment_pct", "blank_pct"])
     rows = block(by_lang.join(lang_first, ["repo", "language"]).withColumn("neg", -F.col("lines")),
                  ["neg", "first_seq"],
@@ -372,9 +416,7 @@ def metrics_section(totals: DataFrame, by_lang: DataFrame, lang_first: DataFrame
 
     big_lines = capped(big, fill(T.LARGE_FILE_LINE, path=F.col("path"), lines=F.col("lines")), "big_lines")
     deep_lines = capped(deep, fill(T.NESTED_LINE, path=F.col("path"), depth=F.col("max_indentation")), "deep_lines")
-    counts = fm.groupBy("repo").agg(F.count_if(F.col("lines") > rules.LARGE_FILE_LINES).alias("n_big"),
-                                    F.count_if(F.col("max_indentation") > rules.DEEP_NESTING_LEVEL).alias("n_deep"))
-    j = (totals.join(rows, "repo", "left").join(counts, "repo", "left").join(big_lines, "repo", "left")
+    j = (totals.join(rows, "repo", "left").join(big_lines, "repo", "left")
                .join(deep_lines, "repo", "left").fillna("", ["rows", "big_lines", "deep_lines"])
                .fillna(0, ["n_big", "n_deep"]))
 
@@ -449,8 +491,8 @@ def code_analysis_section(explanations: DataFrame, insights: DataFrame, order: D
     return insights.join(files, "repo").select("repo", text.alias("text"))
 
 
-def documentation_section(files: DataFrame) -> DataFrame:
-    q = documentation_quality(files)
+def documentation_section(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    q = documentation_quality(files, stats)
     g = documentation_groups(files)
     named = g.where(F.col("doc_group") != "Other")
     gi = F.create_map(*[x for i, (grp, _) in enumerate(rules.DOC_GROUPS) for x in (F.lit(grp), F.lit(i))])
@@ -481,12 +523,12 @@ def documentation_section(files: DataFrame) -> DataFrame:
     return j.select("repo", text.alias("text"))
 
 
-def workflow_section(files: DataFrame, repos: DataFrame) -> DataFrame:
+def workflow_section(files: DataFrame, repos: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     fl = category_flags("path")
     lp = F.lower(F.col("path"))
     ci_rows = files.where(fl["config"] & contains_any(lp, rules.CI_MARKERS))
     ci = block(ci_rows, ["file_seq"], fill(T.DOC_FILE_LINE, path=F.col("path")), "ci_lines")
-    wf = development_workflow(files, repos)
+    wf = development_workflow(files, repos, stats)
     build_rows = files.where(fl["build"])
     w = Window.partitionBy("repo").orderBy("file_seq")
     build = block(build_rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rules.BUILD_FILES_SHOWN),

@@ -1,8 +1,9 @@
 """§2.11 Analysis modes: compositions of the operators.
 
 ``analyze_quick`` never reads text. ``analyze_full`` filters and limits the
-listing once, materialises that relevant listing in the shared checkpoint
-folder (it feeds a dozen branches), then derives every section from it.
+listing once, writes that relevant listing as a table in the shared
+checkpoint folder (it feeds a dozen branches; each reads only its columns),
+then derives every section from it.
 ``analyze_clone`` is the collected-files flow with its three documents and
 issue candidates.
 """
@@ -46,7 +47,7 @@ def analyze_full(listing_text: DataFrame, repos: DataFrame, responses: DataFrame
     rel = C.limit_files(C.filter_files(listing_text), max_files=max_files)
     rel = rel.withColumn("file_seq", F.col("list_pos"))
     if materialize:
-        rel = cut_lineage(rel)
+        rel = cut_lineage(rel, "relevant_listing")
     files = rel.select("repo", "file_seq", "path", "name", "type", "size")
     texts = rel.where(F.col("content").isNotNull()).select("repo", "path", "file_seq", "content")
 
@@ -55,18 +56,24 @@ def analyze_full(listing_text: DataFrame, repos: DataFrame, responses: DataFrame
     flags = PT.pattern_flags(rel.select("repo", "path", "content"))
     pt = PT.detect_project_type(flags)
     fm = M.file_metrics(texts)
+    if materialize:
+        # narrow per-file numbers read by four sections: computed from text once
+        fm = cut_lineage(fm, "file_metrics")
     deps = D.extract_dependencies(texts)
     managers = D.package_managers(texts)
     tooling = D.identify_tooling(deps)
+    stats = RP.repo_file_stats(files)
+    fstats = RP.fm_stats(fm)
 
     sections = [
         RP.header_section(overview, analysis_date),
         RP.overview_section(overview, pt, R.language_bytes_share(repos)),
-        RP.structure_section(S.structure_totals(files), S.language_distribution(files), _lang_first(files),
-                             S.directory_distribution(files), S.category_counts(files), S.largest_files(files)),
+        RP.structure_section(stats.select("repo", "total_files", "total_size"), S.language_distribution(files),
+                             _lang_first(files), S.directory_distribution(files), RP.category_counts_from(stats),
+                             S.largest_files(files)),
         RP.tech_stack_section(RP.technology_stack(flags, managers, tooling)),
         RP.dependencies_section(deps, D.top_dependencies(deps), base),
-        RP.metrics_section(M.code_metrics_totals(fm), M.code_metrics_by_language(fm), _lang_first(files), fm, base),
+        RP.metrics_section(fstats, M.code_metrics_by_language(fm), _lang_first(files), fm, base),
         RP.architecture_section(flags),
     ]
     items = None
@@ -82,9 +89,10 @@ def analyze_full(listing_text: DataFrame, repos: DataFrame, responses: DataFrame
         sections.append(RP.code_analysis_section(expl, X.insights_summary(expl, items), order))
     arch_n = flags.select("repo", F.size(PT.architecture_expr()).alias("n_arch"))
     sections += [
-        RP.documentation_section(files),
-        RP.workflow_section(files, repos),
-        RP.recommendations_section(RP.recommendations(RP.recommendation_inputs(files, fm, arch_n, items))),
+        RP.documentation_section(files, stats),
+        RP.workflow_section(files, repos, stats),
+        RP.recommendations_section(RP.recommendations(
+            RP.recommendation_inputs(files, fm, arch_n, items, stats, fstats))),
         RP.footer_section(repos.select("repo"), analysis_date.replace(" ", " at ", 1)),
     ]
     return RP.render_report(sections, repos)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +56,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint).
+def cut_lineage(df: DataFrame, name: str = "intermediate") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and continue from that table.
 
-    Used where one intermediate feeds many branches of a composite plan; the
-    result survives executor loss because it lives in the shared folder.
+    One job computes ``df`` once (``Dataset.checkpoint`` would compute it a
+    second time to write it); the table survives executor loss because it
+    lives in the shared folder, and later branches read only the columns
+    they use.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
