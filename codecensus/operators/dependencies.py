@@ -138,6 +138,32 @@ def _dep_key(name: Column) -> Column:
     return e
 
 
+def manifest_columns(name: Column, content: Column) -> list[Column]:
+    """Per-file manifest outputs (NULL for other files): the dependency key,
+    the parsed (scope, pos, package) rows and the package-manager entry."""
+    is_manifest = name.isin(list(MANIFESTS))
+    entry = None
+    for n, (mgr, _) in MANIFESTS.items():
+        entry = F.when(name == n, F.lit(mgr)) if entry is None else entry.when(name == n, F.lit(mgr))
+    ok = ~name.isin(list(JSON_MANIFESTS)) | json_valid(content)
+    return [F.when(is_manifest, _dep_key(name)).alias("dep_manager"),
+            F.when(is_manifest, _parsed(name, content)).alias("dep_items"),
+            F.when(is_manifest & ok, entry).alias("pm_entry")]
+
+
+def dependencies_from(features: DataFrame) -> DataFrame:
+    """``extract_dependencies`` rows from per-file ``manifest_columns``."""
+    rows = features.where(F.col("dep_items").isNotNull()).select(
+        "repo", "path", "file_seq", F.col("dep_manager").alias("manager"), F.explode("dep_items").alias("d"))
+    return rows.select("repo", "path", "file_seq", "manager", F.col("d.scope").alias("scope"),
+                       F.col("d.pos").alias("pos"), F.col("d.package").alias("package"))
+
+
+def package_managers_from(features: DataFrame) -> DataFrame:
+    return features.where(F.col("pm_entry").isNotNull()).select(
+        "repo", "path", "file_seq", F.col("pm_entry").alias("manager"))
+
+
 def extract_dependencies(contents: DataFrame) -> DataFrame:
     """(repo, path, file_seq, manager, scope, pos, package) for all nine parsers."""
     m = manifests(contents)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codecensus import rules
 from codecensus.functions import sql as S
+from codecensus.session import ensure_parallelism
 from codecensus.functions.text import WS, is_blank, lines_of, safe_percentage
 from codecensus.operators.classify import lookup
 
@@ -37,25 +38,28 @@ def _comment_test(language: Column, line: Column) -> Column:
     return expr.otherwise(line.rlike(comment_regex(rules.DEFAULT_COMMENT_PREFIXES)))
 
 
+def metric_columns(lines: Column, language: Column) -> list[Column]:
+    """Per-file line classes and indentation from an array of lines (in-row)."""
+    nonblank = F.filter(lines, lambda l: ~is_blank(l))
+    comments = F.filter(nonblank, lambda l: _comment_test(language, l))
+    indent = F.array_max(F.transform(nonblank, lambda l: F.length(F.regexp_extract(l, f"^{WS}*", 0))))
+    step = F.when(language == "Python", F.lit(4)).otherwise(F.lit(2))
+    return [F.size(lines).cast("bigint").alias("lines"),
+            (F.size(lines) - F.size(nonblank)).cast("bigint").alias("blank_lines"),
+            F.size(comments).cast("bigint").alias("comment_lines"),
+            (F.size(nonblank) - F.size(comments)).cast("bigint").alias("code_lines"),
+            F.coalesce(F.floor(indent / step), F.lit(0)).cast("int").alias("max_indentation")]
+
+
 def file_metrics(contents: DataFrame) -> DataFrame:
     """(repo, path, file_seq, language, lines, blank_lines, comment_lines,
     code_lines, max_indentation) for non-empty files with a known language."""
     lang = lookup(rules.LANGUAGE_EXTENSIONS, S.suffix("path"))
-    base = (contents.select("repo", "path", "file_seq", "content", lang.alias("language"))
-                    .where(F.col("language").isNotNull() & (F.length("content") > 0))
+    base = (ensure_parallelism(contents.select("repo", "path", "file_seq", "content", lang.alias("language"))
+                               .where(F.col("language").isNotNull() & (F.length("content") > 0)))
                     .select("repo", "path", "file_seq", "language", lines_of("content").alias("_lines")))
-    language = F.col("language")
-    nonblank = F.filter("_lines", lambda l: ~is_blank(l))
-    comments = F.filter(nonblank, lambda l: _comment_test(language, l))
-    indent = F.array_max(F.transform(nonblank, lambda l: F.length(F.regexp_extract(l, f"^{WS}*", 0))))
-    step = F.when(language == "Python", F.lit(4)).otherwise(F.lit(2))
-    return base.select(
-        "repo", "path", "file_seq", "language",
-        F.size("_lines").cast("bigint").alias("lines"),
-        (F.size("_lines") - F.size(nonblank)).cast("bigint").alias("blank_lines"),
-        F.size(comments).cast("bigint").alias("comment_lines"),
-        (F.size(nonblank) - F.size(comments)).cast("bigint").alias("code_lines"),
-        F.coalesce(F.floor(indent / step), F.lit(0)).cast("int").alias("max_indentation"))
+    return base.select("repo", "path", "file_seq", "language",
+                       *metric_columns(F.col("_lines"), F.col("language")))
 
 
 def code_metrics_totals(fm: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codecensus import rules
 from codecensus.functions import sql as S
+from codecensus.session import ensure_parallelism
 
 
 def _terms() -> list[str]:
@@ -39,14 +40,28 @@ TERMS = _terms()
 FLAG_OF = {t: f"t{i}" for i, t in enumerate(TERMS)}
 
 
-def pattern_flag_sql() -> list[str]:
-    """Aggregate expressions (SQL text) over rows with ``lc`` = lower(text)."""
+def term_hit_sql() -> list[str]:
+    """Per-file keyword hits (SQL text) over ``lc`` = lower(text): one
+    boolean per term plus the two root package.json tests."""
+    return ([f"contains(lc, {S.q(t)}) AS {FLAG_OF[t]}" for t in TERMS]
+            + [f"(path = 'package.json' AND {S.contains_any('lc', rules.FRONTEND_MARKERS)}) AS pkg_frontend",
+               f"(path = 'package.json' AND {S.contains_any('lc', rules.BACKEND_MARKERS)}) AS pkg_backend"])
+
+
+def pattern_flag_sql(from_hits: bool = False) -> list[str]:
+    """Aggregate expressions (SQL text) over rows with ``lc`` = lower(text),
+    or over per-file hit columns (``term_hit_sql``) when ``from_hits``."""
     n = S.name("path")
-    aggs = [f"bool_or(contains(lc, {S.q(t)})) AS {FLAG_OF[t]}" for t in TERMS]
+    if from_hits:
+        aggs = [f"bool_or({FLAG_OF[t]}) AS {FLAG_OF[t]}" for t in TERMS]
+        aggs += ["bool_or(pkg_frontend) AS pkg_frontend", "bool_or(pkg_backend) AS pkg_backend"]
+    else:
+        aggs = [f"bool_or(contains(lc, {S.q(t)})) AS {FLAG_OF[t]}" for t in TERMS]
+        aggs += [
+            f"bool_or(path = 'package.json' AND {S.contains_any('lc', rules.FRONTEND_MARKERS)}) AS pkg_frontend",
+            f"bool_or(path = 'package.json' AND {S.contains_any('lc', rules.BACKEND_MARKERS)}) AS pkg_backend"]
     aggs += [
         f"bool_or({n} = 'package.json') AS has_package_json",
-        f"bool_or(path = 'package.json' AND {S.contains_any('lc', rules.FRONTEND_MARKERS)}) AS pkg_frontend",
-        f"bool_or(path = 'package.json' AND {S.contains_any('lc', rules.BACKEND_MARKERS)}) AS pkg_backend",
         f"bool_or({S.in_list(n, rules.PYTHON_MANIFESTS)}) AS has_python_manifest",
         f"bool_or({S.in_list(n, rules.MOBILE_MANIFESTS)}) AS has_mobile_manifest",
         f"bool_or({S.in_list(n, rules.JAVA_MANIFESTS)}) AS has_java_manifest",
@@ -70,10 +85,20 @@ def pattern_flags(listing_text: DataFrame) -> DataFrame:
     per file; each term is one ``contains`` in a single partial aggregation.
     """
     lc = F.lower(F.coalesce(F.col("content"), F.lit(""))).alias("lc")
-    return (listing_text.select("repo", "path", lc)
+    return (ensure_parallelism(listing_text.select("repo", "path", "content")).select("repo", "path", lc)
                         .groupBy("repo").agg(*[S.expr(a) for a in pattern_flag_sql()]))
 
 
+def pattern_flags_from_hits(features: DataFrame) -> DataFrame:
+    """``pattern_flags`` from per-file hit columns (no text)."""
+    return features.groupBy("repo").agg(*[S.expr(a) for a in pattern_flag_sql(from_hits=True)])
+
+
+def term_hit_columns() -> list[Column]:
+    """Per-file hit columns; the row needs ``lc`` (lower-cased text) and ``path``."""
+    return [S.expr(x) for x in term_hit_sql()]
+
+
 def _any(terms) -> Column:
     out = None
     for t in terms:

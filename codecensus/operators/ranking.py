@@ -44,12 +44,22 @@ def key_files(listing_text: DataFrame, order_col: str = "file_seq") -> DataFrame
     ``listing_text`` holds the relevant listing with ``content`` (NULL when
     the text was not fetched).
     """
+    return _key_files(listing_text.select(
+        "repo", "path", F.col(order_col).alias("seq"), _line_count(F.col("content")).alias("lines"),
+        F.col("content").isNotNull().alias("has_text")))
+
+
+def key_files_from(features: DataFrame) -> DataFrame:
+    """``key_files`` over per-file features (``n_lines``, ``has_text``): no text."""
+    return _key_files(features.select("repo", "path", F.col("file_seq").alias("seq"),
+                                      F.coalesce(F.col("n_lines"), F.lit(1)).alias("lines"), "has_text"))
+
+
+def _key_files(narrow: DataFrame) -> DataFrame:
     quota = F.create_map(*[x for c, q in rules.KEY_QUOTAS for x in (F.lit(c), F.lit(q))])
     class_idx = F.create_map(*[x for i, c in enumerate(KEY_CLASSES) for x in (F.lit(c), F.lit(i))])
-    narrow = listing_text.select(
-        "repo", "path", F.col(order_col).alias("seq"), S.expr(key_file_class_sql("path")).alias("kind"),
-        S.expr(S.in_list(S.suffix("path"), rules.KEY_EXTRA_SUFFIXES)).alias("extra_ok"),
-        _line_count(F.col("content")).alias("lines"), F.col("content").isNotNull().alias("has_text"))
+    narrow = narrow.select("*", S.expr(key_file_class_sql("path")).alias("kind"),
+                           S.expr(S.in_list(S.suffix("path"), rules.KEY_EXTRA_SUFFIXES)).alias("extra_ok"))
     max_q = max(q for _, q in rules.KEY_QUOTAS)
     wc = Window.partitionBy("repo", "kind").orderBy("seq")
     chosen = (narrow.where(F.col("kind").isNotNull())
@@ -116,17 +126,32 @@ def _with_focus(contents: DataFrame, focus: DataFrame | None) -> DataFrame:
     return contents.join(f, ["repo", "path"], "left")
 
 
+def select_from_features(features: DataFrame, focus: DataFrame | None = None,
+                         n: int = rules.MAX_FILES_FOR_ANALYSIS,
+                         max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
+    """``select_for_analysis`` over per-file features (``chars``, ``n_lines``,
+    ``has_keyword``): no text."""
+    eligible = features.where(lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull()
+                              & (F.col("chars") <= max_chars))
+    return _select(eligible.select("repo", "path", "file_seq", F.col("n_lines").alias("lines"), "has_keyword"),
+                   focus, n)
+
+
+def _select(feats: DataFrame, focus: DataFrame | None, n: int) -> DataFrame:
+    scored = _with_focus(feats, focus).select(
+        "repo", "path", "file_seq", S.expr(selection_score_sql()).alias("score"))
+    w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("file_seq"))
+    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+                  .select("repo", "rank", "path", "file_seq", "score"))
+
+
 def select_for_analysis(contents: DataFrame, focus: DataFrame | None = None,
                         n: int = rules.MAX_FILES_FOR_ANALYSIS,
                         max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
     """(repo, rank, path, file_seq, score): top N code files of at most
     ``max_chars`` characters by score, ties in file order. The focus join and
     the ranking see only narrow per-file features, never the text."""
-    scored = _with_focus(selection_features(contents, max_chars), focus).select(
-        "repo", "path", "file_seq", S.expr(selection_score_sql()).alias("score"))
-    w = Window.partitionBy("repo").orderBy(F.col("score").desc(), F.col("file_seq"))
-    return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-                  .select("repo", "rank", "path", "file_seq", "score"))
+    return _select(selection_features(contents, max_chars), focus, n)
 
 
 def reduced_selection_score_sql(path: str = "path", focus: str = "is_focus") -> str:

@@ -1,9 +1,10 @@
 """§2.11 Analysis modes: compositions of the operators.
 
-``analyze_quick`` never reads text. ``analyze_full`` filters and limits the
-listing once, writes that relevant listing as a table in the shared
-checkpoint folder (it feeds a dozen branches; each reads only its columns),
-then derives every section from it.
+``analyze_quick`` never reads text. ``analyze_full`` reads the text once,
+turning each relevant file into narrow features (``plans.features``), limits
+the listing on those narrow rows, writes the feature table to the shared
+checkpoint folder (it feeds a dozen branches) and derives every section
+from it; no text is shuffled or read twice.
 ``analyze_clone`` is the collected-files flow with its three documents and
 issue candidates.
 """
@@ -22,6 +23,7 @@ from codecensus.operators import patterns as PT
 from codecensus.operators import ranking as K
 from codecensus.operators import reports as RP
 from codecensus.operators import structure as S
+from codecensus.plans import features as FT
 from codecensus.session import cut_lineage
 from codecensus.sources import readers as R
 
@@ -44,23 +46,21 @@ def analyze_full(listing_text: DataFrame, repos: DataFrame, responses: DataFrame
     ``listing_text``: listing columns plus ``content`` (NULL when the text
     was not fetched). ``responses``: model replies for the selected files.
     """
-    rel = C.limit_files(C.filter_files(listing_text), max_files=max_files)
-    rel = rel.withColumn("file_seq", F.col("list_pos"))
+    # one map-only pass reads the text; the limit window and every later
+    # step see narrow per-file features only
+    feats = FT.file_features(C.filter_files(listing_text))
+    feats = C.limit_files(feats, max_files=max_files).withColumn("file_seq", F.col("list_pos"))
     if materialize:
-        rel = cut_lineage(rel, "relevant_listing")
-    files = rel.select("repo", "file_seq", "path", "name", "type", "size")
-    texts = rel.where(F.col("content").isNotNull()).select("repo", "path", "file_seq", "content")
+        feats = cut_lineage(feats, "file_features")
+    files = feats.select("repo", "file_seq", "path", "name", "type", "size")
 
     overview = R.repo_overview(repos)
     base = repos.select("repo")
-    flags = PT.pattern_flags(rel.select("repo", "path", "content"))
+    flags = PT.pattern_flags_from_hits(feats)
     pt = PT.detect_project_type(flags)
-    fm = M.file_metrics(texts)
-    if materialize:
-        # narrow per-file numbers read by four sections: computed from text once
-        fm = cut_lineage(fm, "file_metrics")
-    deps = D.extract_dependencies(texts)
-    managers = D.package_managers(texts)
+    fm = FT.metrics_from(feats)
+    deps = D.dependencies_from(feats)
+    managers = D.package_managers_from(feats)
     tooling = D.identify_tooling(deps)
     stats = RP.repo_file_stats(files)
     fstats = RP.fm_stats(fm)
@@ -78,9 +78,9 @@ def analyze_full(listing_text: DataFrame, repos: DataFrame, responses: DataFrame
     ]
     items = None
     if responses is not None:
-        keys = K.key_files(rel).select("repo", "path")
+        keys = K.key_files_from(feats).select("repo", "path")
         focus_all = keys if focus is None else keys.unionByName(focus.select("repo", "path"))
-        selected = K.select_for_analysis(texts, focus_all)
+        selected = K.select_from_features(feats, focus_all)
         sel_resp = responses.join(selected.select("repo", "path", F.col("rank").alias("sel_rank")),
                                   ["repo", "path"], "left_semi")
         expl = X.parse_responses(sel_resp)

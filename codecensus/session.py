@@ -70,3 +70,17 @@ def cut_lineage(df: DataFrame, name: str = "intermediate") -> DataFrame:
     path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work over every core.
+
+    Only when the input has fewer partitions than the default parallelism
+    (a small input with few row groups) is it redistributed round-robin; a
+    large input already has many splits and is left untouched, so no shuffle
+    is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
