@@ -80,6 +80,8 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
     large input already has many splits and is left untouched, so no shuffle
     is added at scale.
     """
+    if df.isStreaming:
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
