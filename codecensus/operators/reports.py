@@ -301,6 +301,31 @@ def build_run_guide(collected: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- documents
+# A document is a set of line-aligned fragments (repo, part, ord, text) per
+# section. Lists that grow with a repository's own files (documentation
+# files, CI files, manifests) stay one row per line; every other block is a
+# single fragment built from capped lists.
+LAST = 1 << 62
+FRAGMENT = ["repo", "part", "ord", "text"]
+
+
+def one_fragment(df: DataFrame, text: Column, part: int = 0) -> DataFrame:
+    return df.select("repo", F.lit(part).alias("part"), F.lit(0).cast("bigint").alias("ord"), text.alias("text"))
+
+
+def list_fragments(rows: DataFrame, part: int, head: str, line: Column, tail: str = "\n",
+                   order: str = "file_seq") -> DataFrame:
+    """A head line, one fragment per row (ordered by ``order``) and a tail;
+    heads and tails exist only for repositories with rows."""
+    keys = rows.select("repo").distinct()
+    return (keys.select("repo", F.lit(part).alias("part"), F.lit(-1).cast("bigint").alias("ord"),
+                        F.lit(head).alias("text"))
+            .unionByName(rows.select("repo", F.lit(part).alias("part"), F.col(order).cast("bigint").alias("ord"),
+                                     line.alias("text")))
+            .unionByName(keys.select("repo", F.lit(part).alias("part"), F.lit(LAST).cast("bigint").alias("ord"),
+                                     F.lit(tail).alias("text"))))
+
+
 def _pct_text(part: Column, total: Column) -> Column:
     return fmt1(safe_percentage(part, total))
 
@@ -357,20 +382,23 @@ def structure_section(totals: DataFrame, lang_dist: DataFrame, lang_first: DataF
 
 
 def tech_stack_section(stack: DataFrame) -> DataFrame:
-    """From technology_stack rows."""
-    sections = stack.groupBy("repo", "section").agg(
+    """From technology_stack rows; the package-manager list (one entry per
+    manifest file) stays one fragment per line."""
+    bounded = stack.where(F.col("section") != "package_managers")
+    sections = bounded.groupBy("repo", "section").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))),
                                  lambda x: F.concat(F.lit("- "), x["item"], F.lit("\n"))), "").alias("lines"))
-    wide = sections.groupBy("repo").pivot("section", ["project_type", *T.TECH_CATEGORY_ORDER, "package_managers",
+    wide = sections.groupBy("repo").pivot("section", ["project_type", *T.TECH_CATEGORY_ORDER,
                                                       "frameworks", "build_tools", "testing_frameworks"]) \
                    .agg(F.first("lines"))
     pt = F.regexp_replace(F.coalesce(F.col("project_type"), F.lit("- Unknown\n")), r"^- |\n$", "")
     cats = [_when_nonempty(F.col(c), f"### {T.TECH_CATEGORY_LABELS[c]}\n\n", "\n") for c in T.TECH_CATEGORY_ORDER]
     tools = F.concat(*[_when_nonempty(F.col(k), head, "\n") for k, head in T.TOOL_GROUP_LABELS])
-    text = F.concat(fill(T.TECH_STACK, project_type=pt), *cats,
-                    _when_nonempty(F.col("package_managers"), T.PACKAGE_MANAGERS_HEAD, "\n"),
-                    _when_nonempty(tools, T.DEV_TOOLS_HEAD))
-    return wide.select("repo", text.alias("text"))
+    managers = stack.where(F.col("section") == "package_managers").withColumnRenamed("pos", "file_seq")
+    return (one_fragment(wide, F.concat(fill(T.TECH_STACK, project_type=pt), *cats), 0)
+            .unionByName(list_fragments(managers, 1, T.PACKAGE_MANAGERS_HEAD,
+                                        F.concat(F.lit("- "), F.col("item"), F.lit("\n"))))
+            .unionByName(one_fragment(wide, _when_nonempty(tools, T.DEV_TOOLS_HEAD), 2)))
 
 
 def dependencies_section(deps: DataFrame, top: DataFrame, base: DataFrame) -> DataFrame:
@@ -495,52 +523,46 @@ def documentation_section(files: DataFrame, stats: DataFrame | None = None) -> D
     q = documentation_quality(files, stats)
     g = documentation_groups(files)
     named = g.where(F.col("doc_group") != "Other")
-    gi = F.create_map(*[x for i, (grp, _) in enumerate(rules.DOC_GROUPS) for x in (F.lit(grp), F.lit(i))])
-    gl = F.create_map(*[x for grp, lb in T.DOC_GROUP_LABELS.items() for x in (F.lit(grp), F.lit(lb))])
-    per_group = block(named, ["file_seq"], fill(T.DOC_FILE_LINE, path=F.col("path")), "lines",
-                      keys=("repo", "doc_group"))
-    group_text = F.concat(fill(T.DOC_GROUP_HEAD, label=F.element_at(gl, F.col("doc_group"))), F.col("lines"), F.lit("\n"))
-    groups = block(per_group.withColumn("gi", F.element_at(gi, F.col("doc_group"))), ["gi"], group_text, "groups")
     other = g.where(F.col("doc_group") == "Other")
     w = Window.partitionBy("repo").orderBy("file_seq")
     other_top = block(other.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rules.OTHER_DOCS_SHOWN),
                       ["r"], fill(T.DOC_FILE_LINE, path=F.col("path")), "other_lines")
     other_n = other.groupBy("repo").agg(F.count(F.lit(1)).alias("n_other"))
-    j = (q.join(groups, "repo", "left").join(other_top, "repo", "left").join(other_n, "repo", "left")
-          .fillna("", ["groups", "other_lines"]).fillna(0, ["n_other"]))
     k = rules.OTHER_DOCS_SHOWN
-    other_block = F.when(F.col("n_other") > 0, F.concat(
+    other_block = other_top.join(other_n, "repo").select("repo", F.concat(
         F.lit(T.DOC_OTHER_HEAD), F.col("other_lines"),
         F.when(F.col("n_other") > k, fill(T.MORE_LINE, n=F.col("n_other") - k)).otherwise(F.lit("")),
-        F.lit("\n"))).otherwise(F.lit(""))
+        F.lit("\n")).alias("text"))
     tier_line = F.element_at(F.create_map(*[x for t, line in T.DOC_TIER_LINES.items() for x in (F.lit(t), F.lit(line))]),
                              F.col("tier"))
-    text = F.concat(
-        fill(T.DOCUMENTATION, n=F.col("documentation_files"), pct=fmt1(F.col("ratio"))),
-        F.when(F.col("documentation_files") > 0, F.concat(F.lit(T.DOC_AVAILABLE), F.col("groups"), other_block))
-         .otherwise(F.lit("")),
-        F.lit(T.DOC_QUALITY), tier_line)
-    return j.select("repo", text.alias("text"))
+    head = F.concat(fill(T.DOCUMENTATION, n=F.col("documentation_files"), pct=fmt1(F.col("ratio"))),
+                    F.when(F.col("documentation_files") > 0, F.lit(T.DOC_AVAILABLE)).otherwise(F.lit("")))
+    out = one_fragment(q, head, 0)
+    for i, (grp, _) in enumerate(rules.DOC_GROUPS):
+        out = out.unionByName(list_fragments(
+            named.where(F.col("doc_group") == grp), 1 + i,
+            T.DOC_GROUP_HEAD.replace("{label}", T.DOC_GROUP_LABELS[grp]),
+            fill(T.DOC_FILE_LINE, path=F.col("path"))))
+    n = len(rules.DOC_GROUPS)
+    return (out.unionByName(one_fragment(other_block, F.col("text"), 1 + n))
+               .unionByName(one_fragment(q, F.concat(F.lit(T.DOC_QUALITY), tier_line), 2 + n)))
 
 
 def workflow_section(files: DataFrame, repos: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     fl = category_flags("path")
     lp = F.lower(F.col("path"))
     ci_rows = files.where(fl["config"] & contains_any(lp, rules.CI_MARKERS))
-    ci = block(ci_rows, ["file_seq"], fill(T.DOC_FILE_LINE, path=F.col("path")), "ci_lines")
     wf = development_workflow(files, repos, stats)
     build_rows = files.where(fl["build"])
     w = Window.partitionBy("repo").orderBy("file_seq")
     build = block(build_rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rules.BUILD_FILES_SHOWN),
                   ["r"], fill(T.DOC_FILE_LINE, path=F.col("path")), "build_lines")
-    j = wf.join(ci, "repo", "left").join(build, "repo", "left").fillna("", ["ci_lines", "build_lines"])
+    j = wf.join(build, "repo", "left").fillna("", ["build_lines"])
 
     def flag(c: str) -> Column:
         return F.when(F.col(c), F.lit(T.ENABLED)).otherwise(F.lit(T.DISABLED))
 
-    text = F.concat(
-        F.lit(T.WORKFLOW),
-        _when_nonempty(F.col("ci_lines"), T.CI_HEAD, "\n"),
+    rest = F.concat(
         F.when(F.col("test_files") > 0, fill(T.TESTING, n=F.col("test_files"), pct=fmt1(F.col("test_pct"))))
          .otherwise(F.lit("")),
         F.when(F.col("build_files") > 0, F.concat(
@@ -548,7 +570,9 @@ def workflow_section(files: DataFrame, repos: DataFrame, stats: DataFrame | None
             F.when(F.col("build_more") > 0, fill(T.MORE_LINE, n=F.col("build_more"))).otherwise(F.lit("")),
             F.lit("\n"))).otherwise(F.lit("")),
         fill(T.FEATURES, issues=flag("has_issues"), projects=flag("has_projects"), wiki=flag("has_wiki")))
-    return j.select("repo", text.alias("text"))
+    return (one_fragment(wf, F.lit(T.WORKFLOW), 0)
+            .unionByName(list_fragments(ci_rows, 1, T.CI_HEAD, fill(T.DOC_FILE_LINE, path=F.col("path"))))
+            .unionByName(one_fragment(j, rest, 2)))
 
 
 def recommendations_section(recs: DataFrame) -> DataFrame:
@@ -565,15 +589,36 @@ def footer_section(repos: DataFrame, generated_on: str) -> DataFrame:
     return repos.select("repo", fill(T.FOOTER, generated_on=F.lit(generated_on)).alias("text"))
 
 
-def render_report(sections: list[DataFrame], repos: DataFrame) -> DataFrame:
-    """(repo, section, pos, text) rows -> (repo, report): sections joined by a
-    blank line in the given order; a repository missing a section (no
-    explanations, say) simply has no row for it."""
+def report_fragments(sections: list[DataFrame]) -> DataFrame:
+    """(repo, section, part, ord, text): the documents as ordered, line-aligned
+    fragments (each ends with a newline, except the document's last). A
+    section is a (repo, text) frame or a fragment frame; a blank line
+    separates consecutive sections; empty fragments are dropped."""
     rows = None
+    last = len(sections) - 1
     for i, s in enumerate(sections):
-        r = s.select("repo", F.lit(i).alias("section"), "text")
-        rows = r if rows is None else rows.unionByName(r)
-    doc = rows.groupBy("repo").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), T.SECTION_SEPARATOR)
+        sep = T.SECTION_SEPARATOR if i < last else ""
+        if "part" not in s.columns:
+            frag = one_fragment(s, F.concat(F.col("text"), F.lit(sep)), 0)
+        else:
+            frag = s
+            if sep:
+                frag = frag.unionByName(frag.where((F.col("part") == 0) & (F.col("ord") <= 0)).select(
+                    "repo", F.lit(1 << 30).alias("part"), F.lit(0).cast("bigint").alias("ord"),
+                    F.lit(sep).alias("text")))
+        frag = frag.where(F.col("text") != "").select("repo", F.lit(i).alias("section"), "part", "ord", "text")
+        rows = frag if rows is None else rows.unionByName(frag)
+    return rows
+
+
+def render_report(sections: list[DataFrame], repos: DataFrame) -> DataFrame:
+    """(repo, report): the fragments of each repository joined in order.
+
+    This gathers a repository's whole document into one value; for corpora
+    with very large repositories write ``report_fragments`` with
+    ``sinks.write_reports`` instead, which streams them sorted per repository.
+    """
+    doc = report_fragments(sections).groupBy("repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("section", "part", "ord", "text"))), lambda x: x["text"]), "")
         .alias("report"))
     return repos.select("repo").join(doc, "repo", "left")

@@ -40,8 +40,11 @@ def _lang_first(files: DataFrame) -> DataFrame:
 
 def analyze_full(listing_text: DataFrame, repos: DataFrame, responses: DataFrame | None = None,
                  focus: DataFrame | None = None, analysis_date: str = "1970-01-01 00:00:00",
-                 max_files: int = rules.MAX_FILES_TO_ANALYZE, materialize: bool = True) -> DataFrame:
-    """(repo, report): the full Markdown report per repository.
+                 max_files: int = rules.MAX_FILES_TO_ANALYZE, materialize: bool = True,
+                 fragments: bool = False) -> DataFrame:
+    """(repo, report): the full Markdown report per repository; with
+    ``fragments`` the ordered document fragments instead (for
+    ``sinks.write_reports``, which never builds a document in one value).
 
     ``listing_text``: listing columns plus ``content`` (NULL when the text
     was not fetched). ``responses``: model replies for the selected files.
@@ -95,6 +98,8 @@ def analyze_full(listing_text: DataFrame, repos: DataFrame, responses: DataFrame
             RP.recommendation_inputs(files, fm, arch_n, items, stats, fstats))),
         RP.footer_section(repos.select("repo"), analysis_date.replace(" ", " at ", 1)),
     ]
+    if fragments:
+        return RP.report_fragments(sections)
     return RP.render_report(sections, repos)
 
 

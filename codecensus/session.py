@@ -18,6 +18,10 @@ def get_session(master: str | None = None, app: str = "codecensus",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode runs everything in the driver JVM; only applies when
+            # this call starts the JVM
+            b = b.config("spark.driver.memory", "8g")
     b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -10,12 +10,20 @@ def write_reports(reports: DataFrame, path: str, doc_col: str = "report", doc_na
                   mode: str = "overwrite") -> None:
     """One Markdown document per repository: ``path/repo=<r>/doc=<name>/part-*.txt``.
 
-    Each row is one whole document, written as rendered plus the text
-    writer's line separator ('\n') at the end.
+    ``reports`` is either one row per repository (``doc_col`` holds the whole
+    document) or the fragments of ``reports.report_fragments`` (columns
+    section, part, ord, text): those are sorted within each repository's
+    partition and streamed out line by line, so no document is ever held as
+    one value. The text writer ends the file with a newline.
     """
-    out = reports.select("repo", F.lit(doc_name).alias("doc"), F.col(doc_col).alias("value"))
-    (out.repartition("repo").write.mode(mode).partitionBy("repo", "doc")
-        .text(path))
+    if "section" in reports.columns:
+        out = (reports.select("repo", F.lit(doc_name).alias("doc"), "section", "part", "ord",
+                              F.regexp_replace("text", r"\n\z", "").alias("value"))
+                      .repartition("repo").sortWithinPartitions("repo", "doc", "section", "part", "ord")
+                      .select("repo", "doc", "value"))
+    else:
+        out = reports.select("repo", F.lit(doc_name).alias("doc"), F.col(doc_col).alias("value")).repartition("repo")
+    out.write.mode(mode).partitionBy("repo", "doc").text(path)
 
 
 def write_results_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -55,3 +55,18 @@ def test_sinks(spark, tmp_path):
     j = str(tmp_path / "json")
     sinks.write_results_json(Q.REGISTRY["insights_summary"](spark, SF), j)
     assert spark.read.json(j).count() == Q.REGISTRY["insights_summary"](spark, SF).count()
+
+
+def test_fragments_written_equal_rendered_report(spark, tmp_path):
+    from codecensus.plans import modes as MD
+    from codecensus.sources import corpus as src
+    args = (src.listing_with_text(spark, SF), src.repos(spark, SF), src.responses(spark, SF))
+    rendered = {r.repo: r.report for r in MD.analyze_full(*args, analysis_date="d").collect()}
+    frags = MD.analyze_full(*args, analysis_date="d", fragments=True)
+    out = str(tmp_path / "docs")
+    sinks.write_reports(frags, out)
+    for repo, doc in list(rendered.items())[:5]:
+        d = os.path.join(out, f"repo={repo}", "doc=report")
+        text = "".join(open(os.path.join(d, f), encoding="utf-8").read()
+                       for f in sorted(os.listdir(d)) if f.startswith("part-"))
+        assert text == doc + "\n"
