@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 
 from codecensus import rules
 from codecensus.functions import sql as S
-from codecensus.functions.paths import (
-    directory_of, lower_name_of, name_of, parent_name_of, parts_of, suffix_of,
-)
+from codecensus.functions.paths import directory_of, name_of, parent_name_of, parts_of, suffix_of
 from codecensus.functions.text import contains_any, ends_with_any
 
 

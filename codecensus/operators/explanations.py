@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
-from codecensus.functions.text import contains_any, cut_with_ellipsis, lines_of, strip_py
+from codecensus.functions.text import cut_with_ellipsis, lines_of, strip_py
 from codecensus.functions import sql as S
 
 ITEM = "struct<value:string,is_string:boolean>"

@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecensus.functions.paths import directory_of
 from codecensus.operators import classify as C
 from codecensus.operators import dependencies as D
 from codecensus.operators import explanations as X

@@ -1,8 +1,6 @@
 """§2.2: path projections, filter, priority, categories (reference unit tests A1, A2, A9, A10)."""
 from pathlib import PurePosixPath
 
-from pyspark.sql import functions as F
-
 from codecensus.functions.paths import directory_of, name_of, parent_name_of, suffix_of
 from codecensus.operators import classify as C
 from codecensus.operators import structure as S
