@@ -70,3 +70,15 @@ def test_fragments_written_equal_rendered_report(spark, tmp_path):
         text = "".join(open(os.path.join(d, f), encoding="utf-8").read()
                        for f in sorted(os.listdir(d)) if f.startswith("part-"))
         assert text == doc + "\n"
+
+
+def test_full_analysis_reads_text_once(spark):
+    """After the one feature pass is written to the shared folder, no branch
+    of the full report scans a text column again."""
+    from codecensus.plans import modes as MD
+    from codecensus.sources import corpus as src
+    df = MD.analyze_full(src.listing_with_text(spark, SF), src.repos(spark, SF), src.responses(spark, SF),
+                         analysis_date="d")
+    plan = _plan(df)
+    schemas = [line for line in plan.split("\n") if "ReadSchema" in line]
+    assert schemas and not any("text:string" in s or "content:string" in s for s in schemas)
