@@ -18,6 +18,9 @@ from codecensus.functions.text import cut_with_ellipsis, lines_of, strip_py
 from codecensus.functions import sql as S
 
 ITEM = "struct<value:string,is_string:boolean>"
+REPLY_SCHEMA = ("summary string, main_functionality string, complexity_assessment string, "
+                "key_components array<string>, dependencies array<string>, "
+                "improvement_suggestions array<string>, code_patterns array<string>")
 JSON_BLOCK = r"(?s)(\{.*\})"
 
 
@@ -74,6 +77,11 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     resp = F.coalesce(F.col("response"), F.lit(""))
     block = F.regexp_extract(resp, JSON_BLOCK, 1)
     v = F.try_parse_json(F.nullif(block, F.lit("")))
+    # VARIANT rejects duplicate keys, which Python accepts (last one wins);
+    # such a reply is read through a struct schema instead (also last wins)
+    dup = F.when(v.isNull() & (block != ""),
+                 F.from_json(block, REPLY_SCHEMA, {"allowSingleQuotes": "false"}))
+    v = F.coalesce(v, F.when(dup.isNotNull(), F.to_variant_object(dup)))
     failed = F.col("error").isNotNull() if "error" in responses.columns else F.lit(False)
     ok = v.isNotNull() & ~failed
     status = F.when(failed, "failed").when(ok, "parsed").otherwise("fallback")

@@ -141,3 +141,10 @@ def test_decode_modes(spark):
     assert [r.path for r in R.decode_contents(raw, "drop").collect()] == ["a"]
     assert {r.path: r.content for r in R.decode_contents(raw, "ignore").collect()}["b"] == "xy"
     assert {r.path: r.content for r in R.decode_contents(raw, "latin1").collect()}["b"] == "xÿy"
+
+
+def test_reply_with_duplicate_keys_last_wins(spark):
+    reply = '{"summary": "first", "summary": "second", "code_patterns": ["P"]}'
+    row = X.parse_responses(_responses(spark, {"a.py": reply})).collect()[0]
+    assert (row.status, row.summary) == ("parsed", "second")
+    assert [i.value for i in row.code_patterns] == ["P"]
