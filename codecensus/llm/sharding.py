@@ -39,7 +39,7 @@ def _propose(state: DataFrame, load: DataFrame) -> DataFrame:
     target = F.when(full, F.col("open.label")).otherwise(F.col("first.label"))
     at_best = (F.col("label") == F.col("first.label")) | (target.isNull())
     gain = F.when(full, F.col("open.held")).otherwise(F.col("first.held"))
-    better = (gain > F.col("held")) | ((gain == F.col("held")) & (target > F.col("label")))
+    better = (gain >= F.col("held")) & (target != F.col("label"))  # a group has one target, so no two chunks swap
     fits = F.when(full, F.col("open.free")).otherwise(F.col("first.free")) >= F.col("c")
     return own.select("g", "label0", "label", "c", F.when(~at_best & better & fits, target).alias("target"))
 
