@@ -1,11 +1,17 @@
 """Registered queries of the training-data operators and their SQL."""
 
+from codecensus.llm.bpe_codec import op9_bpe_codec
+from codecensus.llm.chat_format import op7_chat_format
 from codecensus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codecensus.llm.sharding import op8_sharding
+from codecensus.llm.token_counts import op4_token_counts
 
 REGISTRY = {
+    "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
+    "op9_bpe_codec": op9_bpe_codec,
 }
 
 SQL = {"op5_exact_dedup": OP5_SQL}
