@@ -99,7 +99,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 4, lane_row
     placed = (rows.join(state.select("g", "label0", "label"), ["g", "label0"], "left")
               .withColumn("single", F.col("label").isNull())
               .withColumn("label", F.coalesce("label", "label0")))
-    lanes = max(1, -(-total // (lane_rows * LANES)))
+    lanes = max(16, -(-total // (lane_rows * LANES)))
     ranked = stored(_ranked(placed, ["label"], lanes, "rank").join(F.broadcast(quota), "label"), "shard-ranked")
     stay = ranked.filter(F.col("rank") < F.col("quota")).select(
         "doc_id", "size", "crc", F.col("label").alias("shard"), F.col("rank").alias("slot"))
