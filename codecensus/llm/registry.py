@@ -2,16 +2,24 @@
 
 from codecensus.llm.bpe_codec import op9_bpe_codec
 from codecensus.llm.chat_format import op7_chat_format
+from codecensus.llm.decontamination import op2_decontamination
 from codecensus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from codecensus.llm.near_dedup import op10_near_dedup
+from codecensus.llm.quality import op6_quality
 from codecensus.llm.sharding import op8_sharding
 from codecensus.llm.token_counts import op4_token_counts
+from codecensus.llm.toxicity import op3_toxicity
 
 REGISTRY = {
+    "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality": op6_quality,
     "op7_chat_format": op7_chat_format,
     "op8_sharding": op8_sharding,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 SQL = {"op5_exact_dedup": OP5_SQL}
