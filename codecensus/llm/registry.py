@@ -7,10 +7,12 @@ from codecensus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from codecensus.llm.near_dedup import op10_near_dedup
 from codecensus.llm.quality import op6_quality
 from codecensus.llm.sharding import op8_sharding
+from codecensus.llm.suffix_dedup import op1_suffix_dedup
 from codecensus.llm.token_counts import op4_token_counts
 from codecensus.llm.toxicity import op3_toxicity
 
 REGISTRY = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_token_counts": op4_token_counts,
