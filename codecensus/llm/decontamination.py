@@ -13,8 +13,8 @@ The test items go to the tasks in blocks of bounded size; a test set beyond
 the bound takes several blocks, each a pass over the documents. Documents
 are never shuffled.
 
-Result: one row per document and item that leaked: doc_id, item_id, score,
-similarity (0 to 1), first_word and last_word (the aligned place in the
+Result: one row per document and item that leaked: doc_id, text_crc32, item_id,
+score, similarity (0 to 1), first_word and last_word (the aligned place in the
 document, from 0).
 
 Defined cases: null and empty texts and items match nothing; an item under
@@ -188,7 +188,7 @@ def _ranges(offsets: np.ndarray, most: int):
         at = to
 
 
-LEAKS = "doc_id long, item_id long, score long, similarity double, first_word long, last_word long"
+LEAKS = "doc_id long, text_crc32 long, item_id long, score long, similarity double, first_word long, last_word long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -232,17 +232,18 @@ def _block(docs: DataFrame, table: pa.Table, least: float, spark) -> DataFrame:
         held, own = items.value, seeds.value
         for batch in batches:
             flat, offsets = lists(batch.column("hashes"))
-            ids = batch.column("doc_id")
+            ids, crcs = batch.column("doc_id"), batch.column("text_crc32")
             for a, b in _ranges(offsets, SLICE) if own.sizes else ():
                 rows = leaks(flat[offsets[a]:offsets[b]].astype(np.int64), offsets[a:b + 1] - offsets[a], held, own, least)
                 if rows:
                     d, i, score, first, last = (np.array(c) for c in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(d + a)), pa.array([held.ids[k] for k in i], pa.int64()), pa.array(score),
+                        [ids.take(pa.array(d + a)), crcs.take(pa.array(d + a)), pa.array([held.ids[k] for k in i], pa.int64()), pa.array(score),
                          pa.array(score / (MATCH * held.length[i])), pa.array(first), pa.array(last)],
-                        names=["doc_id", "item_id", "score", "similarity", "first_word", "last_word"])
+                        names=["doc_id", "text_crc32", "item_id", "score", "similarity", "first_word", "last_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes).mapInArrow(search, LEAKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(body()).alias("text_crc32"), hashes).mapInArrow(
+        search, LEAKS)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

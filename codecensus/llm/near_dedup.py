@@ -101,11 +101,16 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def words_key(text: F.Column) -> F.Column:
+    """Names a text's words."""
+    return F.unhex(F.md5(F.array_join(words(text), " ")))
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, key, n_words, bands) of each row; ``key`` names its words."""
     text = body()
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.unhex(F.md5(F.array_join(words(text), " "))).alias("key"), word_hashes(text).alias("hashes"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_key(text).alias("key"),
+                       word_hashes(text).alias("hashes"))
 
     def run(batches):
         for batch in batches:
@@ -211,7 +216,7 @@ def _cell(*cols) -> F.Column:
 
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, n_bands: int = BANDS,
                 rows: int = ROWS, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
-    """doc_id, class_id, class_size, n_texts of every row."""
+    """doc_id, key (of its words), class_id, class_size, n_texts of every row."""
     signed = stored(signatures(docs, shingle, n_bands, rows), "signatures")
     classes = stored(signed.groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words")), "classes")
@@ -226,9 +231,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
         "blocks", F.ceil(F.col("load") / block).cast("int")), "loads")
 
     # a representative's text, under the key of its words
-    own = F.unhex(F.md5(F.array_join(words(F.col("text")), " ")))
     texts = (docs.select(F.col("doc_id").cast("long").alias("rep"), body().alias("text"))
-             .join(member.select("key", "rep"), "rep").filter(own == F.col("key")).select("key", "text"))
+             .join(member.select("key", "rep"), "rep").filter(words_key(F.col("text")) == F.col("key")).select("key", "text"))
 
     placed = member.join(load, "label").withColumn(
         "b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("key", "label", "degree", "blocks", "b")
@@ -261,8 +265,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     totals = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"),
                                         F.count(F.lit(1)).alias("n_texts"))
     of = named.select("key", "label").join(totals, "label").select("key", "class_id", "class_size", "n_texts")
-    return signed.select("doc_id", "key").join(of, "key").select("doc_id", "class_id", "class_size", "n_texts")
+    return signed.select("doc_id", "key").join(of, "key").select("doc_id", "key", "class_id", "class_size", "n_texts")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"))
+    return near_groups(read(spark, sf_dir, "documents")).drop("key")

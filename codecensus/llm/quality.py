@@ -24,8 +24,8 @@ A document is rejected if its mean negative log probability is above its
 language's threshold: the ``QUANTILE`` of the held-out trusted documents of
 that language, plus ``MARGIN`` times their distance from the median.
 
-Result per document: doc_id, lang, n_tokens, perplexity, threshold (a
-perplexity), kept.
+Result per document: doc_id, mark (a hash of the row), lang, n_tokens,
+perplexity, threshold (a perplexity), kept.
 
 Defined cases: null and empty texts have no words, perplexity null, and are
 kept; a null language is a language of its own; a language without held-out
@@ -71,6 +71,11 @@ def token_columns(text: F.Column) -> list[F.Column]:
                         ).alias("tokens")]
 
 
+def mark() -> F.Column:
+    """Tells apart documents that share an id."""
+    return F.xxhash64(body(), F.col("lang").cast("string"))
+
+
 class Model:
     """Tables over word numbers. Unknown words take the numbers from
     ``len(words)`` on, by shape."""
@@ -252,7 +257,7 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
                     pa.array(np.concatenate([ln, np.zeros(m)]))], names=[x.split()[0] for x in PART.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-                       F.xxhash64(body(), "lang").alias("mark"), *token_columns(body()))
+                       mark().alias("mark"), *token_columns(body()))
     looked = rows.mapInArrow(parts, PART)
     hot_key = known.value[0]
 
@@ -307,11 +312,11 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
 
     sums = met.mapInArrow(look_up, SUM).groupBy("doc_id", "mark", "lang").agg(F.sum("n").alias("n"), F.sum("ln").alias("ln"))
     # equal rows have met in one sum; their mean is that of each of them
-    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(body(), "lang").alias("m")).groupBy("d", "m").agg(
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), mark().alias("m")).groupBy("d", "m").agg(
         F.count(F.lit(1)).alias("rows"))
     return (sums.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
             .withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-            .select("doc_id", "lang", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"),
+            .select("doc_id", "mark", "lang", (F.col("n") / F.col("rows")).cast("long").alias("n_tokens"),
                     F.when(F.col("n") > 0, -F.col("ln") / F.col("n")).alias("nll")))
 
 
@@ -334,9 +339,9 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     whole = cuts.filter("all = 1").select(F.col("cut").alias("whole"))  # one row
     limit = F.coalesce("cut", "whole")
     return (scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(whole), F.lit(True), "left")
-            .select("doc_id", "lang", "n_tokens", F.exp("nll").alias("perplexity"), F.exp(limit).alias("threshold"),
+            .select("doc_id", "mark", "lang", "n_tokens", F.exp("nll").alias("perplexity"), F.exp(limit).alias("threshold"),
                     F.coalesce(F.col("nll") <= limit, F.lit(True)).alias("kept")))
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
-    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("mark")
