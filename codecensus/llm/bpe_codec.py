@@ -59,6 +59,8 @@ class MergeAutomaton:
     def _gadget(self, k: int, u: int, v: int, uv: int) -> None:
         if self.spell[uv]:
             raise ValueError("two merges make the same token")
+        if not (self.spell[u] and self.spell[v] and self._has_arc(u, v)):
+            return  # no path reads u and then v, so the merge never happens
         self.left[uv], self.right[uv], self.born[uv] = u, v, k
         self.spell[uv] = self.spell[u] + self.spell[v]
         self.cut[u][v] = k
