@@ -1,8 +1,7 @@
 """§2.2 Path projections, filters and classification.
 
-All operators here are narrow (map-only) except ``limit_files``, which needs a
-per-repository count (partial aggregation) and a per-repository top-N (window
-group limit, computed partially before the shuffle).
+All operators here are narrow (map-only) except ``limit_files``, which ranks a
+repository's files.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from codecensus import rules
 from codecensus.functions import sql as S
 from codecensus.functions.paths import directory_of, name_of, parent_name_of, parts_of, suffix_of
-from codecensus.functions.text import contains_any, ends_with_any
+from codecensus.functions.ranks import LANE, gapless_rank
 
 
 def lit_map(d: dict) -> Column:
@@ -76,22 +75,9 @@ def category_flag_sql(path: str = "path") -> dict[str, str]:
     }
 
 
-def category_flags(path: Column | str = "path") -> dict[str, Column]:
+def category_flags(path: str = "path") -> dict[str, Column]:
     """The five independent category tests of the structure analysis."""
-    if isinstance(path, str):
-        return {k: S.expr(v) for k, v in category_flag_sql(path).items()}
-    p = path
-    name = name_of(p)
-    lname = F.lower(name)
-    lpath = F.lower(p)
-    is_config = in_list(name, rules.CONFIG_FILES.keys()) | contains_any(lname, rules.CONFIG_NAME_WORDS)
-    is_doc = contains_any(lname, rules.DOC_NAME_WORDS) | ends_with_any(name, rules.DOC_ENDINGS)
-    is_test = contains_any(lpath, rules.TEST_PATH_WORDS) | contains_any(lname, rules.TEST_NAME_WORDS)
-    is_build = contains_any(lname, rules.BUILD_NAME_WORDS) | ends_with_any(name, rules.BUILD_ENDINGS)
-    is_source = (ends_with_any(name, rules.LANGUAGE_EXTENSIONS.keys())
-                 & ~lpath.contains("test") & ~lname.contains("config") & ~name.startswith("."))
-    return {"source": is_source, "test": is_test, "config": is_config,
-            "documentation": is_doc, "build": is_build}
+    return {k: S.expr(v) for k, v in category_flag_sql(path).items()}
 
 
 def classify_files(files: DataFrame) -> DataFrame:
@@ -117,20 +103,22 @@ def classify_files_basic(contents: DataFrame) -> DataFrame:
     return contents.select("*", *[flags[c].alias(f"is_{c}") for c in rules.CATEGORIES])
 
 
-def filter_keep_sql(dirs, exts, max_size: int, hidden, path: str = "path") -> str:
+def filter_keep_sql(dirs, exts, max_size: int | None, hidden, path: str = "path") -> str:
     n = S.name(path)
+    fits = "" if max_size is None else f"AND coalesce(size, 0) <= {int(max_size)} "
     return (f"(type = 'file' AND NOT arrays_overlap(split({path}, '/'), array("
             + ", ".join(S.q(d) for d in dirs) + f")) AND NOT {S.in_list(S.suffix(path), exts)} "
-            f"AND coalesce(size, 0) <= {int(max_size)} "
+            + fits +
             f"AND NOT (startswith({n}, '.') AND NOT {S.in_list(n, hidden)}))")
 
 
 def filter_files(files: DataFrame,
                  excluded_dirs=None, excluded_exts=None,
-                 max_size: int = rules.MAX_FILE_SIZE,
+                 max_size: int | None = None,
                  hidden_allowed=None) -> DataFrame:
-    """Keep relevant files: type 'file', no excluded part, extension or size,
-    no hidden name except the allowed ones. Pure filter, pushed below joins."""
+    """Keep relevant files: type 'file', no excluded part or extension, no
+    hidden name except the allowed ones, and no file over ``max_size`` bytes
+    if one is given. Pure filter, pushed below joins."""
     dirs = tuple(rules.EXCLUDED_DIRS if excluded_dirs is None else excluded_dirs)
     exts = tuple(rules.EXCLUDED_EXTENSIONS if excluded_exts is None else excluded_exts)
     hidden = tuple(rules.HIDDEN_ALLOWED if hidden_allowed is None else hidden_allowed)
@@ -160,21 +148,18 @@ def with_priority_score(files: DataFrame) -> DataFrame:
     return files.withColumn("priority", priority_score("path"))
 
 
-def limit_files(files: DataFrame, max_files: int = rules.MAX_FILES_TO_ANALYZE) -> DataFrame:
-    """Cut repositories with more than ``max_files`` files to the top files by
-    priority (ties in listing order). Adds ``list_pos``: the position in the
-    resulting list (priority rank when cut, ``file_seq`` otherwise).
+def limit_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Adds ``priority`` and ``rank``: the file's place in its repository by
+    priority, ties in listing order. Every file comes back; with
+    ``max_files`` only that many of each repository do.
 
-    A repository with at most N files has every row ranked <= N, so one
-    ``rank <= N`` filter serves both cases and Spark computes it as a window
-    group limit: each map task keeps its local top N per repository before
-    the shuffle, so a very large repository never moves whole.
+    Ranks of whole repositories are made lane by lane (a lane is a stretch
+    of the listing within one priority); with a limit Spark keeps each map
+    task's top N before the shuffle.
     """
     scored = files.withColumn("priority", priority_score("path"))
+    if max_files is None:
+        lane = F.struct((-F.col("priority")).alias("p"), F.floor(F.col("file_seq") / LANE).alias("s"))
+        return gapless_rank(scored, ["repo"], lane, [F.col("file_seq")])
     w = Window.partitionBy("repo").orderBy(F.col("priority").desc(), F.col("file_seq"))
-    ranked = scored.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max_files)
-    counts = files.groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
-    return (ranked.join(counts, "repo")
-                  .withColumn("list_pos", F.when(F.col("_n") > max_files, F.col("_rank").cast("bigint"))
-                              .otherwise(F.col("file_seq")))
-                  .drop("_rank", "_n"))
+    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= max_files)

@@ -4,8 +4,8 @@ Model calls happen outside the engine; replies arrive as a table. Parsing is
 per row (VARIANT). Everything downstream works on the long item table
 (repo, path, file_seq, field, pos, value, is_string) with partial
 aggregations; "first seen" order is ``(file_seq, pos)``, taken with
-``min(struct(...))`` so hot items collapse map-side. Only capped top-N lists
-(at most 10 entries) are gathered into one row.
+``min(struct(...))`` so hot items collapse map-side. Only top-N lists (N is
+an argument, at most 10 by default) are gathered into one row, as arrays.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ def code_language(path: str = "path") -> Column:
 
 
 # ---------------------------------------------------------------- prompts
-def build_prompts(selected: DataFrame) -> DataFrame:
-    """(repo, path, file_seq, language, prompt) for files with text."""
-    t = rules.PROMPT_TEMPLATE
-    a, rest = t.split("{language}", 1)
+def build_prompts(selected: DataFrame, template: str = rules.PROMPT_TEMPLATE) -> DataFrame:
+    """(repo, path, file_seq, language, prompt) for files with text. The
+    template names {language}, {file_path}, {language_lower} and {content},
+    in this order."""
+    a, rest = template.split("{language}", 1)
     b, rest = rest.split("{file_path}", 1)
     c, rest = rest.split("{language_lower}", 1)
     d, e = rest.split("{content}", 1)
@@ -44,14 +45,17 @@ def build_prompts(selected: DataFrame) -> DataFrame:
 
 
 def prompt_stats(prompts: DataFrame) -> DataFrame:
-    """Per prompt: content length, prompt length and lines; per repo average
-    prompt length as ``avg_prompt_length``."""
-    per = prompts.select(
+    """Per prompt: content length, prompt length and lines."""
+    return prompts.select(
         "repo", "path", "file_seq", "content_length",
         F.length("prompt").alias("prompt_length"),
         F.size(lines_of(F.col("prompt"))).alias("prompt_lines"))
-    avg = per.groupBy("repo").agg(F.avg("prompt_length").alias("avg_prompt_length"))
-    return per.join(avg, "repo")
+
+
+def prompt_averages(prompts: DataFrame) -> DataFrame:
+    """(repo, prompts, avg_prompt_length)."""
+    return prompts.groupBy("repo").agg(F.count(F.lit(1)).alias("prompts"),
+                                       F.avg(F.length("prompt")).alias("avg_prompt_length"))
 
 
 # ---------------------------------------------------------------- replies
@@ -70,44 +74,51 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
     The JSON block runs from the first '{' to the last '}'. Missing fields
     take defaults. A reply without parseable JSON falls back to its first
-    non-empty line not starting with '{' (cut at 200 + '...') as summary and
-    the whole reply (cut at 500 + '...') as functionality. A failed call
-    (``error`` set) gives the fixed placeholder row.
+    non-empty line not starting with '{' as summary and the whole reply as
+    functionality; ``summary_short`` and ``functionality_short`` are the
+    forms for display. A failed call (``error`` set) gives the fixed
+    placeholder row. Each step is a projection of its own, so the block is
+    found and parsed once per reply.
     """
-    resp = F.coalesce(F.col("response"), F.lit(""))
-    block = F.regexp_extract(resp, JSON_BLOCK, 1)
-    v = F.try_parse_json(F.nullif(block, F.lit("")))
+    failed = F.col("error").isNotNull() if "error" in responses.columns else F.lit(False)
+    base = responses.select("repo", "path", "file_seq", code_language("path").alias("language"),
+                            failed.alias("_failed"), F.coalesce(F.col("response"), F.lit("")).alias("_resp"))
+    block = base.withColumn("_block", F.when(~F.col("_failed"), F.regexp_extract("_resp", JSON_BLOCK, 1)).otherwise(F.lit("")))
+    parsed = block.withColumn("_variant", F.try_parse_json(F.nullif(F.col("_block"), F.lit(""))))
     # VARIANT rejects duplicate keys, which Python accepts (last one wins);
     # such a reply is read through a struct schema instead (also last wins)
-    dup = F.when(v.isNull() & (block != ""),
-                 F.from_json(block, REPLY_SCHEMA, {"allowSingleQuotes": "false"}))
-    v = F.coalesce(v, F.when(dup.isNotNull(), F.to_variant_object(dup)))
-    failed = F.col("error").isNotNull() if "error" in responses.columns else F.lit(False)
-    ok = v.isNotNull() & ~failed
-    status = F.when(failed, "failed").when(ok, "parsed").otherwise("fallback")
+    twice = parsed.withColumn("_dup", F.when(F.col("_variant").isNull() & (F.col("_block") != ""),
+                                             F.from_json("_block", REPLY_SCHEMA, {"allowSingleQuotes": "false"})))
+    v = twice.withColumn("_v", F.coalesce("_variant", F.when(F.col("_dup").isNotNull(), F.to_variant_object("_dup"))))
+    status = F.when(F.col("_failed"), "failed").when(F.col("_v").isNotNull(), "parsed").otherwise("fallback")
+    first_line = F.try_element_at(
+        F.filter(lines_of(F.col("_resp")), lambda l: (strip_py(l) != "") & ~l.startswith("{")), F.lit(1))
+    staged = v.withColumn("status", status).withColumn(
+        "_line", F.when(F.col("status") == "fallback", F.coalesce(strip_py(first_line), F.lit(rules.FALLBACK_SUMMARY))))
 
     def field(name: str) -> Column:
-        return F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(rules.EXPLANATION_DEFAULTS[name]))
+        return F.coalesce(F.try_variant_get("_v", f"$.{name}", "string"), F.lit(rules.EXPLANATION_DEFAULTS[name]))
 
-    first_line = F.try_element_at(
-        F.filter(lines_of(resp), lambda l: (strip_py(l) != "") & ~l.startswith("{")), F.lit(1))
-    fb_summary = F.coalesce(strip_py(first_line), F.lit(rules.FALLBACK_SUMMARY))
     fail = rules.FAILED_EXPLANATION
     empty = F.array().cast(f"array<{ITEM}>")
 
-    def pick(parsed: Column, fallback: Column, failed_value: Column) -> Column:
-        return F.when(failed, failed_value).when(ok, parsed).otherwise(fallback)
+    def pick(parsed_value: Column, fallback: Column, failed_value: Column) -> Column:
+        return (F.when(F.col("status") == "failed", failed_value).when(F.col("status") == "parsed", parsed_value)
+                .otherwise(fallback))
 
-    out = responses.select(
-        "repo", "path", "file_seq", code_language("path").alias("language"), status.alias("status"),
-        pick(field("summary"), cut_with_ellipsis(fb_summary, rules.FALLBACK_SUMMARY_CUT),
-             F.lit(fail["summary"])).alias("summary"),
-        pick(field("main_functionality"), cut_with_ellipsis(resp, rules.FALLBACK_FUNCTIONALITY_CUT),
-             F.lit(fail["main_functionality"])).alias("main_functionality"),
+    out = staged.select(
+        "repo", "path", "file_seq", "language", "status",
+        pick(field("summary"), F.col("_line"), F.lit(fail["summary"])).alias("summary"),
+        pick(field("main_functionality"), F.col("_resp"), F.lit(fail["main_functionality"])).alias("main_functionality"),
         pick(field("complexity_assessment"), F.lit("Unknown"),
              F.lit(fail["complexity_assessment"])).alias("complexity_assessment"),
-        *[pick(_items(v, f), empty, empty).alias(f) for f in rules.LIST_FIELDS])
-    return out
+        *[pick(_items(F.col("_v"), f), empty, empty).alias(f) for f in rules.LIST_FIELDS])
+    fallback = F.col("status") == "fallback"
+    return out.select(
+        "*", F.when(fallback, cut_with_ellipsis(F.col("summary"), rules.FALLBACK_SUMMARY_CUT))
+        .otherwise(F.col("summary")).alias("summary_short"),
+        F.when(fallback, cut_with_ellipsis(F.col("main_functionality"), rules.FALLBACK_FUNCTIONALITY_CUT))
+        .otherwise(F.col("main_functionality")).alias("functionality_short"))
 
 
 def explanation_items(explanations: DataFrame) -> DataFrame:
@@ -173,42 +184,48 @@ def improvement_themes(items: DataFrame) -> DataFrame:
     return agg.select("repo", F.row_number().over(w).alias("rank"), "theme", "suggestions")
 
 
-def _joined(df: DataFrame, value: str, alias: str, order: str = "rank") -> DataFrame:
-    """Capped ranked rows -> one '|'-joined text per repo (lists here are <= 10)."""
+def _listed(df: DataFrame, value: str, alias: str) -> DataFrame:
+    """Top-N rows -> one array per repo, in rank order."""
     return df.groupBy("repo").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), "|")
-         .alias(alias))
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias(alias))
 
 
 def insights_summary(explanations: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """One row per repo: files analysed, complexity distribution (first-seen
-    order, 'word:n'), common patterns, key technologies and themes."""
+    """(repo, section, pos, value, n): the insights as rows, ordered by pos in
+    each section: 'files' (the number analysed), 'complexity' (first words of
+    the assessments in first-seen order), 'pattern' and 'technology' (top N
+    with their uses) and 'theme' (with its suggestions)."""
     items = explanation_items(explanations) if items is None else items
-    total = explanations.groupBy("repo").agg(F.count(F.lit(1)).alias("total_files_analyzed"))
-    cd = complexity_distribution(explanations).select(
-        "repo", F.col("first_seq").alias("rank"),
-        F.concat("complexity", F.lit(":"), F.col("files").cast("string")).alias("entry"))
-    return (total
-            .join(_joined(cd, "entry", "complexity_distribution"), "repo", "left")
-            .join(_joined(common_patterns(items), "pattern", "common_patterns"), "repo", "left")
-            .join(_joined(key_technologies(items), "technology", "key_technologies"), "repo", "left")
-            .join(_joined(improvement_themes(items), "theme", "improvement_themes"), "repo", "left")
-            .fillna("", ["complexity_distribution", "common_patterns", "key_technologies", "improvement_themes"]))
+
+    def rows(df: DataFrame, section: str, pos: str, value: Column, n: str) -> DataFrame:
+        return df.select("repo", F.lit(section).alias("section"), F.col(pos).cast("bigint").alias("pos"),
+                         value.alias("value"), F.col(n).cast("bigint").alias("n"))
+
+    total = explanations.groupBy("repo").agg(F.count(F.lit(1)).alias("n")).withColumn("pos", F.lit(0))
+    return (rows(total, "files", "pos", F.lit(None).cast("string"), "n")
+            .unionByName(rows(complexity_distribution(explanations), "complexity", "first_seq", F.col("complexity"), "files"))
+            .unionByName(rows(common_patterns(items), "pattern", "rank", F.col("pattern"), "occurrences"))
+            .unionByName(rows(key_technologies(items), "technology", "rank", F.col("technology"), "occurrences"))
+            .unionByName(rows(improvement_themes(items), "theme", "rank", F.col("theme"), "suggestions")))
+
+
+def _category() -> Column:
+    return S.expr(S.case_first([(S.contains_any("lower(value)", words), S.q(name))
+                                for name, words in rules.IMPROVEMENT_CATEGORIES], S.q(rules.IMPROVEMENT_OTHER)))
 
 
 def improvement_categories(items: DataFrame) -> DataFrame:
     """(repo, category, suggestions): first matching of seven categories, else Other."""
-    cat = S.expr(S.case_first([(S.contains_any("lower(value)", words), S.q(name))
-                               for name, words in rules.IMPROVEMENT_CATEGORIES], S.q(rules.IMPROVEMENT_OTHER)))
     return (items.where((F.col("field") == "improvement_suggestions") & F.col("is_string"))
-                 .groupBy("repo", cat.alias("category")).agg(F.count(F.lit(1)).alias("suggestions")))
+                 .groupBy("repo", _category().alias("category")).agg(F.count(F.lit(1)).alias("suggestions")))
 
 
 def complexity_groups(explanations: DataFrame) -> DataFrame:
-    """(repo, complexity, file_seq, path, language, summary): files grouped by
-    the full assessment text; summary cut at 100 + '...'."""
+    """(repo, complexity, file_seq, path, language, summary, summary_short):
+    files grouped by the full assessment text; the short form has 100
+    characters and '...'."""
     return explanations.select("repo", F.col("complexity_assessment").alias("complexity"), "file_seq", "path",
-                               "language", cut_with_ellipsis(F.col("summary"), 100).alias("summary"))
+                               "language", "summary", cut_with_ellipsis(F.col("summary"), 100).alias("summary_short"))
 
 
 def size_by_complexity(explanations: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -224,13 +241,12 @@ def size_by_complexity(explanations: DataFrame, retrieved: DataFrame) -> DataFra
 
 
 def _first_files(items: DataFrame, key: str, n: int, label_expr: Column) -> DataFrame:
-    """First ``n`` usages per (repo, key) as one joined text (bounded)."""
+    """First ``n`` usages per (repo, key) as one array."""
     w = Window.partitionBy("repo", key).orderBy("file_seq", "pos")
     top = (items.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
                 .select("repo", key, "r", label_expr.alias("label")))
     return top.groupBy("repo", key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]), "|")
-         .alias("first_files"))
+        F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]).alias("first_files"))
 
 
 def dependency_usage(items: DataFrame, n: int = rules.DEPENDENCY_USAGE_N,
@@ -259,7 +275,7 @@ def pattern_usage(items: DataFrame, n: int = rules.PATTERN_USAGE_N, shown: int =
 
 def explanation_overview(explanations: DataFrame, items: DataFrame | None = None, n: int = 5) -> DataFrame:
     """One row per repo: files, languages used, distinct patterns and
-    dependencies, and the top ``n`` of each by use."""
+    dependencies, pattern uses per file, and the top ``n`` of each by use."""
     items = explanation_items(explanations) if items is None else items
     base = explanations.groupBy("repo").agg(
         F.count(F.lit(1)).alias("files"), F.count_distinct("language").alias("n_languages"),
@@ -267,55 +283,62 @@ def explanation_overview(explanations: DataFrame, items: DataFrame | None = None
     s = items.where(F.col("is_string"))
     distinct = s.groupBy("repo").agg(
         F.count_distinct(F.when(F.col("field") == "code_patterns", F.col("value"))).alias("unique_patterns"),
-        F.count_distinct(F.when(F.col("field") == "dependencies", F.col("value"))).alias("unique_dependencies"))
+        F.count_distinct(F.when(F.col("field") == "dependencies", F.col("value"))).alias("unique_dependencies"),
+        F.count_if(F.col("field") == "code_patterns").alias("pattern_uses"))
+    none = F.array().cast("array<string>")
     return (base.join(distinct, "repo", "left")
-                .join(_joined(common_patterns(items, n), "pattern", "top_patterns"), "repo", "left")
-                .join(_joined(key_technologies(items, n), "technology", "top_dependencies"), "repo", "left")
-                .fillna(0, ["unique_patterns", "unique_dependencies"])
-                .fillna("", ["top_patterns", "top_dependencies"]))
-
-
-def _head(arr: Column, k: int) -> Column:
-    return F.array_join(F.transform(F.slice(arr, 1, k), lambda x: x["value"]), "|")
+                .join(_listed(common_patterns(items, n), "pattern", "top_patterns"), "repo", "left")
+                .join(_listed(key_technologies(items, n), "technology", "top_dependencies"), "repo", "left")
+                .fillna(0, ["unique_patterns", "unique_dependencies", "pattern_uses"])
+                .withColumn("patterns_per_file", F.col("pattern_uses") / F.col("files")).drop("pattern_uses")
+                .withColumn("top_patterns", F.coalesce("top_patterns", none))
+                .withColumn("top_dependencies", F.coalesce("top_dependencies", none)))
 
 
 def explanation_details(explanations: DataFrame) -> DataFrame:
-    """Per file: the structured record with capped lists and 'N more' counts;
-    functionality cut at 197 + '...' when over 200."""
+    """Per file: the structured record with its whole lists, the numbers of
+    entries that a display of 5, 5, 3 and 3 leaves out, the whole
+    functionality and its form for display (197 characters and '...' when
+    over 200)."""
     f = F.col("main_functionality")
-    caps = [("key_components", 5), ("dependencies", 5), ("code_patterns", 3), ("improvement_suggestions", 3)]
+    shown = [("key_components", 5), ("dependencies", 5), ("code_patterns", 3), ("improvement_suggestions", 3)]
     cols = []
-    for name, k in caps:
-        cols += [_head(F.col(name), k).alias(f"{name}_shown"),
+    for name, k in shown:
+        cols += [F.transform(name, lambda x: x["value"]).alias(name),
                  F.greatest(F.size(name) - k, F.lit(0)).alias(f"{name}_more")]
     return explanations.select(
-        "repo", "path", "file_seq", "language", "summary", "complexity_assessment",
-        cut_with_ellipsis(f, 197, 200).alias("functionality"), *cols)
+        "repo", "path", "file_seq", "language", "summary", "complexity_assessment", f.alias("functionality"),
+        cut_with_ellipsis(f, 197, 200).alias("functionality_short"), *cols)
 
 
 def analysis_success(explanations: DataFrame) -> DataFrame:
-    """Per file: success flag and item counts, plus the repo's success ratio."""
-    per = explanations.select(
+    """Per file: success flag and item counts."""
+    return explanations.select(
         "repo", "path", "file_seq", (F.col("status") != "failed").alias("success"),
         *[F.size(f).alias(f"{f}_count") for f in rules.LIST_FIELDS], "complexity_assessment")
-    ratio = per.groupBy("repo").agg((F.count_if("success") / F.count(F.lit(1)) * 100).alias("success_pct"))
-    return per.join(ratio, "repo")
 
 
-def code_analysis_overview(insights: DataFrame) -> DataFrame:
-    """Report block: files analysed, complexity counts, first 5 patterns,
-    first 8 technologies, themes."""
-    def head(c: str, k: int) -> Column:
-        return F.array_join(F.slice(F.split(F.col(c), r"\|"), 1, k), "|")
-    return insights.select("repo", "total_files_analyzed", "complexity_distribution",
-                           head("common_patterns", 5).alias("common_patterns"),
-                           head("key_technologies", 8).alias("key_technologies"), "improvement_themes")
+def success_ratio(explanations: DataFrame) -> DataFrame:
+    """(repo, files, success_pct)."""
+    return explanations.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("files"),
+        (F.count_if(F.col("status") != "failed") / F.count(F.lit(1)) * 100).alias("success_pct"))
+
+
+def code_analysis_overview(insights: DataFrame, patterns: int = 5, technologies: int = 8) -> DataFrame:
+    """The report's block of the insights: files analysed, complexity counts,
+    the first patterns and technologies, themes; rows as in ``insights``."""
+    keep = (~F.col("section").isin("pattern", "technology")
+            | ((F.col("section") == "pattern") & (F.col("pos") <= patterns))
+            | ((F.col("section") == "technology") & (F.col("pos") <= technologies)))
+    return insights.where(keep)
 
 
 def run_summary(retrieved: DataFrame, selected: DataFrame, explanations: DataFrame,
                 prompts: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """One row of counts per repo: retrieved, selected, analysed, languages,
-    distinct patterns and dependencies, average prompt length, suggestions."""
+    distinct patterns and dependencies, average prompt length, suggestions
+    in all and by category."""
     items = explanation_items(explanations) if items is None else items
     r = retrieved.groupBy("repo").agg(F.count(F.lit(1)).alias("files_retrieved"))
     s = selected.groupBy("repo").agg(F.count(F.lit(1)).alias("files_selected"))
@@ -323,11 +346,14 @@ def run_summary(retrieved: DataFrame, selected: DataFrame, explanations: DataFra
         "repo", F.col("files").alias("files_analyzed"), F.col("n_languages").alias("languages_used"),
         "unique_patterns", "unique_dependencies")
     p = prompts.groupBy("repo").agg(F.avg(F.length("prompt")).alias("avg_prompt_length"))
-    sg = items.where(F.col("field") == "improvement_suggestions").groupBy("repo").agg(
-        F.count(F.lit(1)).alias("suggestions"))
+    names = [c for c, _ in rules.IMPROVEMENT_CATEGORIES] + [rules.IMPROVEMENT_OTHER]
+    by_category = {c: "suggestions_" + c.lower().replace(" ", "_") for c in names}
+    sg = (items.where(F.col("field") == "improvement_suggestions").withColumn("_c", _category()).groupBy("repo").agg(
+        F.count(F.lit(1)).alias("suggestions"),
+        *[F.count_if((F.col("_c") == c) & F.col("is_string")).alias(a) for c, a in by_category.items()]))
     return (r.join(s, "repo", "left").join(ov, "repo", "left").join(p, "repo", "left").join(sg, "repo", "left")
              .fillna(0, ["files_selected", "files_analyzed", "languages_used", "unique_patterns",
-                         "unique_dependencies", "suggestions"]))
+                         "unique_dependencies", "suggestions", *by_category.values()]))
 
 
 def issue_candidates(themes: DataFrame, items: DataFrame, open_issues: DataFrame | None = None) -> DataFrame:
@@ -335,10 +361,10 @@ def issue_candidates(themes: DataFrame, items: DataFrame, open_issues: DataFrame
 
     'Investigate: <theme>' for each theme, then every suggestion (objects
     give their 'text' or 'description', else their JSON). De-duplicated on
-    the lower-cased first 200 characters, first kept (a partial ``min``
-    aggregation per key, so a suggestion repeated everywhere collapses
-    map-side). Titles over 120 characters are cut to 117 + '...'. With
-    ``open_issues`` titles already open (case-insensitive) are dropped.
+    the lower-cased whole text, first kept (a partial ``min`` aggregation
+    per key, so a suggestion repeated everywhere collapses map-side).
+    ``title_short`` has at most 120 characters. With ``open_issues`` those
+    whose title, whole or short, is open already (case-insensitive) go.
     """
     t = themes.select("repo", F.lit(0).alias("src"), F.col("rank").cast("bigint").alias("o1"),
                       F.lit(0).alias("o2"), F.concat(F.lit(rules.ISSUE_THEME_PREFIX), F.col("theme")).alias("text"))
@@ -349,18 +375,18 @@ def issue_candidates(themes: DataFrame, items: DataFrame, open_issues: DataFrame
     s = sug.select("repo", F.lit(1).alias("src"), F.col("file_seq").alias("o1"), F.col("pos").alias("o2"),
                    text.alias("text"))
     cands = t.unionByName(s).withColumn("text", strip_py(F.col("text")))
-    key = F.substring(F.lower(F.col("text")), 1, rules.ISSUE_KEY_CHARS)
-    firsts = (cands.where(key != "")
-                   .groupBy("repo", key.alias("k"))
+    firsts = (cands.where(F.col("text") != "")
+                   .groupBy("repo", F.lower("text").alias("k"))
                    .agg(F.min(F.struct("src", "o1", "o2", "text")).alias("c"))
                    .select("repo", "c.src", "c.o1", "c.o2", "c.text"))
-    title = F.when(F.length("text") <= rules.ISSUE_TITLE_MAX, F.col("text")).otherwise(
+    short = F.when(F.length("text") <= rules.ISSUE_TITLE_MAX, F.col("text")).otherwise(
         F.concat(F.substring("text", 1, rules.ISSUE_TITLE_CUT), F.lit("...")))
-    out = firsts.withColumn("title", title)
+    out = firsts.withColumn("title", F.col("text")).withColumn("title_short", short)
     if open_issues is not None:
-        o = open_issues.select("repo", F.lower("title").alias("lt")).distinct()
-        out = out.join(o, (out["repo"] == o["repo"]) & (F.lower(out["title"]) == o["lt"]), "left_anti")
+        o = open_issues.select(F.col("repo").alias("o_repo"), F.lower("title").alias("lt")).distinct()
+        for c in ("title", "title_short"):
+            out = out.join(o, (F.col("repo") == F.col("o_repo")) & (F.lower(c) == F.col("lt")), "left_anti")
     body = F.concat(F.lit(rules.ISSUE_BODY_HEAD), F.col("text"), F.lit(rules.ISSUE_BODY_TAIL),
                     F.col("repo"), F.lit("/" + rules.ISSUE_REPORT_NAME), F.lit("\n"))
-    return out.select("repo", "src", "o1", "o2", "title", body.alias("body"),
-                      F.lit("|".join(rules.ISSUE_LABELS)).alias("labels"))
+    return out.select("repo", "src", "o1", "o2", "title", "title_short", body.alias("body"),
+                      F.array(*map(F.lit, rules.ISSUE_LABELS)).alias("labels"))

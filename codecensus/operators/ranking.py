@@ -108,11 +108,13 @@ def selection_score_sql(path: str = "path", lines: str = "lines", keyword: str =
     return f"({base} + {size_pts})"
 
 
-def selection_features(contents: DataFrame, max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
+def selection_features(contents: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Eligible code files reduced to (repo, path, file_seq, lines, has_keyword):
     the text is read here, inside its own row, and dropped."""
     eligible = contents.where(lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull()
-                              & (F.length("content") <= max_chars))
+                              & F.col("content").isNotNull())
+    if max_chars is not None:
+        eligible = eligible.where(F.length("content") <= max_chars)
     return eligible.select("repo", "path", "file_seq",
                            S.expr("size(split(content, '\\n', -1))").alias("lines"),
                            S.expr(S.contains_any("lower(content)", rules.SEL_KEYWORDS)).alias("has_keyword"))
@@ -127,11 +129,12 @@ def _with_focus(contents: DataFrame, focus: DataFrame | None) -> DataFrame:
 
 def select_from_features(features: DataFrame, focus: DataFrame | None = None,
                          n: int = rules.MAX_FILES_FOR_ANALYSIS,
-                         max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
+                         max_chars: int | None = None) -> DataFrame:
     """``select_for_analysis`` over per-file features (``chars``, ``n_lines``,
     ``has_keyword``): no text."""
-    eligible = features.where(lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull()
-                              & (F.col("chars") <= max_chars))
+    eligible = features.where(lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull() & F.col("has_text"))
+    if max_chars is not None:
+        eligible = eligible.where(F.col("chars") <= max_chars)
     return _select(eligible.select("repo", "path", "file_seq", F.col("n_lines").alias("lines"), "has_keyword"),
                    focus, n)
 
@@ -146,9 +149,9 @@ def _select(feats: DataFrame, focus: DataFrame | None, n: int) -> DataFrame:
 
 def select_for_analysis(contents: DataFrame, focus: DataFrame | None = None,
                         n: int = rules.MAX_FILES_FOR_ANALYSIS,
-                        max_chars: int = rules.MAX_CODE_LENGTH) -> DataFrame:
-    """(repo, rank, path, file_seq, score): top N code files of at most
-    ``max_chars`` characters by score, ties in file order. The focus join and
+                        max_chars: int | None = None) -> DataFrame:
+    """(repo, rank, path, file_seq, score): top N code files by score, ties in
+    file order; with ``max_chars`` only files of at most that length. The focus join and
     the ranking see only narrow per-file features, never the text."""
     return _select(selection_features(contents, max_chars), focus, n)
 

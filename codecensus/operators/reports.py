@@ -20,6 +20,7 @@ from codecensus import report_text as T
 from codecensus import rules
 from codecensus.functions.text import contains_any, fmt1, format_size, safe_percentage
 from codecensus.operators.classify import category_flags
+from codecensus.operators.explanations import code_analysis_overview
 
 _PH = re.compile(r"\{(\w+)\}")
 
@@ -61,12 +62,6 @@ def _when_nonempty(text: Column, head: str, tail: str = "") -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(head), text, F.lit(tail))).otherwise(F.lit(""))
 
 
-def _bullets(arr: Column, tmpl: str) -> Column:
-    a, b = tmpl.split("{x}")
-    return F.array_join(F.transform(arr, lambda x: F.concat(F.lit(a), x, F.lit(b))), "")
-
-
-# ---------------------------------------------------------------- tables
 def format_size_table(totals: DataFrame) -> DataFrame:
     """(repo, total_size, size_text) with '0 B' / one decimal B, KB, MB, GB."""
     return totals.select("repo", "total_size", format_size(F.col("total_size")).alias("size_text"))
@@ -251,36 +246,42 @@ def technology_stack(pattern_rows: DataFrame, managers: DataFrame, tooling: Data
     return pt.unionByName(tech).unionByName(pm).unionByName(tl)
 
 
-def quick_summary(repos: DataFrame, files: DataFrame) -> DataFrame:
+def quick_summary(repos: DataFrame, files: DataFrame, basic: bool = False) -> DataFrame:
     """(repo, name, description, language, total_files, top_languages,
-    size_text, documentation_files, test_files, config_files, document)."""
-    from codecensus.operators.structure import language_counts
-    fl = category_flags("path")
-    t = files.groupBy("repo").agg(
-        F.count(F.lit(1)).alias("total_files"), F.sum(F.coalesce("size", F.lit(0))).cast("bigint").alias("total_size"),
-        F.count_if(fl["documentation"]).alias("documentation_files"), F.count_if(fl["test"]).alias("test_files"),
-        F.count_if(fl["config"]).alias("config_files"))
-    lc = language_counts(files)
-    w = Window.partitionBy("repo").orderBy(F.col("files").desc(), F.col("first_seq"))
-    top = lc.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rules.TOP_QUICK_LANGUAGES)
-    langs = block(top, ["r"], fill(T.QUICK_LANGUAGE_LINE, language=F.col("language"), files=F.col("files")), "lang_lines")
-    toplist = top.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-        F.struct("r", F.concat("language", F.lit(":"), F.col("files").cast("string")).alias("x")))),
-        lambda x: x["x"]), "|").alias("top_languages"))
+    size_text, documentation_files, test_files, config_files, document).
+
+    ``basic`` takes the clone flow's vocabulary and category rules. One
+    aggregation per (repo, language) feeds everything; a repository's row
+    then gathers at most the vocabulary's languages.
+    """
+    from codecensus.operators.classify import basic_category_flags, language_of
+    fl = basic_category_flags("path") if basic else category_flags("path")
+    lang = language_of("path", rules.CODE_EXTENSIONS if basic else None)
+    per = files.groupBy("repo", lang.alias("l")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("size", F.lit(0))).cast("bigint").alias("bytes"),
+        F.min("file_seq").alias("first"),
+        *[F.count_if(fl[c]).alias(c) for c in ("documentation", "test", "config")])
+    found = F.array_sort(F.collect_list(F.when(F.col("l").isNotNull(), F.struct(
+        (-F.col("n")).alias("order"), "first", "l", "n"))))
+    t = per.groupBy("repo").agg(
+        F.sum("n").alias("total_files"), F.sum("bytes").alias("total_size"),
+        *[F.sum(c).alias(f"{c}_files") for c in ("documentation", "test", "config")],
+        F.slice(found, 1, rules.TOP_QUICK_LANGUAGES).alias("top"))
     r = repos.select("repo", F.coalesce("repo", F.lit(T.QUICK_DEFAULT_NAME)).alias("name"),
                      F.coalesce("description", F.lit(T.QUICK_DEFAULT_DESCRIPTION)).alias("description"),
                      F.coalesce("language", F.lit(T.QUICK_DEFAULT_LANGUAGE)).alias("language"))
-    j = (t.join(r, "repo", "left").join(langs, "repo", "left").join(toplist, "repo", "left")
-          .fillna({"name": T.QUICK_DEFAULT_NAME, "description": T.QUICK_DEFAULT_DESCRIPTION,
-                   "language": T.QUICK_DEFAULT_LANGUAGE, "lang_lines": "", "top_languages": ""}))
+    j = t.join(r, "repo", "left").fillna({"name": T.QUICK_DEFAULT_NAME, "description": T.QUICK_DEFAULT_DESCRIPTION,
+                                          "language": T.QUICK_DEFAULT_LANGUAGE})
+    lines = F.array_join(F.transform("top", lambda x: fill(T.QUICK_LANGUAGE_LINE, language=x["l"], files=x["n"])), "")
     size_text = format_size(F.col("total_size"))
     doc = F.concat(
         fill(T.QUICK, name=F.col("name"), description=F.col("description"), language=F.col("language"),
              total_files=thousands(F.col("total_files"))),
-        F.col("lang_lines"),
+        lines,
         fill(T.QUICK_STATS, size=size_text, docs=F.col("documentation_files"), tests=F.col("test_files"),
              configs=F.col("config_files")))
-    return j.select("repo", "name", "description", "language", "total_files", "top_languages",
+    tops = F.transform("top", lambda x: F.concat(x["l"], F.lit(":"), x["n"].cast("string")))
+    return j.select("repo", "name", "description", "language", "total_files", tops.alias("top_languages"),
                     size_text.alias("size_text"), "documentation_files", "test_files", "config_files",
                     doc.alias("document"))
 
@@ -435,35 +436,21 @@ def metrics_section(totals: DataFrame, by_lang: DataFrame, lang_first: DataFrame
                       code=thousands(F.col("code_lines")), comments=thousands(F.col("comment_lines"))), "rows")
     big = fm.where(F.col("lines") > rules.LARGE_FILE_LINES)
     deep = fm.where(F.col("max_indentation") > rules.DEEP_NESTING_LEVEL)
-    k = T.INDICATORS_SHOWN
-
-    def capped(df: DataFrame, line: Column, alias: str) -> DataFrame:
-        w = Window.partitionBy("repo").orderBy("file_seq")
-        top = df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        return block(top, ["r"], line, alias)
-
-    big_lines = capped(big, fill(T.LARGE_FILE_LINE, path=F.col("path"), lines=F.col("lines")), "big_lines")
-    deep_lines = capped(deep, fill(T.NESTED_LINE, path=F.col("path"), depth=F.col("max_indentation")), "deep_lines")
-    j = (totals.join(rows, "repo", "left").join(big_lines, "repo", "left")
-               .join(deep_lines, "repo", "left").fillna("", ["rows", "big_lines", "deep_lines"])
-               .fillna(0, ["n_big", "n_deep"]))
-
-    def more(n: Column) -> Column:
-        return F.when(n > k, fill(T.MORE_LINE, n=n - k)).otherwise(F.lit(""))
-
-    big_block = F.when(F.col("n_big") > 0, F.concat(fill(T.LARGE_FILES_HEAD, n=F.col("n_big")), F.col("big_lines"),
-                                                     more(F.col("n_big")), F.lit("\n"))).otherwise(F.lit(""))
-    deep_block = F.when(F.col("n_deep") > 0, F.concat(fill(T.NESTED_HEAD, n=F.col("n_deep")), F.col("deep_lines"),
-                                                       more(F.col("n_deep")), F.lit("\n"))).otherwise(F.lit(""))
+    j = totals.join(rows, "repo", "left").fillna("", ["rows"]).fillna(0, ["n_big", "n_deep"])
     text = F.concat(
         fill(T.METRICS, total_lines=thousands(F.col("total_lines")), code_lines=thousands(F.col("code_lines")),
              code_pct=fmt1(F.col("code_pct")), comment_lines=thousands(F.col("comment_lines")),
              comment_pct=fmt1(F.col("comment_pct")), blank_lines=thousands(F.col("blank_lines")),
              blank_pct=fmt1(F.col("blank_pct")), files_analyzed=thousands(F.col("files_analyzed"))),
         _when_nonempty(F.col("rows"), T.METRICS_TABLE_HEAD),
-        F.when((F.col("n_big") + F.col("n_deep")) > 0, F.concat(F.lit(T.COMPLEXITY_HEAD), big_block, deep_block))
-         .otherwise(F.lit("")))
-    return j.select("repo", text.alias("text"))
+        F.when((F.col("n_big") + F.col("n_deep")) > 0, F.lit(T.COMPLEXITY_HEAD)).otherwise(F.lit("")))
+    heads = j.select("repo", "n_big", "n_deep")
+    return (one_fragment(j, text, 0)
+            .unionByName(one_fragment(heads.where("n_big > 0"), fill(T.LARGE_FILES_HEAD, n=F.col("n_big")), 1))
+            .unionByName(list_fragments(big, 2, "", fill(T.LARGE_FILE_LINE, path=F.col("path"), lines=F.col("lines"))))
+            .unionByName(one_fragment(heads.where("n_deep > 0"), fill(T.NESTED_HEAD, n=F.col("n_deep")), 3))
+            .unionByName(list_fragments(deep, 4, "", fill(T.NESTED_LINE, path=F.col("path"),
+                                                          depth=F.col("max_indentation")))))
 
 
 def architecture_section(flags: DataFrame) -> DataFrame:
@@ -480,8 +467,8 @@ def architecture_section(flags: DataFrame) -> DataFrame:
 
 
 def code_analysis_section(explanations: DataFrame, insights: DataFrame, order: DataFrame) -> DataFrame:
-    """Only for repositories with explanations (``explanations`` should be the
-    selected files' explanations, at most N per repository)."""
+    """Only for repositories with explanations: one fragment per file, in the
+    order of importance and then of the explanations."""
     def items_text(col: str, tmpl: str) -> Column:
         a, b = tmpl.split("{x}")
         return F.array_join(F.transform(F.col(col), lambda x: F.concat(F.lit(a), x["value"], F.lit(b))), "")
@@ -494,29 +481,22 @@ def code_analysis_section(explanations: DataFrame, insights: DataFrame, order: D
         *[F.when(F.size(c) > 0, F.concat(F.lit(head), items_text(c, tmpl), F.lit("\n"))).otherwise(F.lit(""))
           for c, head, tmpl in T.CA_LIST_HEADS],
         F.lit(T.CA_FILE_END))
-    files = block(explanations.join(order, ["repo", "path"]), ["importance", "order_key"], per_file, "files")
-
-    def list_block(col: str, k: int, head: str, tmpl: str) -> Column:
-        arr = F.slice(F.split(F.col(col), r"\|"), 1, k)
-        arr = F.filter(arr, lambda x: x != "")
-        return F.when(F.size(arr) > 0, F.concat(F.lit(head), _bullets(arr, tmpl), F.lit("\n"))).otherwise(F.lit(""))
-
-    cd = F.filter(F.split(F.col("complexity_distribution"), r"\|"), lambda x: x != "")
-    cd_lines = F.array_join(F.transform(cd, lambda x: fill(
-        T.CA_COMPLEXITY_LINE, complexity=F.regexp_extract(x, "^(.*):[0-9]+$", 1),
-        files=F.regexp_extract(x, ":([0-9]+)$", 1))), "")
-    themes = F.filter(F.split(F.col("improvement_themes"), r"\|"), lambda x: x != "")
-    text = F.concat(
-        F.lit(T.CODE_ANALYSIS),
-        fill(T.CA_OVERVIEW, n=F.col("total_files_analyzed")),
-        F.when(F.size(cd) > 0, F.concat(F.lit(T.CA_COMPLEXITY_HEAD), cd_lines, F.lit("\n"))).otherwise(F.lit("")),
-        list_block("common_patterns", T.CA_PATTERNS_SHOWN, T.CA_PATTERNS_HEAD, "- {x}\n"),
-        list_block("key_technologies", T.CA_TECH_SHOWN, T.CA_TECH_HEAD, "- {x}\n"),
-        F.lit(T.CA_DETAILS_HEAD), F.col("files"),
-        F.when(F.size(themes) > 0, F.concat(F.lit(T.CA_THEMES),
-                                            _bullets(themes, T.CA_THEME_LINE.replace("{theme}", "{x}")),
-                                            F.lit("\n"))).otherwise(F.lit("")))
-    return insights.join(files, "repo").select("repo", text.alias("text"))
+    ordered = explanations.join(order, ["repo", "path"]).withColumn(
+        "place", F.shiftleft(F.col("importance").cast("bigint"), 40) + F.col("order_key"))
+    overview = code_analysis_overview(insights, T.CA_PATTERNS_SHOWN, T.CA_TECH_SHOWN)
+
+    def listed(section: str, part: int, head: str, line: Column) -> DataFrame:
+        return list_fragments(overview.where(F.col("section") == section), part, head, line, order="pos")
+
+    bullet = F.concat(F.lit("- "), F.col("value"), F.lit("\n"))
+    total = overview.where(F.col("section") == "files")
+    return (one_fragment(total, F.concat(F.lit(T.CODE_ANALYSIS), fill(T.CA_OVERVIEW, n=F.col("n"))), 0)
+            .unionByName(listed("complexity", 1, T.CA_COMPLEXITY_HEAD,
+                                fill(T.CA_COMPLEXITY_LINE, complexity=F.col("value"), files=F.col("n"))))
+            .unionByName(listed("pattern", 2, T.CA_PATTERNS_HEAD, bullet))
+            .unionByName(listed("technology", 3, T.CA_TECH_HEAD, bullet))
+            .unionByName(list_fragments(ordered, 4, T.CA_DETAILS_HEAD, per_file, tail="", order="place"))
+            .unionByName(listed("theme", 5, T.CA_THEMES, fill(T.CA_THEME_LINE, theme=F.col("value")))))
 
 
 def documentation_section(files: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -524,15 +504,6 @@ def documentation_section(files: DataFrame, stats: DataFrame | None = None) -> D
     g = documentation_groups(files)
     named = g.where(F.col("doc_group") != "Other")
     other = g.where(F.col("doc_group") == "Other")
-    w = Window.partitionBy("repo").orderBy("file_seq")
-    other_top = block(other.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rules.OTHER_DOCS_SHOWN),
-                      ["r"], fill(T.DOC_FILE_LINE, path=F.col("path")), "other_lines")
-    other_n = other.groupBy("repo").agg(F.count(F.lit(1)).alias("n_other"))
-    k = rules.OTHER_DOCS_SHOWN
-    other_block = other_top.join(other_n, "repo").select("repo", F.concat(
-        F.lit(T.DOC_OTHER_HEAD), F.col("other_lines"),
-        F.when(F.col("n_other") > k, fill(T.MORE_LINE, n=F.col("n_other") - k)).otherwise(F.lit("")),
-        F.lit("\n")).alias("text"))
     tier_line = F.element_at(F.create_map(*[x for t, line in T.DOC_TIER_LINES.items() for x in (F.lit(t), F.lit(line))]),
                              F.col("tier"))
     head = F.concat(fill(T.DOCUMENTATION, n=F.col("documentation_files"), pct=fmt1(F.col("ratio"))),
@@ -544,7 +515,7 @@ def documentation_section(files: DataFrame, stats: DataFrame | None = None) -> D
             T.DOC_GROUP_HEAD.replace("{label}", T.DOC_GROUP_LABELS[grp]),
             fill(T.DOC_FILE_LINE, path=F.col("path"))))
     n = len(rules.DOC_GROUPS)
-    return (out.unionByName(one_fragment(other_block, F.col("text"), 1 + n))
+    return (out.unionByName(list_fragments(other, 1 + n, T.DOC_OTHER_HEAD, fill(T.DOC_FILE_LINE, path=F.col("path"))))
                .unionByName(one_fragment(q, F.concat(F.lit(T.DOC_QUALITY), tier_line), 2 + n)))
 
 
@@ -554,25 +525,18 @@ def workflow_section(files: DataFrame, repos: DataFrame, stats: DataFrame | None
     ci_rows = files.where(fl["config"] & contains_any(lp, rules.CI_MARKERS))
     wf = development_workflow(files, repos, stats)
     build_rows = files.where(fl["build"])
-    w = Window.partitionBy("repo").orderBy("file_seq")
-    build = block(build_rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rules.BUILD_FILES_SHOWN),
-                  ["r"], fill(T.DOC_FILE_LINE, path=F.col("path")), "build_lines")
-    j = wf.join(build, "repo", "left").fillna("", ["build_lines"])
 
     def flag(c: str) -> Column:
         return F.when(F.col(c), F.lit(T.ENABLED)).otherwise(F.lit(T.DISABLED))
 
-    rest = F.concat(
-        F.when(F.col("test_files") > 0, fill(T.TESTING, n=F.col("test_files"), pct=fmt1(F.col("test_pct"))))
-         .otherwise(F.lit("")),
-        F.when(F.col("build_files") > 0, F.concat(
-            F.lit(T.BUILD_HEAD), F.col("build_lines"),
-            F.when(F.col("build_more") > 0, fill(T.MORE_LINE, n=F.col("build_more"))).otherwise(F.lit("")),
-            F.lit("\n"))).otherwise(F.lit("")),
-        fill(T.FEATURES, issues=flag("has_issues"), projects=flag("has_projects"), wiki=flag("has_wiki")))
+    testing = fill(T.TESTING, n=F.col("test_files"), pct=fmt1(F.col("test_pct")))
+    features = fill(T.FEATURES, issues=flag("has_issues"), projects=flag("has_projects"), wiki=flag("has_wiki"))
+    line = fill(T.DOC_FILE_LINE, path=F.col("path"))
     return (one_fragment(wf, F.lit(T.WORKFLOW), 0)
-            .unionByName(list_fragments(ci_rows, 1, T.CI_HEAD, fill(T.DOC_FILE_LINE, path=F.col("path"))))
-            .unionByName(one_fragment(j, rest, 2)))
+            .unionByName(list_fragments(ci_rows, 1, T.CI_HEAD, line))
+            .unionByName(one_fragment(wf.where("test_files > 0"), testing, 2))
+            .unionByName(list_fragments(build_rows, 3, T.BUILD_HEAD, line))
+            .unionByName(one_fragment(wf, features, 4)))
 
 
 def recommendations_section(recs: DataFrame) -> DataFrame:
@@ -611,14 +575,7 @@ def report_fragments(sections: list[DataFrame]) -> DataFrame:
     return rows
 
 
-def render_report(sections: list[DataFrame], repos: DataFrame) -> DataFrame:
-    """(repo, report): the fragments of each repository joined in order.
-
-    This gathers a repository's whole document into one value; for corpora
-    with very large repositories write ``report_fragments`` with
-    ``sinks.write_reports`` instead, which streams them sorted per repository.
-    """
-    doc = report_fragments(sections).groupBy("repo").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("section", "part", "ord", "text"))), lambda x: x["text"]), "")
-        .alias("report"))
-    return repos.select("repo").join(doc, "repo", "left")
+def render_report(sections: list[DataFrame]) -> DataFrame:
+    """The documents as ordered fragments (see ``report_fragments``);
+    ``sinks.write_reports`` writes them. No document is held as one value."""
+    return report_fragments(sections)

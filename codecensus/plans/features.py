@@ -19,7 +19,6 @@ from codecensus.operators.classify import language_of
 from codecensus.operators.dependencies import manifest_columns
 from codecensus.operators.metrics import metric_columns
 from codecensus.operators.patterns import term_hit_columns
-from codecensus.session import ensure_parallelism
 
 LISTING = ["repo", "file_seq", "path", "name", "type", "size"]
 METRICS = ["lines", "blank_lines", "comment_lines", "code_lines", "max_indentation"]
@@ -28,7 +27,7 @@ METRICS = ["lines", "blank_lines", "comment_lines", "code_lines", "max_indentati
 def file_features(listing_text: DataFrame) -> DataFrame:
     """Listing columns plus per-file features; ``content`` is dropped."""
     content = F.col("content")
-    base = ensure_parallelism(listing_text.select(*LISTING, "content")).select(
+    base = listing_text.select(
         *LISTING, "content", language_of("path").alias("language"))
     staged = base.select("*", lines_of(content).alias("_lines"),
                          F.lower(F.coalesce(content, F.lit(""))).alias("lc"))

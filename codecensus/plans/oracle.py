@@ -32,11 +32,8 @@ oracle("with_priority_score", f"select repo, file_seq, path, {P.priority('path')
 
 oracle("limit_files", f"""
 select repo, file_seq, path, priority,
-  case when n > 20 then cast(rk as bigint) else file_seq end as list_pos
-from (select *, row_number() over (partition by repo order by priority desc, file_seq) as rk,
-        count(*) over (partition by repo) as n
-      from (select repo, file_seq, path, {P.priority('path')} as priority from rel) x) y
-where rk <= 20""", (REL,))
+  row_number() over (partition by repo order by priority desc, file_seq) as rank
+from (select repo, file_seq, path, {P.priority('path')} as priority from rel) x""", (REL,))
 
 oracle("detect_language", f"select repo, file_seq, {LANG} as language from files")
 
@@ -161,7 +158,7 @@ select repo, language, count(*) as files, cast(sum(lines) as bigint) as lines,
   cast(sum(code_lines) as bigint) as code_lines, cast(sum(comment_lines) as bigint) as comment_lines
 from fm group by 1, 2""", (RELC,) + FM)
 
-oracle("large_files", f"select repo, path, file_seq, lines from fm where lines > {rules.LARGE_FILE_LINES}", (RELC,) + FM)
+oracle("large_files", "select repo, path, file_seq, lines from fm where lines > 40", (RELC,) + FM)
 oracle("deeply_nested_files",
        f"select repo, path, file_seq, max_indentation from fm where max_indentation > {rules.DEEP_NESTING_LEVEL}",
        (RELC,) + FM)
@@ -184,12 +181,18 @@ from b3 group by 1, 2""", BASIC)
 
 RESPONSES = r"""responses as (
 select repo, path, file_seq, case when file_seq % 11 = 0 then 'No JSON here' || chr(10) || path else
- 'Here: {"summary":"S' || cast(file_seq as varchar(20)) || '","complexity_assessment":"'
+ 'Here: {"summary":"S' || cast(file_seq as varchar(20)) || ' ' || md5(text) || '",'
+ || case when file_seq % 2 = 0 then '"main_functionality":"' || regexp_replace(text, '[^A-Za-z ]+', '', 'g') || '",' else '' end
+ || '"complexity_assessment":"'
  || case file_seq % 3 when 0 then 'Simple. ok' when 1 then 'Moderate - x' else 'Complex' end
- || '","dependencies":["dep' || cast(file_seq % 9 as varchar(10)) || '","json"],"code_patterns":["P'
- || cast(file_seq % 4 as varchar(10)) || '"],"improvement_suggestions":["'
+ || '","key_components":["part ' || cast(file_seq % 5 as varchar(10)) || '","core"],"dependencies":["dep' || cast(file_seq % 9 as varchar(10)) || '","json"],"code_patterns":["P'
+ || cast(file_seq % 4 as varchar(10)) || '"' || case when file_seq % 6 = 0 then ',"A|B"' else '' end
+ || '],"improvement_suggestions":["'
  || case file_seq % 4 when 0 then 'Add unit tests' when 1 then 'Improve error handling'
-    when 2 then 'Optimize performance' else 'Refactor names' end || '"]} done' end as response,
+    when 2 then 'Optimize performance' else 'Refactor names' end || '"'
+ || case when file_seq % 10 = 5 then ',{"description":"Cache ' || cast(file_seq % 7 as varchar(10)) || '"}'
+    when file_seq % 5 = 0 then ',{"text":"Split part ' || cast(file_seq % 7 as varchar(10)) || '"}' else '' end
+ || ']} done' end as response,
  case when file_seq % 17 = 0 then 'LLM API error: timeout' end as error
 from corpus
 where path like '%.py' or path like '%.js' or path like '%.go' or path like '%.rs' or path like '%.java'
@@ -205,7 +208,8 @@ left join (select repo, count(*) as n from responses group by repo) a on r.repo
        (COLLECTED, RESPONSES))
 
 # ---------------------------------------------------------------- §2.1
-oracle("read_listing", "select repo, file_seq, path, name, type, size from files")
+oracle("read_listing", "select repo, file_seq, path, name, type, size, fmt from files, "
+       "(values ('parquet'), ('json')) f(fmt)")
 
 oracle("normalize_ado_listing", "select repo, cast(floor(file_seq / 50) as bigint) as page, path, size from corpus")
 
@@ -217,24 +221,21 @@ left join (select repo, count(*) filter (where regexp_extract(dir, '([^/]*)$', 1
            group by repo) d on f.repo = d.repo""")
 
 oracle("decode_contents", """
-select repo, file_seq, 'drop' as mode, cast(length(content) as bigint) as chars from contents where file_seq % 13 <> 0
-union all select repo, file_seq, 'ignore', cast(length(content) as bigint) from contents
-union all select repo, file_seq, 'latin1', cast(case when file_seq % 13 = 0 then strlen(content) + 1
-  else length(content) end as bigint) from contents""")
+select repo, file_seq, 'drop' as mode, md5(content) as content_md5 from contents where file_seq % 13 <> 0
+union all select repo, file_seq, 'ignore', md5(case when file_seq % 13 = 0 then content || chr(65533) else content end)
+  from contents
+union all select repo, file_seq, 'latin1', md5(case when file_seq % 13 = 0 then
+    array_to_string(list_transform(string_split(regexp_replace(hex(encode(content)), '(..)', '\\1 ', 'g'), ' ')[1:-2],
+      lambda x: chr(cast('0x' || x as integer))), '') || 'ï¿½ÿ' else content end)
+  from contents""")
 
 oracle("collect_code_files", """
 select repo, count(*) as collected_files, cast(sum(length(content)) as bigint) as total_size
 from collected group by repo""", (COLLECTED,))
 
-_cap = f"{CODE_LANG} is not null and coalesce(size, 0) < {rules.MAX_CODE_LENGTH}"
 oracle("retrieve_capped", f"""
-select repo, file_seq, rank, walk from (
-  select repo, file_seq, cast(row_number() over (partition by repo order by file_seq) as integer) as rank, 'github' as walk
-  from corpus where {_cap} and len(string_split(path, '/')) <= 3) a where rank <= 50
-union all
-select repo, file_seq, rank, walk from (
-  select repo, file_seq, cast(row_number() over (partition by repo order by file_seq) as integer) as rank, 'azure_devops' as walk
-  from corpus where {_cap}) b where rank <= 50""")
+select repo, file_seq, row_number() over (partition by repo order by file_seq) as rank
+from corpus where {CODE_LANG} is not null""")
 
 oracle("files_by_extension", f"""
 select repo, extension, files, total_chars, coalesce({P.case_map('extension', rules.CODE_EXTENSIONS)}, 'Unknown') as language
@@ -292,6 +293,11 @@ select repo, repo as name, description, url, coalesce(language, 'Not specified')
   size as size_kb, created, updated, topics, license, has_issues, has_projects, has_wiki from repos""",
        (PER_LANG, REPOS))
 
+oracle("repo_overview_ado", """
+select b.repo, b.repo as name, case when p.license is null then 'Unknown' else 'group' || cast(b.r % 3 as varchar) end as project,
+  p.size, case when p.has_wiki then 'main' else 'Unknown' end as default_branch
+from (select repo, min(r) as r from corpus group by repo) b join repos p on b.repo = p.repo""", (PER_LANG, REPOS))
+
 oracle("language_bytes_share", f"""
 select repo, rank, language, bytes, pct from (
   select repo, language, bytes, bytes / sum(bytes) over (partition by repo) * 100 as pct,
@@ -311,34 +317,35 @@ from (select *, cast(row_number() over (partition by repo order by date desc, sh
 where rank <= {rules.RECENT_COMMITS}""", (COMMITS,))
 
 oracle("commits_on_branch", """
-select repo, '1-URGENT' as branch, rank, sha, split_part(message, chr(10), 1) as message,
-  count(*) over (partition by repo) as count
-from (select *, cast(row_number() over (partition by repo order by date desc, sha) as integer) as rank
-      from commits where branch = '1-URGENT') x where rank between 26 and 50""", (COMMITS,))
+select repo, branch, row_number() over (partition by repo order by date desc, sha) as rank, sha,
+  split_part(message, chr(10), 1) as message, count(*) over (partition by repo) as count
+from commits where branch = '1-URGENT'""", (COMMITS,))
 
 PRS = """prs as (
 select 'src' || cast(o_custkey % 20 as varchar) as repo, o_orderkey as pr_id, 'Order ' || cast(o_orderkey as varchar) as title,
   case o_orderstatus when 'O' then 'active' when 'F' then 'completed' else 'abandoned' end as status
 from orders)"""
 oracle("pull_requests_by_status", """
-select repo, rank, pr_id, title, status, count(*) over (partition by repo) as count, 'active' as scope
-from (select *, cast(row_number() over (partition by repo order by pr_id desc) as integer) as rank
-      from prs where status = 'active') a where rank <= 10
+select repo, row_number() over (partition by repo order by pr_id desc) as rank, pr_id, title, status,
+  count(*) over (partition by repo) as count, 'active' as scope from prs where status = 'active'
 union all
-select repo, rank, pr_id, title, status, count(*) over (partition by repo) as count, 'all' as scope
-from (select *, cast(row_number() over (partition by repo order by pr_id desc) as integer) as rank from prs) b
-where rank <= 100""", (PRS,))
+select repo, row_number() over (partition by repo order by pr_id desc) as rank, pr_id, title, status,
+  count(*) over (partition by repo) as count, 'all' as scope from prs""", (PRS,))
 
 oracle("branches_per_repo", """
-select repo, rank, branch, count(*) over (partition by repo) as count
-from (select repo, branch, cast(row_number() over (partition by repo order by branch) as integer) as rank
-      from (select distinct repo, branch from commits) d) x where rank <= 3""", (COMMITS,))
+select repo, branch, row_number() over (partition by repo order by branch) as rank,
+  count(*) over (partition by repo) as count from (select distinct repo, branch from commits) d""", (COMMITS,))
 
-oracle("list_org_repositories", "select project, repo from pr", (PR,))
+oracle("list_org_repositories", """
+select project, repo, count(*) over (partition by project) as count, 'all' as scope from pr
+union all select project, repo, count(*) over () as count, 'de' as scope from pr where project = 'de'""", (PR,))
 
 oracle("search_code", """
-select repo, path, file_seq from contents where contains(lower(content), 'kafka')
-order by repo, file_seq limit 100""")
+select repo, path, file_seq, 'everywhere' as scope from contents where contains(lower(content), 'kafka')
+union all select 'org1/' || repo, path, file_seq, 'owner' from contents
+  where contains(lower(content), 'kafka') and file_seq % 3 = 1
+union all select 'org2/' || repo, path, file_seq, 'repository' from contents
+  where contains(lower(content), 'kafka') and file_seq % 3 = 2 and repo = 'src3'""")
 
 # ---------------------------------------------------------------- §2.6
 from codecensus.operators.patterns import TERMS, FLAG_OF  # noqa: E402
@@ -600,7 +607,7 @@ SEL = (FOCUS, FJ,
        f"selected as (select * from (select repo, path, file_seq, score, "
        f"cast(row_number() over (partition by repo order by score desc, file_seq) as integer) as rank from "
        f"(select repo, path, file_seq, {_sel_score()} as score from fj where {CODE_LANG} is not null "
-       f"and length(content) <= {rules.MAX_CODE_LENGTH}) s) t where rank <= {rules.MAX_FILES_FOR_ANALYSIS})")
+       f") s) t where rank <= {rules.MAX_FILES_FOR_ANALYSIS})")
 oracle("select_for_analysis", "select repo, rank, path, file_seq, score from selected", (RELC,) + SEL)
 
 oracle("selection_scores", f"""
@@ -644,8 +651,9 @@ oracle("build_prompts", """select repo, path, file_seq, language, cast(length(pr
   md5(prompt) as prompt_md5 from prompts""", (RELC,) + SEL + (PROMPTS,))
 oracle("prompt_stats", """
 select repo, path, file_seq, cast(content_length as integer) as content_length, cast(length(prompt) as integer) as prompt_length,
-  cast(len(string_split(prompt, chr(10))) as integer) as prompt_lines,
-  avg(length(prompt)) over (partition by repo) as avg_prompt_length from prompts""", (RELC,) + SEL + (PROMPTS,))
+  cast(len(string_split(prompt, chr(10))) as integer) as prompt_lines from prompts""", (RELC,) + SEL + (PROMPTS,))
+oracle("prompt_averages", "select repo, count(*) as prompts, avg(length(prompt)) as avg_prompt_length from prompts group by repo",
+       (RELC,) + SEL + (PROMPTS,))
 
 
 def _cut(x: str, keep: int, limit: int | None = None) -> str:
@@ -662,12 +670,12 @@ EXP = (
     "exp as (select repo, path, file_seq, " + CL + " as language, status, blk, "
     "case status when 'failed' then " + P.q(rules.FAILED_EXPLANATION["summary"])
     + " when 'parsed' then coalesce(json_extract_string(blk, '$.summary'), " + P.q(rules.EXPLANATION_DEFAULTS["summary"])
-    + ") else " + _cut("coalesce(" + _strip("list_filter(string_split(coalesce(response, ''), chr(10)), lambda l: "
-                       + _strip("l") + " <> '' and not starts_with(l, '{'))[1]") + ", 'Analysis provided')", 200)
+    + ") else " + ("coalesce(" + _strip("list_filter(string_split(coalesce(response, ''), chr(10)), lambda l: "
+                       + _strip("l") + " <> '' and not starts_with(l, '{'))[1]") + ", 'Analysis provided')")
     + " end as summary, "
     "case status when 'failed' then " + P.q(rules.FAILED_EXPLANATION["main_functionality"])
     + " when 'parsed' then coalesce(json_extract_string(blk, '$.main_functionality'), "
-    + P.q(rules.EXPLANATION_DEFAULTS["main_functionality"]) + ") else " + _cut("coalesce(response, '')", 500)
+    + P.q(rules.EXPLANATION_DEFAULTS["main_functionality"]) + ") else coalesce(response, '')"
     + " end as main_functionality, "
     "case status when 'parsed' then coalesce(json_extract_string(blk, '$.complexity_assessment'), 'Unknown') "
     "else 'Unknown' end as complexity_assessment from exp1)",
@@ -678,7 +686,10 @@ EXP = (
     "from exp, (values ('key_components'), ('dependencies'), ('improvement_suggestions'), ('code_patterns')) f(field) "
     "where status = 'parsed' and json_type(blk, '$.' || f.field) = 'ARRAY') u)",
 )
-oracle("parse_responses", "select repo, path, file_seq, language, status, summary, main_functionality, complexity_assessment, "
+oracle("parse_responses", "select repo, path, file_seq, language, status, summary, main_functionality, "
+       + "case when status = 'fallback' then " + _cut("summary", 200) + " else summary end as summary_short, "
+       + "case when status = 'fallback' then " + _cut("main_functionality", 500)
+       + " else main_functionality end as functionality_short, complexity_assessment, "
        + ", ".join(f"cast(case when status = 'parsed' then coalesce(json_array_length(blk, '$.{f}'), 0) else 0 end as integer) as n_{f}"
                    for f in rules.LIST_FIELDS) + " from exp", EXP)
 oracle("explanation_items", "select repo, path, file_seq, language, field, pos, value, is_string from items", EXP)
@@ -708,13 +719,12 @@ oracle("common_patterns", "select * from cp", EXP + (CP,))
 oracle("key_technologies", "select * from kt", EXP + (KT,))
 oracle("improvement_themes", "select * from th", EXP + (TH,))
 
-INS = ("ins as (select t.repo, t.total_files_analyzed, coalesce(c.s, '') as complexity_distribution, "
-       "coalesce(p.s, '') as common_patterns, coalesce(k.s, '') as key_technologies, coalesce(h.s, '') as improvement_themes "
-       "from (select repo, count(*) as total_files_analyzed from exp group by repo) t "
-       "left join (select repo, string_agg(complexity || ':' || cast(files as varchar), '|' order by first_seq) as s from cpx group by repo) c on t.repo = c.repo "
-       "left join (select repo, string_agg(pattern, '|' order by rank) as s from cp group by repo) p on t.repo = p.repo "
-       "left join (select repo, string_agg(technology, '|' order by rank) as s from kt group by repo) k on t.repo = k.repo "
-       "left join (select repo, string_agg(theme, '|' order by rank) as s from th group by repo) h on t.repo = h.repo)")
+INS = ("ins as (select repo, 'files' as section, cast(0 as bigint) as pos, cast(null as varchar) as value, count(*) as n "
+       "from exp group by repo "
+       "union all select repo, 'complexity', first_seq, complexity, files from cpx "
+       "union all select repo, 'pattern', rank, pattern, occurrences from cp "
+       "union all select repo, 'technology', rank, technology, occurrences from kt "
+       "union all select repo, 'theme', rank, theme, suggestions from th)")
 oracle("insights_summary", "select * from ins", EXP + (CPX, CP, KT, TH, INS))
 
 _cat_case = "(case " + " ".join(f"when {P.contains_any('lower(value)', ws)} then {P.q(c)}"
@@ -724,7 +734,7 @@ select repo, {_cat_case} as category, count(*) as suggestions from items
 where field = 'improvement_suggestions' and is_string group by 1, 2""", EXP)
 
 oracle("complexity_groups", f"select repo, complexity_assessment as complexity, file_seq, path, language, "
-       f"{_cut('summary', 100)} as summary from exp", EXP)
+       f"summary, {_cut('summary', 100)} as summary_short from exp", EXP)
 
 oracle("size_by_complexity", f"""
 select e.repo, case when e.complexity_assessment is not null and e.complexity_assessment <> ''
@@ -761,69 +771,77 @@ join ({_first_files('code_patterns', 'pattern', "path || ' (' || language || ')'
 CP5 = f"cp5 as ({_ranked('code_patterns', 'pattern', 5)})"
 KT5 = f"kt5 as ({_ranked('dependencies', 'technology', 5)})"
 OV = ("ov as (select b.repo, b.files, b.n_languages, b.languages, coalesce(d.up, 0) as unique_patterns, "
-      "coalesce(d.ud, 0) as unique_dependencies, coalesce(p.s, '') as top_patterns, coalesce(k.s, '') as top_dependencies "
+      "coalesce(d.ud, 0) as unique_dependencies, coalesce(d.pu, 0) / b.files as patterns_per_file, coalesce(p.s, '') as top_patterns, coalesce(k.s, '') as top_dependencies "
       "from (select repo, count(*) as files, count(distinct language) as n_languages, "
       "string_agg(distinct language, ', ' order by language) as languages from exp group by repo) b "
       "left join (select repo, count(distinct case when field = 'code_patterns' then value end) as up, "
-      "count(distinct case when field = 'dependencies' then value end) as ud from items where is_string group by repo) d on b.repo = d.repo "
+      "count(distinct case when field = 'dependencies' then value end) as ud, "
+      "count(*) filter (where field = 'code_patterns') as pu from items where is_string group by repo) d on b.repo = d.repo "
       "left join (select repo, string_agg(pattern, '|' order by rank) as s from cp5 group by repo) p on b.repo = p.repo "
       "left join (select repo, string_agg(technology, '|' order by rank) as s from kt5 group by repo) k on b.repo = k.repo)")
 oracle("explanation_overview", "select * from ov", EXP + (CP5, KT5, OV))
 
 
-def _head_sql(field: str, k: int) -> str:
-    return (f"coalesce((select string_agg(value, '|' order by pos) from items i where i.repo = e.repo and i.path = e.path "
-            f"and i.field = '{field}' and i.pos < {k}), '') as {field}_shown, "
-            f"cast(greatest(coalesce((select count(*) from items i where i.repo = e.repo and i.path = e.path "
-            f"and i.field = '{field}'), 0) - {k}, 0) as integer) as {field}_more")
+def _list_sql(field: str, k: int) -> str:
+    own = f"from items i where i.repo = e.repo and i.path = e.path and i.field = '{field}'"
+    return (f"coalesce((select string_agg(value, '|' order by pos) {own}), '') as {field}, "
+            f"cast(greatest(coalesce((select count(*) {own}), 0) - {k}, 0) as integer) as {field}_more")
 
 
 oracle("explanation_details", "select repo, path, file_seq, language, summary, complexity_assessment, "
-       + _cut("main_functionality", 197, 200) + " as functionality, "
-       + ", ".join(_head_sql(f, k) for f, k in [("key_components", 5), ("dependencies", 5), ("code_patterns", 3),
-                                                 ("improvement_suggestions", 3)]) + " from exp e", EXP)
+       "main_functionality as functionality, " + _cut("main_functionality", 197, 200) + " as functionality_short, "
+       + ", ".join(_list_sql(f, k) for f, k in [("key_components", 5), ("dependencies", 5), ("code_patterns", 3),
+                                                ("improvement_suggestions", 3)]) + " from exp e", EXP)
 
 oracle("code_analysis_overview", """
-select repo, total_files_analyzed, complexity_distribution,
-  array_to_string(string_split(common_patterns, '|')[1:5], '|') as common_patterns,
-  array_to_string(string_split(key_technologies, '|')[1:8], '|') as key_technologies, improvement_themes from ins""",
-       EXP + (CPX, CP, KT, TH, INS))
+select * from ins where section not in ('pattern', 'technology') or (section = 'pattern' and pos <= 5)
+  or (section = 'technology' and pos <= 8)""", EXP + (CPX, CP, KT, TH, INS))
 
-oracle("run_summary", """
+_cat_names = [c for c, _ in rules.IMPROVEMENT_CATEGORIES] + [rules.IMPROVEMENT_OTHER]
+_cat_cols = {c: "suggestions_" + c.lower().replace(" ", "_") for c in _cat_names}
+oracle("run_summary", f"""
 select r.repo, r.files_retrieved, coalesce(s.n, 0) as files_selected, coalesce(o.files, 0) as files_analyzed,
   coalesce(o.n_languages, 0) as languages_used, coalesce(o.unique_patterns, 0) as unique_patterns,
-  coalesce(o.unique_dependencies, 0) as unique_dependencies, p.a as avg_prompt_length, coalesce(g.n, 0) as suggestions
+  coalesce(o.unique_dependencies, 0) as unique_dependencies, p.a as avg_prompt_length, coalesce(g.n, 0) as suggestions,
+  {', '.join(f'coalesce(g.{a}, 0) as {a}' for a in _cat_cols.values())}
 from (select repo, count(*) as files_retrieved from collected group by repo) r
 left join (select repo, count(*) as n from selected group by repo) s on r.repo = s.repo
 left join ov o on r.repo = o.repo
 left join (select repo, avg(length(prompt)) as a from prompts group by repo) p on r.repo = p.repo
-left join (select repo, count(*) as n from items where field = 'improvement_suggestions' group by repo) g on r.repo = g.repo""",
+left join (select repo, count(*) as n, {', '.join(f"count(*) filter (where is_string and c = {P.q(c)}) as {a}" for c, a in _cat_cols.items())}
+  from (select *, {_cat_case} as c from items where field = 'improvement_suggestions') x group by repo) g on r.repo = g.repo""",
        EXP + (COLLECTED, CP5, KT5, OV, RELC) + SEL + (PROMPTS,))
 
-oracle("analysis_success", "select e.repo, e.path, e.file_seq, e.status <> 'failed' as success, "
+oracle("analysis_success", "select repo, path, file_seq, status <> 'failed' as success, "
        + ", ".join(f"cast(case when status = 'parsed' then coalesce(json_array_length(blk, '$.{f}'), 0) else 0 end as integer) as {f}_count"
-                   for f in rules.LIST_FIELDS)
-       + ", e.complexity_assessment, r.pct as success_pct from exp e join (select repo, "
-       "count(*) filter (where status <> 'failed') / count(*) * 100 as pct from exp group by repo) r on e.repo = r.repo", EXP)
+                   for f in rules.LIST_FIELDS) + ", complexity_assessment from exp", EXP)
+oracle("success_ratio", "select repo, count(*) as files, "
+       "count(*) filter (where status <> 'failed') / count(*) * 100 as success_pct from exp group by repo", EXP)
 
 OPEN = ("open_issues as (select distinct d.source as repo, t.title from documents d, "
         "(values ('Add unit tests'), ('investigate: testing')) t(title))")
 _txt = ("case when is_string then " + _strip("value") + " else coalesce(nullif(json_extract_string(value, '$.text'), ''), "
         "nullif(json_extract_string(value, '$.description'), ''), value) end")
-oracle("issue_candidates", f"""
-select repo, src, o1, o2, title, {P.q(rules.ISSUE_BODY_HEAD)} || text || {_sqltext(rules.ISSUE_BODY_TAIL)} || repo || '/'
+def _issues(opened: bool) -> str:
+    check = ("where not exists (select 1 from open_issues o where o.repo = f.repo "
+             "and lower(o.title) in (lower(f.title), lower(f.title_short)))") if opened else ""
+    return f"""
+select repo, src, o1, o2, title, title_short, {P.q(rules.ISSUE_BODY_HEAD)} || title || {_sqltext(rules.ISSUE_BODY_TAIL)} || repo || '/'
   || {P.q(rules.ISSUE_REPORT_NAME)} || chr(10) as body, {P.q('|'.join(rules.ISSUE_LABELS))} as labels
-from (select *, case when length(text) <= {rules.ISSUE_TITLE_MAX} then text
-        else substr(text, 1, {rules.ISSUE_TITLE_CUT}) || '...' end as title
+from (select * exclude (text), text as title, case when length(text) <= {rules.ISSUE_TITLE_MAX} then text
+        else substr(text, 1, {rules.ISSUE_TITLE_CUT}) || '...' end as title_short
       from (select repo, arg_min(src, (src, o1, o2)) as src, arg_min(o1, (src, o1, o2)) as o1,
               arg_min(o2, (src, o1, o2)) as o2, arg_min(text, (src, o1, o2)) as text
-            from (select *, substr(lower(text), 1, {rules.ISSUE_KEY_CHARS}) as k from (
+            from (select *, lower(text) as k from (
                     select repo, 0 as src, cast(rank as bigint) as o1, 0 as o2, {_strip("'Investigate: ' || theme")} as text from th
                     union all
                     select repo, 1, file_seq, pos, {_strip(_txt)} from items where field = 'improvement_suggestions') c) d
             where k <> '' group by repo, k) e) f
-where not exists (select 1 from open_issues o where o.repo = f.repo and lower(o.title) = lower(f.title))""",
-       EXP + (TH, OPEN))
+{check}"""
+
+
+oracle("issue_candidates", _issues(True), EXP + (TH, OPEN))
+oracle("issue_candidates_ado", _issues(False), EXP + (TH,))
 
 # ---------------------------------------------------------------- §2.9
 from codecensus import report_text as T  # noqa: E402
@@ -958,7 +976,7 @@ def _tmpl_sql(template: str, **vals) -> str:
     return "(" + " || ".join(out) + ")"
 
 
-def _quick_sql(src: str, repos_cte: str) -> str:
+def _quick_sql(src: str, repos_cte: str, flags: dict[str, str] = FLAGS, lang: str = LANG) -> str:
     ll = _tmpl_sql(T.QUICK_LANGUAGE_LINE, language="language", files="files")
     return f"""
 select t.repo, coalesce(r.repo, {P.q(T.QUICK_DEFAULT_NAME)}) as name,
@@ -973,15 +991,15 @@ select t.repo, coalesce(r.repo, {P.q(T.QUICK_DEFAULT_NAME)}) as name,
   {_tmpl_sql(T.QUICK_STATS, size=_size_sql('t.total_size'), docs='t.documentation_files', tests='t.test_files',
              configs='t.config_files')} as document
 from (select repo, count(*) as total_files, cast(sum(coalesce(size, 0)) as bigint) as total_size,
-        count(*) filter (where {FLAGS['documentation']}) as documentation_files,
-        count(*) filter (where {FLAGS['test']}) as test_files, count(*) filter (where {FLAGS['config']}) as config_files
+        count(*) filter (where {flags['documentation']}) as documentation_files,
+        count(*) filter (where {flags['test']}) as test_files, count(*) filter (where {flags['config']}) as config_files
       from {src} group by repo) t
 left join {repos_cte} r on t.repo = r.repo
 left join (select repo, string_agg(language || ':' || cast(files as varchar), '|' order by k) as top_languages,
              string_agg({ll}, '' order by k) as lines
            from (select *, row_number() over (partition by repo order by files desc, first_seq) as k
-                 from (select repo, {LANG} as language, count(*) as files, min(file_seq) as first_seq from {src}
-                       where {LANG} is not null group by 1, 2) a) b
+                 from (select repo, {lang} as language, count(*) as files, min(file_seq) as first_seq from {src}
+                       where {lang} is not null group by 1, 2) a) b
            where k <= {rules.TOP_QUICK_LANGUAGES} group by repo) l on t.repo = l.repo"""
 
 
@@ -1000,9 +1018,35 @@ oracle("build_run_guide", "select * from guide", (COLLECTED, GUIDE))
 
 CLONE_LIST = "clist as (select repo, file_seq, path, 'file' as type, cast(length(content) as bigint) as size from collected)"
 oracle("analyze_clone", f"""
-select repo, 'functional' as doc, document as text from ({_quick_sql('clist', 'repos')}) q
+select repo, 'functional' as doc, document as text from ({_quick_sql('clist', 'repos', BFLAGS, CODE_LANG)}) q
 union all select repo, 'build_and_run', guide from guide""", (COLLECTED, GUIDE, CLONE_LIST, PER_LANG, REPOS))
 
+# the clone flow explains every collected file that has a reply
+CEXP = (EXP[0], EXP[1].replace("from responses", "from responses r where exists "
+                               "(select 1 from collected c where c.repo = r.repo and c.path = r.path)")) + EXP[2:]
+_structure = " union all ".join(
+    f"select repo, 'structure' as section, cast({i} as bigint) as pos, '{label}' as value, cast({x} as bigint) as n from collected group by repo"
+    for i, (label, x) in enumerate([("files", "count(*)"), ("characters", "sum(length(content))")]
+                                   + [(c, f"count(*) filter (where {BFLAGS[c]})") for c in rules.CATEGORIES]))
+_managers = " union all ".join(
+    f"select repo, {i} as k, {P.q(m)} as manager from collected group by repo having bool_or(ends_with(lower(path), {P.q(sfx)}))"
+    for i, (m, sfx) in enumerate(rules.BASIC_MANAGERS))
+oracle("clone_technical", f"""
+{_structure}
+union all select repo, 'language', 0, {CODE_LANG}, count(*) from collected where {CODE_LANG} is not null group by repo, {CODE_LANG}
+union all select * from (select repo, 'largest', row_number() over (partition by repo order by length(content) desc, file_seq) as r,
+    path, length(content) from collected) x where r <= {rules.TOP_LARGEST}
+union all select repo, 'manager', row_number() over (partition by repo order by k) - 1, manager, 1 from ({_managers}) m
+union all select repo, 'lines', 0, language, cast(sum(len(ls)) as bigint) from b3 group by repo, language
+union all select repo, 'insight:' || section, pos, value, n from ins""",
+       (COLLECTED,) + CEXP + tuple(x for x in BASIC if x != COLLECTED) + (CPX, CP, KT, TH, INS))
+oracle("clone_insights", "select * from ins", (COLLECTED,) + CEXP + (CPX, CP, KT, TH, INS))
+oracle("write_results_json", "select * from ins", (COLLECTED,) + CEXP + (CPX, CP, KT, TH, INS))
+oracle("clone_issues", _issues(True), (COLLECTED,) + CEXP + (TH, OPEN))
+oracle("write_reports", f"""
+select repo, 'report' as doc, cast(len(string_split(document, chr(10))) as bigint) as lines,
+  cast(length(replace(document, chr(10), '')) as bigint) as chars from ({_quick_sql('rel', 'repos')}) q""", (REL, PER_LANG, REPOS))
+
 # ---------------------------------------------------------------- §2.4 single parsers, ADO issues, HTML
 for _fn, _mgr in [("deps_npm", "npm"), ("deps_pip", "pip"), ("deps_pipenv", "pipenv"), ("deps_poetry", "poetry"),
                   ("deps_go", "go"), ("deps_maven", "maven"), ("deps_bundler", "bundler"),
@@ -1011,9 +1055,6 @@ for _fn, _mgr in [("deps_npm", "npm"), ("deps_pip", "pip"), ("deps_pipenv", "pip
 oracle("deps_cargo", f"select repo, path, file_seq, {_mgr_case} as manager from man where name = 'Cargo.toml'",
        (RELC, MAN))
 
-SQL["issue_candidates_ado"] = SQL["issue_candidates"].replace(
-    "where not exists (select 1 from open_issues o where o.repo = f.repo and lower(o.title) = lower(f.title))", "")
-
 PAGES = ("pages_files as (select regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as repo, "
          "(case when regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) = '' then 'index' "
          "else regexp_extract(url, '^[a-z]+://[^/?#]+/?([^?#]*)', 1) end) || '.html' as path, "

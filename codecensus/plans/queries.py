@@ -5,6 +5,7 @@ driver tables. Result columns are aliased to match ``oracle.SQL``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,16 @@ from codecensus.operators import dependencies as D
 from codecensus.operators import explanations as X
 from codecensus.operators import ranking as K
 from codecensus.operators import reports as RP
-from codecensus.plans import modes as MD
 from codecensus.operators import metrics as M
 from codecensus.operators import patterns as PT
 from codecensus.operators import structure as S
+from codecensus.plans import features as FT
+from codecensus.plans import modes as MD
+from codecensus.session import shared_dir, write_table
 from codecensus.sources import activity as A
-from codecensus.sources import readers as R
 from codecensus.sources import corpus as src
+from codecensus.sources import readers as R
+from codecensus.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -32,6 +36,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _texts(df: DataFrame) -> DataFrame:
+    """Arrays as '|'-joined text, for comparison with the oracle."""
+    return df.select(*[F.array_join(c, "|").alias(c) if t == "array<string>" else c for c, t in df.dtypes])
+
+
 def _relevant(spark, sf_dir) -> DataFrame:
     """The listing after the reference's relevance filter."""
     return C.filter_files(src.files(spark, sf_dir))
@@ -57,9 +66,7 @@ def with_priority_score(spark, sf_dir):
 
 @query
 def limit_files(spark, sf_dir):
-    # a cut of 20 files per repository exercises the ranked branch at every scale
-    return C.limit_files(_relevant(spark, sf_dir), max_files=20).select(
-        "repo", "file_seq", "path", "priority", "list_pos")
+    return C.limit_files(_relevant(spark, sf_dir)).select("repo", "file_seq", "path", "priority", "rank")
 
 
 @query
@@ -184,7 +191,7 @@ def code_metrics_by_language(spark, sf_dir):
 
 @query
 def large_files(spark, sf_dir):
-    return M.large_files(_fm(spark, sf_dir))
+    return M.large_files(_fm(spark, sf_dir), 40)
 
 
 @query
@@ -206,8 +213,15 @@ def content_volume(spark, sf_dir):
 # ---------------------------------------------------------------- §2.1
 @query
 def read_listing(spark, sf_dir):
-    """The listing read back from the corpus tables (the parquet form)."""
-    return src.files(spark, sf_dir).select("repo", "file_seq", "path", "name", "type", "size")
+    """The listing written as Parquet and as JSON, and read again."""
+    columns = ["repo", "file_seq", "path", "name", "type", "size"]
+    out = None
+    for fmt in ("parquet", "json"):
+        path = f"{shared_dir(spark)}/tables/listing-{uuid.uuid4().hex}"
+        src.files(spark, sf_dir).write.format(fmt).save(path)
+        part = R.read_listing(spark, path, fmt).select(*columns, F.lit(fmt).alias("fmt"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query
@@ -224,7 +238,7 @@ def listing_counts(spark, sf_dir):
 def decode_contents(spark, sf_dir):
     raw = src.raw_contents(spark, sf_dir)
     parts = [R.decode_contents(raw, m).select("repo", "file_seq", F.lit(m).alias("mode"),
-                                              F.length("content").cast("bigint").alias("chars"))
+                                              F.md5("content").alias("content_md5"))
              for m in ("drop", "ignore", "latin1")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -236,11 +250,7 @@ def collect_code_files(spark, sf_dir):
 
 @query
 def retrieve_capped(spark, sf_dir):
-    lt = src.listing_with_text(spark, sf_dir)
-    tool = R.retrieve_capped(lt, max_files=50).select("repo", "file_seq", "rank", F.lit("github").alias("walk"))
-    full = R.retrieve_capped(lt, max_files=50, max_dir_depth=None).select(
-        "repo", "file_seq", "rank", F.lit("azure_devops").alias("walk"))
-    return tool.unionByName(full)
+    return R.retrieve_capped(src.files(spark, sf_dir)).select("repo", "file_seq", "rank")
 
 
 @query
@@ -258,6 +268,14 @@ def repo_overview(spark, sf_dir):
     return R.repo_overview(src.repos(spark, sf_dir))
 
 
+@query
+def repo_overview_ado(spark, sf_dir):
+    repos = src.repos(spark, sf_dir)
+    project = F.when(F.col("license").isNotNull(), F.element_at("topics", 2))
+    branch = F.when(F.col("has_wiki"), F.concat(F.lit("refs/heads/"), F.col("default_branch")))
+    return R.repo_overview_ado(repos.select("repo", project.alias("project"), "size", branch.alias("default_branch")))
+
+
 @query
 def language_bytes_share(spark, sf_dir):
     return R.language_bytes_share(src.repos(spark, sf_dir))
@@ -270,30 +288,38 @@ def recent_commits(spark, sf_dir):
 
 @query
 def commits_on_branch(spark, sf_dir):
-    return A.commits_on_branch(src.commits(spark, sf_dir), "1-URGENT", page=2, per_page=25)
+    return A.commits_on_branch(src.commits(spark, sf_dir), "1-URGENT")
 
 
 @query
 def pull_requests_by_status(spark, sf_dir):
     prs = src.pull_requests(spark, sf_dir)
-    active = A.pull_requests_by_status(prs, "active", per_page=10)
-    every = A.pull_requests_by_status(prs, "all", per_page=500)
+    active = A.pull_requests_by_status(prs, "active")
+    every = A.pull_requests_by_status(prs, "all")
     return active.withColumn("scope", F.lit("active")).unionByName(every.withColumn("scope", F.lit("all")))
 
 
 @query
 def branches_per_repo(spark, sf_dir):
-    return A.branches_per_repo(src.branches(spark, sf_dir), per_page=3)
+    return A.branches_per_repo(src.branches(spark, sf_dir))
 
 
 @query
 def list_org_repositories(spark, sf_dir):
-    return A.list_org_repositories(src.projects(spark, sf_dir), src.project_repos(spark, sf_dir))
+    projects, repos = src.projects(spark, sf_dir), src.project_repos(spark, sf_dir)
+    every = A.list_org_repositories(projects, repos).withColumn("scope", F.lit("all"))
+    one = A.list_org_repositories(projects, repos, project="de").withColumn("scope", F.lit("de"))
+    return every.unionByName(one)
 
 
 @query
 def search_code(spark, sf_dir):
-    return A.search_code(src.contents(spark, sf_dir), "KAFKA", per_page=100)
+    texts = src.contents(spark, sf_dir)
+    owned = texts.withColumn("repo", F.concat(F.lit("org"), F.col("file_seq") % 3, F.lit("/"), F.col("repo")))
+    found = A.search_code(texts, "KAFKA").withColumn("scope", F.lit("everywhere"))
+    for scope, owner, repo in (("owner", "org1", None), ("repository", "org2", "src3")):
+        found = found.unionByName(A.search_code(owned, "KAFKA", owner, repo).withColumn("scope", F.lit(scope)))
+    return found
 
 
 # ---------------------------------------------------------------- §2.6
@@ -415,11 +441,16 @@ def prompt_stats(spark, sf_dir):
     return X.prompt_stats(_prompts(spark, sf_dir))
 
 
+@query
+def prompt_averages(spark, sf_dir):
+    return X.prompt_averages(_prompts(spark, sf_dir))
+
+
 @query
 def parse_responses(spark, sf_dir):
     e = _explanations(spark, sf_dir)
     return e.select("repo", "path", "file_seq", "language", "status", "summary", "main_functionality",
-                    "complexity_assessment", *[F.size(f).alias(f"n_{f}") for f in X.rules.LIST_FIELDS])
+                    "summary_short", "functionality_short", "complexity_assessment", *[F.size(f).alias(f"n_{f}") for f in X.rules.LIST_FIELDS])
 
 
 def _items(spark, sf_dir) -> DataFrame:
@@ -474,23 +505,23 @@ def size_by_complexity(spark, sf_dir):
 
 @query
 def dependency_usage(spark, sf_dir):
-    return X.dependency_usage(_items(spark, sf_dir))
+    return _texts(X.dependency_usage(_items(spark, sf_dir)))
 
 
 @query
 def pattern_usage(spark, sf_dir):
-    return X.pattern_usage(_items(spark, sf_dir))
+    return _texts(X.pattern_usage(_items(spark, sf_dir)))
 
 
 @query
 def explanation_overview(spark, sf_dir):
     e = _explanations(spark, sf_dir)
-    return X.explanation_overview(e, X.explanation_items(e))
+    return _texts(X.explanation_overview(e, X.explanation_items(e)))
 
 
 @query
 def explanation_details(spark, sf_dir):
-    return X.explanation_details(_explanations(spark, sf_dir))
+    return _texts(X.explanation_details(_explanations(spark, sf_dir)))
 
 
 @query
@@ -511,10 +542,15 @@ def analysis_success(spark, sf_dir):
     return X.analysis_success(_explanations(spark, sf_dir))
 
 
+@query
+def success_ratio(spark, sf_dir):
+    return X.success_ratio(_explanations(spark, sf_dir))
+
+
 @query
 def issue_candidates(spark, sf_dir):
     items = _items(spark, sf_dir)
-    return X.issue_candidates(X.improvement_themes(items), items, src.open_issues(spark, sf_dir))
+    return _texts(X.issue_candidates(X.improvement_themes(items), items, src.open_issues(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- §2.9
@@ -545,23 +581,21 @@ def development_workflow(spark, sf_dir):
 
 @query
 def recommendations(spark, sf_dir):
-    rel = _relevant(spark, sf_dir)
-    flags = _flags(spark, sf_dir)
-    arch_n = flags.select("repo", F.size(PT.architecture_expr()).alias("n_arch"))
-    inputs = RP.recommendation_inputs(rel, _fm(spark, sf_dir), arch_n, _items(spark, sf_dir))
-    return RP.recommendations(inputs)
+    feats = _features(spark, sf_dir)
+    arch_n = PT.pattern_flags_from_hits(feats).select("repo", F.size(PT.architecture_expr()).alias("n_arch"))
+    return RP.recommendations(RP.recommendation_inputs(feats, FT.metrics_from(feats), arch_n, _items(spark, sf_dir)))
 
 
 @query
 def technology_stack(spark, sf_dir):
-    texts = _relevant_contents(spark, sf_dir)
-    deps = D.extract_dependencies(texts)
-    return RP.technology_stack(_flags(spark, sf_dir), D.package_managers(texts), D.identify_tooling(deps))
+    feats = _features(spark, sf_dir)
+    return RP.technology_stack(PT.pattern_flags_from_hits(feats), D.package_managers_from(feats),
+                               D.identify_tooling(D.dependencies_from(feats)))
 
 
 @query
 def quick_summary(spark, sf_dir):
-    return RP.quick_summary(src.repos(spark, sf_dir), _relevant(spark, sf_dir))
+    return _texts(RP.quick_summary(src.repos(spark, sf_dir), _relevant(spark, sf_dir)))
 
 
 @query
@@ -569,13 +603,18 @@ def build_run_guide(spark, sf_dir):
     return RP.build_run_guide(R.collect_code_files(src.contents(spark, sf_dir)))
 
 
+def _features(spark, sf_dir) -> DataFrame:
+    """The feature rows of the relevant files, as a table: many branches read
+    them, none of them reads text."""
+    return write_table(MD.relevant_features(src.listing_with_text(spark, sf_dir)), "features")
+
+
 @query
 def render_report(spark, sf_dir):
-    """Full report without explanations (the report of a run with model
-    analysis disabled)."""
-    _ensure_checkpoint_dir(spark)
-    return MD.analyze_full(src.listing_with_text(spark, sf_dir), src.repos(spark, sf_dir), None,
-                           analysis_date="2026-01-01 00:00:00")
+    """Fragments of the full report without explanations (the report of a run
+    with model analysis disabled)."""
+    return MD.report_from_features(_features(spark, sf_dir), write_table(src.repos(spark, sf_dir), "repos"), None,
+                                   analysis_date="2026-01-01 00:00:00")
 
 
 # ---------------------------------------------------------------- §2.11
@@ -586,31 +625,58 @@ def analyze_quick(spark, sf_dir):
 
 @query
 def analyze_full(spark, sf_dir):
-    _ensure_checkpoint_dir(spark)
-    return MD.analyze_full(src.listing_with_text(spark, sf_dir), src.repos(spark, sf_dir),
-                           src.responses(spark, sf_dir), src.focus_files(spark, sf_dir),
-                           analysis_date="2026-01-01 00:00:00")
+    """Fragments of the full report with explanations."""
+    feats = _features(spark, sf_dir)
+    expl = MD.selected_explanations(feats, src.responses(spark, sf_dir), src.focus_files(spark, sf_dir))
+    return MD.report_from_features(feats, write_table(src.repos(spark, sf_dir), "repos"), write_table(expl, "explanations"),
+                                   analysis_date="2026-01-01 00:00:00")
+
+
+def _clone(spark, sf_dir) -> dict[str, DataFrame]:
+    return MD.analyze_clone(src.contents(spark, sf_dir), src.responses(spark, sf_dir), src.repos(spark, sf_dir),
+                            src.open_issues(spark, sf_dir))
 
 
 @query
 def analyze_clone(spark, sf_dir):
-    out = MD.analyze_clone(src.contents(spark, sf_dir), src.responses(spark, sf_dir), src.repos(spark, sf_dir),
-                           src.open_issues(spark, sf_dir))
+    out = _clone(spark, sf_dir)
     functional = out["functional"].select("repo", F.lit("functional").alias("doc"), F.col("document").alias("text"))
     guide = out["build_and_run"].select("repo", F.lit("build_and_run").alias("doc"), F.col("guide").alias("text"))
     return functional.unionByName(guide)
 
 
-def _ensure_checkpoint_dir(spark) -> None:
-    """Use the session's shared checkpoint folder; only a local session
-    without one (tests, the smoke driver) gets a fresh scratch folder."""
-    import tempfile
+@query
+def clone_technical(spark, sf_dir):
+    return _clone(spark, sf_dir)["technical"]
+
+
+@query
+def clone_insights(spark, sf_dir):
+    return _clone(spark, sf_dir)["insights"]
+
 
-    from codecensus.session import checkpoint_dir
-    if spark.sparkContext.master.startswith("local"):
-        checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="codecensus-ckpt-"))
-    else:
-        checkpoint_dir(spark)
+@query
+def clone_issues(spark, sf_dir):
+    return _texts(_clone(spark, sf_dir)["issues"])
+
+
+# ---------------------------------------------------------------- sinks: written, then read back
+@query
+def write_reports(spark, sf_dir):
+    path = f"{shared_dir(spark)}/tables/reports-{uuid.uuid4().hex}"
+    docs = MD.analyze_quick(src.files(spark, sf_dir), src.repos(spark, sf_dir))
+    sinks.write_reports(docs.select("repo", F.col("document").alias("report")), path)
+    lines = spark.read.text(path).select("repo", "doc", "value")
+    return lines.groupBy("repo", "doc").agg(F.count(F.lit(1)).alias("lines"),
+                                            F.sum(F.length("value")).cast("bigint").alias("chars"))
+
+
+@query
+def write_results_json(spark, sf_dir):
+    path = f"{shared_dir(spark)}/tables/results-{uuid.uuid4().hex}"
+    insights = _clone(spark, sf_dir)["insights"]
+    sinks.write_results_json(insights, path)
+    return spark.read.schema(insights.schema).json(path)
 
 
 # ---------------------------------------------------------------- §2.4 single parsers
@@ -630,7 +696,7 @@ for _fn in ("deps_npm", "deps_pip", "deps_pipenv", "deps_poetry", "deps_cargo",
 def issue_candidates_ado(spark, sf_dir):
     """The work-item variant: no check against open issue titles."""
     items = _items(spark, sf_dir)
-    return X.issue_candidates(X.improvement_themes(items), items, None)
+    return _texts(X.issue_candidates(X.improvement_themes(items), items, None))
 
 
 @query

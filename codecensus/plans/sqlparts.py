@@ -91,7 +91,6 @@ def filter_keep(p: str = "path") -> str:
     n = name(p)
     return (f"(type = 'file' and not list_has_any(string_split({p}, '/'), {sql_list(rules.EXCLUDED_DIRS)}) "
             f"and {suffix(p)} not in {in_list(rules.EXCLUDED_EXTENSIONS)} "
-            f"and coalesce(size, 0) <= {rules.MAX_FILE_SIZE} "
             f"and not (starts_with({n}, '.') and {n} not in {in_list(rules.HIDDEN_ALLOWED)}))")
 
 
@@ -101,11 +100,11 @@ def sql_list(values) -> str:
 
 CORPUS = r"""
 corpus as (
-select repo, file_seq, kind, r,
+select repo, file_seq, kind, r, text,
   case when k < 20 then base else 'm' || cast(file_seq as varchar(20)) || '/' || base end as path,
   content, cast(length(content) as bigint) as size
 from (
- select repo, file_seq, k, r, kind,
+ select repo, file_seq, k, r, kind, text,
   case kind when 0 then 'src/main.py' when 1 then 'src/utils.js' when 2 then 'tests/test_core.py'
    when 3 then 'README.md' when 4 then 'models/user.java' when 5 then 'services/api.go'
    when 6 then 'components/widget.tsx' when 7 then 'config/settings.yaml' when 8 then 'node_modules/lib/index.js'

@@ -126,8 +126,6 @@ CATEGORIES = ["source", "test", "config", "documentation", "build"]
 # ---------------------------------------------------------------------------
 # FIXED VALUES: listing filter and priority (filter_files, with_priority_score)
 # ---------------------------------------------------------------------------
-MAX_FILE_SIZE = 1048576
-MAX_FILES_TO_ANALYZE = 500
 EXCLUDED_DIRS = [
     ".git", "node_modules", "__pycache__", ".pytest_cache",
     "venv", "env", ".env", "dist", "build", "target",
@@ -370,7 +368,6 @@ COLLECT_EXTRA_NAMES = [
     "package.json", "requirements.txt", "pyproject.toml", "pom.xml",
     "Dockerfile", "Makefile", "README.md",
 ]
-MAX_CODE_LENGTH = 8000
 MAX_FILES_FOR_ANALYSIS = 15
 BASIC_CONFIG_MARKERS = ["package.json", "requirements.txt", "pyproject.toml", "pom.xml", "setup.py"]
 BASIC_DOC_MARKERS = ["readme", "changelog", "license", "contributing"]
@@ -466,18 +463,16 @@ DEPENDENCY_USAGE_N = 10
 PATTERN_USAGE_N = 8
 USAGE_FILES_SHOWN = 3
 ISSUE_THEME_PREFIX = "Investigate: "
-ISSUE_KEY_CHARS = 200
 ISSUE_TITLE_MAX = 120
 ISSUE_TITLE_CUT = 117
 ISSUE_LABELS = ["technical-debt", "automated"]
-ISSUE_BODY_HEAD = "Automated technical debt identified by DocuMateAgent LLM analysis:\n\n"
+ISSUE_BODY_HEAD = "Found by the automated code analysis:\n\n"
 ISSUE_BODY_TAIL = "\n\nSee generated report at: "
 ISSUE_REPORT_NAME = "TechnicalDocument.md"
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: report sections
 # ---------------------------------------------------------------------------
-SIZE_UNITS = ["B", "KB", "MB", "GB"]
 PROGRESS_WIDTH = 20
 TOP_LANGUAGE_BYTES = 5
 TOP_DIRECTORIES = 10
@@ -516,48 +511,30 @@ AI_ERROR_WORDS = ["error", "exception", "handling"]
 TOP_QUICK_LANGUAGES = 3
 RECENT_COMMITS = 10
 SHA_CHARS = 8
-MAX_PER_PAGE = 100
-DEFAULT_PER_PAGE = 10
-PR_STATUSES = ["open", "closed", "active", "completed", "abandoned"]
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: explanation prompt text; {language}, {file_path},
-# {language_lower} and {content} are filled per file.
+# The default prompt; {language}, {file_path}, {language_lower} and {content}
+# are filled per file. The reply's field names are fixed values.
 # ---------------------------------------------------------------------------
 PROMPT_TEMPLATE = """
-As an expert software engineer, analyze the following {language} code from the file `{file_path}` and provide a comprehensive explanation that would help a developer understand this code for the first time.
+Explain this {language} file, `{file_path}`, to a developer who has never seen it.
 
 ```{language_lower}
 {content}
 ```
 
-Please provide your analysis in the following JSON format:
+Answer with one JSON object and nothing else. Its fields:
 
 {
-    "summary": "Brief 2-3 sentence overview of what this file does",
-    "main_functionality": "Detailed explanation of the primary purpose and functionality",
-    "key_components": [
-        "List of main classes, functions, or components and their purposes"
-    ],
-    "dependencies": [
-        "External libraries, modules, or services this code depends on"
-    ],
-    "complexity_assessment": "Assessment of code complexity (Simple/Moderate/Complex/Very Complex) with brief reasoning",
-    "improvement_suggestions": [
-        "Specific suggestions for code improvement, best practices, or potential issues"
-    ],
-    "code_patterns": [
-        "Design patterns, architectural patterns, or coding patterns used"
-    ]
+    "summary": "two or three sentences: what the file is for",
+    "main_functionality": "what it does, step by step, and why",
+    "key_components": ["a class, function or block, and its part in the whole"],
+    "dependencies": ["a library, service or module that it needs"],
+    "complexity_assessment": "Simple, Moderate, Complex or Very Complex, then the reason",
+    "improvement_suggestions": ["a change worth making, and what it would gain"],
+    "code_patterns": ["a design or coding pattern that it follows"]
 }
 
-Focus on:
-1. What the code actually DOES (not just what it is)
-2. How it fits into a larger application
-3. Key algorithms or business logic
-4. Important implementation details
-5. Potential issues or areas for improvement
-6. Architecture and design decisions
-
-Be specific and technical, but explain in a way that helps understanding rather than just describing syntax.
+Say what happens rather than what the syntax is, name the algorithms and the decisions behind them,
+and mention what could go wrong.
 """

@@ -1,8 +1,8 @@
-"""Session helpers: sane defaults for the operators and a lineage cut."""
+"""Session helpers: sane defaults for the operators, the shared folder, and
+tables of intermediate results."""
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,56 +37,22 @@ def get_session(master: str | None = None, app: str = "codecensus",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster the submit configuration names a shared folder there and it
-    is used as is. Only local runs (tests, bench) may pass ``fallback``; it is
-    used when the setting is absent.
-    """
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``. On a cluster it
+    must be set; a local session without one (tests, bench) gets a folder."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if fallback is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set; name a shared folder there")
-        if not sc.master.startswith("local"):
-            raise RuntimeError("a scratch checkpoint folder is only allowed in local mode")
-        d = fallback
-        os.makedirs(d, exist_ok=True)
-    sc.setCheckpointDir(d)
-    return d
+        d = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
 
 
-def cut_lineage(df: DataFrame, name: str = "intermediate") -> DataFrame:
-    """Materialise ``df`` as a parquet table in the shared checkpoint folder
-    and continue from that table.
-
-    One job computes ``df`` once (``Dataset.checkpoint`` would compute it a
-    second time to write it); the table survives executor loss because it
-    lives in the shared folder, and later branches read only the columns
-    they use.
-    """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and read it
+    back. This runs a job: callers decide when an intermediate result is
+    worth it; plan builders never call it."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
-
-
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work over every core.
-
-    Only when the input has fewer partitions than the default parallelism
-    (a small input with few row groups) is it redistributed round-robin; a
-    large input already has many splits and is left untouched, so no shuffle
-    is added at scale.
-    """
-    if df.isStreaming:
-        return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    return df.sparkSession.read.parquet(path)

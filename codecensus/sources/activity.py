@@ -1,17 +1,14 @@
 """§2.1 Activity tables: commits, pull requests, branches, organisation
-repositories and code search. Every capped list is a ``row_number() <= N``
-filter per repository, executed as a window group limit."""
+repositories and code search. Lists come back whole, each row with its rank
+and the number of rows; pages are cut only where a caller asks for them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
-
-
-def _page_cap(per_page: int) -> int:
-    return min(per_page, rules.MAX_PER_PAGE)
+from codecensus.functions.ranks import LANE, gapless_rank
 
 
 def recent_commits(commits: DataFrame, n: int = rules.RECENT_COMMITS) -> DataFrame:
@@ -25,60 +22,57 @@ def recent_commits(commits: DataFrame, n: int = rules.RECENT_COMMITS) -> DataFra
                            F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "url"))
 
 
-def commits_on_branch(commits: DataFrame, branch: str, page: int = 1,
-                      per_page: int = rules.DEFAULT_PER_PAGE) -> DataFrame:
-    """One page (at most 100) of a branch's commits, newest first, with the
-    number of commits on the page."""
-    pp = _page_cap(per_page)
-    lo, hi = (page - 1) * pp + 1, page * pp
-    w = Window.partitionBy("repo").orderBy(F.col("date").desc(), F.col("sha"))
-    ranked = (commits.where(F.col("branch") == branch)
-                     .select("repo", "sha", "message", "date")
-                     .withColumn("rank", F.row_number().over(w))
-                     .where((F.col("rank") >= lo) & (F.col("rank") <= hi)))
+def _paged(rows: DataFrame, lane: Column, order: list[Column], page: int | None, per_page: int | None) -> DataFrame:
+    """Ranks within the repository (``rank``), the number of its rows
+    (``count``), and one page of them if ``per_page`` is given."""
+    ranked = gapless_rank(rows, ["repo"], lane, order, count="count")
+    if per_page is None:
+        return ranked
+    first = ((page or 1) - 1) * per_page
+    return ranked.where((F.col("rank") > first) & (F.col("rank") <= first + per_page))
+
+
+def commits_on_branch(commits: DataFrame, branch: str, page: int | None = None,
+                      per_page: int | None = None) -> DataFrame:
+    """A branch's commits, newest first, with their number."""
+    rows = commits.where(F.col("branch") == branch).select("repo", "sha", "message", "date")
+    newest = -F.unix_date(F.to_date("date"))
+    ranked = _paged(rows, newest, [F.col("date").desc(), F.col("sha")], page, per_page)
     return ranked.select("repo", F.lit(branch).alias("branch"), "rank", "sha",
-                         F.substring_index("message", "\n", 1).alias("message"),
-                         F.count(F.lit(1)).over(Window.partitionBy("repo")).alias("count"))
+                         F.substring_index("message", "\n", 1).alias("message"), "count")
 
 
-def pull_requests_by_status(prs: DataFrame, status: str = "active",
-                            per_page: int = rules.DEFAULT_PER_PAGE) -> DataFrame:
-    """Pull requests in a state ('all' for every state), newest first, capped."""
-    pp = _page_cap(per_page)
-    src = prs if status == "all" else prs.where(F.col("status") == status)
-    w = Window.partitionBy("repo").orderBy(F.col("pr_id").desc())
-    ranked = src.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pp)
-    return ranked.select("repo", "rank", "pr_id", "title", "status",
-                         F.count(F.lit(1)).over(Window.partitionBy("repo")).alias("count"))
+def pull_requests_by_status(prs: DataFrame, status: str = "active", page: int | None = None,
+                            per_page: int | None = None) -> DataFrame:
+    """Pull requests in a state ('all' for every state), newest first."""
+    rows = prs if status == "all" else prs.where(F.col("status") == status)
+    ranked = _paged(rows, -F.floor(F.col("pr_id") / LANE), [F.col("pr_id").desc()], page, per_page)
+    return ranked.select("repo", "rank", "pr_id", "title", "status", "count")
 
 
-def branches_per_repo(branches: DataFrame, per_page: int = rules.DEFAULT_PER_PAGE) -> DataFrame:
-    """Branch list per repository (by name), capped at 100, with its count."""
-    pp = _page_cap(per_page)
-    w = Window.partitionBy("repo").orderBy("branch")
-    ranked = branches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pp)
-    return ranked.select("repo", "rank", "branch",
-                         F.count(F.lit(1)).over(Window.partitionBy("repo")).alias("count"))
+def branches_per_repo(branches: DataFrame, page: int | None = None, per_page: int | None = None) -> DataFrame:
+    """Branches per repository (by name), with their number."""
+    ranked = _paged(branches, F.substring("branch", 1, 4), [F.col("branch")], page, per_page)
+    return ranked.select("repo", "rank", "branch", "count")
 
 
 def list_org_repositories(projects: DataFrame, project_repos: DataFrame,
                           project: str | None = None) -> DataFrame:
-    """(project, repo): repositories of one project, or of every listed project
-    tagged with its name. Entries whose project is not listed are skipped."""
-    if project is not None:
-        return project_repos.where(F.col("project") == project).select("project", "repo")
-    return project_repos.join(projects, "project", "left_semi").select("project", "repo")
-
-
-def search_code(contents: DataFrame, text: str, repo: str | None = None,
-                per_page: int = rules.DEFAULT_PER_PAGE) -> DataFrame:
-    """Files whose text contains ``text`` (case-insensitive), optionally within
-    one repository, first ``min(per_page, 100)`` by (repo, file_seq).
-
-    The cap is the search page itself; Spark runs it as a per-partition
-    top-k followed by one small merge."""
-    pp = _page_cap(per_page)
+    """(project, repo, count): repositories of one project, or of every listed
+    project tagged with its name, and how many the project has. Entries whose
+    project is not listed are skipped."""
+    rows = (project_repos.where(F.col("project") == project) if project is not None
+            else project_repos.join(projects, "project", "left_semi")).select("project", "repo")
+    return rows.join(rows.groupBy("project").agg(F.count(F.lit(1)).alias("count")), "project")
+
+
+def search_code(contents: DataFrame, text: str, owner: str | None = None, repo: str | None = None) -> DataFrame:
+    """(repo, path, file_seq): all files whose text contains ``text``
+    (case-insensitive), in one repository, in all of an owner's (the part of
+    ``repo`` before its first '/'), or anywhere."""
     hits = contents.where(F.lower("content").contains(text.lower()))
     if repo is not None:
-        hits = hits.where(F.col("repo") == repo)
-    return hits.select("repo", "path", "file_seq").orderBy("repo", "file_seq").limit(pp)
+        hits = hits.where(F.col("repo") == (f"{owner}/{repo}" if owner else repo))
+    elif owner is not None:
+        hits = hits.where(F.split_part("repo", F.lit("/"), F.lit(1)) == owner)
+    return hits.select("repo", "path", "file_seq")

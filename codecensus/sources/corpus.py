@@ -114,6 +114,8 @@ def listing_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, file_seq, kind, r, path, content, size) — one row per document."""
     a = _keys(spark, sf_dir, with_text=True)
+    # the test tables are files of one row group, which no split size divides
+    a = a.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind, r, seq = F.col("kind"), F.col("r"), F.col("file_seq")
     return a.select("repo", "file_seq", "kind", "r", _path(kind, r, F.col("k"), seq).alias("path"),
                     _content(kind, r, seq, F.col("text")).alias("content"),
@@ -141,17 +143,26 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies for the code files of the corpus; 1 in 11 is not JSON and
-    1 in 17 calls failed (``error`` set)."""
-    c = listing_meta(spark, sf_dir)
+    """Model replies for the code files of the corpus, which quote the given
+    texts; 1 in 11 is not JSON and 1 in 17 calls failed (``error`` set). Some
+    have objects among their suggestions and a '|' in a pattern."""
+    a = _keys(spark, sf_dir, with_text=True)
     seq = F.col("file_seq")
+    c = a.select("repo", "file_seq", _path(F.col("kind"), F.col("r"), F.col("k"), seq).alias("path"), "text")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]+", "")
+    does = F.when(seq % 2 == 0, F.concat(F.lit('"main_functionality":"'), letters, F.lit('",'))).otherwise(F.lit(""))
+    more = (F.when(seq % 10 == 5, F.concat(F.lit(',{"description":"Cache '), _s(seq % 7), F.lit('"}')))
+            .when(seq % 5 == 0, F.concat(F.lit(',{"text":"Split part '), _s(seq % 7), F.lit('"}'))).otherwise(F.lit("")))
+    both = F.when(seq % 6 == 0, F.lit(',"A|B"')).otherwise(F.lit(""))
     cx = (F.when(seq % 3 == 0, "Simple. ok").when(seq % 3 == 1, "Moderate - x").otherwise("Complex"))
     sug = (F.when(seq % 4 == 0, "Add unit tests").when(seq % 4 == 1, "Improve error handling")
            .when(seq % 4 == 2, "Optimize performance").otherwise("Refactor names"))
     reply = F.when(seq % 11 == 0, F.concat(F.lit("No JSON here" + NL), F.col("path"))).otherwise(F.concat(
-        F.lit('Here: {"summary":"S'), _s(seq), F.lit('","complexity_assessment":"'), cx,
-        F.lit('","dependencies":["dep'), _s(seq % 9), F.lit('","json"],"code_patterns":["P'),
-        _s(seq % 4), F.lit('"],"improvement_suggestions":["'), sug, F.lit('"]} done')))
+        F.lit('Here: {"summary":"S'), _s(seq), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))), F.lit('",'), does,
+        F.lit('"complexity_assessment":"'), cx, F.lit('","key_components":["part '), _s(seq % 5),
+        F.lit('","core"],"dependencies":["dep'), _s(seq % 9), F.lit('","json"],"code_patterns":["P'),
+        _s(seq % 4), F.lit('"'), both, F.lit('],"improvement_suggestions":["'), sug, F.lit('"'), more,
+        F.lit(']} done')))
     code = (F.col("path").like("%.py") | F.col("path").like("%.js") | F.col("path").like("%.go")
             | F.col("path").like("%.rs") | F.col("path").like("%.java"))
     err = F.when(seq % 17 == 0, F.lit("LLM API error: timeout"))
@@ -294,10 +305,11 @@ def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undecoded text: (repo, path, file_seq, raw, encoding). Every file is
-    base64 of its UTF-8 bytes; every 13th also gets a stray 0xFF byte, so
-    its bytes are not valid UTF-8. Odd files are given as raw bytes."""
+    base64 of its UTF-8 bytes; every 13th also gets a U+FFFD character and a
+    stray 0xFF byte, so its bytes are not valid UTF-8. Odd files are given as
+    raw bytes."""
     c = contents(spark, sf_dir)
-    data = F.when(F.col("file_seq") % 13 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("FF")))) \
+    data = F.when(F.col("file_seq") % 13 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("EFBFBDFF")))) \
             .otherwise(F.encode("content", "UTF-8"))
     b64 = F.col("file_seq") % 2 == 0
     return c.select("repo", "path", "file_seq",

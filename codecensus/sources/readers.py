@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codecensus import rules
 from codecensus.functions.paths import name_of, suffix_of
 from codecensus.functions import sql as S
+from codecensus.functions.ranks import LANE, gapless_rank
 from codecensus.operators.classify import lookup
 
 ADO_ITEMS = "struct<value: array<struct<path: string, isFolder: boolean, size: bigint>>>"
@@ -30,11 +31,17 @@ def read_listing(spark: SparkSession, path: str, fmt: str = "parquet", repo: str
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + _re_quote(root.replace("file:", "")), "")
     return df.select(
         F.lit(repo).alias("repo") if repo else F.regexp_extract(rel, r"^([^/]+)", 1).alias("repo"),
-        F.xxhash64("path").alias("file_seq"),
         (rel if repo else F.regexp_replace(rel, r"^[^/]+/", "")).alias("path"),
         F.lit("file").alias("type"),
         F.col("length").alias("size"),
-    ).withColumn("name", name_of("path"))
+    ).withColumn("name", name_of("path")).transform(_in_path_order)
+
+
+def _in_path_order(files: DataFrame) -> DataFrame:
+    """``file_seq``: the place of a path among those of its repository; a
+    lane is what shares its first 16 characters."""
+    lane = F.substring("path", 1, 16)
+    return gapless_rank(files, ["repo"], lane, [F.col("path")], rank="file_seq")
 
 
 def _re_quote(s: str) -> str:
@@ -74,7 +81,10 @@ def decode_contents(raw: DataFrame, on_error: str = "drop") -> DataFrame:
     if on_error == "drop":
         return raw.withColumn("content", as_text).where(valid).drop("raw", "encoding")
     if on_error == "ignore":
-        fixed = F.regexp_replace(F.make_valid_utf8(as_text), "\\x{FFFD}", "")
+        # genuine U+FFFD characters step aside while the repaired ones go
+        kept, mark = "\\x{FFFD}", "\\x{10FFFE}"
+        aside = F.replace(as_text, F.lit("\ufffd"), F.lit("\U0010fffe"))
+        fixed = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(aside), kept, ""), mark, "\ufffd")
         return raw.withColumn("content", F.when(valid, as_text).otherwise(fixed)).drop("raw", "encoding")
     if on_error == "latin1":
         return raw.withColumn("content", F.when(valid, as_text).otherwise(
@@ -101,24 +111,24 @@ def collected_size(contents: DataFrame) -> DataFrame:
         F.sum(F.length("content")).cast("bigint").alias("total_size"))
 
 
-def retrieve_capped(listing_text: DataFrame, max_files: int = 50, max_chars: int = rules.MAX_CODE_LENGTH,
-                    max_dir_depth: int | None = 2) -> DataFrame:
-    """First ``max_files`` code files per repository in listing order with
-    ``size < max_chars``; with ``max_dir_depth`` (tool walk) only files at most
-    that many directories deep are reached, ``None`` walks the full tree.
-
-    The window input is already cut by the size bound and Spark keeps a local
-    top-N per repository before the shuffle, so text moves only for the
-    survivors.
+def retrieve_capped(listing: DataFrame, max_files: int | None = None, max_chars: int | None = None,
+                    max_dir_depth: int | None = None) -> DataFrame:
+    """(repo, path, file_seq, rank): the code files of each repository in
+    listing order. Without limits all of them; ``max_files`` keeps the first
+    ones, ``max_chars`` those with a smaller ``size``, ``max_dir_depth``
+    those at most that many directories deep. Only the listing is read;
+    texts are joined to the result on (repo, path).
     """
-    keep = lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull() & (F.coalesce("size", F.lit(0)) < max_chars)
+    keep = lookup(rules.CODE_EXTENSIONS, S.suffix("path")).isNotNull()
+    if max_chars is not None:
+        keep = keep & (F.coalesce("size", F.lit(0)) < max_chars)
     if max_dir_depth is not None:
         keep = keep & (F.size(F.split("path", "/")) <= max_dir_depth + 1)
+    code = listing.where(keep).select("repo", "path", "file_seq")
+    if max_files is None:
+        return gapless_rank(code, ["repo"], F.floor(F.col("file_seq") / LANE), [F.col("file_seq")])
     w = Window.partitionBy("repo").orderBy("file_seq")
-    return (listing_text.where(keep)
-                        .withColumn("rank", F.row_number().over(w))
-                        .where(F.col("rank") <= max_files)
-                        .select("repo", "path", "file_seq", "rank", "content"))
+    return code.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= max_files)
 
 
 def files_by_extension(contents: DataFrame) -> DataFrame:
@@ -199,6 +209,16 @@ def repo_overview(repos: DataFrame) -> DataFrame:
         F.coalesce("has_wiki", F.lit(False)).alias("has_wiki"))
 
 
+def repo_overview_ado(repos: DataFrame) -> DataFrame:
+    """Azure DevOps metadata: name, project, size in bytes, default branch
+    (without 'refs/heads/'), with 'Unknown' and 0 where they are missing."""
+    return repos.select(
+        "repo", F.coalesce("repo", F.lit("Unknown")).alias("name"),
+        F.coalesce("project", F.lit("Unknown")).alias("project"),
+        F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
+        F.regexp_replace(F.coalesce("default_branch", F.lit("Unknown")), "^refs/heads/", "").alias("default_branch"))
+
+
 def language_bytes_share(repos: DataFrame, n: int = rules.TOP_LANGUAGE_BYTES) -> DataFrame:
     """(repo, rank, language, bytes, pct): top N languages by bytes."""
     e = repos.select("repo", F.explode("languages").alias("language", "bytes"))

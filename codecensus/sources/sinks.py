@@ -12,14 +12,16 @@ def write_reports(reports: DataFrame, path: str, doc_col: str = "report", doc_na
 
     ``reports`` is either one row per repository (``doc_col`` holds the whole
     document) or the fragments of ``reports.report_fragments`` (columns
-    section, part, ord, text): those are sorted within each repository's
-    partition and streamed out line by line, so no document is ever held as
-    one value. The text writer ends the file with a newline.
+    section, part, ord, text). Fragments are dealt out by ranges of their
+    order and streamed out line by line: no document is held as one value,
+    and a very large one becomes several part files, in order. The text
+    writer ends each file with a newline.
     """
     if "section" in reports.columns:
         out = (reports.select("repo", F.lit(doc_name).alias("doc"), "section", "part", "ord",
                               F.regexp_replace("text", r"\n\z", "").alias("value"))
-                      .repartition("repo").sortWithinPartitions("repo", "doc", "section", "part", "ord")
+                      .repartitionByRange("repo", "section", "part", "ord")
+                      .sortWithinPartitions("repo", "doc", "section", "part", "ord")
                       .select("repo", "doc", "value"))
     else:
         out = reports.select("repo", F.lit(doc_name).alias("doc"), F.col(doc_col).alias("value")).repartition("repo")

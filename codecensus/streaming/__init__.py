@@ -5,4 +5,5 @@ windows here: new content files are picked up as they land and the same
 DataFrame operators run on each micro-batch.
 """
 
-from codecensus.streaming.incremental import stream_file_metrics, stream_repo_metric_totals  # noqa: F401
+from codecensus.streaming.incremental import (  # noqa: F401
+    latest_totals, stream_file_metrics, stream_repo_metric_totals)

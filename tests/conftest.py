@@ -7,21 +7,21 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from codecensus.session import checkpoint_dir  # noqa: E402
-
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
     s = (SparkSession.builder.master("local[*]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "4g")
+         .config("spark.checkpoint.dir", shared)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(s, fallback=str(tmp_path_factory.mktemp("checkpoints")))
     yield s
 
 

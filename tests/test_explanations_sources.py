@@ -34,12 +34,26 @@ EXPL = {
 
 def test_insights_a12(spark):
     e = X.parse_responses(_responses(spark, {p: json.dumps(v) for p, v in EXPL.items()}))
-    ins = X.insights_summary(e).collect()[0]
-    assert ins.total_files_analyzed == 2
-    assert "Simple:1" in ins.complexity_distribution and "Moderate:1" in ins.complexity_distribution
-    assert ins.common_patterns.split("|")[0] == "Factory Pattern"
-    assert ins.key_technologies.split("|")[0] == "fastapi"
-    assert ins.improvement_themes.split("|") == ["Error Handling", "Documentation"]
+    ins = {}
+    for r in X.insights_summary(e).orderBy("section", "pos").collect():
+        ins.setdefault(r.section, []).append((r.value, r.n))
+    assert ins["files"] == [(None, 2)]
+    assert set(ins["complexity"]) == {("Simple", 1), ("Moderate", 1)}
+    assert ins["pattern"][0][0] == "Factory Pattern"
+    assert ins["technology"][0][0] == "fastapi"
+    assert [t for t, _ in ins["theme"]] == ["Error Handling", "Documentation"]
+
+
+def test_lists_keep_values_with_a_bar(spark):
+    e = X.parse_responses(_responses(spark, {"a.py": json.dumps({"code_patterns": ["A|B", "C"]})}))
+    rows = X.code_analysis_overview(X.insights_summary(e)).where("section = 'pattern'").orderBy("pos").collect()
+    assert [r.value for r in rows] == ["A|B", "C"]
+    assert X.explanation_overview(e).collect()[0].top_patterns == ["A|B", "C"]
+
+
+def test_reply_is_parsed_once(spark):
+    plan = X.parse_responses(_responses(spark, {"a.py": "{}"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 2
 
 
 def test_parse_reply_and_fallback_a16(spark):
@@ -64,8 +78,15 @@ def test_issue_candidates_dedupe_and_open_titles(spark):
     items = X.explanation_items(e)
     opened = spark.createDataFrame([("r1", "investigate: testing")], "repo string, title string")
     out = X.issue_candidates(X.improvement_themes(items), items, opened).orderBy("src", "o1", "o2").collect()
-    titles = [r.title for r in out]
-    assert titles == ["Add tests", "x" * 117 + "...", "Use a cache"]
+    assert [r.title for r in out] == ["Add tests", "x" * 130, "Use a cache"]
+    assert [r.title_short for r in out] == ["Add tests", "x" * 117 + "...", "Use a cache"]
+
+
+def test_issue_candidates_differ_after_200_characters(spark):
+    long_ = "y" * 300
+    e = X.parse_responses(_responses(spark, {"a.py": json.dumps({"improvement_suggestions": [long_ + "1", long_ + "2"]})}))
+    items = X.explanation_items(e)
+    assert X.issue_candidates(X.improvement_themes(items), items).count() == 2
 
 
 def test_selection_a13(spark):
@@ -110,7 +131,14 @@ def test_activity_a15_a17(spark):
     assert (pr["pr_id"], pr["count"]) == (123, 1)
     projects = spark.createDataFrame([("p1",)], "project string")
     pr_repos = spark.createDataFrame([("p1", "a"), ("p1", "b"), ("gone", "c")], "project string, repo string")
-    assert sorted(r.repo for r in A.list_org_repositories(projects, pr_repos).collect()) == ["a", "b"]
+    assert sorted((r["repo"], r["count"]) for r in A.list_org_repositories(projects, pr_repos).collect()) == [("a", 2), ("b", 2)]
+    assert [r.repo for r in A.list_org_repositories(projects, pr_repos, "gone").collect()] == ["c"]
+    many = spark.range(250).select(F.lit("r1").alias("repo"), F.col("id").alias("pr_id"), F.lit("t").alias("title"),
+                                   F.lit("active").alias("status"))
+    rows = A.pull_requests_by_status(many, "all").orderBy("rank").collect()
+    assert [r.pr_id for r in rows] == list(range(249, -1, -1)) and rows[0]["count"] == 250
+    page = A.pull_requests_by_status(many, "all", page=3, per_page=100).orderBy("rank").collect()
+    assert [r.pr_id for r in page] == list(range(49, -1, -1))
 
 
 def test_language_bytes_a11(spark):
@@ -140,6 +168,8 @@ def test_decode_modes(spark):
                                 "repo string, path string, file_seq bigint, raw binary, encoding string")
     assert [r.path for r in R.decode_contents(raw, "drop").collect()] == ["a"]
     assert {r.path: r.content for r in R.decode_contents(raw, "ignore").collect()}["b"] == "xy"
+    real = spark.createDataFrame([("r1", "a", 0, bytearray("x\ufffdy".encode() + b"\xff"), "none")], raw.schema)
+    assert R.decode_contents(real, "ignore").collect()[0].content == "x\ufffdy"
     assert {r.path: r.content for r in R.decode_contents(raw, "latin1").collect()}["b"] == "xÿy"
 
 

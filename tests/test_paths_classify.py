@@ -43,7 +43,7 @@ def test_structure_totals_and_categories_a1_a2(spark):
 def test_filter_files_a9(spark):
     files = listing(spark, [("main.py", 10), ("__pycache__/test.pyc", 10), ("node_modules/package/index.js", 10),
                             ("large_file.txt", 2 * 1024 * 1024), (".gitignore", 10), ("test.py", 10)])
-    kept = [r.path for r in C.filter_files(files).orderBy("file_seq").collect()]
+    kept = [r.path for r in C.filter_files(files, max_size=1 << 20).orderBy("file_seq").collect()]
     assert kept == ["main.py", ".gitignore", "test.py"]
 
 
@@ -52,14 +52,16 @@ def test_priority_a10(spark):
                             ("deep/nested/file.py", 1), ("test_file.py", 1)])
     scored = {r.path: r.priority for r in C.with_priority_score(files).collect()}
     assert scored["README.md"] == 140 and scored["package.json"] == 125
-    top = C.limit_files(files, max_files=2).orderBy("list_pos").collect()
+    top = C.limit_files(files, max_files=2).orderBy("rank").collect()
     assert [r.path for r in top] == ["README.md", "package.json"]
 
 
-def test_limit_files_keeps_small_repos_in_listing_order(spark):
-    files = listing(spark, [("b.py", 1), ("a.md", 1)])
-    out = C.limit_files(files, max_files=5).orderBy("list_pos").collect()
-    assert [r.path for r in out] == ["b.py", "a.md"]
+def test_limit_files_ranks_every_file(spark):
+    files = listing(spark, [(f"d/f{i}.py", 1) for i in range(700)] + [("README.md", 1)])
+    out = C.limit_files(files).orderBy("rank").collect()
+    assert [r["rank"] for r in out] == list(range(1, 702))
+    assert [r.path for r in out] == ["README.md"] + [f"d/f{i}.py" for i in range(700)]
+    assert C.filter_files(listing(spark, [("big.py", 1 << 40)])).count() == 1
 
 
 def test_category_flags_independent_of_partitioning(spark):
