@@ -60,8 +60,9 @@ def _many(spark, n):
         F.lit("r1").alias("repo"), i.alias("file_seq"), path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("name"),
         F.lit("file").alias("type"), F.lit(10).cast("bigint").alias("size"),
         F.concat(F.repeat(F.lit("x = 1\n"), 600), i.cast("string")).alias("content"))
+    n_ = F.col("file_seq").cast("string")
     replies = rows.select("repo", "path", "file_seq", F.concat(
-        F.lit('{"complexity_assessment":"C'), i.cast("string"), F.lit(' x","code_patterns":["P'), i.cast("string"),
+        F.lit('{"complexity_assessment":"C'), n_, F.lit(' x","code_patterns":["P'), n_,
         F.lit('"]}')).alias("response"), F.lit(None).cast("string").alias("error"))
     repos = spark.createDataFrame([("r1",)], "repo string")
     from codecensus.sources import corpus as src
