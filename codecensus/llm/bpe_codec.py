@@ -26,13 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecensus.llm.common import body, read
+from codecensus.llm.common import body, lists, read
 from codecensus.llm.wordsplit import Splitter, byte_letters, load
 
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64  # bounds a task's memory; other words are encoded each time
+CACHED_WORDS, CACHED_LENGTH = 400_000, 64  # bounds a worker's memory; other words are encoded each time
+ROWS = 512  # rows that are turned at once
 
 
 class MergeAutomaton:
@@ -109,19 +111,23 @@ class MergeAutomaton:
         symbols.append(self.final[raw[-1]])
         n = len(symbols)
         came, at = [-1] * (n + 1), [0] * (n + 1)
-        trie, arc, has = self.trie, self.arc, self.has_arc
+        trie, arc, known, has = self.trie, self.arc, self.known, self.has_arc
         for j in range(n):
             state = came[j]
             if j and state < 0:
                 continue
             node, i = 0, j
-            while i < n:
-                node = trie[node].get(symbols[i], -1)
-                if node < 0:
+            for s in symbols[j:] if j else symbols:
+                node = trie[node].get(s)
+                if node is None:
                     break
                 i += 1
                 token = arc[node]
-                if token >= 0 and came[i] < 0 and (not j or has(state, token)):
+                if token >= 0 and came[i] < 0:
+                    if j:
+                        fits = known.get(state << 32 | token)
+                        if not (has(state, token) if fits is None else fits):
+                            continue
                     came[i], at[i] = token, j
         out, i = [], n
         while i:
@@ -131,8 +137,18 @@ class MergeAutomaton:
         return out
 
 
+_ENCODERS: dict[str, "Encoder"] = {}
+
+
 class Encoder:
-    """Whole texts to ids; one per task."""
+    """Whole texts to ids; a Python worker keeps one from task to task."""
+
+    @classmethod
+    def of(cls, path: str, spec: dict) -> "Encoder":
+        if path not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[path] = cls(MergeAutomaton(spec), Splitter(spec["pattern"], spec["added"]), spec["added"])
+        return _ENCODERS[path]
 
     def __init__(self, automaton: MergeAutomaton, splitter: Splitter, added: dict[str, int]):
         self.automaton, self.splitter, self.added = automaton, splitter, added
@@ -163,14 +179,15 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(spec)  # the size of the vocabulary file
 
     def run(batches):
-        spec = sent.value
-        encoder = Encoder(MergeAutomaton(spec), Splitter(spec["pattern"], spec["added"]), spec["added"])
-        for batch in batches:
-            parts = [encoder.text(t) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-            flat = np.frombuffer(b"".join(parts), np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+        encoder = Encoder.of(tokenizer_path, sent.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                parts = [encoder.text(t) for t in batch.column("text").to_pylist()]
+                ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(parts), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>")
@@ -183,15 +200,14 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast([names.get(i, "") for i in range(max(names) + 1)])
 
     def run(batches):
-        labels = pa.array(sent.value, pa.large_string())
-        for batch in batches:
-            column = batch.column("ids")
-            texts = []
-            for k in range(len(column)):
-                row = column[k].values
-                texts.append(" ".join(labels.take(row).to_pylist()) if row is not None and len(row) else "")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, pa.array(texts, pa.string())],
-                                             names=["doc_id", "ids", "text"])
+        labels = pa.array(sent.value, pa.string())
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                flat, ends = lists(batch.column("ids"))
+                arcs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), labels.take(pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pc.binary_join(arcs, " ")],
+                                                 names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

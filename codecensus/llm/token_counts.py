@@ -27,6 +27,7 @@ from codecensus.llm.common import body, read
 from codecensus.llm.wordsplit import Splitter, byte_letters, load
 
 CACHED_WORDS, CACHED_LENGTH = 400_000, 64
+_WORKER: dict[str, tuple] = {}  # what a Python worker keeps from task to task
 
 
 class LongestMatch:
@@ -101,9 +102,11 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary_path))  # the size of the vocabulary file
 
     def run(batches):
-        spec = sent.value
-        automaton, splitter = LongestMatch(_pieces(spec)), Splitter(spec["pattern"], spec["added"])
-        cache: dict[str, int] = {}
+        if vocabulary_path not in _WORKER:
+            _WORKER.clear()
+            spec = sent.value
+            _WORKER[vocabulary_path] = LongestMatch(_pieces(spec)), Splitter(spec["pattern"], spec["added"]), {}
+        automaton, splitter, cache = _WORKER[vocabulary_path]
 
         def count(w: str) -> int:
             n = automaton.count(word_symbols(w))
@@ -115,7 +118,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
+            for text in (x.as_py() for x in batch.column("text")):
                 n_words = n_tokens = unknown = 0
                 for k, section in enumerate(splitter.sections(text)):
                     if k % 2:

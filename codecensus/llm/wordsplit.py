@@ -4,6 +4,7 @@ NFC, white space runs to one space, lower case, then the split pattern."""
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import regex
@@ -31,18 +32,27 @@ def byte_letters() -> list[str]:
 
 
 class Splitter:
+    """Words of whole texts. The pattern takes no white space, so runs of it
+    need not become one space first."""
+
     def __init__(self, pattern: str, added: dict[str, int]):
         self.find = regex.compile(pattern).findall
-        self.space = regex.compile(r"\s+")
+        # the same pattern where letters and digits are ASCII
+        plain = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t\n\r\f\v")
+        self.find_plain = re.compile(plain, re.A).findall
         names = sorted(added, key=len, reverse=True)
+        self.names = names
         self.added = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     def sections(self, text: str) -> list[str]:
         """Added tokens are cut out of the text as it stands; they are the
         odd items."""
-        return self.added.split(text) if self.added else [text]
+        return self.added.split(text) if any(n in text for n in self.names) else [text]
 
     def words(self, section: str) -> list[str]:
-        s = self.space.sub(" ", unicodedata.normalize("NFC", section))
+        if section.isascii():
+            return self.find_plain(section.lower())
+        if not unicodedata.is_normalized("NFC", section):
+            section = unicodedata.normalize("NFC", section)
         # letter by letter, so a capital sigma never becomes a final one
-        return self.find(s.replace("Σ", "σ").lower())
+        return self.find(section.replace("Σ", "σ").lower())
