@@ -318,13 +318,13 @@ def list_fragments(rows: DataFrame, part: int, head: str, line: Column, tail: st
                    order: str = "file_seq") -> DataFrame:
     """A head line, one fragment per row (ordered by ``order``) and a tail;
     heads and tails exist only for repositories with rows."""
-    keys = rows.select("repo").distinct()
-    return (keys.select("repo", F.lit(part).alias("part"), F.lit(-1).cast("bigint").alias("ord"),
-                        F.lit(head).alias("text"))
+    def end(at: int, text: str) -> Column:
+        return F.struct(F.lit(at).cast("bigint").alias("ord"), F.lit(text).alias("text"))
+
+    ends = rows.select("repo").distinct().select("repo", F.explode(F.array(end(-1, head), end(LAST, tail))).alias("e"))
+    return (ends.select("repo", F.lit(part).alias("part"), "e.ord", "e.text")
             .unionByName(rows.select("repo", F.lit(part).alias("part"), F.col(order).cast("bigint").alias("ord"),
-                                     line.alias("text")))
-            .unionByName(keys.select("repo", F.lit(part).alias("part"), F.lit(LAST).cast("bigint").alias("ord"),
-                                     F.lit(tail).alias("text"))))
+                                     line.alias("text"))))
 
 
 def _pct_text(part: Column, total: Column) -> Column:
@@ -566,10 +566,12 @@ def report_fragments(sections: list[DataFrame]) -> DataFrame:
             frag = one_fragment(s, F.concat(F.col("text"), F.lit(sep)), 0)
         else:
             frag = s
-            if sep:
-                frag = frag.unionByName(frag.where((F.col("part") == 0) & (F.col("ord") <= 0)).select(
-                    "repo", F.lit(1 << 30).alias("part"), F.lit(0).cast("bigint").alias("ord"),
-                    F.lit(sep).alias("text")))
+            if sep:  # follows the row that opens the section
+                row = F.struct("part", "ord", "text")
+                after = F.when((F.col("part") == 0) & (F.col("ord") <= 0), F.struct(
+                    F.lit(1 << 30).alias("part"), F.lit(0).cast("bigint").alias("ord"), F.lit(sep).alias("text")))
+                frag = frag.select("repo", F.explode(F.array_compact(F.array(row, after))).alias("f")).select(
+                    "repo", "f.part", "f.ord", "f.text")
         frag = frag.where(F.col("text") != "").select("repo", F.lit(i).alias("section"), "part", "ord", "text")
         rows = frag if rows is None else rows.unionByName(frag)
     return rows
