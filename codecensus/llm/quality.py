@@ -38,6 +38,9 @@ ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,30 +48,26 @@ from pyspark.sql import functions as F
 
 from codecensus.llm.common import body, lists, mix, read, stored
 
-VOCABULARY = 60_000  # words; with the shapes they fit 16 bits
-SHAPES = 64
-HOT = 200_000  # pairs that every task holds
-SHARD_PAIRS = 1_000_000  # of the model that one shard should hold
+VOCABULARY = 60_000  # words; with the shapes they fit 16 bits, a pair 32
+HOT = 400_000  # pairs that every task holds
+SHARD_PAIRS, LEAST_SHARDS = 1_000_000, 8  # pairs of the model that one shard should hold
 BROADCAST_IDS = 4_000_000  # trusted ids that may be broadcast; more are joined by a shuffle
 HELD_OUT = 4  # one trusted document in so many sets the thresholds
 QUANTILE, MARGIN = 0.995, 0.25
 SLICE = 400_000
+CACHED_WORDS = 400_000  # bounds a task's memory
+#: Kinds of unknown words, told by the first pattern that fits; the last is for all others.
+SHAPES = [re.compile(p) for p in (
+    r"[^\W\d_]+", r"[^\W\d_]+[.,;:!?]", r"\d+", r"\w+", r"[^\w\s]+", r".*\w[^\w\s]{2,}")]
 
 
-def spaced_words(text: F.Column) -> F.Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def shape(word: str) -> int:
+    """Two kinds for each pattern: with and without a capital beyond the first letter."""
+    kind = next((k for k, p in enumerate(SHAPES) if p.fullmatch(word)), len(SHAPES))
+    return 2 * kind + (word[1:] != word[1:].lower())
 
 
-def token_columns(text: F.Column) -> list[F.Column]:
-    """Hashes of the words, and their shapes (0 to SHAPES - 1)."""
-    found = spaced_words(text)
-    shape = lambda w: (
-        F.when(w.rlike(r"^[\p{Ll}\p{Lo}]+$"), 0).when(w.rlike(r"^\p{Lu}[\p{Ll}\p{Lo}]+$"), 1)
-        .when(w.rlike(r"^[\p{L}]+[.,;:!?]$"), 2).when(w.rlike(r"^\p{L}+$"), 3).when(w.rlike(r"^\p{N}+$"), 4)
-        .when(w.rlike(r"^[\p{L}\p{N}]+$"), 5).when(w.rlike(r"^[^\p{L}\p{N}]+$"), 6)
-        .when(w.rlike(r"[\p{L}\p{N}][^\p{L}\p{N}]{2,}"), 7).otherwise(8))
-    return [F.transform(found, lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 6), 6).bitwiseOR(shape(w).cast("long"))
-                        ).alias("tokens")]
+KINDS = 2 * (len(SHAPES) + 1)
 
 
 def mark() -> F.Column:
@@ -80,16 +79,30 @@ class Model:
     """Tables over word numbers. Unknown words take the numbers from
     ``len(words)`` on, by shape."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words  # sorted hashes
-        self.size = len(words) + SHAPES
-
-    def numbers(self, flat: np.ndarray) -> np.ndarray:
-        shape = len(self.words) + (flat & (SHAPES - 1))
-        if not len(self.words):
-            return shape
-        at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
-        return np.where(self.words[at] == flat, at, shape)
+    def __init__(self, words: list[str]):
+        self.words = {w: i for i, w in enumerate(words)}
+        self.size = len(words) + KINDS
+
+    def number(self, word: str, cache: dict[str, int]) -> int:
+        n = self.words.get(word)
+        if n is None:
+            n = len(self.words) + shape(word)
+        if len(cache) >= CACHED_WORDS:
+            cache.clear()
+        cache[word] = n
+        return n
+
+    def numbers(self, texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of the texts, one after the other, and the offsets."""
+        get, flat, ends = cache.get, [], [0]
+        for text in texts:
+            found = text.split()
+            own = list(map(get, found))
+            if None in own:
+                own = [self.number(w, cache) if n is None else n for n, w in zip(own, found, strict=True)]
+            flat += own
+            ends.append(len(flat))
+        return np.array(flat, np.int64), np.array(ends, np.int64)
 
     def train(self, seen: np.ndarray, by_first: dict[str, np.ndarray], kinds: np.ndarray) -> None:
         """``seen``: in how many different pairs a number comes second;
@@ -132,12 +145,17 @@ def pairs(numbers: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return (numbers[:-1] * size + numbers[1:])[same], owner[1:][same]
 
 
-def _ranges(offsets: np.ndarray):
-    at, n = 0, len(offsets) - 1
-    while at < n:
-        to = min(max(int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1, at + 1), n)
-        yield at, to
-        at = to
+def _parts(batch: pa.RecordBatch):
+    """Stretches of a batch of about SLICE words, as (from, to, texts)."""
+    at, size, texts = 0, 0, []
+    for k, x in enumerate(batch.column("text")):
+        texts.append(x.as_py())
+        size += len(texts[-1])
+        if size >= 6 * SLICE:
+            yield at, k + 1, texts
+            at, size, texts = k + 1, 0, []
+    if texts:
+        yield at, at + len(texts), texts
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -154,25 +172,32 @@ def train(docs: DataFrame, trusted: DataFrame, vocabulary: int = VOCABULARY, hot
     spark = docs.sparkSession
     ids = stored(trusted.filter("NOT held").select("doc_id"), "trusted")
     few = ids.count() <= BROADCAST_IDS
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *token_columns(body()))
-    text = text.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    counted = text.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    text = text.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+
+    def words(batches):
+        for batch in batches:
+            n = Counter()
+            for x in batch.column("text"):
+                n.update(x.as_py().split())
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())],
+                                             names=["w", "n"])
+
+    counted = text.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     top = counted.filter("n > 1").orderBy(F.desc("n"), "w").limit(vocabulary)
-    model = Model(np.sort(np.array(top.select("w").toArrow().column("w").to_numpy(), np.int64)))
+    model = Model(top.select("w").toArrow().column("w").to_pylist())
+    if model.size**2 > 2**32:
+        raise ValueError("the vocabulary is too large for 32-bit pairs")
     sent = spark.sparkContext.broadcast(model)
 
     def count(batches):
-        held = sent.value
+        held, cache = sent.value, {}
         for batch in batches:
-            flat, offsets = lists(batch.column("tokens"))
-            found = []
-            for a, b in _ranges(offsets):
-                own = held.numbers(flat[offsets[a]:offsets[b]].astype(np.int64))
-                found.append(pairs(own, offsets[a:b + 1] - offsets[a], held.size)[0])
+            found = [pairs(*held.numbers(texts, cache), held.size)[0] for _, _, texts in _parts(batch)]
             key, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    table = stored(text.select("tokens").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    table = stored(text.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
     size = model.size
     first, second = F.expr(f"key div {size}"), F.col("key") % size
     one = lambda k: F.sum((F.col("n") == k).cast("long"))
@@ -203,11 +228,16 @@ def train(docs: DataFrame, trusted: DataFrame, vocabulary: int = VOCABULARY, hot
     return model, hot_pairs, all_gains, table.count()
 
 
+def packed(key: np.ndarray) -> np.ndarray:
+    """Keys of pairs in 32 bits; they stay different, their order does not matter."""
+    return key.astype(np.uint32).view(np.int32)
+
+
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (mix(key.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
 
 
-PART = "doc_id long, mark long, lang string, shard int, rank int, keys array<long>, values array<float>, n long, ln double"
+PART = "doc_id long, mark long, lang string, shard int, rank int, keys array<int>, values array<float>, n long, ln double"
 SUM = "doc_id long, mark long, lang string, n long, ln double"
 
 
@@ -216,19 +246,17 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
     """doc_id, lang, n_tokens, nll (mean negative ln p; null without words)
     of every row."""
     spark = docs.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model_pairs // SHARD_PAIRS))
+    shards = max(LEAST_SHARDS, -(-model_pairs // SHARD_PAIRS))
     sent, known = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(hot)
 
     def parts(batches):
         """Per document a row with what the tables here give, and a row for
         each shard that its other pairs belong to."""
-        held, (hot_key, hot_gain) = sent.value, known.value
+        held, (hot_key, hot_gain), cache = sent.value, known.value, {}
         for batch in batches:
-            flat, offsets = lists(batch.column("tokens"))
-            for a, b in _ranges(offsets):
+            for a, b, texts in _parts(batch):
                 n = b - a
-                ends = offsets[a:b + 1] - offsets[a]
-                own = held.numbers(flat[offsets[a]:offsets[b]].astype(np.int64))
+                own, ends = held.numbers(texts, cache)
                 owner = np.repeat(np.arange(n), np.diff(ends))
                 ln = np.bincount(owner, held.ln_p[own], minlength=n)
                 key, of = pairs(own, ends, held.size)
@@ -251,13 +279,13 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
                     ids.take(pick), marks.take(pick), langs.take(pick),
                     pa.array(np.concatenate([shard_of(mark, shards), shard[new]]), pa.int32()),
                     pa.array(np.ones(total, np.int32)),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(key)),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(packed(key))),
                     pa.array([None] * total, pa.list_(pa.float32())),
                     pa.array(np.concatenate([np.diff(ends), np.zeros(m, np.int64)])),
                     pa.array(np.concatenate([ln, np.zeros(m)]))], names=[x.split()[0] for x in PART.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-                       mark().alias("mark"), *token_columns(body()))
+                       mark().alias("mark"), body().alias("text"))
     looked = rows.mapInArrow(parts, PART)
     hot_key = known.value[0]
 
@@ -277,7 +305,7 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([
                 pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.string()),
                 pa.array(shard[np.asarray(cut[:-1], np.int64)], pa.int32()), pa.array(np.zeros(m, np.int32)),
-                pa.ListArray.from_arrays(at, pa.array(key)), pa.ListArray.from_arrays(at, pa.array(gain)),
+                pa.ListArray.from_arrays(at, pa.array(packed(key))), pa.ListArray.from_arrays(at, pa.array(gain)),
                 pa.array(none, pa.int64()), pa.array(none, pa.float64())], names=[x.split()[0] for x in PART.split(", ")])
 
     met = looked.unionByName(gains.mapInArrow(segments, PART)).repartition(shards, "shard").sortWithinPartitions("shard", "rank")

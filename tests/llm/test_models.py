@@ -162,9 +162,9 @@ def test_quality_is_kneser_ney(spark, hot):
     split = lambda t: re.findall(r"\S+", t or "")
     counts = Counter(w for d, t in rows if d in ids for w in split(t))
     known = {w for w, n in counts.items() if n > 1}
-    shape = lambda w: w if w in known else ("?", bool(re.fullmatch(r"[a-z]+", w)), w.endswith("!!"))
+    shape = lambda w: w if w in known else q.shape(w)
     train = [[shape(w) for w in split(t)] for d, t in rows if d in ids]
-    want = plain_perplexity(train, [[shape(w) for w in split(t)] for _, t in rows], None, len(known) + q.SHAPES)
+    want = plain_perplexity(train, [[shape(w) for w in split(t)] for _, t in rows], None, len(known) + q.KINDS)
     by = {}
     for (d, _), w in zip(rows, want, strict=True):
         by[d] = w
