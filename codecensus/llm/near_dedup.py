@@ -230,9 +230,10 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     load = stored(member.groupBy("label").agg(F.sum(F.col("n_words") + 64).alias("load")).withColumn(
         "blocks", F.ceil(F.col("load") / block).cast("int")), "loads")
 
-    # a representative's text, under the key of its words
+    # a representative's text, under the key of its words; the members grow with
+    # the documents, so both sides are dealt out at every size
     texts = (docs.select(F.col("doc_id").cast("long").alias("rep"), body().alias("text"))
-             .join(member.select("key", "rep"), "rep").filter(words_key(F.col("text")) == F.col("key")).select("key", "text"))
+             .join(member.select("key", "rep").hint("merge"), "rep").filter(words_key(F.col("text")) == F.col("key")).select("key", "text"))
 
     placed = member.join(load, "label").withColumn(
         "b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("key", "label", "degree", "blocks", "b")
