@@ -40,7 +40,7 @@ from codecensus.llm.common import body, mix, read, stored
 from codecensus.llm.suffix_groups import equal_windows, suffix_arrays
 
 WIDTH = 200
-GRAMS = (48, 150, 200)  # bytes of the anchors' grams, level by level; the last is WIDTH
+GRAMS = (48, 150, 190, 200)  # bytes of the anchors' grams, level by level; the last is WIDTH
 LIMIT = 64  # different segments of an anchor that are sorted together
 SLICE = 1 << 20  # bytes that are hashed or sorted together
 BASE = 0x9E3779B97F4A7C15
@@ -276,9 +276,10 @@ def _sorted(rows: list[tuple], width: int):
 
 
 def _of_doc(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """Texts with the list that a document has; both have doc_id and crc."""
+    """Texts with the list that a document has; both have doc_id and crc. The
+    lists grow with the documents, so both sides are dealt out at every size."""
     own = lists.select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), lists.columns[-1])
-    return texts.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("c"))).drop("d", "c")
+    return texts.join(own.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("crc") == F.col("c"))).drop("d", "c")
 
 
 def _texts_of(owned: DataFrame, texts: DataFrame, width: int) -> DataFrame:

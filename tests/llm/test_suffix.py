@@ -35,7 +35,7 @@ def plain(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width,levels,limit", [(200, (48, 150, 200), 64), (20, (6, 14, 20), 64), (20, (6, 14, 20), 0)])
+@pytest.mark.parametrize("width,levels,limit", [(200, (48, 150, 190, 200), 64), (20, (6, 14, 20), 64), (20, (6, 14, 18, 20), 0)])
 def test_suffix_dedup(spark, width, levels, limit):
     rng = random.Random(1)
     rows = documents()
