@@ -333,10 +333,6 @@ ARCHITECTURE_DIR_RULES = [
 MICROSERVICES_FILE = "docker-compose.yml"
 API_FIRST_FILES = ["openapi.yaml", "swagger.yaml", "api.yaml"]
 EVENT_WORDS = ["event", "queue", "pubsub", "kafka"]
-ARCHITECTURE_ORDER = [
-    "MVC (Model-View-Controller)", "Microservices", "Clean Architecture",
-    "Component-Based Architecture", "API-First Design", "Event-Driven Architecture",
-]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: clone flow vocabulary (20 code extensions)
@@ -489,7 +485,6 @@ DOC_GROUPS = [
     ("License", ["license"]),
     ("Contributing Guidelines", ["contributing", "contribute"]),
 ]
-OTHER_DOCS_SHOWN = 5
 CI_MARKERS = [".github/workflows", "travis", "circle", "jenkins", "azure-pipelines"]
 BUILD_FILES_SHOWN = 5
 DEP_MANIFEST_MARKERS = ["package.json", "requirements.txt", "pom.xml", "cargo.toml"]
