@@ -76,7 +76,8 @@ STAGES = [
 ]
 
 #: No SQL expresses the model, the signatures, the alignment or the
-#: automaton; tests/llm/test_pipeline.py holds run() against brute force.
+#: automaton. The stages' operators are each tested against a plain version;
+#: a test of run() as a whole against brute force is still to be written.
 ORACLE_SQL = None
 
 
