@@ -1,13 +1,11 @@
-"""Benchmark decontamination: rare seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: gram seeds and Smith-Waterman alignment.
 
-Texts are lower-cased words (letters and digits). Every three-word gram of
-the test items is counted over all documents. Of each strip of four
-consecutive grams of an item the two rarest are its seeds, so a seed is never
-far from any place of an item, however often the item was copied. A document
-that holds a seed is aligned with the item around the seed's diagonal: the
-local alignment's score (match 2, mismatch -1, gap -1), as a part of the
-score of the whole item, tells copies, edited copies and paraphrases from
-chance hits.
+Texts are lower-cased words (letters and digits). Every three-word gram of a
+test item is a seed, however common it is. A document that holds a seed is
+aligned with the item around the seed's diagonal: the local alignment's score
+(match 2, mismatch -1, gap -1), as a part of the score of the whole item,
+tells copies, edited copies and paraphrases from chance hits. A copy in which
+no three neighbouring words of the item stand together any more is not a leak.
 
 The test items go to the tasks in blocks of bounded size; a test set beyond
 the bound takes several blocks, each a pass over the documents. Documents
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 
 from codecensus.llm.common import body, grams, lists, read
 
-GRAM, STRIP, KEEP = 3, 4, 2
+GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.4
 BLOCK_BYTES = 8 << 20  # of test items that tasks hold at once
@@ -57,21 +55,10 @@ class Items:
         self.n = n
         self.length = np.diff(self.offsets)
         self.gram, self.item, self.start = grams(self.words, self.offsets, n)
-        size = np.minimum(self.length[self.item], n)
-        self.sizes = sorted(set(size.tolist()))
-        self.size = size
-        self.distinct = np.unique(self.gram)
-
-    def seeds(self, counts: np.ndarray) -> "Seeds":
-        """``counts``: of each distinct gram, how often documents hold it."""
-        count = counts[np.searchsorted(self.distinct, self.gram)]
-        order = np.lexsort((self.start, count, self.start // STRIP, self.item))
-        strip = np.stack([self.item[order], self.start[order] // STRIP], axis=1)
-        new = np.ones(len(order), bool)
-        new[1:] = (strip[1:] != strip[:-1]).any(axis=1)
-        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        kept = order[rank < KEEP]
-        return Seeds(self.gram[kept], self.item[kept], self.start[kept], self.sizes)
+        self.sizes = sorted(set(np.minimum(self.length[self.item], n).tolist()))
+
+    def seeds(self) -> "Seeds":
+        return Seeds(self.gram, self.item, self.start, self.sizes)
 
 
 class Seeds:
@@ -209,24 +196,7 @@ def _block(docs: DataFrame, table: pa.Table, least: float, spark) -> DataFrame:
     items = spark.sparkContext.broadcast(Items(table, GRAM))  # a block of bounded size
     hashes = hashed_words(body()).alias("hashes")
 
-    def count(batches):
-        held = items.value
-        total = np.zeros(len(held.distinct), np.int64)
-        for batch in batches:
-            flat, offsets = lists(batch.column("hashes"))
-            for a, b in _ranges(offsets, SLICE) if len(total) else ():
-                for n in held.sizes:
-                    h, _, _ = grams(flat[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], n)
-                    at = np.minimum(np.searchsorted(held.distinct, h), len(total) - 1)
-                    total += np.bincount(at[held.distinct[at] == h], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
-
-    counted = docs.select(hashes).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(items.value.distinct), np.int64)
-    for row in counted.toArrow().to_pylist():  # one row per gram of the block
-        counts[row["gram"]] = row["n"]
-    seeds = spark.sparkContext.broadcast(items.value.seeds(counts))
+    seeds = spark.sparkContext.broadcast(items.value.seeds())
 
     def search(batches):
         held, own = items.value, seeds.value

@@ -60,6 +60,32 @@ def test_leaks(spark, block):
     assert (at[0, 0].first_word, at[0, 0].last_word, at[0, 0].similarity) == (60, 89, 1.0)
 
 
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: f"v{rng.randrange(20000)}"
+    items = [(i, [word() for _ in range((12, 20, 30, 50)[i % 4])]) for i in range(40)]
+    docs = []
+    for i, words in items:
+        for part in (0.1, 0.2, 0.25, 0.3):
+            docs.append([word() for _ in range(9)] + [f"z{rng.randrange(999)}" if rng.random() < part else w for w in words] + [word()])
+        docs.append([f"y{k}" if k % 5 == 4 else w for k, w in enumerate(words)])
+    want, apart = {}, set()
+    for i, words in items:
+        own = {tuple(words[k:k + 3]) for k in range(len(words) - 2)}
+        a = np.array([[hash(w) for w in words]])
+        for d, text in enumerate(docs):
+            score, _ = dc.align(a, np.array([[hash(w) for w in text]]))
+            if score[0] >= dc.LEAK * dc.MATCH * len(words):
+                want[d, i] = int(score[0])
+                if not own & {tuple(text[k:k + 3]) for k in range(len(text) - 2)}:
+                    apart.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score
+           for r in dc.contaminated(frame(spark, [(d, " ".join(t)) for d, t in enumerate(docs)]), bench).collect()}
+    assert got == {k: v for k, v in want.items() if k not in apart}
+    assert len(apart) <= 0.02 * len(want)
+
+
 def test_leaks_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "some words to find")], "item_id long, text string")
