@@ -1,12 +1,14 @@
 """Balanced label propagation into shards (DataFrame functions only).
 
 Documents with equal texts are linked. Every document starts in the shard
-its id's hash names; then, round by round, the linked documents of one shard
-move together to the neighbouring shard that holds most of their group, as
-far as the quota of that shard goes. Members of a group that share a shard
-are interchangeable, so the rounds run on (group, first shard) counts, joined
-with the shards' loads, and not on single rows. Documents without links fill
-the rest, so that no two shards' counts differ by more than one.
+its id's hash names; then, round by round, linked documents move to the shards
+that hold most of their group, as far as the quota of those shards goes: the
+smallest parts of a group go first, and a part is split where the room is less.
+Every move joins a part to one that is no smaller, so the rounds come to an
+end; they go on until one moves nothing. Members of a group are
+interchangeable, so the rounds run on (group, shard) counts, joined with the
+shards' loads, and not on single rows. Documents without links fill the rest,
+so that no two shards' counts differ by more than one.
 
 Defined cases: a null text has no bytes (size 8) and all empty texts are
 linked; a null ``doc_id`` is placed like any other row; repeated rows are
@@ -26,33 +28,63 @@ GAINS, LANES = 48, 64  # classes of group size, and lanes within a class: bounds
 
 
 def _propose(state: DataFrame, load: DataFrame) -> DataFrame:
-    """Each chunk (g, label0) with the neighbour shard it would move to:
-    the one with most of the group among those that still have room for it."""
-    held = state.groupBy("g", "label").agg(F.sum("c").alias("held"))
-    room = held.join(F.broadcast(load.select("label", "free")), "label")
-    best = room.groupBy("g").agg(F.max(F.struct("held", "free", "label")).alias("first"),
-                                 F.max(F.when(F.col("free") > 0, F.struct("held", "free", "label"))).alias("open"))
-    own = state.join(held, ["g", "label"]).join(best, "g")
-    full = F.col("first.free") <= 0
-    target = F.when(full, F.col("open.label")).otherwise(F.col("first.label"))
-    at_best = (F.col("label") == F.col("first.label")) | (target.isNull())
-    gain = F.when(full, F.col("open.held")).otherwise(F.col("first.held"))
-    better = (gain >= F.col("held")) & (target != F.col("label"))  # a group has one target, so no two chunks swap
-    fits = F.when(full, F.col("open.free")).otherwise(F.col("first.free")) >= F.col("c")
-    return own.select("g", "label0", "label", "c", F.when(~at_best & better & fits, target).alias("target"))
+    """Moves (g, label, target, n): a group's parts stand in order of size; the
+    room of the first ones is filled from the last ones."""
+    order = [F.desc("c"), F.desc("room"), "label"]
+    room = F.greatest("free", F.lit(0)).alias("room")
+    own = (state.join(F.broadcast(load.select("label", room)), "label")
+           .withColumn("parts", F.count(F.lit(1)).over(W.partitionBy("g"))).filter("parts > 1"))
+    own = own.select("g", "label", "c", "room", F.row_number().over(W.partitionBy("g").orderBy(*order)).alias("at"),
+                     F.sum("room").over(W.partitionBy("g").orderBy(*order)).alias("filled"),
+                     (F.sum("c").over(W.partitionBy("g")) - F.sum("c").over(W.partitionBy("g").orderBy(*order))).alias("behind"))
+    sinks = own.filter("room > 0").select("g", F.col("label").alias("target"), F.col("at").alias("ahead"), "filled", "room")
+    n = F.least("filled", F.col("behind") + F.col("c")) - F.greatest(F.col("filled") - F.col("room"), "behind")
+    return (own.select("g", "label", "at", "c", "behind").join(sinks, "g").filter(F.col("ahead") < F.col("at"))
+            .select("g", "label", "target", n.alias("n")).filter("n > 0"))
 
 
 def _admit(moves: DataFrame, load: DataFrame) -> DataFrame:
-    """Let moves into each shard, largest chunks first, while its room lasts.
-    The running sums are over (shard, size class, lane): a bounded table."""
-    cls = F.least(F.lit(GAINS - 1), F.floor(F.log2(F.col("c")))).cast("int")
-    cell = moves.withColumn("cls", cls).withColumn("lane", F.pmod(F.xxhash64("g", "label0"), F.lit(LANES)).cast("int"))
-    asked = cell.filter(F.col("target").isNotNull()).groupBy("target", "cls", "lane").agg(F.sum("c").alias("asked"))
+    """Let moves into each shard, largest first, while its room lasts; the last
+    one is split. The running sums are over (shard, size class, lane), a bounded
+    table, and over the moves of the one cell where the room ends."""
+    cls = F.least(F.lit(GAINS - 1), F.floor(F.log2(F.col("n")))).cast("int")
+    cell = moves.withColumn("cls", cls).withColumn("lane", F.pmod(F.xxhash64("g", "label"), F.lit(LANES)).cast("int"))
+    asked = cell.groupBy("target", "cls", "lane").agg(F.sum("n").alias("asked"))
     upto = F.sum("asked").over(W.partitionBy("target").orderBy(F.desc("cls"), "lane"))
-    granted = (asked.withColumn("upto", upto).join(F.broadcast(load), F.col("target") == F.col("label"))
-               .filter(F.col("upto") <= F.col("free")).select("target", "cls", "lane", F.lit(True).alias("granted")))
-    return cell.join(F.broadcast(granted), ["target", "cls", "lane"], "left").select(
-        "g", "label0", F.when(F.col("granted"), F.col("target")).otherwise(F.col("label")).alias("label"), "c")
+    left = F.col("free") - (F.col("upto") - F.col("asked"))
+    cells = (asked.withColumn("upto", upto).join(F.broadcast(load), F.col("target") == F.col("label"))
+             .select("target", "cls", "lane", "asked", left.alias("left")).filter("left > 0"))
+    met = cell.join(F.broadcast(cells), ["target", "cls", "lane"])
+    last = met.filter("asked > left").withColumn("to", F.sum("n").over(
+        W.partitionBy("target").orderBy(F.desc("n"), "g", "label").rowsBetween(W.unboundedPreceding, 0)))
+    split = F.least("n", F.col("left") - (F.col("to") - F.col("n"))).alias("n")
+    return met.filter("asked <= left").select("g", "label", "target", "n").unionByName(
+        last.select("g", "label", "target", split).filter("n > 0"))
+
+
+def _settle(state: DataFrame, quota: DataFrame) -> DataFrame:
+    """(g, label, c) after rounds of moves, up to the one that moves nothing."""
+    while True:
+        load = quota.join(state.groupBy("label").agg(F.sum("c").alias("load")), "label", "left").select(
+            "label", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
+        moved = stored(_admit(_propose(state, load), load), "shard-moves")
+        if moved.isEmpty():
+            return state
+        state = stored(state.unionByName(moved.select("g", "label", (-F.col("n")).alias("c")))
+                       .unionByName(moved.select("g", F.col("target").alias("label"), F.col("n").alias("c")))
+                       .groupBy("g", "label").agg(F.sum("c").alias("c")).filter("c > 0"), "shard-state")
+
+
+def _cuts(start: DataFrame, state: DataFrame) -> DataFrame:
+    """(g, label0, since, to, label): the places of a group's rows, counted
+    inside each first shard, that go to each shard."""
+    ends = lambda by: F.sum("c").over(W.partitionBy("g").orderBy(by))
+    first = start.select("g", F.col("label").alias("label0"), F.col("c").alias("c0"), ends("label").alias("to0"))
+    last = state.select("g", "label", "c", ends("label").alias("to1"))
+    begin = F.col("to0") - F.col("c0")
+    return (first.join(last, "g").select(
+        "g", "label0", (F.greatest(begin, F.col("to1") - F.col("c")) - begin).alias("since"),
+        (F.least("to0", "to1") - begin).alias("to"), "label").filter("since < to"))
 
 
 def _shards(spark, shards: int, rows: int) -> DataFrame:
@@ -77,7 +109,7 @@ def _ranked(df: DataFrame, by: list[str], lanes: int, out: str) -> DataFrame:
             .withColumn(out, F.col("_before") + F.col("_in")).drop("_lane", "_sub", "_in", "_before"))
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 4, lane_rows: int = 1_000_000) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 24, lane_rows: int = 1_000_000) -> DataFrame:
     """Place every row: doc_id, size, text_crc32, shard, slot (gapless from 0
     in each shard). ``lane_rows``: rows that one ranking lane should hold."""
     spark = docs.sparkSession
@@ -88,16 +120,16 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 4, lane_row
     total = rows.count()
     quota = _shards(spark, shards, total)
     linked = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
-    state = stored(rows.groupBy("g", "label0").agg(F.count(F.lit(1)).alias("c")).join(linked, "g", "left_semi")
-                   .withColumn("label", F.col("label0")), "shard-state")
-    for _ in range(rounds):
-        load = quota.join(state.groupBy("label").agg(F.sum("c").alias("load")), "label", "left").select(
-            "label", (F.col("quota") - F.coalesce("load", F.lit(0))).alias("free"))
-        state = stored(_admit(_propose(state, load), load), "shard-state")
-    placed = (rows.join(state.select("g", "label0", "label"), ["g", "label0"], "left")
-              .withColumn("single", F.col("label").isNull())
-              .withColumn("label", F.coalesce("label", "label0")))
+    start = stored(rows.groupBy("g", F.col("label0").alias("label")).agg(F.count(F.lit(1)).alias("c"))
+                   .join(linked, "g", "left_semi"), "shard-state")
+    cuts = _cuts(start, _settle(start, quota))
     lanes = max(16, -(-total // (lane_rows * LANES)))
+    chunks = start.select("g", F.col("label").alias("label0"))  # a hot group's rows don't meet in one task
+    members = _ranked(rows.join(chunks, ["g", "label0"], "left_semi").withColumn("single", F.lit(False)), ["g", "label0"], lanes, "at")
+    members = members.join(cuts, ["g", "label0"]).filter((F.col("at") >= F.col("since")) & (F.col("at") < F.col("to")))
+    alone = rows.join(chunks, ["g", "label0"], "left_anti").withColumn("single", F.lit(True)).withColumn("label", F.col("label0"))
+    kept = ["g", "label0", "doc_id", "size", "crc", "label", "single"]
+    placed = members.select(*kept).unionByName(alone.select(*kept))
     ranked = stored(_ranked(placed, ["label"], lanes, "rank").join(F.broadcast(quota), "label"), "shard-ranked")
     stay = ranked.filter(F.col("rank") < F.col("quota")).select(
         "doc_id", "size", "crc", F.col("label").alias("shard"), F.col("rank").alias("slot"))

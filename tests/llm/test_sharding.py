@@ -26,6 +26,15 @@ def test_shards(spark):
     assert len(groups[zlib.crc32(b"hot text")]) < 7
 
 
+def test_hot_group_fills_few_shards(spark):
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i}") for i in range(2400)]
+    got = balanced_shards(frame(spark, rows), 24).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 2400 and set(sizes.values()) == {100}
+    hot = Counter(r.shard for r in got if r.text_crc32 == zlib.crc32(b"hot text"))
+    assert sum(hot.values()) == 800 and len(hot) == 8
+
+
 def test_few_rows(spark):
     assert balanced_shards(empty(spark)).count() == 0
     got = balanced_shards(frame(spark, [(1, "a"), (2, "a")]), 24).collect()
