@@ -9,7 +9,7 @@ from codecensus.operators import explanations as X
 from codecensus.operators import ranking as K
 from codecensus.sources import activity as A
 from codecensus.sources import readers as R
-from conftest import contents
+from corpus_helpers import contents
 
 
 def _responses(spark, replies: dict, errors=None):
@@ -98,7 +98,7 @@ def test_selection_a13(spark):
 
 
 def test_key_files_quota_and_extras(spark):
-    from conftest import listing
+    from corpus_helpers import listing
     paths = ["main.py", "app.py", "server.js", "core_a.py", "core_b.py", "core_c.py", "core_d.py",
              "api_x.py", "z1.py", "z2.go", "README.md"]
     text = {p: "\n".join(["x"] * (100 if p == "z2.go" else 3)) for p in paths}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codecensus.operators import dependencies as D
 from codecensus.operators import metrics as M
 from codecensus.operators import patterns as PT
-from conftest import contents, listing
+from corpus_helpers import contents, listing
 
 PY = '''
 # This is a comment

@@ -4,7 +4,7 @@ from pathlib import PurePosixPath
 from codecensus.functions.paths import directory_of, name_of, parent_name_of, suffix_of
 from codecensus.operators import classify as C
 from codecensus.operators import structure as S
-from conftest import listing
+from corpus_helpers import listing
 
 PROBES = [".gitignore", "file.", "x.tar.gz", "a.b/c", "..x", "src/Main.PY", "README", "a/b/c.d.e"]
 

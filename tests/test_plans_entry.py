@@ -4,7 +4,7 @@ import os
 import __spark_entry__ as E
 from codecensus.plans import queries as Q
 from codecensus.sources import sinks
-from conftest import SF
+from corpus_helpers import SF
 
 
 def _plan(df) -> str:

@@ -2,7 +2,7 @@
 from codecensus.operators.metrics import code_metrics_totals, file_metrics
 from codecensus.sources import corpus as src
 from codecensus.streaming import latest_totals, stream_file_metrics, stream_repo_metric_totals
-from conftest import SF
+from corpus_helpers import SF
 
 
 def test_stream_matches_batch(spark, tmp_path):
