@@ -4,6 +4,7 @@ from codecensus.llm.bpe_codec import op9_bpe_codec
 from codecensus.llm.chat_format import op7_chat_format
 from codecensus.llm.decontamination import op2_decontamination
 from codecensus.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from codecensus.llm.importance_resampling import OP12_SQL, op12_importance_resampling
 from codecensus.llm.near_dedup import op10_near_dedup
 from codecensus.llm.quality import op6_quality
 from codecensus.llm.sharding import op8_sharding
@@ -22,6 +23,7 @@ REGISTRY = {
     "op8_sharding": op8_sharding,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_near_dedup": op10_near_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
-SQL = {"op5_exact_dedup": OP5_SQL}
+SQL = {"op5_exact_dedup": OP5_SQL, "op12_importance_resampling": OP12_SQL}
