@@ -150,7 +150,7 @@ def _pair_sums(key, rows: pa.Table, heads: pa.Table) -> pa.Table:
     lang, low, high, _ = (k.as_py() for k in key)
     heads = heads.sort_by("no")
     no, p0 = heads.column("no").to_numpy(), heads.column("p0").to_numpy()
-    split = len(no) if low == high else int(np.searchsorted(no, high * TILE))  # first source of the second tile
+    split = len(no) if low == high else int((heads.column("tile").to_numpy() == low).sum())  # first source of the second tile
     terms = rows.column("term").combine_chunks().dictionary_encode()
     term = terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(term, kind="stable")
@@ -184,7 +184,7 @@ def pair_divergence(kept: DataFrame, stats: DataFrame) -> DataFrame:
     rows = cut(kept.join(stats, ["lang", "source"]).withColumn("p", share("n", "own_n")), F.expr("pmod(xxhash64(term), slices)")).select(
         *key, "no", "term", "p")
     heads = cut(stats.toDF(*stats.columns), F.explode(F.expr("sequence(0L, CAST(slices - 1 AS BIGINT))"))).select(
-        *key, "no", F.coalesce("p0", F.lit(1).cast("long")).alias("p0"))
+        *key, "no", "tile", F.coalesce("p0", F.lit(1).cast("long")).alias("p0"))
     sums = (rows.groupBy(*key).cogroup(heads.groupBy(*key)).applyInArrow(_pair_sums, "lang string, a int, b int, value long, seen long")
             .groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")))
     side = stats.select("lang", "no", "source", "p0", "terms")
