@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
+from codecensus.functions import json_text as J
 from codecensus.functions import sql as S
 from codecensus.functions.paths import name_of
 from codecensus.functions.text import WS, lines_of, strip_py
@@ -40,19 +41,13 @@ def manifests(contents: DataFrame) -> DataFrame:
                     .where(F.col("name").isin(list(MANIFESTS))))
 
 
-def json_valid(content: Column) -> Column:
-    """Parses as JSON (a duplicate-key object still counts, as in Python)."""
-    as_map = F.from_json(content, "map<string,string>", {"allowSingleQuotes": "false"})
-    return F.try_parse_json(content).isNotNull() | as_map.isNotNull()
-
-
 def _entries(scope: str, arr: Column) -> Column:
     """array<struct<scope, pos, package>> from an array of names."""
     return F.transform(arr, lambda x, i: F.struct(F.lit(scope).alias("scope"), i.alias("pos"), x.alias("package")))
 
 
-def _keys(content: Column, field: str) -> Column:
-    keys = F.json_object_keys(F.get_json_object(content, f"$.{field}"))
+def _keys(objects: Column, field: str) -> Column:
+    keys = F.map_keys(objects[field])
     return F.array_distinct(F.coalesce(keys, F.array().cast("array<string>")))
 
 
@@ -61,8 +56,10 @@ def _stripped_lines(content: Column) -> Column:
 
 
 def _json_deps(content: Column, prod: str, dev: str) -> Column:
-    return F.when(json_valid(content), F.concat(_entries("prod", _keys(content, prod)),
-                                                _entries("dev", _keys(content, dev))))
+    """Keys of the two objects in text order; of a repeated field the last
+    object counts, as in Python."""
+    objects = F.from_json(content, f"`{prod}` map<string,string>, `{dev}` map<string,string>", J.OPTIONS)
+    return F.when(J.is_json(content), F.concat(_entries("prod", _keys(objects, prod)), _entries("dev", _keys(objects, dev))))
 
 
 def _pip(content: Column) -> Column:
@@ -145,7 +142,7 @@ def manifest_columns(name: Column, content: Column) -> list[Column]:
     entry = None
     for n, (mgr, _) in MANIFESTS.items():
         entry = F.when(name == n, F.lit(mgr)) if entry is None else entry.when(name == n, F.lit(mgr))
-    ok = ~name.isin(list(JSON_MANIFESTS)) | json_valid(content)
+    ok = ~name.isin(list(JSON_MANIFESTS)) | J.is_json(content)
     return [F.when(is_manifest, _dep_key(name)).alias("dep_manager"),
             F.when(is_manifest, _parsed(name, content)).alias("dep_items"),
             F.when(is_manifest & ok, entry).alias("pm_entry")]
@@ -180,7 +177,7 @@ def package_managers(contents: DataFrame) -> DataFrame:
     entry = None
     for n, (mgr, _) in MANIFESTS.items():
         entry = F.when(F.col("name") == n, F.lit(mgr)) if entry is None else entry.when(F.col("name") == n, F.lit(mgr))
-    ok = ~F.col("name").isin(list(JSON_MANIFESTS)) | json_valid(F.col("content"))
+    ok = ~F.col("name").isin(list(JSON_MANIFESTS)) | J.is_json(F.col("content"))
     return m.where(ok).select("repo", "path", "file_seq", entry.alias("manager"))
 
 

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from codecensus import rules
 from codecensus.functions.text import cut_with_ellipsis, lines_of, strip_py
+from codecensus.functions import json_text as J
 from codecensus.functions import sql as S
 
 ITEM = "struct<value:string,is_string:boolean>"
-REPLY_SCHEMA = ("summary string, main_functionality string, complexity_assessment string, "
-                "key_components array<string>, dependencies array<string>, "
-                "improvement_suggestions array<string>, code_patterns array<string>")
+TEXT_FIELDS = ["summary", "main_functionality", "complexity_assessment"]
+REPLY = ", ".join(f"{f} variant" for f in [*TEXT_FIELDS, *rules.LIST_FIELDS]) + f", {J.BAD} string"
+#: for replies whose objects repeat a key, which VARIANT refuses
+REPLY_TEXTS = ", ".join([f"{f} string" for f in TEXT_FIELDS] + [f"{f} array<string>" for f in rules.LIST_FIELDS])
 JSON_BLOCK = r"(?s)(\{.*\})"
 
 
@@ -59,48 +61,59 @@ def prompt_averages(prompts: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- replies
-def _items(v: Column, field: str) -> Column:
-    arr = F.try_variant_get(v, f"$.{field}", "array<variant>")
-    return F.coalesce(
-        F.transform(arr, lambda x: F.struct(
-            F.when(F.schema_of_variant(x) == "STRING", F.variant_get(x, "$", "string"))
-             .otherwise(F.to_json(x)).alias("value"),
-            (F.schema_of_variant(x) == "STRING").alias("is_string"))),
-        F.array().cast(f"array<{ITEM}>"))
+def _items(field: Column) -> Column:
+    """Items of a VARIANT list with their kind."""
+    return F.transform(F.try_variant_get(field, "$", "array<variant>"), lambda x: F.struct(
+        F.when(F.schema_of_variant(x) == "STRING", F.variant_get(x, "$", "string")).otherwise(F.to_json(x)).alias("value"),
+        (F.schema_of_variant(x) == "STRING").alias("is_string")))
+
+
+def _items_of_text(values: Column, text: Column) -> Column:
+    """Items of a list read as texts; their kinds come from the list's own text."""
+    kinds = J.element_kinds(text)
+    return F.transform(values, lambda x, i: F.struct(x.alias("value"), (F.get(kinds, i) == "s").alias("is_string")))
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Replies -> explanation rows.
 
-    The JSON block runs from the first '{' to the last '}'. Missing fields
-    take defaults. A reply without parseable JSON falls back to its first
-    non-empty line not starting with '{' as summary and the whole reply as
-    functionality; ``summary_short`` and ``functionality_short`` are the
-    forms for display. A failed call (``error`` set) gives the fixed
-    placeholder row. Each step is a projection of its own, so the block is
-    found and parsed once per reply.
+    The JSON block runs from the first '{' to the last '}' and must be one
+    strict JSON value: malformed text, single quotes or text after the value
+    make the reply a fallback; of a repeated key the last value counts.
+    Missing fields take defaults. A fallback has its first non-empty line not
+    starting with '{' as summary and the whole reply as functionality;
+    ``summary_short`` and ``functionality_short`` are the forms for display.
+    A failed call (``error`` set) gives the fixed placeholder row. Each step
+    is a projection of its own, so the block is found and parsed once per
+    reply.
     """
     failed = F.col("error").isNotNull() if "error" in responses.columns else F.lit(False)
     base = responses.select("repo", "path", "file_seq", code_language("path").alias("language"),
                             failed.alias("_failed"), F.coalesce(F.col("response"), F.lit("")).alias("_resp"))
-    block = base.withColumn("_block", F.when(~F.col("_failed"), F.regexp_extract("_resp", JSON_BLOCK, 1)).otherwise(F.lit("")))
-    parsed = block.withColumn("_variant", F.try_parse_json(F.nullif(F.col("_block"), F.lit(""))))
-    # VARIANT rejects duplicate keys, which Python accepts (last one wins);
-    # such a reply is read through a struct schema instead (also last wins)
-    twice = parsed.withColumn("_dup", F.when(F.col("_variant").isNull() & (F.col("_block") != ""),
-                                             F.from_json("_block", REPLY_SCHEMA, {"allowSingleQuotes": "false"})))
-    v = twice.withColumn("_v", F.coalesce("_variant", F.when(F.col("_dup").isNotNull(), F.to_variant_object("_dup"))))
-    status = F.when(F.col("_failed"), "failed").when(F.col("_v").isNotNull(), "parsed").otherwise("fallback")
+    block = base.withColumn("_block", F.when(~F.col("_failed"), F.nullif(F.regexp_extract("_resp", JSON_BLOCK, 1), F.lit(""))))
+    parsed = block.withColumn("_json", F.from_json("_block", REPLY, J.STRICT))
+    whole = F.col("_json").isNotNull() & F.col(f"_json.{J.BAD}").isNull()
+    texts = parsed.withColumn("_whole", F.coalesce(whole, F.lit(False))).withColumns({
+        "_map": F.when(~F.col("_whole"), F.from_json("_block", "map<string,string>", J.OPTIONS)),
+        "_texts": F.when(~F.col("_whole"), F.from_json("_block", REPLY_TEXTS, J.OPTIONS))})
+    read = F.when(F.col("_whole") | F.col("_map").isNotNull(), J.one_value(F.col("_block")))
+    status = F.when(F.col("_failed"), "failed").when(F.coalesce(read, F.lit(False)), "parsed").otherwise("fallback")
     first_line = F.try_element_at(
         F.filter(lines_of(F.col("_resp")), lambda l: (strip_py(l) != "") & ~l.startswith("{")), F.lit(1))
-    staged = v.withColumn("status", status).withColumn(
+    staged = texts.withColumn("status", status).withColumn(
         "_line", F.when(F.col("status") == "fallback", F.coalesce(strip_py(first_line), F.lit(rules.FALLBACK_SUMMARY))))
 
     def field(name: str) -> Column:
-        return F.coalesce(F.try_variant_get("_v", f"$.{name}", "string"), F.lit(rules.EXPLANATION_DEFAULTS[name]))
+        value = F.when(F.col("_whole"), F.try_variant_get(f"_json.{name}", "$", "string")).otherwise(F.col(f"_texts.{name}"))
+        return F.coalesce(value, F.lit(rules.EXPLANATION_DEFAULTS[name]))
+
+    def items(name: str) -> Column:
+        last = F.try_element_at(F.filter(F.map_entries("_map"), lambda e: e["key"] == name), F.lit(-1))["value"]
+        twice = _items_of_text(F.col(f"_texts.{name}"), last)
+        return F.coalesce(F.when(F.col("_whole"), _items(F.col(f"_json.{name}"))).otherwise(twice), none)
 
     fail = rules.FAILED_EXPLANATION
-    empty = F.array().cast(f"array<{ITEM}>")
+    none = F.array().cast(f"array<{ITEM}>")
 
     def pick(parsed_value: Column, fallback: Column, failed_value: Column) -> Column:
         return (F.when(F.col("status") == "failed", failed_value).when(F.col("status") == "parsed", parsed_value)
@@ -112,7 +125,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         pick(field("main_functionality"), F.col("_resp"), F.lit(fail["main_functionality"])).alias("main_functionality"),
         pick(field("complexity_assessment"), F.lit("Unknown"),
              F.lit(fail["complexity_assessment"])).alias("complexity_assessment"),
-        *[pick(_items(F.col("_v"), f), empty, empty).alias(f) for f in rules.LIST_FIELDS])
+        *[pick(items(f), none, none).alias(f) for f in rules.LIST_FIELDS])
     fallback = F.col("status") == "fallback"
     return out.select(
         "*", F.when(fallback, cut_with_ellipsis(F.col("summary"), rules.FALLBACK_SUMMARY_CUT))
@@ -121,6 +134,13 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         .otherwise(F.col("main_functionality")).alias("functionality_short"))
 
 
+def object_text(value: Column) -> Column:
+    """'text', else 'description' of an object's JSON text (of a repeated key
+    the last); empty ones do not count."""
+    fields = F.from_json(value, "text string, description string", J.OPTIONS)
+    return F.coalesce(F.nullif(fields["text"], F.lit("")), F.nullif(fields["description"], F.lit("")))
+
+
 def explanation_items(explanations: DataFrame) -> DataFrame:
     """(repo, path, file_seq, language, field, pos, value, is_string)."""
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("items")) for f in rules.LIST_FIELDS])
@@ -368,10 +388,9 @@ def issue_candidates(themes: DataFrame, items: DataFrame, open_issues: DataFrame
     """
     t = themes.select("repo", F.lit(0).alias("src"), F.col("rank").cast("bigint").alias("o1"),
                       F.lit(0).alias("o2"), F.concat(F.lit(rules.ISSUE_THEME_PREFIX), F.col("theme")).alias("text"))
-    sug = items.where(F.col("field") == "improvement_suggestions")
-    obj_text = F.coalesce(F.nullif(F.get_json_object("value", "$.text"), F.lit("")),
-                          F.nullif(F.get_json_object("value", "$.description"), F.lit("")), F.col("value"))
-    text = F.when(F.col("is_string"), strip_py(F.col("value"))).otherwise(obj_text)
+    sug = items.where((F.col("field") == "improvement_suggestions") & (F.col("is_string") | F.col("value").startswith("{")))
+    text = F.when(F.col("is_string"), strip_py(F.col("value"))).otherwise(
+        F.coalesce(object_text(F.col("value")), F.col("value")))
     s = sug.select("repo", F.lit(1).alias("src"), F.col("file_seq").alias("o1"), F.col("pos").alias("o2"),
                    text.alias("text"))
     cands = t.unionByName(s).withColumn("text", strip_py(F.col("text")))

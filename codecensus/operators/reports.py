@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from codecensus import report_text as T
 from codecensus import rules
+from codecensus.functions import json_text as J
 from codecensus.functions.text import contains_any, fmt1, format_size, safe_percentage
 from codecensus.operators.classify import category_flags
 from codecensus.operators.explanations import code_analysis_overview
@@ -174,9 +175,10 @@ def development_workflow(files: DataFrame, repos: DataFrame, stats: DataFrame |
 
 def suggestion_text(value: Column, is_string: Column) -> Column:
     """A suggestion as text: strings as given; objects by 'text', then
-    'description', else their JSON."""
-    return F.when(is_string, value).otherwise(
-        F.coalesce(F.get_json_object(value, "$.text"), F.get_json_object(value, "$.description"), value))
+    'description' (of a repeated key the last), else their JSON; other values
+    have none."""
+    fields = F.from_json(value, "text string, description string", J.OPTIONS)
+    return F.when(is_string, value).when(value.startswith("{"), F.coalesce(fields["text"], fields["description"], value))
 
 
 def recommendation_inputs(files: DataFrame, fm: DataFrame, flags_arch: DataFrame,

@@ -180,8 +180,13 @@ select repo, language, count(*) as files, cast(sum(len(ls)) as bigint) as lines,
 from b3 group by 1, 2""", BASIC)
 
 RESPONSES = r"""responses as (
-select repo, path, file_seq, case when file_seq % 11 = 0 then 'No JSON here' || chr(10) || path else
- 'Here: {"summary":"S' || cast(file_seq as varchar(20)) || ' ' || md5(text) || '",'
+select repo, path, file_seq, case when file_seq % 11 = 0 then
+ case (file_seq // 11) % 8 when 0 then 'No JSON here' || chr(10) || path when 1 then 'The code uses {braces} in ' || path
+  when 2 then '{ ' || chr(10) || 'First line of ' || path || chr(10) || '{not json}' when 3 then 'Cut {"summary": "s", "x": } for ' || path
+  when 4 then '{''summary'': ''single quotes in ' || path || '''}' when 5 then '{"summary":"' || path || '"} and }'
+  when 6 then '{"summary":"one"} {"summary":"' || path || '"}' else 'for (;;) { x = 1; }' || chr(10) || path end
+ else 'Here: {' || case when file_seq % 13 = 3 then '"summary":"Old","code_patterns":"none","dependencies":[{"x":1},"gone"],' else '' end
+ || '"summary":"S' || cast(file_seq as varchar(20)) || ' ' || md5(text) || '",'
  || case when file_seq % 2 = 0 then '"main_functionality":"' || regexp_replace(text, '[^A-Za-z ]+', '', 'g') || '",' else '' end
  || '"complexity_assessment":"'
  || case file_seq % 3 when 0 then 'Simple. ok' when 1 then 'Moderate - x' else 'Complex' end
@@ -191,6 +196,7 @@ select repo, path, file_seq, case when file_seq % 11 = 0 then 'No JSON here' ||
  || case file_seq % 4 when 0 then 'Add unit tests' when 1 then 'Improve error handling'
     when 2 then 'Optimize performance' else 'Refactor names' end || '"'
  || case when file_seq % 10 = 5 then ',{"description":"Cache ' || cast(file_seq % 7 as varchar(10)) || '"}'
+    when file_seq % 15 = 0 then ',{"text":"Old","text":"Split test ' || cast(file_seq % 7 as varchar(10)) || '"}'
     when file_seq % 5 = 0 then ',{"text":"Split part ' || cast(file_seq % 7 as varchar(10)) || '"}' else '' end
  || ']} done' end as response,
  case when file_seq % 17 = 0 then 'LLM API error: timeout' end as error
@@ -460,12 +466,17 @@ def _rows(manager: str, scope: str, lst: str, where: str) -> str:
             f"where {where}) u")
 
 
+def _object_keys(field: str) -> str:
+    """Keys of the last object of that name."""
+    return f"json_keys(list_filter(list_zip(json_keys(content), json_extract(content, '$.*')), lambda x: x[1] = '{field}')[-1][2])"
+
+
 MAN = f"man as (select *, {P.name('path')} as name from relc where {P.name('path')} in {P.in_list(MANIFESTS)})"
 _dep_parts = [
-    _rows("npm", "prod", "json_keys(content, '$.dependencies')", "name = 'package.json' and json_valid(content)"),
-    _rows("npm", "dev", "json_keys(content, '$.devDependencies')", "name = 'package.json' and json_valid(content)"),
-    _rows("composer", "prod", "json_keys(content, '$.require')", "name = 'composer.json' and json_valid(content)"),
-    _rows("composer", "dev", "json_keys(content, '$.require-dev')", "name = 'composer.json' and json_valid(content)"),
+    _rows("npm", "prod", _object_keys("dependencies"), "name = 'package.json' and json_valid(content)"),
+    _rows("npm", "dev", _object_keys("devDependencies"), "name = 'package.json' and json_valid(content)"),
+    _rows("composer", "prod", _object_keys("require"), "name = 'composer.json' and json_valid(content)"),
+    _rows("composer", "dev", _object_keys("require-dev"), "name = 'composer.json' and json_valid(content)"),
     _rows("pip", "prod",
           "list_filter(list_transform(list_filter(list_transform(string_split(" + _strip("content")
           + ", chr(10)), lambda l: " + _strip("l") + "), lambda l: l <> '' and not starts_with(l, '#')), "
@@ -661,36 +672,46 @@ def _cut(x: str, keep: int, limit: int | None = None) -> str:
     return f"(case when length({x}) > {limit} then substr({x}, 1, {keep}) || '...' else {x} end)"
 
 
-_STRIPL = P.WS_SQL
+_REPLY_FIELDS = ["summary", "main_functionality", "complexity_assessment", *rules.LIST_FIELDS]
+
+
+def _last(key: str) -> str:
+    """The last value of a key of the object ``value`` as text."""
+    return (f"json_extract_string(list_filter(list_zip(json_keys(value), json_extract(value, '$.*')), lambda x: x[1] = '{key}')[-1][2], '$')")
+
+
 EXP = (
     RESPONSES,
     "exp0 as (select *, regexp_extract(coalesce(response, ''), '(?s)(\\{.*\\})', 1) as blk from responses)",
     "exp1 as (select *, case when error is not null then 'failed' when blk <> '' and json_valid(blk) then 'parsed' "
     "else 'fallback' end as status from exp0)",
-    "exp as (select repo, path, file_seq, " + CL + " as language, status, blk, "
+    # of a repeated key the last value counts
+    "exp2 as (select *, case when status = 'parsed' then list_zip(json_keys(blk), json_extract(blk, '$.*')) end as kv from exp1)",
+    "exp3 as (select *, " + ", ".join(f"list_filter(kv, lambda x: x[1] = '{f}')[-1][2] as j_{f}" for f in _REPLY_FIELDS) + " from exp2)",
+    "exp as (select repo, path, file_seq, " + CL + " as language, status, " + ", ".join(f"j_{f}" for f in rules.LIST_FIELDS) + ", "
     "case status when 'failed' then " + P.q(rules.FAILED_EXPLANATION["summary"])
-    + " when 'parsed' then coalesce(json_extract_string(blk, '$.summary'), " + P.q(rules.EXPLANATION_DEFAULTS["summary"])
+    + " when 'parsed' then coalesce(json_extract_string(j_summary, '$'), " + P.q(rules.EXPLANATION_DEFAULTS["summary"])
     + ") else " + ("coalesce(" + _strip("list_filter(string_split(coalesce(response, ''), chr(10)), lambda l: "
                        + _strip("l") + " <> '' and not starts_with(l, '{'))[1]") + ", 'Analysis provided')")
     + " end as summary, "
     "case status when 'failed' then " + P.q(rules.FAILED_EXPLANATION["main_functionality"])
-    + " when 'parsed' then coalesce(json_extract_string(blk, '$.main_functionality'), "
+    + " when 'parsed' then coalesce(json_extract_string(j_main_functionality, '$'), "
     + P.q(rules.EXPLANATION_DEFAULTS["main_functionality"]) + ") else coalesce(response, '')"
     + " end as main_functionality, "
-    "case status when 'parsed' then coalesce(json_extract_string(blk, '$.complexity_assessment'), 'Unknown') "
-    "else 'Unknown' end as complexity_assessment from exp1)",
+    "case status when 'parsed' then coalesce(json_extract_string(j_complexity_assessment, '$'), 'Unknown') "
+    "else 'Unknown' end as complexity_assessment from exp3)",
     "items as (select repo, path, file_seq, language, field, cast(s.i - 1 as integer) as pos, "
     "case when json_type(s.x) = 'VARCHAR' then json_extract_string(s.x, '$') else cast(s.x as varchar) end as value, "
     "json_type(s.x) = 'VARCHAR' as is_string from (select repo, path, file_seq, language, f.field, "
-    "unnest(list_transform(cast(json_extract(blk, '$.' || f.field) as json[]), lambda x, i: {'x': x, 'i': i})) as s "
-    "from exp, (values ('key_components'), ('dependencies'), ('improvement_suggestions'), ('code_patterns')) f(field) "
-    "where status = 'parsed' and json_type(blk, '$.' || f.field) = 'ARRAY') u)",
+    "unnest(list_transform(cast(f.list as json[]), lambda x, i: {'x': x, 'i': i})) as s from ("
+    + " union all ".join(f"select repo, path, file_seq, language, '{f}' as field, j_{f} as list from exp" for f in rules.LIST_FIELDS)
+    + ") f where json_type(f.list) = 'ARRAY') u)",
 )
 oracle("parse_responses", "select repo, path, file_seq, language, status, summary, main_functionality, "
        + "case when status = 'fallback' then " + _cut("summary", 200) + " else summary end as summary_short, "
        + "case when status = 'fallback' then " + _cut("main_functionality", 500)
        + " else main_functionality end as functionality_short, complexity_assessment, "
-       + ", ".join(f"cast(case when status = 'parsed' then coalesce(json_array_length(blk, '$.{f}'), 0) else 0 end as integer) as n_{f}"
+       + ", ".join(f"cast(coalesce(json_array_length(j_{f}), 0) as integer) as n_{f}"
                    for f in rules.LIST_FIELDS) + " from exp", EXP)
 oracle("explanation_items", "select repo, path, file_seq, language, field, pos, value, is_string from items", EXP)
 
@@ -813,15 +834,14 @@ left join (select repo, count(*) as n, {', '.join(f"count(*) filter (where is_st
        EXP + (COLLECTED, CP5, KT5, OV, RELC) + SEL + (PROMPTS,))
 
 oracle("analysis_success", "select repo, path, file_seq, status <> 'failed' as success, "
-       + ", ".join(f"cast(case when status = 'parsed' then coalesce(json_array_length(blk, '$.{f}'), 0) else 0 end as integer) as {f}_count"
+       + ", ".join(f"cast(coalesce(json_array_length(j_{f}), 0) as integer) as {f}_count"
                    for f in rules.LIST_FIELDS) + ", complexity_assessment from exp", EXP)
 oracle("success_ratio", "select repo, count(*) as files, "
        "count(*) filter (where status <> 'failed') / count(*) * 100 as success_pct from exp group by repo", EXP)
 
 OPEN = ("open_issues as (select distinct d.source as repo, t.title from documents d, "
         "(values ('Add unit tests'), ('investigate: testing')) t(title))")
-_txt = ("case when is_string then " + _strip("value") + " else coalesce(nullif(json_extract_string(value, '$.text'), ''), "
-        "nullif(json_extract_string(value, '$.description'), ''), value) end")
+_txt = ("case when is_string then " + _strip("value") + " else coalesce(nullif(" + _last("text") + ", ''), nullif(" + _last("description") + ", ''), value) end")
 def _issues(opened: bool) -> str:
     check = ("where not exists (select 1 from open_issues o where o.repo = f.repo "
              "and lower(o.title) in (lower(f.title), lower(f.title_short)))") if opened else ""
@@ -901,8 +921,7 @@ oracle("development_workflow", "select * from wf", (REL, PER_LANG, REPOS) + WF)
 _R = rules.RECOMMENDATIONS
 _ci2 = f"({FLAGS['config']} and (contains(path, '.github/workflows') or contains(lower(path), 'travis')))"
 _dep2 = f"({FLAGS['config']} and {P.contains_any('lower(path)', rules.DEP_MANIFEST_MARKERS)})"
-_sugg = ("case when is_string then value else coalesce(json_extract_string(value, '$.text'), "
-         "json_extract_string(value, '$.description'), value) end")
+_sugg = ("case when is_string then value else coalesce(" + _last("text") + ", " + _last("description") + ", value) end")
 _arch_n = " + ".join(f"(case when {c} then 1 else 0 end)" for c, _ in _arch_items())
 RI = ("ri as (select s.repo, s.total_files, s.docs, s.tests, s.ci, s.dep_files, coalesce(m.large, 0) as large, "
       "coalesce(m.nested, 0) as nested, coalesce(a.n_arch, 0) as n_arch, ai.ai_test, ai.ai_error, ai.ai_perf from "

@@ -4,6 +4,8 @@ tables the Spark operators use (rules.py), so both sides state one rule set.
 
 from __future__ import annotations
 
+import re
+
 from codecensus import rules
 from codecensus.functions.text import WS
 
@@ -117,8 +119,8 @@ from (
    when 18 then case when r % 2 = 1 then 'requirements.txt' else 'docker-compose.yml' end
    else 'webpack.config.js' end as base,
   case
-   when kind = 15 and r % 9 = 0 then '{"dependencies":{"react":"18","lib' || cast(file_seq % 7 as varchar(10)) || '":"1"},"devDependencies":{"jest":"29","webpack":"5"}}'
-   when kind = 15 and r % 9 = 1 then '{"require":{"laravel/framework":"10"},"require-dev":{"p' || cast(file_seq % 7 as varchar(10)) || '":"1"}}'
+   when kind = 15 and r % 9 = 0 then json_npm
+   when kind = 15 and r % 9 = 1 then json_composer
    when kind = 15 and r % 9 = 2 then 'module x' || chr(10) || 'require m.example/a v1' || chr(10) || 'require (' || chr(10) || '  m.example/b v2' || chr(10) || ')'
    when kind = 15 and r % 9 = 3 then '<project><artifactId>app</artifactId><dependency><artifactId>lib' || cast(file_seq % 7 as varchar(10)) || '</artifactId></dependency></project>'
    when kind = 15 and r % 9 = 4 then 'gem ''rails''' || chr(10) || 'gem "g' || cast(file_seq % 7 as varchar(10)) || '"' || chr(10) || '# gem ''no'''
@@ -128,13 +130,27 @@ from (
    else case file_seq % 5 when 0 then '# note' when 1 then '// note' when 2 then '    import kafka'
      when 3 then 'class A uses postgres and boto3' else '                def f(): graphql' end
      || chr(10) || chr(10) || text end as content
- from (select source as repo, doc_id as file_seq, text, doc_id % 20 as r,
+ from (select *, JSON_FORMS(npm) as json_npm, JSON_FORMS(composer) as json_composer
+       from (select source as repo, doc_id as file_seq, text, doc_id % 20 as r,
          cast(floor(doc_id / 20) as bigint) as k,
-         (cast(floor(doc_id / 20) as bigint) + doc_id) % 20 as kind
-       from documents) a
+         (cast(floor(doc_id / 20) as bigint) + doc_id) % 20 as kind,
+         '"dependencies":{"react":"18","lib' || cast(doc_id % 7 as varchar(10)) || '":"1"},"devDependencies":{"jest":"29","webpack":"5"}}' as npm,
+         '"require":{"laravel/framework":"10","p' || cast(doc_id % 7 as varchar(10)) || '":"1"},"require-dev":{"phpunit":"1"}}' as composer
+       from documents) a0) a
 ) b
 )"""
 
+def _json_forms(rest: str) -> str:
+    """The forms of a JSON manifest; the column ``rest`` is its text behind the first brace."""
+    first = {"npm": "dependencies", "composer": "require"}[rest]
+    forms = [f"'{{' || {rest}", f"'{{\"{first}\":{{\"gone\":\"0\"}},' || {rest}", f"'{{' || {rest} || ' and more }}'",
+             f"replace('{{' || {rest}, '\"', chr(39))", f"'{{' || left({rest}, -1)"]
+    whens = " ".join(f"when {i} then {form}" for i, form in enumerate(forms))
+    return f"(case (file_seq // 200) % 6 {whens} else '{{\"a}}b\":[{{\"c\":\"]\"}}],' || {rest} || chr(10) end)"
+
+
+CORPUS = re.sub(r"JSON_FORMS\((\w+)\)", lambda m: _json_forms(m[1]), CORPUS)
+
 FILES = f"""files as (
 select repo, file_seq, path, {name('path')} as name, 'file' as type, size from corpus
 )"""

@@ -52,13 +52,28 @@ def _base_path(kind: Column, r: Column) -> Column:
     return F.coalesce(fixed, F.when(kind == 15, manifest).otherwise(k18))
 
 
+def _json_manifest(prod: str, package: str, dev: str, dev_packages: str, seq: Column) -> Column:
+    """A JSON manifest: well-formed, with a repeated key, with text behind
+    it, in single quotes, cut off, or with a brace in a key."""
+    name = F.concat(F.lit(package), _s(seq % 7))
+    text = F.concat(F.lit('{"' + prod + '":{"'), name, F.lit('":"1"},"' + dev + '":{' + dev_packages + "}}"))
+    behind = F.substring(text, F.lit(2), F.length(text))
+    return F.element_at(F.array(
+        text,
+        F.concat(F.lit('{"' + prod + '":{"gone":"0"},'), behind),
+        F.concat(text, F.lit(" and more }")),
+        F.replace(text, F.lit('"'), F.lit("'")),
+        F.substring(text, F.lit(1), F.length(text) - 1),
+        F.concat(F.lit('{"a}b":[{"c":"]"}],'), behind, F.lit(NL)),
+    ), (F.floor(seq / 200) % 6 + 1).cast("int"))
+
+
 def _manifest_text(kind: Column, r: Column, seq: Column) -> Column:
     """Text of the synthesised manifest files (NULL for prose files)."""
     s7 = _s(seq % 7)
     manifest_text = F.element_at(F.array(
-        F.concat(F.lit('{"dependencies":{"react":"18","lib'), s7,
-                 F.lit('":"1"},"devDependencies":{"jest":"29","webpack":"5"}}')),
-        F.concat(F.lit('{"require":{"laravel/framework":"10"},"require-dev":{"p'), s7, F.lit('":"1"}}')),
+        _json_manifest("dependencies", 'react":"18","lib', "devDependencies", '"jest":"29","webpack":"5"', seq),
+        _json_manifest("require", 'laravel/framework":"10","p', "require-dev", '"phpunit":"1"', seq),
         F.lit("module x" + NL + "require m.example/a v1" + NL + "require (" + NL + "  m.example/b v2" + NL + ")"),
         F.concat(F.lit("<project><artifactId>app</artifactId><dependency><artifactId>lib"), s7,
                  F.lit("</artifactId></dependency></project>")),
@@ -144,21 +159,35 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies for the code files of the corpus, which quote the given
-    texts; 1 in 11 is not JSON and 1 in 17 calls failed (``error`` set). Some
-    have objects among their suggestions and a '|' in a pattern."""
+    texts; 1 in 11 is not strict JSON (no braces, braces in prose, cut
+    objects, single quotes, text after the object) and 1 in 17 calls failed
+    (``error`` set). Some repeat keys, have objects among their suggestions
+    and a '|' in a pattern."""
     a = _keys(spark, sf_dir, with_text=True)
     seq = F.col("file_seq")
     c = a.select("repo", "file_seq", _path(F.col("kind"), F.col("r"), F.col("k"), seq).alias("path"), "text")
     letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]+", "")
     does = F.when(seq % 2 == 0, F.concat(F.lit('"main_functionality":"'), letters, F.lit('",'))).otherwise(F.lit(""))
     more = (F.when(seq % 10 == 5, F.concat(F.lit(',{"description":"Cache '), _s(seq % 7), F.lit('"}')))
+            .when(seq % 15 == 0, F.concat(F.lit(',{"text":"Old","text":"Split test '), _s(seq % 7), F.lit('"}')))
             .when(seq % 5 == 0, F.concat(F.lit(',{"text":"Split part '), _s(seq % 7), F.lit('"}'))).otherwise(F.lit("")))
+    twice = F.when(seq % 13 == 3, F.lit('"summary":"Old","code_patterns":"none","dependencies":[{"x":1},"gone"],')).otherwise(F.lit(""))
     both = F.when(seq % 6 == 0, F.lit(',"A|B"')).otherwise(F.lit(""))
     cx = (F.when(seq % 3 == 0, "Simple. ok").when(seq % 3 == 1, "Moderate - x").otherwise("Complex"))
     sug = (F.when(seq % 4 == 0, "Add unit tests").when(seq % 4 == 1, "Improve error handling")
            .when(seq % 4 == 2, "Optimize performance").otherwise("Refactor names"))
-    reply = F.when(seq % 11 == 0, F.concat(F.lit("No JSON here" + NL), F.col("path"))).otherwise(F.concat(
-        F.lit('Here: {"summary":"S'), _s(seq), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))), F.lit('",'), does,
+    path = F.col("path")
+    broken = F.element_at(F.array(
+        F.concat(F.lit("No JSON here" + NL), path),
+        F.concat(F.lit("The code uses {braces} in "), path),
+        F.concat(F.lit("{ " + NL + "First line of "), path, F.lit(NL + "{not json}")),
+        F.concat(F.lit('Cut {"summary": "s", "x": } for '), path),
+        F.concat(F.lit("{'summary': 'single quotes in "), path, F.lit("'}")),
+        F.concat(F.lit('{"summary":"'), path, F.lit('"} and }')),
+        F.concat(F.lit('{"summary":"one"} {"summary":"'), path, F.lit('"}')),
+        F.concat(F.lit("for (;;) { x = 1; }" + NL), path)), (F.floor(seq / 11) % 8 + 1).cast("int"))
+    reply = F.when(seq % 11 == 0, broken).otherwise(F.concat(
+        F.lit('Here: {'), twice, F.lit('"summary":"S'), _s(seq), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))), F.lit('",'), does,
         F.lit('"complexity_assessment":"'), cx, F.lit('","key_components":["part '), _s(seq % 5),
         F.lit('","core"],"dependencies":["dep'), _s(seq % 9), F.lit('","json"],"code_patterns":["P'),
         _s(seq % 4), F.lit('"'), both, F.lit('],"improvement_suggestions":["'), sug, F.lit('"'), more,
