@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codecensus import rules
 from codecensus.functions import sql as S
 from codecensus.functions.paths import directory_of, name_of, parent_name_of, parts_of, suffix_of
-from codecensus.functions.ranks import LANE, gapless_rank
+from codecensus.functions.ranks import gapless_rank
 
 
 def lit_map(d: dict) -> Column:
@@ -153,13 +153,11 @@ def limit_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
     priority, ties in listing order. Every file comes back; with
     ``max_files`` only that many of each repository do.
 
-    Ranks of whole repositories are made lane by lane (a lane is a stretch
-    of the listing within one priority); with a limit Spark keeps each map
-    task's top N before the shuffle.
+    Ranks of whole repositories are made lane by lane; with a limit Spark
+    keeps each map task's top N before the shuffle.
     """
     scored = files.withColumn("priority", priority_score("path"))
     if max_files is None:
-        lane = F.struct((-F.col("priority")).alias("p"), F.floor(F.col("file_seq") / LANE).alias("s"))
-        return gapless_rank(scored, ["repo"], lane, [F.col("file_seq")])
+        return gapless_rank(scored, ["repo"], F.struct((-F.col("priority")).alias("p"), "file_seq"))
     w = Window.partitionBy("repo").orderBy(F.col("priority").desc(), F.col("file_seq"))
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= max_files)

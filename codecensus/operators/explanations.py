@@ -134,6 +134,12 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         .otherwise(F.col("main_functionality")).alias("functionality_short"))
 
 
+def without_texts(explanations: DataFrame) -> DataFrame:
+    """Explanations without the summary and functionality texts: all that the
+    insights, usages and issue candidates read."""
+    return explanations.drop("summary", "main_functionality", "summary_short", "functionality_short")
+
+
 def object_text(value: Column) -> Column:
     """'text', else 'description' of an object's JSON text (of a repeated key
     the last); empty ones do not count."""

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from codecensus import report_text as T
 from codecensus import rules
 from codecensus.functions import json_text as J
+from codecensus.functions.ranks import gapless_rank
 from codecensus.functions.text import contains_any, fmt1, format_size, safe_percentage
 from codecensus.operators.classify import category_flags
 from codecensus.operators.explanations import code_analysis_overview
 
+FEATURES = ["has_issues", "has_projects", "has_wiki"]
 _PH = re.compile(r"\{(\w+)\}")
 
 
@@ -141,36 +143,46 @@ def documentation_groups(files: DataFrame) -> DataFrame:
     return out
 
 
-def _first_n(df: DataFrame, n: int, alias: str, keys=("repo",)) -> DataFrame:
-    """First ``n`` paths per key by file_seq, as one '|'-joined text."""
-    w = Window.partitionBy(*keys).orderBy("file_seq")
-    top = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return top.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]), "|")
-         .alias(alias))
+def workflow_summary(files: DataFrame, repos: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Per repo: number of CI files among configuration files, of test files
+    (and their share) and of build files, and the repository's features."""
+    st = repo_file_stats(files) if stats is None else stats
+    feats = repos.select("repo", *[F.coalesce(f, F.lit(False)).alias(f) for f in FEATURES])
+    return (st.join(feats, "repo", "left")
+              .select("repo", F.col("n_ci").alias("ci_files"), F.col("n_test").alias("test_files"),
+                      safe_percentage("n_test", "total_files").alias("test_pct"), F.col("n_build").alias("build_files"), *FEATURES))
 
 
-def development_workflow(files: DataFrame, repos: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Per repo: CI files among configuration files (count and first 5), test
-    files and share, build files (count and first 5), repository features."""
+def workflow_files(files: DataFrame, kind: str) -> DataFrame:
+    """The ``ci`` or ``build`` files of the listing."""
     fl = category_flags("path")
-    lp = F.lower(F.col("path"))
-    f = files.select("repo", "file_seq", "path", (fl["config"] & contains_any(lp, rules.CI_MARKERS)).alias("ci"),
-                     fl["test"].alias("test"), fl["build"].alias("build"))
-    st = repo_file_stats(files) if stats is None else stats
-    counts = st.select("repo", "total_files", F.col("n_ci").alias("ci_files"), F.col("n_test").alias("test_files"),
-                       F.col("n_build").alias("build_files"))
-    ci = _first_n(f.where("ci"), rules.BUILD_FILES_SHOWN, "ci_shown")
-    build = _first_n(f.where("build"), rules.BUILD_FILES_SHOWN, "build_shown")
-    feats = repos.select("repo", F.coalesce("has_issues", F.lit(False)).alias("has_issues"),
-                         F.coalesce("has_projects", F.lit(False)).alias("has_projects"),
-                         F.coalesce("has_wiki", F.lit(False)).alias("has_wiki"))
-    return (counts.join(ci, "repo", "left").join(build, "repo", "left").join(feats, "repo", "left")
-                  .select("repo", "ci_files", F.coalesce("ci_shown", F.lit("")).alias("ci_shown"), "test_files",
-                          safe_percentage("test_files", "total_files").alias("test_pct"), "build_files",
-                          F.coalesce("build_shown", F.lit("")).alias("build_shown"),
-                          F.greatest(F.col("build_files") - rules.BUILD_FILES_SHOWN, F.lit(0)).alias("build_more"),
-                          "has_issues", "has_projects", "has_wiki"))
+    if kind == "build":
+        return files.where(fl["build"])
+    return files.where(fl["config"] & contains_any(F.lower(F.col("path")), rules.CI_MARKERS))
+
+
+def development_workflow(files: DataFrame, repos: DataFrame, stats: DataFrame | None = None,
+                         shown: int = rules.BUILD_FILES_SHOWN) -> DataFrame:
+    """(repo, part, ord, path, n, pct, shown): all CI and build files, one row
+    each in listing order, of which a display shows the first ones; a row
+    ``ci``, ``test`` and ``build`` with the number (and share) of such files;
+    a row for each feature the repository may have, ``n`` 1 if it has."""
+    summary = workflow_summary(files, repos, stats)
+    none = {"path": F.lit(None).cast("string"), "pct": F.lit(None).cast("double"), "shown": F.lit(None).cast("boolean")}
+
+    def fact(part: str, n: Column, pct: Column = none["pct"]) -> Column:
+        return F.struct(F.lit(part).alias("part"), n.cast("bigint").alias("n"), pct.alias("pct"))
+
+    facts = F.array(fact("ci", F.col("ci_files")), fact("test", F.col("test_files"), F.col("test_pct")),
+                    fact("build", F.col("build_files")), *[fact(f, F.coalesce(f, F.lit(False)).cast("int")) for f in FEATURES])
+    out = summary.select("repo", F.explode(facts).alias("f")).select(
+        "repo", "f.part", F.lit(0).cast("bigint").alias("ord"), none["path"].alias("path"), "f.n", "f.pct", none["shown"].alias("shown"))
+    for kind in ("ci", "build"):
+        ranked = gapless_rank(workflow_files(files, kind).select("repo", "file_seq", "path"), ["repo"], F.col("file_seq"))
+        out = out.unionByName(ranked.select(
+            "repo", F.lit(f"{kind}_file").alias("part"), F.col("rank").alias("ord"), "path", F.lit(None).cast("bigint").alias("n"),
+            none["pct"].alias("pct"), (F.col("rank") <= shown).alias("shown")))
+    return out
 
 
 def suggestion_text(value: Column, is_string: Column) -> Column:
@@ -522,11 +534,8 @@ def documentation_section(files: DataFrame, stats: DataFrame | None = None) -> D
 
 
 def workflow_section(files: DataFrame, repos: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    fl = category_flags("path")
-    lp = F.lower(F.col("path"))
-    ci_rows = files.where(fl["config"] & contains_any(lp, rules.CI_MARKERS))
-    wf = development_workflow(files, repos, stats)
-    build_rows = files.where(fl["build"])
+    ci_rows, build_rows = workflow_files(files, "ci"), workflow_files(files, "build")
+    wf = workflow_summary(files, repos, stats)
 
     def flag(c: str) -> Column:
         return F.when(F.col(c), F.lit(T.ENABLED)).otherwise(F.lit(T.DISABLED))

@@ -228,11 +228,11 @@ left join (select repo, count(*) filter (where regexp_extract(dir, '([^/]*)$', 1
 
 oracle("decode_contents", """
 select repo, file_seq, 'drop' as mode, md5(content) as content_md5 from contents where file_seq % 13 <> 0
-union all select repo, file_seq, 'ignore', md5(case when file_seq % 13 = 0 then content || chr(65533) else content end)
+union all select repo, file_seq, 'ignore', md5(case when file_seq % 13 = 0 then content || chr(65533) || chr(1114110) else content end)
   from contents
 union all select repo, file_seq, 'latin1', md5(case when file_seq % 13 = 0 then
     array_to_string(list_transform(string_split(regexp_replace(hex(encode(content)), '(..)', '\\1 ', 'g'), ' ')[1:-2],
-      lambda x: chr(cast('0x' || x as integer))), '') || 'ï¿½ÿ' else content end)
+      lambda x: chr(cast('0x' || x as integer))), '') || 'ï¿½ô' || chr(143) || '¿¾ÿ' else content end)
   from contents""")
 
 oracle("collect_code_files", """
@@ -903,20 +903,19 @@ oracle("documentation_groups", "select * from dg", (REL, DG))
 
 _ci = f"({FLAGS['config']} and {P.contains_any('lower(path)', rules.CI_MARKERS)})"
 WF = (f"wf0 as (select repo, file_seq, path, {_ci} as ci, {FLAGS['test']} as test, {FLAGS['build']} as build from rel)",
-      "wf as (select c.repo, c.ci_files, coalesce(ci.s, '') as ci_shown, c.test_files, "
-      + _pct('c.test_files', 'c.total_files') + " as test_pct, c.build_files, coalesce(b.s, '') as build_shown, "
-      f"greatest(c.build_files - {rules.BUILD_FILES_SHOWN}, 0) as build_more, "
+      "wf as (select c.repo, c.ci_files, c.test_files, " + _pct('c.test_files', 'c.total_files') + " as test_pct, c.build_files, "
       "coalesce(r.has_issues, false) as has_issues, coalesce(r.has_projects, false) as has_projects, "
       "coalesce(r.has_wiki, false) as has_wiki from "
       "(select repo, count(*) as total_files, count(*) filter (where ci) as ci_files, count(*) filter (where test) as test_files, "
-      "count(*) filter (where build) as build_files from wf0 group by repo) c "
-      f"left join (select repo, string_agg(path, '|' order by file_seq) as s from (select *, row_number() over "
-      f"(partition by repo order by file_seq) as k from wf0 where ci) x where k <= {rules.BUILD_FILES_SHOWN} group by repo) ci "
-      "on c.repo = ci.repo "
-      f"left join (select repo, string_agg(path, '|' order by file_seq) as s from (select *, row_number() over "
-      f"(partition by repo order by file_seq) as k from wf0 where build) x where k <= {rules.BUILD_FILES_SHOWN} group by repo) b "
-      "on c.repo = b.repo left join repos r on c.repo = r.repo)")
-oracle("development_workflow", "select * from wf", (REL, PER_LANG, REPOS) + WF)
+      "count(*) filter (where build) as build_files from wf0 group by repo) c left join repos r on c.repo = r.repo)")
+_facts = [("ci", "ci_files", "null"), ("test", "test_files", "test_pct"), ("build", "build_files", "null")] + [
+    (f, f, "null") for f in ("has_issues", "has_projects", "has_wiki")]
+oracle("development_workflow", " union all ".join(
+    [f"select repo, '{part}' as part, cast(0 as bigint) as ord, cast(null as varchar) as path, cast({n} as bigint) as n, "
+     f"cast({pct} as double) as pct, cast(null as boolean) as shown from wf" for part, n, pct in _facts]
+    + [f"select repo, '{kind}_file', k, path, null, null, k <= {rules.BUILD_FILES_SHOWN} from (select *, row_number() over "
+       f"(partition by repo order by file_seq) as k from wf0 where {kind}) x" for kind in ("ci", "build")]),
+       (REL, PER_LANG, REPOS) + WF)
 
 _R = rules.RECOMMENDATIONS
 _ci2 = f"({FLAGS['config']} and (contains(path, '.github/workflows') or contains(lower(path), 'travis')))"

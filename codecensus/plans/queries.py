@@ -417,6 +417,12 @@ def _explanations(spark, sf_dir) -> DataFrame:
     return X.parse_responses(src.responses(spark, sf_dir))
 
 
+def _explained(spark, sf_dir) -> DataFrame:
+    """The explanations without their long texts, as a table: queries that
+    read them in several branches parse each reply once."""
+    return write_table(X.without_texts(_explanations(spark, sf_dir)), "explained")
+
+
 @query
 def report_file_order(spark, sf_dir):
     return K.report_file_order(_explanations(spark, sf_dir))
@@ -484,7 +490,7 @@ def improvement_themes(spark, sf_dir):
 
 @query
 def insights_summary(spark, sf_dir):
-    e = _explanations(spark, sf_dir)
+    e = _explained(spark, sf_dir)
     return X.insights_summary(e, X.explanation_items(e))
 
 
@@ -505,17 +511,17 @@ def size_by_complexity(spark, sf_dir):
 
 @query
 def dependency_usage(spark, sf_dir):
-    return _texts(X.dependency_usage(_items(spark, sf_dir)))
+    return _texts(X.dependency_usage(X.explanation_items(_explained(spark, sf_dir))))
 
 
 @query
 def pattern_usage(spark, sf_dir):
-    return _texts(X.pattern_usage(_items(spark, sf_dir)))
+    return _texts(X.pattern_usage(X.explanation_items(_explained(spark, sf_dir))))
 
 
 @query
 def explanation_overview(spark, sf_dir):
-    e = _explanations(spark, sf_dir)
+    e = _explained(spark, sf_dir)
     return _texts(X.explanation_overview(e, X.explanation_items(e)))
 
 
@@ -526,13 +532,13 @@ def explanation_details(spark, sf_dir):
 
 @query
 def code_analysis_overview(spark, sf_dir):
-    e = _explanations(spark, sf_dir)
+    e = _explained(spark, sf_dir)
     return X.code_analysis_overview(X.insights_summary(e, X.explanation_items(e)))
 
 
 @query
 def run_summary(spark, sf_dir):
-    e = _explanations(spark, sf_dir)
+    e = _explained(spark, sf_dir)
     return X.run_summary(R.collect_code_files(src.contents(spark, sf_dir)), _selected(spark, sf_dir), e,
                          _prompts(spark, sf_dir), X.explanation_items(e))
 
@@ -549,7 +555,7 @@ def success_ratio(spark, sf_dir):
 
 @query
 def issue_candidates(spark, sf_dir):
-    items = _items(spark, sf_dir)
+    items = X.explanation_items(_explained(spark, sf_dir))
     return _texts(X.issue_candidates(X.improvement_themes(items), items, src.open_issues(spark, sf_dir)))
 
 
@@ -695,7 +701,7 @@ for _fn in ("deps_npm", "deps_pip", "deps_pipenv", "deps_poetry", "deps_cargo",
 @query
 def issue_candidates_ado(spark, sf_dir):
     """The work-item variant: no check against open issue titles."""
-    items = _items(spark, sf_dir)
+    items = X.explanation_items(_explained(spark, sf_dir))
     return _texts(X.issue_candidates(X.improvement_themes(items), items, None))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
-from codecensus.functions.ranks import LANE, gapless_rank
+from codecensus.functions.ranks import gapless_rank
 
 
 def recent_commits(commits: DataFrame, n: int = rules.RECENT_COMMITS) -> DataFrame:
@@ -22,10 +22,10 @@ def recent_commits(commits: DataFrame, n: int = rules.RECENT_COMMITS) -> DataFra
                            F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "url"))
 
 
-def _paged(rows: DataFrame, lane: Column, order: list[Column], page: int | None, per_page: int | None) -> DataFrame:
+def _paged(rows: DataFrame, key: Column, page: int | None, per_page: int | None) -> DataFrame:
     """Ranks within the repository (``rank``), the number of its rows
     (``count``), and one page of them if ``per_page`` is given."""
-    ranked = gapless_rank(rows, ["repo"], lane, order, count="count")
+    ranked = gapless_rank(rows, ["repo"], key, count="count")
     if per_page is None:
         return ranked
     first = ((page or 1) - 1) * per_page
@@ -36,8 +36,8 @@ def commits_on_branch(commits: DataFrame, branch: str, page: int | None = None,
                       per_page: int | None = None) -> DataFrame:
     """A branch's commits, newest first, with their number."""
     rows = commits.where(F.col("branch") == branch).select("repo", "sha", "message", "date")
-    newest = -F.unix_date(F.to_date("date"))
-    ranked = _paged(rows, newest, [F.col("date").desc(), F.col("sha")], page, per_page)
+    newest = F.struct((-F.unix_micros(F.col("date").cast("timestamp"))).alias("age"), "sha")
+    ranked = _paged(rows, newest, page, per_page)
     return ranked.select("repo", F.lit(branch).alias("branch"), "rank", "sha",
                          F.substring_index("message", "\n", 1).alias("message"), "count")
 
@@ -46,13 +46,13 @@ def pull_requests_by_status(prs: DataFrame, status: str = "active", page: int |
                             per_page: int | None = None) -> DataFrame:
     """Pull requests in a state ('all' for every state), newest first."""
     rows = prs if status == "all" else prs.where(F.col("status") == status)
-    ranked = _paged(rows, -F.floor(F.col("pr_id") / LANE), [F.col("pr_id").desc()], page, per_page)
+    ranked = _paged(rows, -F.col("pr_id"), page, per_page)
     return ranked.select("repo", "rank", "pr_id", "title", "status", "count")
 
 
 def branches_per_repo(branches: DataFrame, page: int | None = None, per_page: int | None = None) -> DataFrame:
     """Branches per repository (by name), with their number."""
-    ranked = _paged(branches, F.substring("branch", 1, 4), [F.col("branch")], page, per_page)
+    ranked = _paged(branches, F.col("branch"), page, per_page)
     return ranked.select("repo", "rank", "branch", "count")
 
 

@@ -334,11 +334,11 @@ def pages_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undecoded text: (repo, path, file_seq, raw, encoding). Every file is
-    base64 of its UTF-8 bytes; every 13th also gets a U+FFFD character and a
-    stray 0xFF byte, so its bytes are not valid UTF-8. Odd files are given as
-    raw bytes."""
+    base64 of its UTF-8 bytes; every 13th also gets a U+FFFD and a U+10FFFE
+    character and a stray 0xFF byte, so its bytes are not valid UTF-8. Odd
+    files are given as raw bytes."""
     c = contents(spark, sf_dir)
-    data = F.when(F.col("file_seq") % 13 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("EFBFBDFF")))) \
+    data = F.when(F.col("file_seq") % 13 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("EFBFBDF48FBFBEFF")))) \
             .otherwise(F.encode("content", "UTF-8"))
     b64 = F.col("file_seq") % 2 == 0
     return c.select("repo", "path", "file_seq",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codecensus import rules
 from codecensus.functions.paths import name_of, suffix_of
 from codecensus.functions import sql as S
-from codecensus.functions.ranks import LANE, gapless_rank
+from codecensus.functions.ranks import gapless_rank
 from codecensus.operators.classify import lookup
 
 ADO_ITEMS = "struct<value: array<struct<path: string, isFolder: boolean, size: bigint>>>"
@@ -38,10 +38,8 @@ def read_listing(spark: SparkSession, path: str, fmt: str = "parquet", repo: str
 
 
 def _in_path_order(files: DataFrame) -> DataFrame:
-    """``file_seq``: the place of a path among those of its repository; a
-    lane is what shares its first 16 characters."""
-    lane = F.substring("path", 1, 16)
-    return gapless_rank(files, ["repo"], lane, [F.col("path")], rank="file_seq")
+    """``file_seq``: the place of a path among those of its repository."""
+    return gapless_rank(files, ["repo"], F.col("path"), rank="file_seq")
 
 
 def _re_quote(s: str) -> str:
@@ -81,10 +79,12 @@ def decode_contents(raw: DataFrame, on_error: str = "drop") -> DataFrame:
     if on_error == "drop":
         return raw.withColumn("content", as_text).where(valid).drop("raw", "encoding")
     if on_error == "ignore":
-        # genuine U+FFFD characters step aside while the repaired ones go
-        kept, mark = "\\x{FFFD}", "\\x{10FFFE}"
-        aside = F.replace(as_text, F.lit("\ufffd"), F.lit("\U0010fffe"))
-        fixed = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(aside), kept, ""), mark, "\ufffd")
+        # genuine U+FFFD characters step aside, as a mark and a digit, while
+        # the repaired ones go; the mark itself is written as mark and 0
+        mark, bad = "\U0010fffe", "\ufffd"
+        aside = F.replace(F.replace(as_text, F.lit(mark), F.lit(mark + "0")), F.lit(bad), F.lit(mark + "1"))
+        whole = F.replace(F.make_valid_utf8(aside), F.lit(bad), F.lit(""))
+        fixed = F.replace(F.replace(whole, F.lit(mark + "1"), F.lit(bad)), F.lit(mark + "0"), F.lit(mark))
         return raw.withColumn("content", F.when(valid, as_text).otherwise(fixed)).drop("raw", "encoding")
     if on_error == "latin1":
         return raw.withColumn("content", F.when(valid, as_text).otherwise(
@@ -126,7 +126,7 @@ def retrieve_capped(listing: DataFrame, max_files: int | None = None, max_chars:
         keep = keep & (F.size(F.split("path", "/")) <= max_dir_depth + 1)
     code = listing.where(keep).select("repo", "path", "file_seq")
     if max_files is None:
-        return gapless_rank(code, ["repo"], F.floor(F.col("file_seq") / LANE), [F.col("file_seq")])
+        return gapless_rank(code, ["repo"], F.col("file_seq"))
     w = Window.partitionBy("repo").orderBy("file_seq")
     return code.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= max_files)
 

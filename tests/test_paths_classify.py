@@ -75,3 +75,34 @@ def test_language_distribution_share(spark):
     files = listing(spark, [("a.py", 1), ("b.py", 1), ("c.js", 1), ("d.txt", 1)])
     got = {r.language: (r.files, round(r.pct, 3), r.bar_len) for r in S.language_distribution(files).collect()}
     assert got == {"Python": (2, 66.667, 13), "JavaScript": (1, 33.333, 6)}
+
+
+def _ranked(spark, rows, lanes):
+    from pyspark.sql import functions as F
+    from codecensus.functions.ranks import gapless_rank, lane_of, splitters
+    df = spark.createDataFrame(rows, "repo string, path string").repartition(7)
+    got = gapless_rank(df, ["repo"], F.col("path"), count="n", lanes=lanes)
+    cut = df.join(splitters(df, ["repo"], F.col("path"), lanes), "repo", "left").withColumn("lane", lane_of(F.col("_cuts"), F.col("path")))
+    return [tuple(r) for r in got.select("repo", "path", "rank", "n").collect()], cut.groupBy("repo", "lane").count().collect()
+
+
+def test_ranks_are_exact_and_lanes_even_under_one_prefix(spark):
+    import random
+    rng = random.Random(3)
+    hot = [("hot", f"src/main/java/com/example/service/module/{rng.randrange(10**9):09d}/File.java") for _ in range(20_000)]
+    small = [("small", p) for p in ("b", "a", "a", None)]
+    ranks, lanes = _ranked(spark, hot + small, 64)
+    sizes = {r.lane: r["count"] for r in lanes if r.repo == "hot"}
+    assert len(sizes) == 64 and max(sizes.values()) < 4 * len(hot) / 64
+    assert [r["count"] for r in lanes if r.repo == "small"] == [4]
+    for repo, rows in (("hot", hot), ("small", small)):
+        own = sorted((r for r in ranks if r[0] == repo), key=lambda r: r[2])
+        assert [r[2] for r in own] == list(range(1, len(rows) + 1)) and {r[3] for r in own} == {len(rows)}
+        assert [r[1] for r in own] == sorted((p for _, p in rows), key=lambda p: (p is not None, p or ""))
+
+
+def test_ranks_where_a_third_of_the_keys_are_equal(spark):
+    rows = [("r", "same")] * 3000 + [("r", f"p{i:05d}") for i in range(6000)]
+    ranks, _ = _ranked(spark, rows, 32)
+    assert sorted(r[2] for r in ranks) == list(range(1, 9001))
+    assert [r[1] for r in sorted(ranks, key=lambda r: r[2])] == sorted(p for _, p in rows)
