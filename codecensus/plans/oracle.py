@@ -1079,3 +1079,5 @@ PAGES = ("pages_files as (select regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) a
          "page_id as file_seq, html as content from pages)")
 _fm_html = tuple(x.replace("from relc", "from pages_files") for x in FM)
 oracle("file_metrics_html", "select * from fm", (PAGES,) + _fm_html)
+
+from codecensus.plans import oracle_reports  # noqa: E402, F401
