@@ -24,17 +24,18 @@ LISTING = ["repo", "file_seq", "path", "name", "type", "size"]
 METRICS = ["lines", "blank_lines", "comment_lines", "code_lines", "max_indentation"]
 
 
-def file_features(listing_text: DataFrame) -> DataFrame:
-    """Listing columns plus per-file features; ``content`` is dropped."""
+def file_features(listing_text: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Listing columns (and those of ``also``) plus per-file features;
+    ``content`` is dropped."""
     content = F.col("content")
     base = listing_text.select(
-        *LISTING, "content", language_of("path").alias("language"))
+        *LISTING, *also, "content", language_of("path").alias("language"))
     staged = base.select("*", lines_of(content).alias("_lines"),
                          F.lower(F.coalesce(content, F.lit(""))).alias("lc"))
     measurable = F.col("language").isNotNull() & (F.length(content) > 0)
     metrics = [F.when(measurable, c) for c in metric_columns(F.col("_lines"), F.col("language"))]
     return staged.select(
-        *LISTING, "language",
+        *LISTING, *also, "language",
         content.isNotNull().alias("has_text"),
         F.length(content).alias("chars"),
         F.when(content.isNotNull(), F.size("_lines")).alias("n_lines"),

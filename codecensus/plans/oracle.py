@@ -1080,4 +1080,4 @@ PAGES = ("pages_files as (select regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) a
 _fm_html = tuple(x.replace("from relc", "from pages_files") for x in FM)
 oracle("file_metrics_html", "select * from fm", (PAGES,) + _fm_html)
 
-from codecensus.plans import oracle_reports  # noqa: E402, F401
+from codecensus.plans import oracle_reports, oracle_upkeep  # noqa: E402, F401

@@ -21,6 +21,7 @@ from codecensus.operators import patterns as PT
 from codecensus.operators import structure as S
 from codecensus.plans import features as FT
 from codecensus.plans import modes as MD
+from codecensus.plans import upkeep as UP
 from codecensus.session import shared_dir, write_table
 from codecensus.sources import activity as A
 from codecensus.sources import corpus as src
@@ -623,6 +624,31 @@ def render_report(spark, sf_dir):
                                    analysis_date="2026-01-01 00:00:00")
 
 
+# ---------------------------------------------------------------- upkeep
+def _upkeep(spark, sf_dir, reports: bool) -> UP.Results:
+    """The results now, from those of an earlier snapshot."""
+    early, now = (write_table(src.snapshot(spark, sf_dir, was), "snapshot") for was in (True, False))
+    blobs = f"{shared_dir(spark)}/tables/blobs-{uuid.uuid4().hex}"
+    UP.write_blobs(early.unionByName(now), blobs)
+    fetch = UP.fetch_blobs(blobs)
+    before = UP.Snapshot(early.drop("content"), write_table(src.early_repos(spark, sf_dir), "repos"))
+    after = UP.Snapshot(now.drop("content"), write_table(src.repos(spark, sf_dir), "repos"))
+    first = UP.first_run(before, fetch, write_table, "2026-01-01 00:00:00")
+    if reports:
+        first = UP.Results(first.features, first.totals, write_table(first.report, "report"))
+    return UP.refresh(first, before, after, fetch, write_table, "2026-01-01 00:00:00")
+
+
+@query
+def upkeep_totals(spark, sf_dir):
+    return _upkeep(spark, sf_dir, False).totals
+
+
+@query
+def upkeep_report(spark, sf_dir):
+    return _upkeep(spark, sf_dir, True).report
+
+
 # ---------------------------------------------------------------- §2.11
 @query
 def analyze_quick(spark, sf_dir):
