@@ -219,6 +219,16 @@ oracle("read_listing", "select repo, file_seq, path, name, type, size, fmt from
 
 oracle("normalize_ado_listing", "select repo, cast(floor(file_seq / 50) as bigint) as page, path, size from corpus")
 
+_pages = "select repo, cast(floor(file_seq / 50) as bigint) as page, path, size, '{}' as scope from corpus where {}"
+oracle("listing_pages", " union all ".join(_pages.format(scope, cond) for scope, cond in (
+    ("all", "true"), ("src3", "repo = 'src3'"), ("pages 2 to 8", "file_seq // 50 between 2 and 8"))))
+
+oracle("landed_tree", f"""
+select 'repo=' || repo as repo, 'language=' || language as directory,
+  row_number() over (partition by repo order by 'language=' || language || '/') as file_seq, 'file' as type,
+  cast(sum(octet_length(encode(path)) + 1) as bigint) as size
+from (select repo, path, replace(coalesce({LANG}, 'none'), '/', '%2F') as language from files) x group by repo, language""")
+
 oracle("listing_counts", f"""
 select f.repo, f.n as file_count, coalesce(d.n, 0) as folder_count
 from (select repo, count(*) as n from corpus group by repo) f
@@ -346,6 +356,12 @@ oracle("list_org_repositories", """
 select project, repo, count(*) over (partition by project) as count, 'all' as scope from pr
 union all select project, repo, count(*) over () as count, 'de' as scope from pr where project = 'de'""", (PR,))
 
+_owned = "select 'org' || cast(file_seq % 3 as varchar) || '/' || repo as repo, path, file_seq, content from contents"
+oracle("search_code_index", " union all ".join(
+    f"select repo, path, file_seq, '{scope}' as scope from ({_owned}) x where contains(lower(content), '{text}') and {cond}"
+    for scope, text, cond in (("everywhere", "kafka", "true"), ("owner", "kafka", "starts_with(repo, 'org1/')"),
+                              ("repository", "kafka", "repo = 'org2/src3'"), ("short", "kq", "true"))))
+
 oracle("search_code", """
 select repo, path, file_seq, 'everywhere' as scope from contents where contains(lower(content), 'kafka')
 union all select 'org1/' || repo, path, file_seq, 'owner' from contents

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecensus.functions.paths import directory_of
 from codecensus.operators import classify as C
 from codecensus.operators import dependencies as D
 from codecensus.operators import explanations as X
@@ -26,6 +27,7 @@ from codecensus.session import shared_dir, write_table
 from codecensus.sources import activity as A
 from codecensus.sources import corpus as src
 from codecensus.sources import readers as R
+from codecensus.sources import search_index as SI
 from codecensus.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,6 +227,32 @@ def read_listing(spark, sf_dir):
     return out
 
 
+@query
+def listing_pages(spark, sf_dir):
+    """The reply pages landed and read by the page source; the pages of one
+    repository and of a range of pages by filters that the source takes."""
+    path = f"{shared_dir(spark)}/tables/pages-{uuid.uuid4().hex}"
+    src.ado_listing_pages(spark, sf_dir).sortWithinPartitions("repo", "page").write.parquet(path)
+    found = None
+    for scope, cond in (("all", "true"), ("src3", "repo = 'src3'"), ("pages 2 to 8", "page >= 2 AND page < 9")):
+        part = R.read_listing(spark, path, "listing_pages", pushdown=True).where(cond)
+        part = part.select("repo", "page", "path", "size", F.lit(scope).alias("scope"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def landed_tree(spark, sf_dir):
+    """The paths of the files landed as text, a folder a repository and
+    language, and that tree listed by the tree source."""
+    path = f"{shared_dir(spark)}/tables/tree-{uuid.uuid4().hex}"
+    files = C.detect_language(src.files(spark, sf_dir))
+    (files.select("repo", F.coalesce("language", F.lit("none")).alias("language"), "path").repartition("repo", "language")
+     .write.partitionBy("repo", "language").text(path))
+    listed = R.read_listing(spark, path, "landed_tree")
+    return listed.select("repo", directory_of("path").alias("directory"), "file_seq", "type", "size")
+
+
 @query
 def normalize_ado_listing(spark, sf_dir):
     return R.normalize_ado_listing(src.ado_listing_pages(spark, sf_dir)).select("repo", "page", "path", "size")
@@ -313,6 +341,26 @@ def list_org_repositories(spark, sf_dir):
     return every.unionByName(one)
 
 
+@query
+def search_code_index(spark, sf_dir):
+    """The same searches, and one for two letters, through an index in two
+    generations: the second brings new files, other texts and removals."""
+    index = SI.Index(f"{shared_dir(spark)}/tables/search-{uuid.uuid4().hex}", 16, 32)
+    texts = write_table(src.contents(spark, sf_dir).withColumn("repo", F.concat(
+        F.lit("org"), F.col("file_seq") % 3, F.lit("/"), F.col("repo"))), "texts")
+    seq = F.col("file_seq")
+    other = F.when(seq % 10 == 1, F.reverse("content")).when(seq % 10 == 2, F.lit("KAFKA, once")).otherwise(F.col("content"))
+    gone = texts.where(seq % 6 == 0).withColumn("file_seq", -1 - seq)
+    SI.add_to_index(index, 0, texts.where(seq % 5 != 0).withColumn("content", other).unionByName(gone))
+    SI.add_to_index(index, 1, texts.where((seq % 5 == 0) | (seq % 10).isin(1, 2)), gone)
+    found = None
+    for scope, text, owner, repo in (("everywhere", "KAFKA", None, None), ("owner", "KAFKA", "org1", None),
+                                     ("repository", "KAFKA", "org2", "src3"), ("short", "Kq", None, None)):
+        rows = SI.search_index(spark, index, text, owner, repo).withColumn("scope", F.lit(scope))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query
 def search_code(spark, sf_dir):
     texts = src.contents(spark, sf_dir)

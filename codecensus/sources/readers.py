@@ -3,6 +3,8 @@ collection and capped retrieval, URL parsing and repository metadata."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +13,30 @@ from codecensus.functions.paths import name_of, suffix_of
 from codecensus.functions import sql as S
 from codecensus.functions.ranks import gapless_rank
 from codecensus.operators.classify import lookup
+from codecensus.sources.listing_sources import register
 
 ADO_ITEMS = "struct<value: array<struct<path: string, isFolder: boolean, size: bigint>>>"
 
 
-def read_listing(spark: SparkSession, path: str, fmt: str = "parquet", repo: str | None = None) -> DataFrame:
-    """A file listing from a table, parquet/json files, or a landed tree.
+def read_listing(spark: SparkSession, path: str, fmt: str = "parquet", repo: str | None = None, pushdown: bool = False,
+                 repos: list[str] | None = None) -> DataFrame:
+    """A file listing from a table, parquet/json files, a landed tree, or
+    landed reply pages.
 
+    ``fmt='landed_tree'`` lists a tree of repositories by directory, of
+    ``repos`` if given; ``fmt='listing_pages'`` the files of landed listing
+    replies, with ``pushdown`` for the one set of filters that follows.
     ``fmt='binaryFile'`` lists a directory tree recursively; only the path
     and length columns are selected, so file bodies are never read.
     """
     if fmt == "table":
         return spark.table(path)
+    if fmt == "landed_tree":
+        register(spark)
+        return spark.read.format(fmt).option("repos", json.dumps(repos)).load(path).transform(_in_path_order)
+    if fmt == "listing_pages":
+        register(spark)
+        return spark.read.format(fmt).option("pushdown", pushdown).load(path).where(~F.col("is_folder")).drop("is_folder")
     if fmt != "binaryFile":
         return spark.read.format(fmt).load(path)
     root = path.rstrip("/") + "/"
