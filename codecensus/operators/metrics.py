@@ -24,7 +24,7 @@ def comment_regex(prefixes: list[str]) -> str:
     return f"^{WS}*(?:" + "|".join(re.escape(p) for p in prefixes) + ")"
 
 
-def _comment_test(language: Column, line: Column) -> Column:
+def comment_test(language: Column, line: Column) -> Column:
     """One literal regex per distinct rule set, chosen by language."""
     groups: dict[tuple, list[str]] = {}
     for lang, prefixes in rules.COMMENT_PREFIXES.items():
@@ -40,7 +40,7 @@ def _comment_test(language: Column, line: Column) -> Column:
 def metric_columns(lines: Column, language: Column) -> list[Column]:
     """Per-file line classes and indentation from an array of lines (in-row)."""
     nonblank = F.filter(lines, lambda l: ~is_blank(l))
-    comments = F.filter(nonblank, lambda l: _comment_test(language, l))
+    comments = F.filter(nonblank, lambda l: comment_test(language, l))
     indent = F.array_max(F.transform(nonblank, lambda l: F.length(F.regexp_extract(l, f"^{WS}*", 0))))
     step = F.when(language == "Python", F.lit(4)).otherwise(F.lit(2))
     return [F.size(lines).cast("bigint").alias("lines"),

@@ -139,6 +139,7 @@ FM = (
     "/ (case when language = 'Python' then 4 else 2 end)), 0) as integer) as max_indentation from fm2)",
 )
 oracle("file_metrics", "select * from fm", (RELC,) + FM)
+oracle("file_metrics_by_pieces", "select * from fm", (RELC,) + FM)
 oracle("max_indentation", "select repo, path, file_seq, language, max_indentation from fm", (RELC,) + FM)
 
 
@@ -153,6 +154,8 @@ from (select repo, cast(sum(lines) as bigint) as total_lines, cast(sum(code_line
         cast(sum(comment_lines) as bigint) as comment_lines, cast(sum(blank_lines) as bigint) as blank_lines,
         count(*) as files_analyzed from fm group by repo) t""", (RELC,) + FM)
 
+SQL["stream_replaced_totals"] = SQL["code_metrics_totals"]
+
 oracle("code_metrics_by_language", """
 select repo, language, count(*) as files, cast(sum(lines) as bigint) as lines,
   cast(sum(code_lines) as bigint) as code_lines, cast(sum(comment_lines) as bigint) as comment_lines
@@ -731,6 +734,8 @@ oracle("parse_responses", "select repo, path, file_seq, language, status, summar
                    for f in rules.LIST_FIELDS) + " from exp", EXP)
 oracle("explanation_items", "select repo, path, file_seq, language, field, pos, value, is_string from items", EXP)
 
+oracle("distinct_values", "select repo, field, cast(count(distinct value) as bigint) as n from items where is_string group by repo, field", EXP)
+
 CPX = ("cpx as (select repo, split_part(complexity_assessment, ' ', 1) as complexity, count(*) as files, "
        "min(file_seq) as first_seq from exp where complexity_assessment is not null and complexity_assessment <> '' group by 1, 2)")
 oracle("complexity_distribution", "select repo, complexity, files from cpx", EXP + (CPX,))

@@ -11,14 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecensus.functions.key_filter import matching
 from codecensus.functions.paths import directory_of
 from codecensus.operators import classify as C
 from codecensus.operators import dependencies as D
+from codecensus.operators import distinct_bitmaps as DB
 from codecensus.operators import explanations as X
 from codecensus.operators import ranking as K
 from codecensus.operators import reports as RP
 from codecensus.operators import metrics as M
 from codecensus.operators import patterns as PT
+from codecensus.operators import pieces as PC
 from codecensus.operators import structure as S
 from codecensus.plans import features as FT
 from codecensus.plans import modes as MD
@@ -29,6 +32,7 @@ from codecensus.sources import corpus as src
 from codecensus.sources import readers as R
 from codecensus.sources import search_index as SI
 from codecensus.sources import sinks
+from codecensus.streaming import replaced as RS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -177,6 +181,12 @@ def file_metrics(spark, sf_dir):
     return _fm(spark, sf_dir)
 
 
+@query
+def file_metrics_by_pieces(spark, sf_dir):
+    """The same metrics with every file of over 50 letters cut into pieces."""
+    return PC.file_metrics_by_pieces(_relevant_contents(spark, sf_dir), 50)
+
+
 @query
 def max_indentation(spark, sf_dir):
     return M.max_indentation(_relevant_contents(spark, sf_dir))
@@ -187,6 +197,22 @@ def code_metrics_totals(spark, sf_dir):
     return M.code_metrics_totals(_fm(spark, sf_dir))
 
 
+@query
+def stream_replaced_totals(spark, sf_dir):
+    """The totals kept by a stream over two landings: the second replaces
+    files of the first and brings new ones."""
+    root = f"{shared_dir(spark)}/tables/landing-{uuid.uuid4().hex}"
+    seq = F.col("file_seq")
+    texts = write_table(_relevant_contents(spark, sf_dir).withColumn("path", F.concat(F.lit("f"), seq, F.lit("/"), F.col("path"))), "texts")
+    older = F.when(seq % 3 == 0, F.concat(F.lit("old\n"), F.col("content"))).when(seq % 7 == 1, F.lit("")).otherwise(F.col("content"))
+    texts.where(seq % 4 != 3).withColumn("content", older).write.parquet(f"{root}/in/first")
+    for later in (None, texts.where((seq % 4 == 3) | (seq % 3 == 0) | (seq % 7 == 1))):
+        if later is not None:
+            later.write.parquet(f"{root}/in/second")
+        RS.stream_replaced_totals(spark, f"{root}/in/*", f"{root}/out", f"{root}/check").awaitTermination()
+    return RS.replaced_totals(spark, f"{root}/out")
+
+
 @query
 def code_metrics_by_language(spark, sf_dir):
     return M.code_metrics_by_language(_fm(spark, sf_dir))
@@ -480,8 +506,7 @@ def report_file_order(spark, sf_dir):
 # ---------------------------------------------------------------- §2.8
 def _prompts(spark, sf_dir) -> DataFrame:
     sel = _selected(spark, sf_dir).select("repo", "path")
-    texts = _relevant_contents(spark, sf_dir).join(sel, ["repo", "path"], "left_semi")
-    return X.build_prompts(texts)
+    return X.build_prompts(matching(_relevant_contents(spark, sf_dir), sel, ["repo", "path"]))
 
 
 @query
@@ -568,6 +593,20 @@ def pattern_usage(spark, sf_dir):
     return _texts(X.pattern_usage(X.explanation_items(_explained(spark, sf_dir))))
 
 
+@query
+def distinct_values(spark, sf_dir):
+    """Distinct string items of each field, from bitmaps of three days that
+    share a growing dictionary."""
+    by, items = ["repo", "field"], write_table(_items(spark, sf_dir).where("is_string").select("repo", "file_seq", "field", "value"), "items")
+    known, days = None, None
+    for day in range(3):
+        own = items.where(F.col("file_seq") % 3 == day)
+        known = write_table(DB.grown_dictionary(own, by, known=known), "dictionary")
+        maps = write_table(DB.value_bitmaps(own, known, by), "bitmaps")
+        days = maps if days is None else days.unionByName(maps)
+    return DB.distinct_counts(days, by)
+
+
 @query
 def explanation_overview(spark, sf_dir):
     e = _explained(spark, sf_dir)
