@@ -2,11 +2,15 @@
 
 A directory maps the leading bits of a text's hash to a bucket. It starts
 with one bucket; as long as a bucket holds more keys than its capacity, the
-directory doubles (one more bit) and the overfull buckets split. The index
-has one row per distinct text: bucket, hash, place in the hash's collision
-chain, digest and the row that stays. It is a table on the shared folder,
-written by owner tasks that each hold a range of buckets. Texts are compared
-byte for byte when the entries are built: the grouping key is the text.
+directory doubles (one more bit) and the overfull buckets split. A capacity
+of ``CAPACITY`` keys fills the directory's cells at some 134 million keys;
+beyond, the capacity grows with the keys, so that buckets still split evenly.
+The index has one row per distinct text: bucket, hash, place in the hash's
+collision chain, digest and the row that stays. It is a table on the shared
+folder, written by owner tasks that each hold a range of buckets. Texts are
+compared byte for byte when the entries are built: the grouping key is the
+text. A row is looked up by its bucket, which the directory names, then by
+its hash, then along the chain.
 
 Defined cases: a null text is an empty text and all empty texts are equal; a
 null ``doc_id`` never stays unless its whole group has none (then
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from codecensus.llm.common import body, read, stored
 
 CELL_BITS = 16  # the directory has at most 2**16 cells, which bounds its broadcast
+CAPACITY = 4096  # keys of a bucket
 
 
 def _hash(text: Column, hash_bits: int) -> Column:
@@ -39,48 +44,49 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
     """Rows (cell, bucket, depth), at most 2**CELL_BITS of them.
 
     ``keys`` has one row per distinct hash ``h``. ``bucket`` is the first
-    cell of the bucket's key range, ``depth`` its number of leading bits.
+    cell of the bucket's key range, ``depth`` its number of leading bits. A
+    doubling splits each bucket in two; a cell's bucket is that of the first
+    doubling at which it is not overfull. The loads of all doublings come
+    from the cells' key counts in one pass, whose size is that of the
+    directory.
     """
-    open_ = stored(keys.groupBy(_cell(F.col("h")).alias("cell")).agg(F.count(F.lit(1)).alias("keys")), "cells")
-    done = None
-    for depth in range(CELL_BITS + 1):
-        span = CELL_BITS - depth
-        bucket = F.shiftleft(F.shiftright("cell", span), span)
-        load = open_.withColumn("bucket", bucket).groupBy("bucket").agg(F.sum("keys").alias("load"))
-        level = open_.withColumn("bucket", bucket).join(F.broadcast(load), "bucket")
-        fits = (F.col("load") <= capacity) | F.lit(depth == CELL_BITS)
-        closed = level.filter(fits).select("cell", "bucket", F.lit(depth).alias("depth"))
-        done = closed if done is None else done.unionByName(closed)
-        rest = level.filter(~fits).select("cell", "keys")
-        if rest.isEmpty():
-            return done
-        open_ = rest
-    return done
-
-
-def extendible_index(docs: DataFrame, capacity: int = 1_000_000, hash_bits: int = 64) -> DataFrame:
-    """The index table: bucket, depth, h, chain, sha, keep_id, group_size."""
+    cells = keys.groupBy(_cell(F.col("h")).alias("cell")).agg(F.count(F.lit(1)).alias("keys"))
+    doubled = (cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(CELL_BITS))))
+               .withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {CELL_BITS} - depth), {CELL_BITS} - depth)")))
+    load = doubled.groupBy("depth", "bucket").agg(F.sum("keys").alias("load"))
+    fits = load.filter((F.col("load") <= capacity) | (F.col("depth") == CELL_BITS)).select("depth", "bucket")
+    first = doubled.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("of"))
+    return first.select("cell", "of.bucket", "of.depth")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The directory (cell, bucket, depth) and the index table: bucket,
+    depth, h, chain, sha, keep_id, group_size."""
     text = docs.select("doc_id", body().alias("text")).withColumn("h", _hash(F.col("text"), hash_bits))
-    directory = stored(build_directory(text.select("h").distinct(), capacity), "directory")
+    keys = stored(text.select("h").distinct(), "keys")
+    directory = stored(build_directory(keys, max(capacity, -(-keys.count() >> CELL_BITS - 1))), "directory")
     entries = (text.withColumn("cell", _cell(F.col("h"))).join(F.broadcast(directory), "cell")
                .groupBy("bucket", "depth", "h", "text")
                .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
                .select("bucket", "depth", "h", F.sha2("text", 256).alias("sha"), "keep_id", "group_size"))
     chain = F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha"))
     owned = entries.repartitionByRange("bucket", "h").withColumn("chain", chain)
-    return stored(owned.sortWithinPartitions("bucket", "h", "chain"), "index")
+    return directory, stored(owned.sortWithinPartitions("bucket", "h", "chain"), "index")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 1_000_000, hash_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
     """Every row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest ``doc_id`` stays. A row finds its
-    entry by hash and, along the chain, by digest; both sides of that join
-    are narrow, and the planner splits a hash that very many rows share.
+    bucket in the directory, and its entry there by hash and, along the chain,
+    by digest; both sides of that join are narrow, and the planner splits a
+    hash that very many rows share.
     """
-    index = extendible_index(docs, capacity, hash_bits).select("h", "sha", "keep_id", "group_size")
+    directory, index = build_index(docs, capacity, hash_bits)
     probe = docs.select("doc_id", _hash(body(), hash_bits).alias("h"), F.sha2(body(), 256).alias("sha"))
-    return probe.join(index, ["h", "sha"]).select(
+    # at most 2**CELL_BITS rows
+    placed = probe.withColumn("cell", _cell(F.col("h"))).join(F.broadcast(directory.select("cell", "bucket")), "cell").drop("cell")
+    return placed.join(index.select("bucket", "h", "sha", "keep_id", "group_size"), ["bucket", "h", "sha"]).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
         F.col("sha").alias("text_sha256"))
 
