@@ -336,7 +336,9 @@ def compile_template(source: str) -> Callable[[Iterable[dict]], Iterator]:
 
 # ---- Spark -----------------------------------------------------------------
 
-FORMATTED = "conv_id long, part long, piece string, spans array<struct<start:int,end:int>>"
+#: Ids pass through pandas as text: beside a null, whole numbers would become
+#: floating point there.
+FORMATTED = "conv_id string, part long, piece string, spans array<struct<start:int,end:int>>"
 
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -349,7 +351,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
     """
     parse(template)
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.col("conv_id").cast("long").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -377,21 +379,20 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             source.skip()  # what the template has not read
             yield pd.DataFrame(out, columns=["conv_id", "part", "piece", "spans"])
 
-    return dealt.mapInPandas(run, FORMATTED)
+    return dealt.mapInPandas(run, FORMATTED).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 class _Rows:
     """Rows of sorted frames, conversation by conversation."""
 
     def __init__(self, frames: Iterator[pd.DataFrame]):
-        self.rows = ((None if c is None or c != c else int(c), r, t) for f in frames
-                     for c, r, t in zip(f["conv_id"], f["role"], f["text"], strict=True))
+        self.rows = ((c, r, t) for f in frames for c, r, t in zip(f["conv_id"], f["role"], f["text"], strict=True))
         self.ahead = next(self.rows, None)
 
     def done(self) -> bool:
         return self.ahead is None
 
-    def key(self) -> int | None:
+    def key(self) -> str | None:
         return self.ahead[0]
 
     def conversation(self) -> Iterator[dict]:
@@ -421,7 +422,7 @@ def turns_of(piece: str) -> list[tuple[str, str]]:
     return turns
 
 
-DIGESTS = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+DIGESTS = ("conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
            "formatted_chars long")
 
 
@@ -440,7 +441,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
         for frame in frames:
             out = []
             for c, piece, spans in zip(frame["conv_id"], frame["piece"], frame["spans"], strict=True):
-                c = None if c is None or c != c else int(c)
                 if not open_ or c != conv:
                     if open_:
                         out.append(row())
@@ -458,13 +458,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if open_:
             yield _digests([row()])
 
-    return formatted.mapInPandas(run, DIGESTS)
+    texts = formatted.withColumn("conv_id", F.col("conv_id").cast("string"))
+    return texts.mapInPandas(run, DIGESTS).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def _digests(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in DIGESTS.split(", ")])
-    frame["conv_id"] = frame["conv_id"].astype("Int64")
-    return frame
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in DIGESTS.split(", ")])
 
 
 def with_marked_conversation(conversations: DataFrame) -> DataFrame:

@@ -59,3 +59,9 @@ def test_round_trip(spark):
     sizes = {r.conv_id: r.n for r in formatted.groupBy("conv_id").agg({"piece": "count"}).toDF("conv_id", "n").collect()}
     assert sizes[9] == 3000
     assert read_back(format_conversations(df.limit(0))).count() == 0
+
+
+def test_large_ids_beside_a_null(spark):
+    ids = [2**53 + 1, -(2**63), 2**63 - 1, None]
+    df = spark.createDataFrame([(i, 0, "user", "x") for i in ids], "conv_id long, turn long, role string, text string").coalesce(1)
+    assert {r.conv_id for r in read_back(format_conversations(df)).collect()} == set(ids)
