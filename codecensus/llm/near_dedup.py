@@ -6,7 +6,9 @@ fall on the components of the signature at random, and a component keeps the
 shingle that arrives first. Two signatures agree in a component with the
 probability Jaccard similarity of the weighted sets. Arrivals are drawn round
 by round for the shingles of a block of documents together; a shingle whose
-next arrival is later than all of its document's components is done.
+next arrival is later than all of its document's components is done. Links
+are judged by the plain sets, so a document that repeats shingles has a second
+signature, of equal weights; for any other document the two are the same.
 
 Documents of the same words form one class; its representative stands for
 it. Representatives that agree in a band are neighbours; neighbours of
@@ -107,7 +109,8 @@ def words_key(text: F.Column) -> F.Column:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, key, n_words, bands) of each row; ``key`` names its words."""
+    """(doc_id, key, n_words, bands) of each row; ``key`` names its words;
+    ``bands`` has those of both signatures where a shingle is repeated."""
     text = body()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_key(text).alias("key"),
                        word_hashes(text).alias("hashes"))
@@ -118,11 +121,16 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, n_bands: int = BANDS, ro
             for a, b in _slices(offsets, SLICE):
                 part = offsets[a:b + 1] - offsets[a]
                 h, owner, times = shingle_sets(flat[offsets[a]:offsets[b]], part, shingle)
-                sig = prob_minhash(h, owner, 1.0 + np.log(times), b - a, n_bands * rows)
-                found = bands(sig, rows).reshape(-1)
-                has = np.diff(part) > 0
-                ends = np.concatenate([[0], np.cumsum(has * n_bands)])
-                found = found[np.repeat(has, n_bands)]
+                found = bands(prob_minhash(h, owner, 1.0 + np.log(times), b - a, n_bands * rows), rows)
+                twice = np.unique(owner[times > 1])
+                own = np.isin(owner, twice)
+                plain = bands(prob_minhash(h[own], np.searchsorted(twice, owner[own]), np.ones(int(own.sum())), len(twice), n_bands * rows), rows)
+                both = np.concatenate([found, plain])
+                whose = np.concatenate([np.arange(b - a), twice])
+                order = np.argsort(whose, kind="stable")
+                order = order[np.diff(part)[whose[order]] > 0]
+                found = both[order].reshape(-1)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(whose[order], minlength=b - a) * n_bands)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[a:b], batch.column("key")[a:b], pa.array(np.diff(part), pa.int64()),
                      as_list(found, ends)], names=["doc_id", "key", "n_words", "bands"])
@@ -220,7 +228,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
     signed = stored(signatures(docs, shingle, n_bands, rows), "signatures")
     classes = stored(signed.groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words")), "classes")
-    band = signed.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
+    band = (signed.groupBy("key").agg(F.first("bands").alias("bands"))
+            .select("key", F.explode(F.array_distinct("bands")).alias("band")))
     shared = band.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("centre")).filter("n > 1")
     near = stored(band.join(shared, "band").groupBy("key", "centre").agg(F.sum("n").alias("n")), "neighbours")
     coarse = components(near.select(F.col("key").alias("a"), F.col("centre").alias("b")))
@@ -232,8 +241,11 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     # a representative's text, under the key of its words; the members grow with
     # the documents, so both sides are dealt out at every size
-    texts = (docs.select(F.col("doc_id").cast("long").alias("rep"), body().alias("text"))
-             .join(member.select("key", "rep").hint("merge"), "rep").filter(words_key(F.col("text")) == F.col("key")).select("key", "text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("rep"), body().alias("text"))
+    texts = (every.join(member.select("key", "rep").hint("merge"), "rep").filter(words_key(F.col("text")) == F.col("key")).select("key", "text"))
+    # classes without any id: one of their texts
+    nameless = every.filter("rep IS NULL").select(words_key(F.col("text")).alias("key"), "text").groupBy("key").agg(F.min("text").alias("text"))
+    texts = texts.unionByName(nameless.join(member.filter("rep IS NULL").select("key"), "key", "left_semi"))
 
     placed = member.join(load, "label").withColumn(
         "b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("key", "label", "degree", "blocks", "b")

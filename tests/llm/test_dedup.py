@@ -24,6 +24,18 @@ def test_exact_dedup(spark, bits, capacity):
     assert got == want
 
 
+def test_index_is_probed_through_several_depths(spark):
+    from codecensus.llm.exact_dedup import build_index
+    rows = documents(5, 400)
+    directory, index = build_index(frame(spark, rows), 32)
+    cells = directory.orderBy("cell").collect()
+    assert len({r.depth for r in cells}) > 1 and max(r.depth for r in cells) >= 4
+    load = {r.bucket: r["count"] for r in index.groupBy("bucket").count().collect()}
+    assert max(load.values()) <= 32 and sum(load.values()) == len({t or "" for _, t in rows})
+    plan = exact_dedup(frame(spark, rows), 32)._jdf.queryExecution().executedPlan().toString()
+    assert "Join [bucket#" in plan.replace("SortMerge", "").replace("BroadcastHash", "").replace("ShuffledHash", "")
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup(empty(spark)).count() == 0
 
@@ -43,6 +55,52 @@ def test_near_groups(spark, block, centres):
     assert Counter(map(tuple, got.collect())) == want
 
 
+def test_near_copies_without_ids_are_linked(spark):
+    import random
+
+    from llm_fixtures import prose
+    words = prose(random.Random(1), 120).split()
+    rows = [(None, " ".join(words)), (None, " ".join([*words[:-1], "other"])), (None, " ".join(words)), (1, "something else entirely, of six words")]
+    got = near_groups(frame(spark, rows)).select("doc_id", "class_id", "class_size", "n_texts").collect()
+    assert Counter(map(tuple, got)) == Counter({(None, None, 3, 2): 3, (1, 1, 1, 1): 1})
+
+
+@pytest.mark.parametrize("repeated,times", [(20, 10), (30, 20)])
+def test_copies_that_repeat_lines_are_found(spark, repeated, times):
+    rng, rows = __import__("random").Random(repeated), []
+    for k in range(60):
+        words = [f"{rng.randrange(10**9)}" for _ in range(104)]
+        line = words[10:10 + repeated + 4]
+        other = [*words[:97], *(f"x{i}" for i in range(7))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other + line * times))]
+    got = {r.doc_id: r.class_id for r in near_groups(frame(spark, rows)).collect()}
+    pairs = [k for k in range(60) if near_classes([rows[2 * k], rows[2 * k + 1]]) == [0, 0]]
+    found = sum(got[2 * k] == got[2 * k + 1] for k in pairs)
+    assert found >= 0.9 * len(pairs)
+
+
+def test_components_of_stars_chains_and_loops(spark):
+    import random
+
+    from codecensus.llm.components import components
+    rng = random.Random(4)
+    edges = [(i, rng.choice([0, 1, 2])) for i in range(10, 3000)] + [(i, i - 1) for i in range(5001, 5060)] + [(7000, 7001), (7001, 7002),
+             (7002, 7000), (8, 8), (1, 2), (9000, 3)]
+    of = {}
+
+    def find(x):
+        while of.setdefault(x, x) != x:
+            x = of[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            of[max(a, b)] = min(a, b)
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in of}
+
+
 def test_near_groups_empty(spark):
     assert near_groups(empty(spark)).count() == 0
 
