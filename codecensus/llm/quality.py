@@ -17,8 +17,9 @@ over the vocabulary. The gains are a table that grows with the text: the
 ``HOT`` most frequent pairs are sent to every task, which keeps them from
 making hot shards, and the others are cut into shards by key. A document's
 other pairs go to these shards, are counted against them there, and the sums
-come back together per document. A shard's table is bounded, documents
-stream past it.
+come back together per document. A shard's table is bounded; its documents
+are dealt over as many tasks as they need, each with a copy of the table,
+and stream past it.
 
 A document is rejected if its mean negative log probability is above its
 language's threshold: the ``QUANTILE`` of the held-out trusted documents of
@@ -32,8 +33,8 @@ kept; a null language is a language of its own; a language without held-out
 trusted documents takes the threshold of all of them, and without any the
 documents are kept; a null ``doc_id`` is scored like any other and is never
 trusted; a document that is labelled twice is trusted if all labels say so;
-repeated rows each give a row; empty tables give no rows; other columns are
-ignored.
+repeated rows each give a row; texts of any length are scored whole; empty
+tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ SHARD_PAIRS, LEAST_SHARDS = 1_000_000, 8  # pairs of the model that one shard sh
 BROADCAST_IDS = 4_000_000  # trusted ids that may be broadcast; more are joined by a shuffle
 HELD_OUT = 4  # one trusted document in so many sets the thresholds
 QUANTILE, MARGIN = 0.995, 0.25
-SLICE = 400_000
-CACHED_WORDS = 400_000  # bounds a task's memory
+SHARD_ROWS = 200_000  # rows of documents that a task of a shard should read
+SLICE = 150_000
+CACHED_WORDS = 200_000  # bounds a task's memory
 #: Kinds of unknown words, told by the first pattern that fits; the last is for all others.
 SHAPES = [re.compile(p) for p in (
     r"[^\W\d_]+", r"[^\W\d_]+[.,;:!?]", r"\d+", r"\w+", r"[^\w\s]+", r".*\w[^\w\s]{2,}")]
@@ -193,8 +195,9 @@ def train(docs: DataFrame, trusted: DataFrame, vocabulary: int = VOCABULARY, hot
     def count(batches):
         held, cache = sent.value, {}
         for batch in batches:
-            found = [pairs(*held.numbers(texts, cache), held.size)[0] for _, _, texts in _parts(batch)]
-            key, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+            found = [np.unique(pairs(*held.numbers(texts, cache), held.size)[0], return_counts=True) for _, _, texts in _parts(batch)]
+            key, at = np.unique(np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.int64), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in found]), len(key)).astype(np.int64) if found else key
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     table = stored(text.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
@@ -247,6 +250,7 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
     of every row."""
     spark = docs.sparkSession
     shards = max(LEAST_SHARDS, -(-model_pairs // SHARD_PAIRS))
+    copies = max(1, -(-docs.count() // SHARD_ROWS))  # a document has a row for each shard at most
     sent, known = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(hot)
 
     def parts(batches):
@@ -293,8 +297,10 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
         """Rows of the model, by shard; what is hot needs no place there."""
         for batch in batches:
             key, gain = batch.column("key").to_numpy(), batch.column("gain").to_numpy()
-            keep = ~np.isin(key, known.value[0]) if len(hot_key) else np.ones(len(key), bool)
-            key, gain = key[keep], gain[keep]
+            if len(hot_key):
+                held = known.value[0]  # in order
+                keep = held[np.minimum(np.searchsorted(held, key), len(held) - 1)] != key
+                key, gain = key[keep], gain[keep]
             shard = shard_of(key, shards)
             order = np.argsort(shard, kind="stable")
             key, gain, shard = key[order], gain[order], shard[order]
@@ -308,7 +314,11 @@ def perplexities(docs: DataFrame, model: Model, hot: tuple[np.ndarray, np.ndarra
                 pa.ListArray.from_arrays(at, pa.array(packed(key))), pa.ListArray.from_arrays(at, pa.array(gain)),
                 pa.array(none, pa.int64()), pa.array(none, pa.float64())], names=[x.split()[0] for x in PART.split(", ")])
 
-    met = looked.unionByName(gains.mapInArrow(segments, PART)).repartition(shards, "shard").sortWithinPartitions("shard", "rank")
+    copied = gains.mapInArrow(segments, PART).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    dealt = looked.withColumn("copy", F.pmod(F.xxhash64("mark"), F.lit(copies)).cast("int"))
+    # the task's number itself: hashed numbers would share tasks
+    met = (dealt.unionByName(copied).repartitionById(shards * copies, (F.col("shard") * copies + F.col("copy")).cast("int"))
+           .drop("copy").sortWithinPartitions("shard", "rank"))
 
     def look_up(batches):
         """A shard's model rows come first; its documents stream past."""
