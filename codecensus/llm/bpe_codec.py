@@ -19,7 +19,8 @@ exactly one arc, so the path is found without search; its labels' ids are the
 encoding. Decoding emits the labels of the ids.
 
 Defined cases: a null text is an empty text and has no ids; a null ``doc_id``
-is carried along; repeated rows each give a row; other columns are ignored.
+is carried along; repeated rows each give a row; texts of any length are
+encoded whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from codecensus.llm.common import body, lists, read
 from codecensus.llm.wordsplit import Splitter, byte_letters, load
 
-CACHED_WORDS, CACHED_LENGTH = 400_000, 64  # bounds a worker's memory; other words are encoded each time
+CACHED_WORDS, CACHED_LENGTH = 150_000, 64  # bounds a worker's memory; other words are encoded each time
 ROWS = 512  # rows that are turned at once
 
 
