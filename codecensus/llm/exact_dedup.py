@@ -15,7 +15,8 @@ its hash, then along the chain.
 Defined cases: a null text is an empty text and all empty texts are equal; a
 null ``doc_id`` never stays unless its whole group has none (then
 ``keep_id`` is null and nothing is kept); repeated rows each give a row, with
-the same flags; an empty table gives no rows; other columns are ignored.
+the same flags; texts of any length are hashed and compared whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

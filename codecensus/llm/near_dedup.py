@@ -30,7 +30,8 @@ sequences in it).
 Defined cases: a null text is an empty text; all texts without words form
 one class; a text of under five words is one shingle; a null ``doc_id``
 never names a class unless all of the class are null; repeated rows each
-count; an empty table gives no rows; other columns are ignored.
+count; texts of any length are compared whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations

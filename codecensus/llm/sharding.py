@@ -12,8 +12,9 @@ so that no two shards' counts differ by more than one.
 
 Defined cases: a null text has no bytes (size 8) and all empty texts are
 linked; a null ``doc_id`` is placed like any other row; repeated rows are
-linked and get places of their own; an empty table gives no rows; other
-columns are ignored.
+linked and get places of their own; texts of any length count whole; ties
+are ordered by group and shard, rows by id and size, and equal rows are
+interchangeable; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ Words are split and lower-cased as the vocabulary file declares; a word that
 the pieces can't spell counts as one unknown token, like every added token.
 
 Defined cases: a null or empty text has no words and no tokens; a null
-``doc_id`` is carried along; repeated rows each give a row; other columns are
-ignored; a text of any length is counted whole.
+``doc_id`` is carried along; repeated rows each give a row; an empty table
+gives no rows; other columns are ignored; a text of any length is counted
+whole.
 """
 
 from __future__ import annotations

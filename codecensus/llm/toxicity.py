@@ -21,8 +21,9 @@ Defined cases: null and empty texts, and texts without a vocabulary term,
 have no neighbours and get the calibrated score of no votes; without labels
 that score is 0; a document that is labelled twice counts as toxic if any of
 its labels says so; rows without a label or an id don't teach; a null
-``doc_id`` is scored like any other; repeated rows each give a row; empty
-tables give no rows; other columns are ignored.
+``doc_id`` is scored like any other; repeated rows each give a row; texts of
+any length are read whole; of examples of the same similarity the smallest
+``doc_id`` comes first; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
