@@ -36,10 +36,12 @@ from codecensus.llm.quality import mark, quality
 def _matching(docs: DataFrame, own: F.Column, rows: DataFrame, how: str) -> DataFrame:
     """``docs`` that are (not) among ``rows`` (doc_id, mark), where ``own``
     is a document's mark."""
-    marked = rows.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).distinct()
     columns = docs.columns
-    return (docs.withColumn("_mark", own)
-            .join(marked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")), how)
+    stem = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in columns))  # names that no column has
+    id_, of, mark_ = f"{stem}id", f"{stem}of", f"{stem}mark"
+    marked = rows.select(F.col("doc_id").alias(id_), F.col("mark").alias(of)).distinct()
+    return (docs.withColumn(mark_, own)
+            .join(marked, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark_) == F.col(of)), how)
             .select(*columns))
 
 
