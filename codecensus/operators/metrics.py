@@ -103,14 +103,15 @@ def splitlines(col: Column) -> Column:
 
 
 def basic_line_metrics(contents: DataFrame) -> DataFrame:
-    """Clone-flow per-file lines: comment = stripped line starts with '#' or '//'."""
+    """Clone-flow per-file lines (comment = stripped line starts with '#' or
+    '//') and ``size`` in characters: all that flow reads of a text."""
     lang = S.expr(f"coalesce({S.map_lookup(rules.CODE_EXTENSIONS, S.suffix('path'))}, 'Unknown')")
     base = contents.select("repo", "path", "file_seq", lang.alias("language"),
-                           splitlines(F.col("content")).alias("_lines"))
+                           F.length("content").cast("bigint").alias("size"), splitlines(F.col("content")).alias("_lines"))
     nonblank = F.filter("_lines", lambda l: ~is_blank(l))
     comments = F.filter(nonblank, lambda l: l.rlike(f"^{WS}*(?:#|//)"))
     return base.select(
-        "repo", "path", "file_seq", "language",
+        "repo", "path", "file_seq", "language", "size",
         F.size("_lines").cast("bigint").alias("lines"),
         (F.size("_lines") - F.size(nonblank)).cast("bigint").alias("blank_lines"),
         F.size(comments).cast("bigint").alias("comment_lines"),

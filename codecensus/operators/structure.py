@@ -8,7 +8,7 @@ window group limit (local top-N before the shuffle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
@@ -110,13 +110,18 @@ def category_counts(files: DataFrame, flags: dict | None = None) -> DataFrame:
     return stacked.select("repo", "s.category", "s.files").where(F.col("files") > 0)
 
 
+def _characters(files: DataFrame) -> Column:
+    """The length of the text, or the column that holds it already."""
+    return F.col("size") if "size" in files.columns else F.length("content")
+
+
 def structure_basic(contents: DataFrame) -> DataFrame:
     """Clone flow totals per repo: files, characters and the five basic
     category counts (code-extension vocabulary)."""
     fl = basic_category_flags("path")
     return contents.groupBy("repo").agg(
         F.count(F.lit(1)).alias("total_files"),
-        F.sum(F.length("content")).cast("bigint").alias("total_size"),
+        F.sum(_characters(contents)).cast("bigint").alias("total_size"),
         *[F.count_if(fl[c]).alias(f"{c}_files") for c in rules.CATEGORIES])
 
 
@@ -129,7 +134,7 @@ def languages_basic(contents: DataFrame) -> DataFrame:
 
 def largest_basic(contents: DataFrame, n: int = rules.TOP_LARGEST) -> DataFrame:
     """(repo, rank, path, size): top N by characters (collection order on ties)."""
-    sized = contents.select("repo", "path", "file_seq", F.length("content").cast("bigint").alias("size"))
+    sized = contents.select("repo", "path", "file_seq", _characters(contents).cast("bigint").alias("size"))
     return largest_files(sized, n)
 
 

@@ -11,6 +11,8 @@ issue candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,48 +109,52 @@ def report_from_features(feats: DataFrame, repos: DataFrame, expl: DataFrame | N
     return RP.report_fragments(sections)
 
 
-def technical_document(collected: DataFrame, expl: DataFrame, insights: DataFrame) -> DataFrame:
+def technical_document(lines: DataFrame, insights: DataFrame) -> DataFrame:
     """The clone flow's technical document as rows (repo, section, pos,
     value, n): its structure, languages, largest files, managers and line
-    metrics by the basic rules, and the insights."""
+    metrics by the basic rules, and the insights. ``lines``: the collected
+    files' ``basic_line_metrics``."""
 
     def rows(df: DataFrame, section: str, pos, value, n) -> DataFrame:
         return df.select("repo", F.lit(section).alias("section"), pos.cast("bigint").alias("pos"),
                          value.cast("string").alias("value"), n.cast("bigint").alias("n"))
 
-    totals = S.structure_basic(collected)
+    totals = S.structure_basic(lines)
     counts = [("total_files", "files"), ("total_size", "characters")] + [
         (f"{c}_files", c) for c in rules.CATEGORIES]
     listed = totals.select("repo", F.posexplode(F.array(*[
         F.struct(F.lit(label).alias("value"), F.col(c).cast("bigint").alias("n")) for c, label in counts])).alias("pos", "x"))
-    metrics = M.code_metrics_basic(collected)
+    metrics = M.code_metrics_by_language(lines)
     return (rows(listed, "structure", F.col("pos"), F.col("x.value"), F.col("x.n"))
-            .unionByName(rows(S.languages_basic(collected), "language", F.lit(0), F.col("language"), F.col("files")))
-            .unionByName(rows(S.largest_basic(collected), "largest", F.col("rank"), F.col("path"), F.col("size")))
-            .unionByName(rows(D.package_managers_basic(collected), "manager", F.col("pos"), F.col("manager"), F.lit(1)))
+            .unionByName(rows(S.languages_basic(lines), "language", F.lit(0), F.col("language"), F.col("files")))
+            .unionByName(rows(S.largest_basic(lines), "largest", F.col("rank"), F.col("path"), F.col("size")))
+            .unionByName(rows(D.package_managers_basic(lines), "manager", F.col("pos"), F.col("manager"), F.lit(1)))
             .unionByName(rows(metrics, "lines", F.lit(0), F.col("language"), F.col("lines")))
             .unionByName(insights.select("repo", F.concat(F.lit("insight:"), F.col("section")).alias("section"),
                                          "pos", "value", "n")))
 
 
-def analyze_clone(contents: DataFrame, responses: DataFrame, repos: DataFrame | None = None,
-                  open_issues: DataFrame | None = None) -> dict[str, DataFrame]:
+def analyze_clone(contents: DataFrame, responses: DataFrame, repos: DataFrame | None = None, open_issues: DataFrame | None = None,
+                  keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
     """Collected-files flow, with the 20-extension vocabulary and the basic
     category rules throughout: insights over every collected code file's
     reply, the functional, the technical and the build & run document, and
-    the issue candidates. Returns DataFrames keyed by output name."""
-    collected = R.collect_code_files(contents)
-    expl = X.parse_responses(responses.join(collected.select("repo", "path"), ["repo", "path"], "left_semi"))
+    the issue candidates. Returns DataFrames keyed by output name.
+
+    Texts and replies are read once each: what the outputs need of them is a
+    row per file, which ``keep`` may write as a table."""
+    collected = keep(M.basic_line_metrics(R.collect_code_files(contents)), "collected")
+    expl = keep(X.without_texts(X.parse_responses(
+        responses.join(collected.select("repo", "path"), ["repo", "path"], "left_semi"))), "explained")
     items = X.explanation_items(expl)
     themes = X.improvement_themes(items)
     insights = X.insights_summary(expl, items)
     base_repos = repos if repos is not None else collected.select("repo").distinct()
-    listing = collected.select("repo", "file_seq", "path", F.lit("file").alias("type"),
-                               F.length("content").cast("bigint").alias("size"))
+    listing = collected.select("repo", "file_seq", "path", F.lit("file").alias("type"), "size")
     return {
         "insights": insights,
         "functional": RP.quick_summary(base_repos, listing, basic=True),
-        "technical": technical_document(collected, expl, insights),
+        "technical": technical_document(collected, insights),
         "build_and_run": RP.build_run_guide(collected),
         "issues": X.issue_candidates(themes, items, open_issues),
     }

@@ -759,6 +759,8 @@ TH = (f"th as (select repo, cast(row_number() over (partition by repo order by f
       f"arg_min(pos, (file_seq, pos, idx)) as f2, arg_min(idx, (file_seq, pos, idx)) as f3 from ({_th_union}) h group by 1, 2) x)")
 oracle("common_patterns", "select * from cp", EXP + (CP,))
 oracle("key_technologies", "select * from kt", EXP + (KT,))
+oracle("top_values", "select repo, rank, pattern as value, occurrences, 'code_patterns' as field from cp union all "
+       "select repo, rank, technology, occurrences, 'dependencies' from kt", EXP + (CP, KT))
 oracle("improvement_themes", "select * from th", EXP + (TH,))
 
 INS = ("ins as (select repo, 'files' as section, cast(0 as bigint) as pos, cast(null as varchar) as value, count(*) as n "

@@ -23,6 +23,7 @@ from codecensus.operators import metrics as M
 from codecensus.operators import patterns as PT
 from codecensus.operators import pieces as PC
 from codecensus.operators import structure as S
+from codecensus.operators import top_values as TV
 from codecensus.plans import features as FT
 from codecensus.plans import modes as MD
 from codecensus.plans import upkeep as UP
@@ -557,6 +558,18 @@ def key_technologies(spark, sf_dir):
     return X.key_technologies(_items(spark, sf_dir))
 
 
+@query
+def top_values(spark, sf_dir):
+    """The most frequent patterns and dependencies, by threshold rounds over
+    partial counts."""
+    items, found = _items(spark, sf_dir).where("is_string"), None
+    for field, n in (("code_patterns", X.rules.COMMON_PATTERNS_N), ("dependencies", X.rules.KEY_TECHNOLOGIES_N)):
+        partial = write_table(TV.partial_counts(items.where(F.col("field") == field), ["repo"], n), "partial")
+        rows = TV.top_values(partial, ["repo"], n).withColumn("field", F.lit(field))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query
 def improvement_themes(spark, sf_dir):
     return X.improvement_themes(_items(spark, sf_dir))
@@ -753,7 +766,7 @@ def analyze_full(spark, sf_dir):
 
 def _clone(spark, sf_dir) -> dict[str, DataFrame]:
     return MD.analyze_clone(src.contents(spark, sf_dir), src.responses(spark, sf_dir), src.repos(spark, sf_dir),
-                            src.open_issues(spark, sf_dir))
+                            src.open_issues(spark, sf_dir), write_table)
 
 
 @query

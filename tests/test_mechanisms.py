@@ -109,3 +109,34 @@ def test_files_that_land_again_replace_their_counts(spark, tmp_path):
         got = sorted(map(tuple, replaced_totals(spark, out).collect()))
         want = code_metrics_totals(file_metrics(contents(spark, now)))
         assert got == sorted(map(tuple, want.select(*replaced_totals(spark, out).columns).collect())), k
+
+
+def test_top_values_equal_a_full_count_and_rare_ones_stay(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from codecensus.operators import top_values as TV
+    rng = random.Random(6)
+    rows = []
+    for i in range(6000):
+        repo = rng.choice(["hot", "hot", "hot", "mid", "few"])
+        value = f"v{min(int(rng.paretovariate(0.7)), 900)}" if rng.random() < 0.6 else f"rare{rng.randrange(10**6)}"
+        rows.append((repo, None if i % 97 == 0 else value, i // 3, i % 3))
+    rows += [("tie", v, 7000 + k, 0) for k, v in enumerate(["b", "a", "c", "a", "b", "c", "d"])] + [("one", "x", 9000, 0)]
+    df = spark.createDataFrame(rows, "repo string, value string, file_seq long, pos int").repartition(9)
+    agg = df.where("value IS NOT NULL").groupBy("repo", "value").agg(F.count("*").alias("n"), F.min(F.struct("file_seq", "pos")).alias("first"))
+    for n, held in ((1, 10**6), (3, 10**6), (10, 50), (10, 10**6)):
+        path = str(tmp_path / f"p{n}-{held}")
+        TV.partial_counts(df, ["repo"], n, held).write.parquet(path)
+        partial = spark.read.parquet(path)
+        ranked = agg.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "first"))).where(F.col("rank") <= n)
+        want = sorted((r.repo, r["rank"], r.value, r.n) for r in ranked.collect())
+        assert sorted(map(tuple, TV.top_values(partial, ["repo"], n).collect())) == want
+    moved = TV.candidates(partial, ["repo"], 10)
+    assert not [r for r in moved.where("repo = 'hot'").collect() if r.value.startswith("rare")]
+    assert moved.where("repo = 'hot'").count() < 0.1 * agg.where("repo = 'hot'").count()
+
+
+def test_top_values_of_nothing(spark):
+    from codecensus.operators import top_values as TV
+    none = spark.createDataFrame([], "repo string, value string, file_seq long, pos int")
+    assert TV.top_values(TV.partial_counts(none, ["repo"], 5), ["repo"], 5).count() == 0
