@@ -41,7 +41,7 @@ from codecensus.llm.suffix_groups import equal_windows, suffix_arrays
 
 WIDTH = 200
 GRAMS = (48, 150, 190, 200)  # bytes of the anchors' grams, level by level; the last is WIDTH
-LIMIT = 64  # different segments of an anchor that are sorted together
+LIMIT = 4096  # different segments of an anchor that are sorted together, under 1.5 MB
 SLICE = 1 << 20  # bytes that are hashed or sorted together
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
