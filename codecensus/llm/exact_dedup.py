@@ -56,7 +56,8 @@ def build_directory(keys: DataFrame, capacity: int) -> DataFrame:
                .withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {CELL_BITS} - depth), {CELL_BITS} - depth)")))
     load = doubled.groupBy("depth", "bucket").agg(F.sum("keys").alias("load"))
     fits = load.filter((F.col("load") <= capacity) | (F.col("depth") == CELL_BITS)).select("depth", "bucket")
-    first = doubled.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("of"))
+    # at most 2**(CELL_BITS + 1) rows of two numbers
+    first = doubled.join(F.broadcast(fits), ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("of"))
     return first.select("cell", "of.bucket", "of.depth")
 
 
