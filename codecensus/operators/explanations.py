@@ -164,11 +164,14 @@ def _first_word(c: Column) -> Column:
 # ---------------------------------------------------------------- insights
 def complexity_distribution(explanations: DataFrame) -> DataFrame:
     """(repo, complexity, files): first word of the assessment (split on one
-    space, so 'Moderate.' keeps its dot)."""
+    space, so 'Moderate.' keeps its dot). Files without one are left out while
+    counting: Spark would put a filter below the parsing of the replies and
+    repeat the whole parse in it."""
     ca = F.col("complexity_assessment")
-    return (explanations.where(ca.isNotNull() & (ca != ""))
-                        .groupBy("repo", _first_word(ca).alias("complexity"))
-                        .agg(F.count(F.lit(1)).alias("files"), F.min("file_seq").alias("first_seq")))
+    given = ca.isNotNull() & (ca != "")
+    return (explanations.groupBy("repo", _first_word(ca).alias("complexity"))
+                        .agg(F.count_if(given).alias("files"), F.min(F.when(given, F.col("file_seq"))).alias("first_seq"))
+                        .where(F.col("files") > 0))
 
 
 def _ranked_counts(items: DataFrame, field: str, n: int | None, label: str) -> DataFrame:

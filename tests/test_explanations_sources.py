@@ -30,6 +30,22 @@ EXPL = {
 }
 
 
+def test_complexity_distribution_parses_a_reply_once(spark):
+    replies = {"a.py": '{"complexity_assessment":"Low. ok"}', "b.py": '{"complexity_assessment":""}', "c.py": '{"complexity_assessment":" x"}',
+               "d.py": '{"complexity_assessment":"Low. so"}', "e.py": "no reply", "f.py": '{"complexity_assessment":null}'}
+    e = X.parse_responses(_responses(spark, replies))
+    counts = X.complexity_distribution(e)
+    assert {(r.complexity, r.files, r.first_seq) for r in counts.collect()} == {("Low.", 2, 0), ("", 1, 2), ("Unknown", 2, 4)}
+
+    def parsers(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+
+    assert parsers(counts) <= parsers(e)
+    # an assessment that is null (not only absent) is left out
+    given = spark.createDataFrame([("r", None, 0), ("r", "Low. x", 1)], "repo string, complexity_assessment string, file_seq bigint")
+    assert [tuple(r) for r in X.complexity_distribution(given).collect()] == [("r", "Low.", 1, 1)]
+
+
 def test_insights_a12(spark):
     e = X.parse_responses(_responses(spark, {p: json.dumps(v) for p, v in EXPL.items()}))
     ins = {}
