@@ -64,6 +64,29 @@ def test_search_reads_candidate_folders_and_no_other_text(spark, tmp_path):
     assert [(b.repo, b.block) for b in SI.candidate_blocks(spark, index, "needle").collect()] == [("o/r", 70)]
 
 
+def test_postings_of_scattered_files_come_packed(spark):
+    rows = [("o/r", 60 * i - 3000, f"p{i}", "plain words here") for i in range(300)] + [("o/r", 7, "x", "plain"), (None, 8, "y", "plain"), ("o/r", 9, "z", "")]
+    got = SI.postings(_texts(spark, rows)).collect()
+    files = {}
+    for p in got:
+        files.setdefault(p.gram, set()).update((p.stretch << SI.PLACE) + place for place in p.places)
+    text = "plain words here"
+    grams = {text[i:i + 3] for i in range(len(text) - 2)}
+    assert files == {g: {60 * i - 3000 for i in range(300)} | ({7} if g in "plain" else set()) for g in grams}
+    assert len(got) <= 4 * len(grams)  # stretches -1 and 0, not a row for each file and gram
+
+
+def test_grams_of_many_groups_and_letters(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(SI, "LETTERS", 4000)
+    rows = [(f"r{i}", i >> SI.PLACE, i, "".join(chr(0x4E00 + 5 * i + k) for k in range(5)) + "abab\0\0\0") for i in range(1100)]
+    rows += [("s", 0, 1, "ab"), ("s", 0, 2, "ba"), ("s", 0, 3, ""), ("s", 1, 3, "abc\U0010FFFF")]
+    batch = pa.RecordBatch.from_pydict({"repo": [r[0] for r in rows], "stretch": [r[1] for r in rows],
+                                        "place": pa.array([r[2] for r in rows], pa.int16()), "piece": [r[3] for r in rows]})
+    got = sorted((r["repo"], r["stretch"], r["gram"], p) for b in SI._packed([batch.slice(0, 0), batch]) for r in b.to_pylist() for p in r["places"])
+    assert got == sorted({(r, s, t[i:i + 3], p) for r, s, p, t in rows for i in range(len(t) - 2)})
+
+
 PAGES = [("r1", 0, {"value": [{"path": "/a.py", "isFolder": False, "size": 3}, {"path": "/d", "isFolder": True}, {"path": "/e"}]}),
          ("r1", 1, {"value": [{"path": "//b.py", "isFolder": False}]}), ("r2", 0, {"value": []}), ("r2", 1, {"count": 0}),
          ("r3", 5, {"value": [{"path": "/z", "isFolder": False, "size": 9}, "odd", None]})]
