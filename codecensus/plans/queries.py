@@ -727,11 +727,14 @@ def render_report(spark, sf_dir):
 # ---------------------------------------------------------------- upkeep
 def _upkeep(spark, sf_dir, reports: bool) -> UP.Results:
     """The results now, from those of an earlier snapshot."""
-    early, now = (write_table(src.snapshot(spark, sf_dir, was), "snapshot") for was in (True, False))
+    now = write_table(src.snapshot(spark, sf_dir), "snapshot")
+    early = src.earlier(now)
+    listing = write_table(early.drop("content"), "listing")
     blobs = f"{shared_dir(spark)}/tables/blobs-{uuid.uuid4().hex}"
-    UP.write_blobs(early.unionByName(now), blobs)
+    UP.write_blobs(early, blobs)
+    UP.write_blobs(now, blobs, listing)
     fetch = UP.fetch_blobs(blobs)
-    before = UP.Snapshot(early.drop("content"), write_table(src.early_repos(spark, sf_dir), "repos"))
+    before = UP.Snapshot(listing, write_table(src.early_repos(spark, sf_dir), "repos"))
     after = UP.Snapshot(now.drop("content"), write_table(src.repos(spark, sf_dir), "repos"))
     first = UP.first_run(before, fetch, write_table, "2026-01-01 00:00:00")
     if reports:

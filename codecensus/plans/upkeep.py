@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecensus import rules
+from codecensus.functions.key_filter import matching, may_match
 from codecensus.functions.paths import directory_of, parts_of, suffix_of
 from codecensus.operators import classify as C
 from codecensus.operators.patterns import FLAG_OF, TERMS
@@ -161,20 +162,27 @@ def refresh(results: Results, before: Snapshot, after: Snapshot, fetch: Fetch, k
 SLOT_DIGITS = 2
 
 
-def write_blobs(contents: DataFrame, path: str) -> None:
-    """A store of texts (sha, content) in folders by the first digits of the sha."""
-    (contents.select("sha", "content").dropDuplicates(["sha"]).withColumn("slot", F.substring("sha", 1, SLOT_DIGITS))
-     .repartition("slot").write.partitionBy("slot").parquet(path))
+def write_blobs(contents: DataFrame, path: str, held: DataFrame | None = None) -> None:
+    """A store of texts (sha, content) in folders by the first digits of the
+    sha. A store that holds the texts of ``held`` (sha) gets the others only,
+    and no text that it holds is moved."""
+    texts = contents.select("sha", "content")
+    if held is not None:
+        texts = matching(texts, texts.select("sha").join(held.select("sha"), "sha", "left_anti"), ["sha"])
+    (texts.dropDuplicates(["sha"]).withColumn("slot", F.substring("sha", 1, SLOT_DIGITS))
+     .repartition("slot").write.mode("append" if held is not None else "error").partitionBy("slot").parquet(path))
 
 
 def fetch_blobs(path: str) -> Fetch:
-    """Texts of a store; only the folders that hold an asked sha are read."""
+    """Texts of a store; only the folders that hold an asked sha are read, and
+    only texts whose sha may be asked are moved."""
     def fetch(keys: DataFrame) -> DataFrame:
         asked = keys.withColumn("slot", F.substring("sha", 1, SLOT_DIGITS))
         # at most 16 ** SLOT_DIGITS rows; Spark prunes partitions at run time only
         # where the asking side has a selective predicate
         slots = asked.select("slot").where(F.length("slot") == SLOT_DIGITS).distinct()
         blobs = keys.sparkSession.read.schema("sha string, content string, slot string").parquet(path)
-        return blobs.join(F.broadcast(slots), "slot", "left_semi").join(asked, ["slot", "sha"]).select(*KEYS, "content")
+        found = may_match(blobs.join(F.broadcast(slots), "slot", "left_semi"), asked, ["sha"])
+        return found.join(asked, ["slot", "sha"]).select(*KEYS, "content")
 
     return fetch

@@ -153,18 +153,20 @@ def listing_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str, early: bool = False) -> DataFrame:
-    """The listing with text and ``sha``, as it is now or as it was: earlier,
-    one repository in five lacked files, had others that are gone, and files
-    with another text."""
-    c = listing_with_text(spark, sf_dir)
-    if early:
-        seq, moving = F.col("file_seq"), F.crc32("repo") % 5 == 0
-        shorter = F.concat(F.lit("earlier" + NL), F.substring(F.col("content"), F.lit(1), (F.length("content") / 2).cast("int")))
-        gone = c.where(moving & (seq % 11 == 5)).withColumn("path", F.concat(F.lit("gone/"), F.col("path")))
-        c = (c.where(~(moving & (seq % 9 == 4)))
-             .withColumn("content", F.when(moving & (seq % 7 == 2), shorter).otherwise(F.col("content"))).unionByName(gone))
-        c = c.withColumn("size", F.length("content").cast("bigint"))
-    return c.withColumn("sha", F.sha1("content"))
+    """The listing with text and ``sha``, as it is now or as it was."""
+    now = listing_with_text(spark, sf_dir).withColumn("sha", F.sha1("content"))
+    return earlier(now) if early else now
+
+
+def earlier(now: DataFrame) -> DataFrame:
+    """A snapshot as it was: one repository in five lacked files, had others
+    that are gone, and files with another text."""
+    seq, moving = F.col("file_seq"), F.crc32("repo") % 5 == 0
+    shorter = F.concat(F.lit("earlier" + NL), F.substring(F.col("content"), F.lit(1), (F.length("content") / 2).cast("int")))
+    gone = now.where(moving & (seq % 11 == 5)).withColumn("path", F.concat(F.lit("gone/"), F.col("path")))
+    c = (now.where(~(moving & (seq % 9 == 4)))
+         .withColumn("content", F.when(moving & (seq % 7 == 2), shorter).otherwise(F.col("content"))).unionByName(gone))
+    return c.withColumn("size", F.length("content").cast("bigint")).withColumn("sha", F.sha1("content"))
 
 
 def early_repos(spark: SparkSession, sf_dir: str) -> DataFrame:

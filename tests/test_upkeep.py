@@ -82,3 +82,23 @@ def test_blob_store_reads_only_asked_folders(spark, tmp_path):
     got = UP.fetch_blobs(path)(keys.where("sha is not null"))
     assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
     assert [r.content for r in got.collect()] == ["7"]
+
+
+def test_blob_store_takes_texts_that_it_lacks_and_moves_asked_ones(spark, tmp_path):
+    def texts(a, b):
+        ids = spark.range(a, b).select(F.col("id").cast("string").alias("content"))
+        twice = ids.unionByName(ids).unionByName(spark.createDataFrame([(None,)], "content string"))
+        return twice.select(F.sha1("content").alias("sha"), "content")
+
+    path = str(tmp_path / "blobs")
+    UP.write_blobs(texts(0, 60), path)
+    UP.write_blobs(texts(30, 100), path, texts(0, 60))
+    UP.write_blobs(texts(0, 100), path, texts(0, 100))  # nothing is lacking
+    stored = spark.read.schema("sha string, content string").parquet(path).where("sha IS NOT NULL")
+    assert sorted(int(r.content) for r in stored.collect()) == list(range(100))
+    keys = write_table(texts(0, 40).where("sha IS NOT NULL").distinct().select(
+        F.lit("r").alias("repo"), F.concat(F.lit("p"), "content").alias("path"), F.lit(1).alias("nth"), "sha"), "keys")
+    got = UP.fetch_blobs(path)(keys)
+    assert sorted((r.path, r.content) for r in got.collect()) == sorted((f"p{i}", str(i)) for i in range(40))
+    # texts meet a bitmap of the asked keys before they are shuffled
+    assert "bitmap_construct_agg" in got._jdf.queryExecution().optimizedPlan().toString()
